@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from depscope.llm import quality
+from depscope.llm import chat, langid, private, quality, simhash, urls
 from depscope.llm.sql import ORACLES
 from depscope.sources.tables import read_table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    return langid.identify(docs, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
 
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
@@ -18,6 +29,29 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return private.personal_data(docs, redacted=False).drop("text")
+
+
+def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    turns = turns.unionByName(spark.createDataFrame(more, "conv_id long, turn long, role string, text string"))
+    nodes, members = chat.prefix_tree(turns, TOKENIZER)
+    return chat.read_back(nodes, members, TOKENIZER)
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op9_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every opN_<name> of this module."""
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
