@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depscope.llm import chat, langid, private, quality, simhash, urls
+from depscope.llm import chat, langid, linededup, media, mixing, packing, private, quality, simhash, urls
 from depscope.llm.sql import ORACLES
 from depscope.sources.tables import read_table
 
+#: Blocks per cycle of each source; others have one.
+WEIGHTS = {"src0": 4, "src1": 3, "src2": 2}
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -34,6 +37,11 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.personal_data(docs, redacted=False).drop("text")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs)
+
+
 def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -43,6 +51,16 @@ def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(nodes, members, TOKENIZER)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed_documents(docs, TOKENIZER, 1024)
+
+
+def op7_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return media.stored_and_read(docs)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -52,6 +70,11 @@ def op9_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages).drop("url")
 
 
+def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, WEIGHTS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every opN_<name> of this module."""
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
