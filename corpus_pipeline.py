@@ -1,15 +1,27 @@
-"""From raw documents to packed sequences: five stages, each an operator of depscope.llm."""
+"""From raw documents to packed sequences: five stages, each an operator of depscope.llm.
+
+Every stage works on all rows that the one before it kept. All but the last return the
+columns of documents; the last returns the pieces with their sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from depscope.llm import quality
+from depscope.llm import linededup, mixing, packing, quality, simhash
+from depscope.scratch import materialise
 from depscope.sources.tables import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+CAPACITY = 1024
+
+#: Blocks per cycle by source; a source that isn't named has one.
+WEIGHTS = {"src0": 4, "src1": 3, "src2": 2}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,16 +29,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality(docs).where("kept").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the blocks they share with earlier ones; one that is nothing else goes."""
+    left = linededup.dedup_lines(docs).where("n_removed < n_lines OR n_lines = 0")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, by fingerprints of whole texts."""
+    return simhash.one_of_each(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the Pfair schedule."""
+    return mixing.mix(docs, WEIGHTS).orderBy("slot", "place").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its sequence and offset."""
+    return packing.packed_documents(docs.select("doc_id", "text"), TOKENIZER, CAPACITY)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing to target weights", source_mixing),
+    ("best-fit packing", best_fit_packing),
 ]
 
+#: SQL has no patience alignment and no sum-of-squares rule; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the table documents."""
+    """All stages in order over the table documents, each one's rows written before the next."""
     docs = read_table(spark, sf_dir, "documents").select(*COLUMNS)
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"pipeline-{k}")
     return docs
