@@ -1 +1 @@
-
+"""Micro-batch ingest of source files."""
