@@ -1,12 +1,13 @@
 """Near-duplicates by SimHash: fingerprints, a vantage-point tree over them, components.
 
 The tree routes fingerprints to shards by Hamming distance. A node has a vantage point and
-a slice of four bits that no node above it uses; its children are the distances 0 to 4
+a slice of the bits that no node above it uses; its children are ranges of the distance
 between a fingerprint's slice and the vantage point's. By the triangle inequality two
 fingerprints whose slice distances differ by k differ in k bits of that slice at least, and
 as slices are disjoint these bounds add up along a path: a search with radius r enters a
-child only while the sum stays within r. A fingerprint has one home shard and is also sent
-to the later shards that its search enters, so every pair within r meets in a shard.
+child only while the sum stays within r. Few shards are told apart best by all 64 bits, more
+by more and narrower slices. A fingerprint has one home shard and is also sent to the later
+shards that its search enters, so every pair within r meets in a shard.
 A shard goes on with the same tree in memory, compares exactly at the leaves, and gives out
 a spanning forest of its links rather than the links, so a dense group costs no more
 than its members. Components join the shards' forests.
@@ -37,8 +38,6 @@ from depscope.scratch import materialise
 
 SEED = 42
 SHINGLE = 3
-SLICE = 4
-SLICES = 64 // SLICE
 WEIGHTS = (1 << np.arange(63, -1, -1, dtype=np.uint64)).astype(np.uint64)
 
 
@@ -69,53 +68,77 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE
     return add_columns(docs, text, [("fp", T.LongType())], compute, drop=drop)
 
 
-def slice_distance(points: np.ndarray, vantage: int, k: int) -> np.ndarray:
-    shift = np.uint64(SLICE * k)
-    mask = np.uint64((1 << SLICE) - 1)
-    return np.bitwise_count(((points ^ np.uint64(vantage)) >> shift) & mask).astype(np.int8)
+def slice_distance(points: np.ndarray, vantage: int, k: int, width: int) -> np.ndarray:
+    mask = np.uint64(((1 << width) - 1) << (width * k))
+    return np.bitwise_count((points ^ np.uint64(vantage)) & mask).astype(np.int16)
+
+
+def slice_width(shards: float) -> int:
+    """The widest slices that tell ``shards`` apart: each splits random points into about as
+    many even parts as the deviation of its distance allows."""
+    width = 64
+    while width > 4 and (2 * (np.pi * width / 4) ** 0.5) ** (64 // width) < shards:
+        width //= 2
+    return width
 
 
 @dataclass
 class Node:
-    """An inner node has a vantage point, a slice and a child for each distance; a leaf has a shard."""
+    """An inner node has a vantage point, a slice and children by distance, (low, high, node); a leaf has a shard."""
 
     shard: int = -1
     vantage: int = 0
     cut: int = -1
+    width: int = 64
     children: tuple = ()
 
 
-def best_cut(sample: np.ndarray, used: frozenset[int], tries: int = 3) -> tuple[int, int]:
+def best_cut(sample: np.ndarray, unused: list[int], width: int, tries: int = 3) -> tuple[int, int]:
     """The unused slice and vantage point whose distances spread the sample best."""
     best = (np.inf, 0, 0)
-    picks = sample[:: max(1, len(sample) // tries)][:tries]
-    for k in range(SLICES):
-        if k not in used:
-            for vantage in picks.tolist():
-                shares = np.bincount(slice_distance(sample, vantage, k), minlength=SLICE + 1) / len(sample)
-                best = min(best, (float(shares @ shares), k, vantage))
+    for k in unused:
+        for vantage in sample[:: max(1, len(sample) // tries)][:tries].tolist():
+            shares = np.bincount(slice_distance(sample, vantage, k, width)) / len(sample)
+            best = min(best, (float(shares @ shares), k, vantage))
     return best[1], best[2]
 
 
+def ranges(counts: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Neighbouring distances taken together until each range has ``least`` of the sample."""
+    out, low, held = [], 0, 0
+    for d, n in enumerate(counts.tolist()):
+        held += n
+        if held >= least:
+            out.append((low, d))
+            low, held = d + 1, 0
+    if low < len(counts):
+        out[-1:] = [(out[-1][0] if out else 0, len(counts) - 1)]
+    return out
+
+
 def fit_tree(sample: np.ndarray, most: float) -> tuple[Node, int]:
     """A tree whose leaves hold at most ``most`` of the sample where slices allow; number of shards."""
     count = 0
+    width = slice_width(len(sample) / most)
 
-    def grow(points: np.ndarray, used: frozenset[int]) -> Node:
+    def grow(points: np.ndarray, unused: list[int]) -> Node:
         nonlocal count
-        if len(points) <= most or len(used) == SLICES:
+        if len(points) <= most or not unused:
             count += 1
             return Node(shard=count - 1)
-        cut, vantage = best_cut(points, used)
-        d = slice_distance(points, vantage, cut)
-        return Node(-1, vantage, cut, tuple(grow(points[d == k], used | {cut}) for k in range(SLICE + 1)))
+        cut, vantage = best_cut(points, unused, width)
+        d = slice_distance(points, vantage, cut, width)
+        rest = [k for k in unused if k != cut]
+        parts = ranges(np.bincount(d, minlength=width + 1), most / 2)
+        children = tuple((low, high, grow(points[(d >= low) & (d <= high)], rest)) for low, high in parts)
+        return Node(-1, vantage, cut, width, children)
 
-    return grow(np.sort(sample.astype(np.uint64)), frozenset()), count
+    return grow(np.sort(sample.astype(np.uint64)), list(range(64 // width))), count
 
 
 def route(node: Node, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, indices of points, whether at home) for each shard that a search enters."""
-    stack = [(node, np.arange(len(points)), np.full(len(points), radius, np.int8))]
+    stack = [(node, np.arange(len(points)), np.full(len(points), radius, np.int16))]
     while stack:
         at, idx, left = stack.pop()
         if not len(idx):
@@ -123,9 +146,9 @@ def route(node: Node, points: np.ndarray, radius: int) -> Iterator[tuple[int, np
         if at.cut < 0:
             yield at.shard, idx, left
             continue
-        d = slice_distance(points[idx], at.vantage, at.cut)
-        for k, child in enumerate(at.children):
-            rest = left - np.abs(d - k)
+        d = slice_distance(points[idx], at.vantage, at.cut, at.width)
+        for low, high, child in at.children:
+            rest = left - np.maximum(0, np.maximum(low - d, d - high))
             stack.append((child, idx[rest >= 0], rest[rest >= 0]))
 
 
@@ -149,20 +172,22 @@ def join_links(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
 
 
-def shard_forest(home: np.ndarray, visitors: np.ndarray, radius: int, leaf: int = 192) -> tuple[np.ndarray, np.ndarray]:
+def shard_forest(
+    home: np.ndarray, visitors: np.ndarray, radius: int, leaf: int = 192, width: int = 16
+) -> tuple[np.ndarray, np.ndarray]:
     """Edges (member, root) of the forest over links between ``home`` and everything in the shard."""
     points = np.concatenate([home, visitors])
     parent = np.arange(len(points))
     everyone = np.arange(len(points))
-    stack = [(np.arange(len(home)), everyone, np.full(len(points), radius, np.int8), 0)]
+    stack = [(np.arange(len(home)), everyone, np.full(len(points), radius, np.int16), 0)]
     while stack:
         own, seekers, left, level = stack.pop()
         if not len(own) or not len(seekers):
             continue
-        if len(own) > leaf and level < SLICES:
+        if len(own) > leaf and level < 64 // width:
             vantage = int(points[own[len(own) // 2]])
-            d, e = slice_distance(points[own], vantage, level), slice_distance(points[seekers], vantage, level)
-            for k in range(SLICE + 1):
+            d, e = (slice_distance(points[x], vantage, level, width) for x in (own, seekers))
+            for k in np.unique(d).tolist():
                 rest = left - np.abs(e - k)
                 stack.append((own[d == k], seekers[rest >= 0], rest[rest >= 0], level + 1))
             continue
@@ -179,7 +204,7 @@ def shard_forest(home: np.ndarray, visitors: np.ndarray, radius: int, leaf: int
     return points[moved], points[parent[moved]]
 
 
-def links(fps: DataFrame, radius: int = 3, sample: int = 65536, target: int = 16384, max_shards: int = 4096) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, sample: int = 65536, target: int = 65536, max_shards: int = 16384) -> DataFrame:
     """(a, b) edges that connect the distinct fingerprints ``fps`` (fp) as the links do.
 
     ``target`` fingerprints are aimed at per shard, more if that took over ``max_shards``.
@@ -203,7 +228,7 @@ def links(fps: DataFrame, radius: int = 3, sample: int = 65536, target: int = 16
             visits = list(route(shared.value, points, radius))
             home = np.zeros(len(points), np.int64)
             for shard, idx, left in visits:
-                home[idx[left == radius]] = shard  # the full radius is left only at home
+                home[idx[left == radius]] = shard  # the full radius is left at home only: ranges don't overlap
             for shard, idx, _ in visits:
                 later = idx[home[idx] <= shard]
                 if len(later):
