@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fnmatch import fnmatch
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,19 +31,43 @@ def source_files(
 
     Patterns see paths relative to ``root``. ``most_bytes`` over 0 leaves out larger files; that
     filter and the choice of columns reach the scan, so a caller that ignores content reads none.
+    Spark's scan passes over empty files and names that start with an underscore or dot, such as
+    ``__init__.py``; those are listed and read through pyarrow's file systems.
     """
-    files = (
+    read = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(root)
     )
-    if most_bytes:
-        files = files.where(F.col("length") <= most_bytes)
-    path = relative(F.col("path"), root)
-    return files.where(~excluded(path, EXCLUDE if exclude is None else exclude)).select(
-        path.alias("path"), F.col("modificationTime").alias("modified"), "length", "content"
-    )
+    files = read.select(
+        relative(F.col("path"), root).alias("path"), F.col("modificationTime").alias("modified"), "length", "content"
+    ).unionByName(passed_over(spark, root, pattern))
+    files = files.where(F.col("length") <= most_bytes) if most_bytes else files
+    return files.where(~excluded(F.col("path"), EXCLUDE if exclude is None else exclude))
+
+
+def passed_over(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, modified, length, content) of the files that Spark's listing leaves out."""
+    store, base = fs.FileSystem.from_uri(root)
+    listed = []
+    for info in store.get_file_info(fs.FileSelector(base, recursive=True)):
+        path = info.path[len(base.rstrip("/")) + 1 :]
+        hidden = any(step[0] in "_." for step in path.split("/"))
+        if info.is_file and fnmatch(info.base_name, pattern) and (hidden or not info.size):
+            listed.append((path, info.mtime, info.size))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            content = []
+            for path in batch.column("path").to_pylist():
+                with own.open_input_stream(f"{top.rstrip('/')}/{path}") as stream:
+                    content.append(stream.read())
+            yield batch.append_column("content", pa.array(content, pa.binary()))
+
+    names = spark.createDataFrame(listed, "path string, modified timestamp, length long")
+    return names.mapInArrow(read, "path string, modified timestamp, length long, content binary")
 
 
 def project_size(files: DataFrame) -> DataFrame:
