@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from depscope.llm.urls import RULES, SOFT, STRICT
+
 HOST_QUALITY = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
@@ -38,4 +40,37 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM f LEFT JOIN r ON r.source IS NOT DISTINCT FROM f.source
 """
 
-ORACLES = {"op2_host_quality": HOST_QUALITY}
+BREAKS = r"\\\\|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|startoftext\|>|</?s>|\[/?INST\]|<</?SYS>>"
+
+CHAT = rf"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+       CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(role, '{BREAKS}|\n')) + len(regexp_extract_all(text, '{BREAKS}')))
+            AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+def alone(term: str) -> str:
+    return f"CAST(regexp_matches(translate(coalesce(url, ''), '{UPPER}', '{UPPER.lower()}'), '(^|[^a-z0-9]){term}([^a-z0-9]|$)') AS BIGINT)"
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+FITS = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
+    for h, _, p in sorted((r.partition("/") for r, _ in RULES), key=lambda x: -len("".join(x)))
+)
+URLS = rf"""
+WITH p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host,
+             regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+j AS (SELECT page_id, host, path, CASE {FITS} END AS rule, {' + '.join(map(alone, STRICT))} AS n_strict, {' + '.join(map(alone, SOFT))} AS n_soft FROM p)
+SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES)}
+       WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft FROM j
+"""
+
+ORACLES = {"op2_host_quality": HOST_QUALITY, "op5_chat_prefix_tree": CHAT, "op9_url_vocabulary": URLS}
