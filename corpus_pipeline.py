@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the Pfair schedule."""
-    return mixing.mix(docs, WEIGHTS).orderBy("slot", "place").select(*docs.columns)
+    return mixing.in_order(mixing.mix(docs, WEIGHTS)).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

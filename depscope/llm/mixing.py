@@ -77,21 +77,22 @@ def schedule(weights: list[int], blocks: list[int]) -> list[dict]:
     return phases
 
 
-def ranked(docs: DataFrame, source: str, tie: Column, per_share: int = 50_000) -> DataFrame:
+def ranked(docs: DataFrame, source: str, tie: Column, per_share: int = 4096) -> DataFrame:
     """``docs`` with __rank, from 0 in each source, in the order of a hash of the row.
 
     A source is split by the hash's range into shares of about ``per_share`` rows; a share is
-    sorted on its own, and the counts of the shares before it are added.
+    sorted on its own, and the counts of the shares before it are added. Counting moves
+    no texts; the rows themselves move once, to their shares.
     """
     span = 1 << 32
     counts = docs.groupBy(F.col(f"`{source}`").alias("__s")).agg(F.count("*").alias("__n"))
-    keyed = docs.withColumn("__h", F.pmod(F.xxhash64(*[f"`{c}`" for c in docs.columns]), F.lit(span)))
-    keyed = keyed.join(counts, F.col(f"`{source}`").eqNullSafe(F.col("__s")), "left").drop("__s")
-    shares = F.ceil(F.col("__n") / per_share)
-    keyed = materialise(keyed.withColumn("__share", F.floor(F.col("__h") * shares / span)).drop("__n"), "mixing")
+    hashed = docs.withColumn("__h", F.pmod(F.xxhash64(*[f"`{c}`" for c in docs.columns]), F.lit(span)))
+    keyed = hashed.join(counts, F.col(f"`{source}`").eqNullSafe(F.col("__s")), "left").drop("__s")
+    keyed = keyed.withColumn("__share", F.floor(F.col("__h") * F.ceil(F.col("__n") / per_share) / span)).drop("__n")
     sizes = keyed.groupBy(F.col(f"`{source}`").alias("__s"), F.col("__share").alias("__t")).agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__s").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__s", "__t", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    starts = materialise(starts, "mixing-starts")  # a row for each share
     own = Window.partitionBy(f"`{source}`", "__share").orderBy("__h", tie)
     return (
         keyed.withColumn("__k", F.row_number().over(own) - 1)
@@ -111,7 +112,7 @@ def mix(
 ) -> DataFrame:
     """``docs`` with block (of its source), slot (of the schedule) and place (in the block).
 
-    Order by slot and place is the mixture. ``weights`` are whole blocks per cycle.
+    Order by slot and place is the mixture; ``in_order`` lays it out. ``weights`` are whole blocks per cycle.
     """
     given = weights or {}
     if any(not isinstance(w, int) or w < 1 for w in [default_weight, *given.values()]):
@@ -142,3 +143,15 @@ def mix(
     return placed.join(table, fits).withColumn("slot", slot.cast("long")).select(
         *[f"`{c}`" for c in docs.columns if c not in ("block", "slot", "place")], "block", "slot", "place"
     )
+
+
+def in_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``mixed`` by slot and place, cut into partitions of about equally many slots.
+
+    Slots are dense, so their greatest number gives the cuts and no range is sampled.
+    """
+    spark = mixed.sparkSession
+    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last = mixed.agg(F.max("slot")).first()[0]
+    part = F.floor(F.col("slot") * count / ((last or 0) + 1)).cast("int")
+    return mixed.repartitionById(count, part).sortWithinPartitions("slot", "place")
