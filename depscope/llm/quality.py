@@ -101,23 +101,29 @@ def rule_failures(soft_symbols: float, soft_dup: float, word_length: tuple[float
     }
 
 
-def host_rates(failures: DataFrame) -> DataFrame:
-    """(host, host_rate): the failure rate of each host, shrunk to the beta prior.
+#: Hosts that are joined by broadcast at most: a few megabytes of names and rates.
+FEW_HOSTS = 50_000
+
+
+def host_rates(failures: DataFrame) -> tuple[DataFrame, int]:
+    """(host, host_rate), the failure rate of each host, shrunk to the beta prior; and their count.
 
     ``failures`` has host and failed (0 or 1). The prior's mean is the overall rate;
     its strength comes from the spread of the hosts' rates, by moments, kept in
     1 to 1000 documents. The driver gets one row.
     """
     hosts = failures.groupBy("host").agg(F.count("*").alias("n"), F.sum("failed").alias("k"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
+    hosts = materialise(hosts, "quality-hosts")
+    total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("hosts")).first()
     if not total["n"]:
-        return hosts.select("host", F.lit(0.0).alias("host_rate"))
+        return hosts.select("host", F.lit(0.0).alias("host_rate")), 0
     mean = total["k"] / total["n"]
     spread = hosts.agg(F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - mean, 2))).first()[0] / total["n"]
-    noise = mean * (1 - mean) * hosts.count() / total["n"]
+    noise = mean * (1 - mean) * total["hosts"] / total["n"]
     between = spread - noise
     strength = 1000.0 if between <= 0 else min(1000.0, max(1.0, mean * (1 - mean) / between - 1))
-    return hosts.select("host", ((F.col("k") + strength * mean) / (F.col("n") + strength)).alias("host_rate"))
+    rate = (F.col("k") + strength * mean) / (F.col("n") + strength)
+    return hosts.select("host", rate.alias("host_rate")), total["hosts"]
 
 
 def quality(
@@ -143,8 +149,10 @@ def quality(
     table = materialise(measured, "quality").select(*[f"`{c}`" for c in carried], "__host", "__m.*")
     table = table.withColumns(rule_failures(soft_symbols, soft_dup, word_length))
     failed = (F.col("base_failed") | (F.col("n_soft") > 0) | (F.col("n_hard") > 0)).cast("int")
-    rates = host_rates(table.select(F.col("__host").alias("host"), failed.alias("failed")))
-    joined = table.join(rates.withColumnRenamed("host", "__key"), F.col("__host").eqNullSafe(F.col("__key")), "left")
+    rates, hosts = host_rates(table.select(F.col("__host").alias("host"), failed.alias("failed")))
+    rates = rates.withColumnRenamed("host", "__key")
+    rates = F.broadcast(rates) if hosts <= FEW_HOSTS else rates
+    joined = table.join(rates, F.col("__host").eqNullSafe(F.col("__key")), "left")
     strict = F.col("host_rate") >= strict_rate
     return joined.withColumns(
         {
