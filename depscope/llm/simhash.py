@@ -274,12 +274,13 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rad
     """The row of ``docs`` with the least doc_id of each component, ties by a hash of the row;
     of rows equal in all columns one stays."""
     columns = docs.columns
-    prints = with_fingerprint(docs.withColumn("__row", F.xxhash64(*[f"`{c}`" for c in columns])), text)
-    prints = materialise(prints.select(*[f"`{c}`" for c in columns], "__row", "fp"), "simhash-docs")
+    marked = docs.withColumn("__row", F.xxhash64(*[f"`{c}`" for c in columns]))
+    prints = with_fingerprint(marked.select(f"`{doc_id}`", f"`{text}`", "__row"), text, drop=True)
+    prints = materialise(prints, "simhash-prints")
     key = F.struct(F.col(f"`{doc_id}`").isNull().alias("n"), F.col(f"`{doc_id}`").alias("d"), F.col("__row").alias("r"))
     groups = clusters(prints.select(f"`{doc_id}`", "fp"), doc_id, radius)
     firsts = (
         prints.groupBy("fp").agg(F.min(key).alias("k")).join(groups, "fp").groupBy("component").agg(F.min("k").alias("k"))
     )
     chosen = firsts.select(F.col("k.r").alias("__row")).distinct()
-    return prints.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in columns])
+    return marked.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in columns])
