@@ -20,15 +20,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from depscope.llm.arrow import add_columns
+from depscope.llm.tokens import encoder
 from depscope.scratch import materialise
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -61,20 +62,6 @@ def parse_turn(formatted: str) -> tuple[str, str]:
     return role, unescape(rest[: -len(CLOSE) - 1])
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
-
-
-NODE = T.StructType(
-    [
-        T.StructField("path", T.BinaryType()),
-        T.StructField("role", T.StringType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
-
-
 def turn_paths(turns: DataFrame) -> DataFrame:
     """(conv_id, k, path, parent, role, text): each turn with its node's path.
 
@@ -130,41 +117,41 @@ ROW = T.StructType(
 )
 
 
+def format_piece(rows: list[dict], tokenizer_path: str) -> list[dict]:
+    """Rows of ROW for nodes (path, role, text)."""
+    turns = [format_turn(r["role"], r["text"]) for r in rows]
+    ids = [np.frombuffer(i, "<u4").astype(np.int32) for i in encoder(tokenizer_path).ids([t[0] for t in turns])]
+    made = []
+    for row, (formatted, start, end), tokens in zip(rows, turns, ids, strict=True):
+        learn = row["role"] == LEARNED
+        made.append(
+            {
+                "path": row["path"],
+                "role": row["role"],
+                "token_ids": tokens,
+                "n_tokens": len(tokens),
+                "n_chars": len(formatted),
+                "learn": learn,
+                "learn_start": start if learn else 0,
+                "learn_end": end if learn else 0,
+            }
+        )
+    return made
+
+
 def format_nodes(nodes: DataFrame, tokenizer_path: str) -> DataFrame:
     """Distinct nodes (path, role, text) formatted and tokenised; learn_start to learn_end are
     the code points of the formatted turn under the loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(tokenizer_path)
+        shape = to_arrow_schema(ROW)
         for batch in batches:
-            rows, made = batch.to_pylist(), []
-            turns = [format_turn(r["role"], r["text"]) for r in rows]
-            ids = [e.ids for e in encode.encode_batch([t[0] for t in turns], add_special_tokens=False)]
-            for row, (formatted, start, end), tokens in zip(rows, turns, ids, strict=True):
-                learn = row["role"] == LEARNED
-                made.append(
-                    {
-                        "path": row["path"],
-                        "role": row["role"],
-                        "token_ids": tokens,
-                        "n_tokens": len(tokens),
-                        "n_chars": len(formatted),
-                        "learn": learn,
-                        "learn_start": start if learn else 0,
-                        "learn_end": end if learn else 0,
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(made, schema=pa_schema(ROW))
+            for at in range(0, batch.num_rows, 1000):
+                yield pa.RecordBatch.from_pylist(format_piece(batch.slice(at, 1000).to_pylist(), tokenizer_path), schema=shape)
 
     return nodes.select("path", "role", "text").mapInArrow(run, ROW)
 
 
-def pa_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def lay_out(nodes: DataFrame) -> DataFrame:
     """``nodes`` with start, their place in one depth-first token stream.
 
@@ -184,8 +171,6 @@ def lay_out(nodes: DataFrame) -> DataFrame:
         firsts.append((row["part"], at))
         at += row["n"]
     base = spark.createDataFrame(firsts, "part int, first long")
-    from pyspark.sql import Window
-
     running = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranged.withColumn("before", F.coalesce(F.sum("n_tokens").over(running), F.lit(0)))
@@ -254,7 +239,7 @@ def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> Data
     )
 
     def compute(values: list[list[dict]]) -> list[list]:
-        decode, out = tokenizer(tokenizer_path), []
+        decode, out = encoder(tokenizer_path).tokenizer, []
         for value in values:
             said, learned = hashlib.sha256(), hashlib.sha256()
             chars = learned_chars = tokens = 0
@@ -271,4 +256,4 @@ def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> Data
             out.append([len(value), said.hexdigest(), learned_chars, learned.hexdigest(), chars, tokens])
         return list(map(list, zip(*out, strict=True))) if out else [[]] * len(DIGEST)
 
-    return add_columns(whole, "nodes", DIGEST, compute, drop=True)
+    return add_columns(whole, "nodes", DIGEST, compute, drop=True, piece_bytes=2 << 20)
