@@ -27,14 +27,14 @@ def keep_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose both ends are in ``nodes`` (node)."""
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(
         nodes.select(F.col("node").alias("dst")), "dst", "left_semi"
-    )
+    ).select(edges.columns)
 
 
 def drop_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with no end in ``nodes`` (node)."""
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_anti").join(
         nodes.select(F.col("node").alias("dst")), "dst", "left_anti"
-    )
+    ).select(edges.columns)
 
 
 def outside_own_package(importer: Column, imported: Column) -> Column:
