@@ -1,7 +1,10 @@
 """From raw documents to packed sequences: five stages, each an operator of depscope.llm.
 
-Every stage works on all rows that the one before it kept. All but the last return the
-columns of documents; the last returns the pieces with their sequences.
+Every stage works on all rows that the one before it kept, and on the columns of documents;
+further columns of its input are left out, whatever their names. All but the last return the
+columns of documents; the last returns the pieces with their sequences. Nulls, empty texts,
+repeated rows and empty tables fare as the operators' docstrings say: an empty or null text
+fails the quality rules, repeated rows end as one.
 """
 
 from __future__ import annotations
@@ -26,23 +29,23 @@ WEIGHTS = {"src0": 4, "src1": 3, "src2": 2}
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the host-level quality rules keep."""
-    return quality.quality(docs).where("kept").select(*docs.columns)
+    return quality.quality(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks they share with earlier ones; one that is nothing else goes."""
-    left = linededup.dedup_lines(docs).where("n_removed < n_lines OR n_lines = 0")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    left = linededup.dedup_lines(docs.select(*COLUMNS)).where("n_removed < n_lines OR n_lines = 0")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by fingerprints of whole texts."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the Pfair schedule."""
-    return mixing.in_order(mixing.mix(docs, WEIGHTS)).select(*docs.columns)
+    return mixing.in_order(mixing.mix(docs.select(*COLUMNS), WEIGHTS)).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -113,3 +114,21 @@ def test_pipeline_by_stages(spark):
     packed = stages["best-fit packing"](spark, mixed, DATA)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in single.collect()}
     assert corpus_pipeline.run(spark, DATA).count() == packed.count()
+
+
+def test_stages_on_odd_rows(spark):
+    words = " ".join(f"plain{k}" for k in range(30))
+    rows = [(1, words, "en", "a", 1), (1, words, "en", "a", 1), (2, None, None, None, None), (None, words + " x", "en", None, 2), (3, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for extra in ("kept", "n_lines", "slot", "place", "block", "fp", "piece", "offset"):
+        docs = docs.withColumn(extra, F.lit("old"))
+    for table in (docs, docs.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, DATA)
+            assert k == 4 or out.columns == corpus_pipeline.COLUMNS
+            n = out.count()
+            assert n >= 0 if table is docs else n == 0
+    kept = corpus_pipeline.quality_rules(spark, docs, DATA)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 1]
+    assert corpus_pipeline.near_dedup(spark, docs, DATA).count() < docs.count()
+    assert corpus_pipeline.source_mixing(spark, docs, DATA).count() == docs.count()
