@@ -77,15 +77,15 @@ def schedule(weights: list[int], blocks: list[int]) -> list[dict]:
     return phases
 
 
-def ranked(docs: DataFrame, source: str, tie: Column, per_share: int = 4096) -> DataFrame:
-    """``docs`` with __rank, from 0 in each source, in the order of a hash of the row.
+def ranked(docs: DataFrame, counts: DataFrame, source: str, tie: Column, per_share: int = 4096) -> DataFrame:
+    """``docs`` with __rank, from 0 in each source, in the order of a hash of the row. ``counts``:
+    (__s, __n), a row for each source.
 
     A source is split by the hash's range into shares of about ``per_share`` rows; a share is
     sorted on its own, and the counts of the shares before it are added. Counting moves
     no texts; the rows themselves move once, to their shares.
     """
     span = 1 << 32
-    counts = docs.groupBy(F.col(f"`{source}`").alias("__s")).agg(F.count("*").alias("__n"))
     hashed = docs.withColumn("__h", F.pmod(F.xxhash64(*[f"`{c}`" for c in docs.columns]), F.lit(span)))
     keyed = hashed.join(counts, F.col(f"`{source}`").eqNullSafe(F.col("__s")), "left").drop("__s")
     keyed = keyed.withColumn("__share", F.floor(F.col("__h") * F.ceil(F.col("__n") / per_share) / span)).drop("__n")
@@ -117,10 +117,13 @@ def mix(
     given = weights or {}
     if any(not isinstance(w, int) or w < 1 for w in [default_weight, *given.values()]):
         raise ValueError("weights must be positive whole numbers")
-    placed = ranked(docs, source, F.col(f"`{doc_id}`")).withColumns(
+    spark, kind = docs.sparkSession, docs.schema[source].dataType.simpleString()
+    counts = docs.groupBy(F.col(f"`{source}`").alias("s")).count().collect()  # a row for each source
+    # a local table has a known size, so the planner broadcasts it if it is small and moves no texts
+    known = spark.createDataFrame([tuple(r) for r in counts], f"__s {kind}, __n long")
+    placed = ranked(docs, known, source, F.col(f"`{doc_id}`")).withColumns(
         {"block": F.floor(F.col("__rank") / block), "place": F.pmod("__rank", F.lit(block))}
     )
-    counts = docs.groupBy(F.col(f"`{source}`").alias("s")).count().collect()  # a row for each source
     names = sorted((r["s"] for r in counts), key=lambda s: (s is None, str(s)))
     sizes = {r["s"]: r["count"] for r in counts}
     phases = schedule([given.get(s, default_weight) for s in names], [-(-sizes[s] // block) for s in names])
@@ -130,8 +133,7 @@ def mix(
         for s in p["places"]
         if p["taken"][s]
     ]
-    kind = docs.schema[source].dataType.simpleString()
-    table = docs.sparkSession.createDataFrame(
+    table = spark.createDataFrame(
         rows, f"__s {kind}, __first long, __end long, __slot long, __period long, __places array<int>"
     )
     # rows: sources times phases, both bounded by the number of sources
