@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depscope.llm import linededup, mixing, packing, quality, simhash
+from depscope.llm import linededup, mixing, packing, quality, similar
 from depscope.scratch import materialise
 from depscope.sources.tables import read_table
 
@@ -39,8 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by fingerprints of whole texts."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """One document of each group linked by a similarity of 0.8 of 5-word shingles at least, every pair verified."""
+    return similar.one_of_each(docs.select(*COLUMNS))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
