@@ -1,12 +1,15 @@
 """Line dedup by pairwise alignment.
 
 Documents overlap where they share lines. Each shared line of a later document names one
-partner, the earliest document that has the line: whatever block a later document shares
-with any earlier one, it shares with the earliest, so this star of pairs loses nothing, and a
-line that a third of all documents have gives a third of all documents one pair each, not
-pairs among them. Each pair is aligned as patience diff does, by the longest increasing
-run of lines unique on both sides, and aligned common blocks of ``min_words`` words or more
-leave the later document, with the blank lines that follow their lines.
+partner, the earliest document that has the line, so a line that a third of all documents
+have gives a third of all documents one pair each, not pairs among them. Each pair is aligned
+as patience diff does, by the longest increasing run of lines unique on both sides, and aligned
+common blocks of ``min_words`` words or more leave the later document, with the blank lines
+that follow their lines.
+
+What crosses that run is aligned again on its own until nothing more aligns, as another
+earlier document may well hold it in the later one's order. So every common block goes,
+whatever the order of the blocks, and no further pairs are needed for it.
 
 A line's key hashes the trimmed line. A line of fewer than ``short`` words is keyed with the
 line before it, so that ``The.`` alone matches nothing, and the k-th repeat of a line in a
@@ -91,7 +94,9 @@ def common_lines(matches: list[tuple], words: list[int], min_words: int) -> set[
         by_partner.setdefault(partner, []).append((i, j))
     gone: set[int] = set()
     for pairs in by_partner.values():
-        for a, b in blocks(increasing(sorted(pairs))):
+        pairs.sort()
+        # aligning the rest again and again ends at all blocks of the pair, so these are taken at once
+        for a, b in [*blocks(increasing(pairs)), *blocks(pairs)]:
             if sum(words[a:b]) >= min_words:
                 gone.update(range(a, b))
     return gone
