@@ -15,6 +15,11 @@ A line's key hashes the trimmed line. A line of fewer than ``short`` words is ke
 line before it, so that ``The.`` alone matches nothing, and the k-th repeat of a line in a
 document is keyed with k, so that keys are unique on both sides.
 
+The key of a short line depends on all short lines in front of it. So that a run of short lines
+matches behind any text, windows have keys too: the least run of lines from a short line on, or
+up to it, that holds ``min_words`` words. A window that an earlier document has is a common
+block itself.
+
 Later means a greater doc_id; a null doc_id is later than all others. Rows equal in doc_id
 and text are one document and fare alike; of rows equal in doc_id only, the one with the
 greater text hash is later. A null text stays null and has no lines; an empty table gives an
@@ -34,23 +39,48 @@ from pyspark.sql import types as T
 from depscope.llm.arrow import add_columns
 from depscope.scratch import materialise
 
+#: Seed of windows' keys, so that they equal no line's.
+WINDOW = 1
+
 
 def content(lines: list[bytes]) -> list[int]:
     """Places of the lines that have a word."""
     return [k for k, line in enumerate(lines) if line.strip()]
 
 
-def line_keys(text: str | None, short: int) -> list[int]:
-    """A signed 64-bit key of each line that has a word."""
-    digest, out, before, seen = xxhash.xxh64_intdigest, [], 0, {}
-    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
-        line = line.strip()
-        if not line:
+def windows(words: list[int], min_words: int, short: int) -> list[tuple[int, int]]:
+    """(first, end) of the least runs of ``min_words`` words that start or end with a line of fewer than ``short``."""
+    out = []
+    for k, own in enumerate(words):
+        if own >= short:
             continue
+        end, held = k, 0
+        while held < min_words and end < len(words):
+            held += words[end]
+            end += 1
+        if held >= min_words:
+            out.append((k, end))
+        first, held = k + 1, 0
+        while held < min_words and first > 0:
+            first -= 1
+            held += words[first]
+        if held >= min_words:
+            out.append((first, k + 1))
+    return sorted(set(out))
+
+
+def line_keys(text: str | None, short: int, min_words: int = 5) -> list[int]:
+    """A signed 64-bit key of each line that has a word, then one of each window."""
+    digest, out, before, seen = xxhash.xxh64_intdigest, [], 0, {}
+    lines = [line.strip() for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n")]
+    lines = [line for line in lines if line]
+    for line in lines:
         before = digest(line, before if len(line.split(None, short)) < short else 0)
         nth = seen.get(before, 0)
         seen[before] = nth + 1
         out.append(digest(nth.to_bytes(8, "little"), before) if nth else before)
+    for a, b in windows([len(line.split()) for line in lines], min_words, short):
+        out.append(digest(b"\n".join(lines[a:b]), WINDOW))
     return np.array(out, np.uint64).view(np.int64).tolist()
 
 
@@ -102,11 +132,18 @@ def common_lines(matches: list[tuple], words: list[int], min_words: int) -> set[
     return gone
 
 
-def without(text: str, matches: list[tuple], min_words: int) -> tuple[str, int, int]:
-    """The text left, its count of content lines before, and how many of them went."""
+def without(text: str, matches: list[tuple], min_words: int, short: int = 5) -> tuple[str, int, int]:
+    """The text left, its count of content lines before, and how many of them went.
+
+    ``matches`` count as ``line_keys`` does: windows behind lines.
+    """
     raw = text.encode("utf-8", "surrogatepass").split(b"\n")
     places = content(raw)
-    gone = {places[k] for k in common_lines(matches, [len(raw[p].split()) for p in places], min_words)}
+    words, count = [len(raw[p].split()) for p in places], len(places)
+    held = windows(words, min_words, short) if any(m[0] >= count for m in matches) else []
+    lines = common_lines([m for m in matches if m[0] < count], words, min_words)
+    lines.update(k for m in matches if m[0] >= count for k in range(*held[m[0] - count]))
+    gone = {places[k] for k in lines}
     if not gone:
         return text, len(places), 0
     left, dropping = [], False
@@ -117,11 +154,11 @@ def without(text: str, matches: list[tuple], min_words: int) -> tuple[str, int,
     return b"\n".join(left).decode("utf-8", "surrogatepass"), len(places), len(gone)
 
 
-def line_matches(docs: DataFrame, text: str, doc_id: str, short: int) -> DataFrame:
+def line_matches(docs: DataFrame, text: str, doc_id: str, short: int, min_words: int) -> DataFrame:
     """(d, t, matches) of each document that shares lines with earlier ones; t hashes the text."""
     named = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("x"), F.xxhash64(f"`{text}`").alias("t"))
     keyed = add_columns(
-        named, "x", [("keys", T.ArrayType(T.LongType()))], lambda values: [[line_keys(v, short) for v in values]], drop=True
+        named, "x", [("keys", T.ArrayType(T.LongType()))], lambda values: [[line_keys(v, short, min_words) for v in values]], drop=True
     )
     lines = materialise(keyed, "linededup-keys").select("d", "t", F.posexplode("keys").alias("i", "h"))
     own = F.struct(F.col("d").isNull().alias("n"), "d", "t")
@@ -140,7 +177,7 @@ def dedup_lines(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 5, short: int = 5
 ) -> DataFrame:
     """``docs`` with its text changed, and n_lines (before) and n_removed."""
-    matches = line_matches(docs, text, doc_id, short).withColumnsRenamed({"d": "__d", "t": "__t", "m": "__m"})
+    matches = line_matches(docs, text, doc_id, short, min_words).withColumnsRenamed({"d": "__d", "t": "__t", "m": "__m"})
     joined = docs.join(
         matches,
         F.col(f"`{doc_id}`").eqNullSafe(F.col("__d")) & (F.xxhash64(f"`{text}`") == F.col("__t")),
@@ -156,7 +193,7 @@ def dedup_lines(
                 out.append((None, 0, 0))
                 continue
             found = [(m["i"], (m["p"]["d"], m["p"]["t"]), m["j"]) for m in value["m"] or ()]
-            out.append(without(value["text"], found, min_words))
+            out.append(without(value["text"], found, min_words, short))
         return list(map(list, zip(*out, strict=True))) if out else [[]] * 3
 
     fields = [(text, T.StringType()), ("n_lines", T.LongType()), ("n_removed", T.LongType())]

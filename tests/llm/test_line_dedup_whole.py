@@ -38,3 +38,21 @@ def test_long_lines_in_any_order(spark):
     pool = [f"pool line {k} of six words" for k in range(60)]
     rows = [(d, "\n".join(pick.sample(pool, 6) + [f"only document {d} has this line"])) for d in range(40)]
     assert whole(spark, rows) == by_force(rows)
+
+
+def test_short_lines_behind_other_text(spark):
+    verse = [f"short line no {k}" for k in range(20)]
+    tail = ["and then a long line after all", "two words", "three more words"]
+    rows = [
+        (1, "\n".join(["first text in front", "tiny", *verse, *tail])),
+        (2, "\n".join(["other text that stands in front", "small", *verse[3:], *tail[:2]])),
+        (3, "\n".join(["one", "short line no 4", "two", *tail[1:], "The."])),
+    ]
+    assert whole(spark, rows) == by_force(rows)
+    assert whole(spark, rows)[2] == "other text that stands in front\nsmall"
+    pick = random.Random(9)
+    pool = ["a b c", "d e", "f", "g h i j", "k l m n o p", "q r s t u"]
+    rows = []
+    for d in range(40):  # no line twice in a document
+        rows.append((d, "\n".join(pick.sample(pool + [f"n{k}" for k in range(40)], 12))))
+    assert whole(spark, rows) == by_force(rows)
