@@ -49,8 +49,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document, with its sequence and offset."""
-    return packing.packed_documents(docs.select("doc_id", "text"), TOKENIZER, CAPACITY)
+    """A row for each piece of each document, with its sequence and offset; sequences follow the schedule's order."""
+    return packing.packed_documents(docs.select("doc_id", "text"), TOKENIZER, CAPACITY, ordered=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

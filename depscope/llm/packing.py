@@ -11,7 +11,8 @@ Pieces are written to the shared folder first, so a lost task packs the same pie
 same order again. Each task packs a bounded share of them.
 
 Defined results: a null text is empty and is a piece with the end id alone; repeated rows are
-packed each; an empty table gives an empty result.
+packed each; an empty table gives an empty result. With ``ordered`` documents are packed in the
+order in which their table was written, and sequences are numbered along it.
 """
 
 from __future__ import annotations
@@ -134,10 +135,45 @@ def tightest(sizes: list[int], capacity: int) -> tuple[np.ndarray, int]:
     return places, count
 
 
+def with_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with __file and __row, which sort rows as they were written.
+
+    Spark reads a table's files by size, so for a written table these are the file's name, which has
+    the number of the task that wrote it, and the row's index; for any other frame, the partition and the row in it.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation":
+        name = F.col("_metadata.file_name")
+        number = F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 19, "0")
+        return docs.select("*", F.concat(number, name).alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    at = F.monotonically_increasing_id()
+    made = docs.withColumn("__at", at)
+    number = F.lpad(F.shiftright("__at", 33).cast("string"), 19, "0")
+    return made.select("*", number.alias("__file"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__row")).drop("__at")
+
+
+def in_shares(table: DataFrame, tasks: int) -> DataFrame:
+    """``table`` (__file, __row, piece) in ``tasks`` partitions that follow the order of rows."""
+    rows, before, starts = table.groupBy("__file").agg(F.max("__row")).orderBy("__file").collect(), 0, []  # a row for each file
+    for file, last in rows:
+        starts.append((file, before))
+        before += last + 1
+    known = table.sparkSession.createDataFrame(starts, "__file string, __start long")
+    placed = table.join(F.broadcast(known), "__file").withColumn("__at", F.col("__start") + F.col("__row"))
+    share = F.floor(F.col("__at") * tasks / max(1, before)).cast("int")
+    return placed.repartitionById(tasks, share).sortWithinPartitions("__at", "piece").drop("__at", "__start")
+
+
 def pack(table: DataFrame, capacity: int = 1024, per_task: int = 1 << 16) -> DataFrame:
-    """``table``, a written table of pieces with length, with sequence_id and offset."""
+    """``table``, a written table of pieces with length, with sequence_id and offset.
+
+    If it has __file and __row, pieces are packed and sequences numbered in their order.
+    """
+    ordered = "__file" in table.columns
     schema = T.StructType(
-        [f for f in table.schema if f.name not in ("sequence_id", "offset")]
+        [f for f in table.schema if f.name not in ("sequence_id", "offset", "__file", "__row")]
         + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
     names = schema.names[:-2]
@@ -151,7 +187,8 @@ def pack(table: DataFrame, capacity: int = 1024, per_task: int = 1 << 16) -> Dat
 
     schema_of = to_arrow_schema(schema)
     tasks = max(1, round(table.count() / per_task))
-    return table.coalesce(tasks).select(*names, F.spark_partition_id().alias("__part")).mapInArrow(run, schema)
+    dealt = in_shares(table, tasks) if ordered else table.coalesce(tasks)
+    return dealt.select(*names, F.spark_partition_id().alias("__part")).mapInArrow(run, schema)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -168,7 +205,13 @@ def grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 
 
 def packed_documents(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, text: str = "text", with_ids: bool = False
+    docs: DataFrame,
+    tokenizer_path: str,
+    capacity: int = 1024,
+    text: str = "text",
+    with_ids: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
     """The pieces of ``docs`` with their sequences and offsets."""
+    docs = with_order(docs) if ordered else docs
     return pack(materialise(pieces(docs, tokenizer_path, capacity, text, with_ids), "packing-pieces"), capacity)
