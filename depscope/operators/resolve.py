@@ -21,7 +21,8 @@ def resolve_targets(names: DataFrame, nodes: DataFrame, contains_limit: int = 20
     least id that contains the name, else ``mod:name``.
 
     The first two are equi-joins. Only names that they leave open are compared with all ids,
-    against a broadcast of at most ``contains_limit`` nodes; over that, by trigrams of the name.
+    against a broadcast of at most ``contains_limit`` nodes; over that, by trigrams of the name,
+    and names shorter than that by the least id of each pair of characters and each character.
     """
     wanted = names.select("name").where("name IS NOT NULL").distinct()
     exact = wanted.join(nodes.select("name", "id"), "name").groupBy("name").agg(F.min("id").alias("id"))
@@ -33,12 +34,17 @@ def resolve_targets(names: DataFrame, nodes: DataFrame, contains_limit: int = 20
     if ids.limit(contains_limit + 1).count() <= contains_limit:
         met = open2.join(F.broadcast(ids), F.contains(F.col("id"), F.col("name")))
     else:
-        gram = F.substring("name", 1, 3)
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("id") - 2, F.lit(1))), lambda k: F.substring(F.col("id"), k, F.lit(3))
-        )
-        spread = ids.select("id", F.explode(F.array_distinct(grams)).alias("g"))
-        met = open2.withColumn("g", gram).join(spread, "g").where(F.contains(F.col("id"), F.col("name")))
+        def spread(size: int) -> DataFrame:
+            places = F.sequence(F.lit(1), F.greatest(F.length("id") - size + 1, F.lit(1)))
+            grams = F.transform(places, lambda k: F.substring(F.col("id"), k, F.lit(size)))
+            return ids.select("id", F.explode(F.array_distinct(grams)).alias("g"))
+
+        long = open2.where(F.length("name") >= 3).withColumn("g", F.substring("name", 1, 3))
+        met = long.join(spread(3), "g").where(F.contains(F.col("id"), F.col("name"))).select("name", "id")
+        for size in (1, 2):
+            least = spread(size).groupBy("g").agg(F.min("id").alias("id"))
+            short = open2.where(F.length("name") == size)
+            met = met.unionByName(short.join(least, short["name"] == least["g"]).select("name", "id"))
     inside = met.groupBy("name").agg(F.min("id").alias("id"))
     rest = wanted.join(exact, "name", "left_anti").join(suffix, "name", "left_anti").join(inside, "name", "left_anti")
     parts = [
