@@ -18,7 +18,8 @@ document is keyed with k, so that keys are unique on both sides.
 The key of a short line depends on all short lines in front of it. So that a run of short lines
 matches behind any text, windows have keys too: the least run of lines from a short line on, or
 up to it, that holds ``min_words`` words. A window that an earlier document has is a common
-block itself.
+block itself. A later repeat of a longer line is a window too, whatever its k: so every copy of a
+passage goes if an earlier document has it once.
 
 Later means a greater doc_id; a null doc_id is later than all others. Rows equal in doc_id
 and text are one document and fare alike; of rows equal in doc_id only, the one with the
@@ -48,11 +49,13 @@ def content(lines: list[bytes]) -> list[int]:
     return [k for k, line in enumerate(lines) if line.strip()]
 
 
-def windows(words: list[int], min_words: int, short: int) -> list[tuple[int, int]]:
-    """(first, end) of the least runs of ``min_words`` words that start or end with a line of fewer than ``short``."""
-    out = []
+def windows(lines: list[bytes], words: list[int], min_words: int, short: int) -> list[tuple[int, int]]:
+    """(first, end) of the least runs of ``min_words`` words that start or end with a line of fewer
+    than ``short``, with a repeated line, or with a line of fewer than ``min_words``."""
+    out, seen = [], set()
     for k, own in enumerate(words):
-        if own >= short:
+        if own >= max(short, min_words) and lines[k] not in seen:
+            seen.add(lines[k])
             continue
         end, held = k, 0
         while held < min_words and end < len(words):
@@ -79,8 +82,10 @@ def line_keys(text: str | None, short: int, min_words: int = 5) -> list[int]:
         nth = seen.get(before, 0)
         seen[before] = nth + 1
         out.append(digest(nth.to_bytes(8, "little"), before) if nth else before)
-    for a, b in windows([len(line.split()) for line in lines], min_words, short):
-        out.append(digest(b"\n".join(lines[a:b]), WINDOW))
+    words = [len(line.split()) for line in lines]
+    for a, b in windows(lines, words, min_words, short):
+        alone = b == a + 1 and words[a] >= short  # the key of the line's first copy
+        out.append(digest(lines[a], 0) if alone else digest(b"\n".join(lines[a:b]), WINDOW))
     return np.array(out, np.uint64).view(np.int64).tolist()
 
 
@@ -140,7 +145,9 @@ def without(text: str, matches: list[tuple], min_words: int, short: int = 5) ->
     raw = text.encode("utf-8", "surrogatepass").split(b"\n")
     places = content(raw)
     words, count = [len(raw[p].split()) for p in places], len(places)
-    held = windows(words, min_words, short) if any(m[0] >= count for m in matches) else []
+    held = []
+    if any(m[0] >= count for m in matches):
+        held = windows([raw[p].strip() for p in places], words, min_words, short)
     lines = common_lines([m for m in matches if m[0] < count], words, min_words)
     lines.update(k for m in matches if m[0] >= count for k in range(*held[m[0] - count]))
     gone = {places[k] for k in lines}

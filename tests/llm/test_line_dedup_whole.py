@@ -56,3 +56,18 @@ def test_short_lines_behind_other_text(spark):
     for d in range(40):  # no line twice in a document
         rows.append((d, "\n".join(pick.sample(pool + [f"n{k}" for k in range(40)], 12))))
     assert whole(spark, rows) == by_force(rows)
+
+
+def test_repeats(spark):
+    passage = [f"passage line {k} of some words" for k in range(4)]
+    rows = [
+        (1, "\n".join(passage)),
+        (2, "\n".join([*passage, "a line of its own stands here", *passage])),
+        (3, "\n".join([passage[2], "another line of its own is here", *passage, *passage])),
+        (4, "\n".join(["no earlier document has this line", "no earlier document has this line"])),
+    ]
+    assert whole(spark, rows) == by_force(rows)
+    pick = random.Random(4)
+    pool = ["a b c", "d e", "f", "g h i j", "k l m n o p", "q r s t u v", *[f"pool {k} of five words" for k in range(9)]]
+    rows = [(d, "\n".join(pick.choice([*pool, f"own {d}"]) for _ in range(9))) for d in range(30)]
+    assert whole(spark, rows) == by_force(rows)
