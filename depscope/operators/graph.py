@@ -1,8 +1,10 @@
 """Reachability, hop distance and strongly connected components over edge tables (src, dst).
 
 A graph whose edges, without repeats and loops, are at most ``small`` is solved in one task of
-bounded size. A larger one is solved by driver loops whose rounds write their state to the
-shared folder; both give the same rows.
+that bounded size. A larger one is solved by driver loops whose rounds write their state to the
+shared folder. Both give the same rows, and neither has a limit of rounds: chains of nodes with
+one edge in and one out are cut out by pointer jumping first, in as many rounds as the
+logarithm of the longest, so that long chains and cycles cost few rounds.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 from depscope.scratch import materialise
 
 SMALL = 500_000
+#: Rounds after which parts written so far become one table, so that plans stay short.
+FOLD = 8
 
 
 def plain(edges: DataFrame) -> DataFrame:
@@ -89,23 +93,99 @@ def _hops_in_one_task(links: DataFrame, roots: DataFrame, most: int) -> DataFram
     return _one_task([ends, starts.distinct()], solve, schema)
 
 
+def chains(links: DataFrame, keep: DataFrame) -> DataFrame:
+    """(node, first, steps, last, left, low) of the nodes with one edge in and one out that aren't in ``keep``.
+
+    ``first`` is the nearest node before it that is no such node, ``steps`` edges away, ``last`` the
+    one behind it, ``left`` edges away. On a cycle of such nodes alone both are null, and ``low`` is
+    the cycle's least node.
+    """
+    out = links.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("last")).where("n = 1")
+    into = links.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("first")).where("n = 1")
+    unary = (
+        out.select(F.col("src").alias("node"), "last")
+        .join(into.select(F.col("dst").alias("node"), "first"), "node")
+        .join(keep.select("node"), "node", "left_anti")
+    )
+    one = F.lit(1).cast("long")
+    state = materialise(
+        unary.select("node", "first", one.alias("steps"), "last", one.alias("left"), F.col("node").alias("low")), "chains"
+    )
+    count, span = state.count(), 1
+    while span < 2 * count:
+        ahead = state.select(
+            F.col("node").alias("last"), F.col("last").alias("l2"), F.col("left").alias("n2"), F.col("low").alias("low2")
+        )
+        behind = state.select(F.col("node").alias("first"), F.col("first").alias("f2"), F.col("steps").alias("s2"))
+        met = state.join(ahead, "last", "left").join(behind, "first", "left")
+        jumped = met.select(
+            "node",
+            F.coalesce("f2", "first").alias("first"),
+            (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"),
+            F.coalesce("l2", "last").alias("last"),
+            (F.col("left") + F.coalesce("n2", F.lit(0))).alias("left"),
+            F.least("low", "low2").alias("low"),
+            (F.col("l2").isNotNull() | F.col("f2").isNotNull()).alias("moved"),
+        )
+        state = materialise(jumped, "chains")
+        span *= 2
+        if state.where("moved").isEmpty():
+            break
+    # whoever has jumped over as many nodes as there are goes round in a circle
+    inner = state.select(F.col("node").alias("last"), F.lit(True).alias("round"))
+    closed = state.join(inner, "last", "left").withColumn("round", F.coalesce("round", F.lit(False)))
+    return materialise(
+        closed.select(
+            "node",
+            *[F.when(~F.col("round"), F.col(c)).alias(c) for c in ("first", "steps", "last", "left")],
+            F.when(F.col("round"), F.col("low")).alias("low"),
+        ),
+        "chains",
+    )
+
+
+def _without(links: DataFrame, gone: DataFrame) -> DataFrame:
+    """``links`` with no end in ``gone`` (node)."""
+    return links.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(
+        gone.select(F.col("node").alias("dst")), "dst", "left_anti"
+    )
+
+
 def _hops_by_rounds(links: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """Semi-naive: each round follows the edges of the last round's new nodes only."""
+    """Chains become edges with a length; each round then follows the edges of the nodes that the last one
+    came to, or came nearer to."""
     first = roots.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0).cast("long"))
-    frontier = seen = materialise(first, "hops")
-    hops = 0
-    while not frontier.isEmpty() and not (most and hops >= most):
-        hops += 1
+    frontier = materialise(first, "hops")
+    cut = chains(links, frontier)
+    heads = cut.where("first IS NOT NULL AND steps = 1").select(
+        F.col("first").alias("src"), F.col("last").alias("dst"), (F.col("left") + 1).alias("hops")
+    )
+    weighted = _without(links, cut).withColumn("hops", F.lit(1).cast("long")).unionByName(heads.where("src <> dst"))
+    weighted = materialise(weighted.groupBy("src", "dst").agg(F.min("hops").alias("hops")), "hops-weighted")
+    parts = [frontier]
+    while not frontier.isEmpty():
         step = (
-            links.join(frontier.select(F.col("node").alias("src")), "src")
-            .select(F.col("dst").alias("node"))
-            .distinct()
-            .join(seen.select("node"), "node", "left_anti")
-            .withColumn("depth", F.lit(hops).cast("long"))
+            weighted.join(frontier.select(F.col("node").alias("src"), "depth"), "src")
+            .groupBy(F.col("dst").alias("node"))
+            .agg(F.min(F.col("depth") + F.col("hops")).alias("depth"))
         )
-        frontier = materialise(step, "hops")
-        seen = seen.unionByName(frontier)
-    return seen
+        known = _nearest(parts).select("node", F.col("depth").alias("before"))
+        step = step.join(known, "node", "left").where("before IS NULL OR depth < before").select("node", "depth")
+        frontier = materialise(step.where(F.col("depth") <= most) if most else step, "hops")
+        parts.append(frontier)
+        if len(parts) > FOLD:
+            parts = [materialise(_nearest(parts), "hops")]
+    near = materialise(_nearest(parts), "hops")
+    inside = cut.join(near.select(F.col("node").alias("first"), F.col("depth").alias("d")), "first")
+    inside = inside.select("node", (F.col("d") + F.col("steps")).alias("depth"))
+    return near.unionByName(inside.where(F.col("depth") <= most) if most else inside)
+
+
+def _nearest(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("node").agg(F.min("depth").alias("depth")) if len(parts) > 1 else out
 
 
 def reachable(edges: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
@@ -113,13 +193,10 @@ def reachable(edges: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFra
     return hop_distance(edges, roots, small=small).where("depth IS NOT NULL").select("node")
 
 
-def strong_components(edges: DataFrame, small: int = SMALL, max_rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, scc) for every node; scc is the least node of its component."""
     links = materialise(plain(edges), "scc-edges")
-    if is_small(links, small):
-        found = _tarjan_in_one_task(links)
-    else:
-        found = _colour_by_rounds(links, max_rounds)
+    found = _tarjan_in_one_task(links) if is_small(links, small) else _components_by_rounds(links, small)
     return endpoints(edges).join(found, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
 
 
@@ -168,15 +245,56 @@ def _tarjan_in_one_task(links: DataFrame) -> DataFrame:
     return _one_task([links.select(F.col("src").alias("a"), F.col("dst").alias("b"))], solve, schema)
 
 
-def _colour_by_rounds(links: DataFrame, max_rounds: int) -> DataFrame:
-    """Trim nodes on no cycle, spread the least id forward, and collect each root's component backward."""
+def _components_by_rounds(links: DataFrame, small: int) -> DataFrame:
+    """Cut away what is on no cycle and chains, by turns; solve the rest in one task as soon as it is small,
+    else by colours; then give chains back to the components at their ends."""
+    rest, cuts, found = links, [], []
+    before = -1
+    while (now := rest.count()) != before:
+        before = now
+        nothing = rest.select(F.col("src").alias("node")).limit(0)
+        cut = chains(rest, nothing)
+        found.append(cut.where("low IS NOT NULL").select("node", F.col("low").alias("scc")))
+        open_ = cut.where("low IS NULL")
+        cuts.append(open_.select("node", "first", "last"))
+        heads = open_.where("steps = 1").select(F.col("first").alias("src"), F.col("last").alias("dst"))
+        # a chain that leads back to where it began is that node's own, and no edge is left of it
+        rest = _without(rest, cut).unionByName(heads.where("src <> dst")).distinct()
+        inner = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        inner = inner.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        rest = materialise(inner.select("src", "dst"), "scc")
+    if before:
+        found.append(_tarjan_in_one_task(rest) if before <= small else _colour_by_rounds(rest))
+    out = materialise(_union(found), "scc")
+    for cut in reversed(cuts):
+        ends = cut.join(out.select(F.col("node").alias("first"), F.col("scc").alias("a")), "first", "left")
+        ends = ends.join(out.select(F.col("node").alias("last"), F.col("scc").alias("b")), "last", "left")
+        a, b = F.coalesce("a", "first"), F.coalesce("b", "last")  # a node without a component is its own
+        inside = ends.select("node", F.when(a == b, a).otherwise(F.col("node")).alias("scc"))
+        out = materialise(out.unionByName(inside), "scc")
+    return _least_named(out)
+
+
+def _least_named(found: DataFrame) -> DataFrame:
+    """``found`` (node, scc) with each component named by its least node; its name is a member, maybe one without a row."""
+    both = found.unionByName(found.select(F.col("scc").alias("node"), "scc"))
+    names = both.groupBy("scc").agg(F.min("node").alias("least"))
+    return both.join(names, "scc").select("node", F.col("least").alias("scc")).distinct()
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _colour_by_rounds(links: DataFrame) -> DataFrame:
+    """Spread the least id forward, and collect each root's component backward, until no edge is left."""
     found: list[DataFrame] = []
     rest = links
-    for _ in range(max_rounds):
-        rest = _trim(rest, max_rounds)
-        if rest.isEmpty():
-            break
-        colours = _spread(rest, max_rounds)
+    while not rest.isEmpty():
+        colours = _spread(rest)
         same = (
             rest.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src")
             .join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst")
@@ -187,49 +305,25 @@ def _colour_by_rounds(links: DataFrame, max_rounds: int) -> DataFrame:
         reached = _hops_by_rounds(materialise(same, "scc"), roots, 0).select("node")
         part = materialise(reached.join(colours, "node").select("node", F.col("colour").alias("scc")), "scc")
         found.append(part)
-        done = part.select("node")
-        rest = materialise(
-            rest.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(
-                done.withColumnRenamed("node", "dst"), "dst", "left_anti"
-            ),
-            "scc",
-        )
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    out = links.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
-    for part in found:
-        out = out.unionByName(part)
-    return out
+        if len(found) > FOLD:
+            found = [materialise(_union(found), "scc")]
+        rest = materialise(_without(rest, part), "scc")
+    return _union(found)
 
 
-def _trim(edges: DataFrame, max_rounds: int) -> DataFrame:
-    """Edges between nodes that still have edges in and out."""
-    before = edges.count()
-    for _ in range(max_rounds):
-        inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        inner = inner.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        edges = materialise(inner.select("src", "dst"), "scc")
-        after = edges.count()
-        if after == before:
-            return edges
-        before = after
-    raise RuntimeError(f"trimming did not settle in {max_rounds} rounds")
-
-
-def _spread(edges: DataFrame, max_rounds: int) -> DataFrame:
-    """(node, colour): the least node that leads to each node."""
-    colours = materialise(endpoints(edges).select("node", F.col("node").alias("colour")), "scc")
-    for _ in range(max_rounds):
+def _spread(edges: DataFrame) -> DataFrame:
+    """(node, colour): the least node that leads to each node. A round follows the nodes whose colour changed."""
+    colours = materialise(endpoints(edges).select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")), "scc")
+    while not colours.where("moved").isEmpty():
         offers = (
-            edges.join(colours.select(F.col("node").alias("src"), "colour"), "src")
+            edges.join(colours.where("moved").select(F.col("node").alias("src"), "colour"), "src")
             .groupBy(F.col("dst").alias("node"))
             .agg(F.min("colour").alias("offer"))
         )
         step = colours.join(offers, "node", "left").select(
-            "node", F.least("colour", "offer").alias("colour"), (F.col("offer") < F.col("colour")).alias("moved")
+            "node",
+            F.least("colour", "offer").alias("colour"),
+            F.coalesce(F.col("offer") < F.col("colour"), F.lit(False)).alias("moved"),
         )
-        step = materialise(step, "scc")
-        colours = step.select("node", "colour")
-        if step.where("moved").isEmpty():
-            return colours
-    raise RuntimeError(f"colours did not settle in {max_rounds} rounds")
+        colours = materialise(step, "scc")
+    return colours.select("node", "colour")
