@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depscope.functions import metrics
 from depscope.operators.graph import strong_components
+from depscope.scratch import materialise
 
 
 def cycle_members(edges: DataFrame, loops: bool = True, components: DataFrame | None = None) -> DataFrame:
@@ -32,29 +33,27 @@ def cycle_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def cycles(members: DataFrame, kind: str = "import") -> DataFrame:
-    """(scc, size, entities, cycle_type, severity, description)."""
-    grouped = members.groupBy("scc").agg(
-        F.max("size").alias("size"), F.sort_array(F.collect_list(F.col("node").cast("string"))).alias("entities")
-    )
+def cycles(members: DataFrame, kind: str = "import", entities: bool = True) -> DataFrame:
+    """(scc, size, entities, cycle_type, severity, description); without ``entities`` no list of members is
+    built, and a cycle of any size is one small row."""
+    listed = F.sort_array(F.collect_list(F.col("node").cast("string"))).alias("entities")
+    grouped = members.groupBy("scc").agg(F.max("size").alias("size"), *([listed] if entities else []))
     return grouped.select(
-        "scc",
-        "size",
-        "entities",
+        *grouped.columns,
         F.lit(kind).alias("cycle_type"),
         metrics.cycle_severity(kind, F.col("size")).alias("severity"),
         F.concat(F.lit(f"{kind} cycle of "), F.col("size").cast("string")).alias("description"),
     )
 
 
-def typed_cycles(edges: DataFrame, kinds: list[str]) -> DataFrame:
-    """Cycles among the edges of each type alone, united and without repeats."""
+def typed_cycles(edges: DataFrame, kinds: list[str], entities: bool = True) -> DataFrame:
+    """Cycles among the edges of each type alone, united; a type that is named twice counts once."""
     out = None
-    for kind in kinds:
+    for kind in dict.fromkeys(kinds):
         own = edges.where(F.col("relationship_type") == kind)
-        found = cycles(cycle_members(own), kind)
+        found = cycles(materialise(cycle_members(own), "cycle-members"), kind, entities)
         out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates(["entities", "cycle_type"])
+    return out
 
 
 def cycle_strength(inner: DataFrame) -> DataFrame:
@@ -66,11 +65,13 @@ def cycle_strength(inner: DataFrame) -> DataFrame:
     )
 
 
-def flag_entities(entities: DataFrame, found: DataFrame, key: str = "id") -> DataFrame:
-    """``entities`` with in_cycle and the greatest severity of the cycles they are in."""
-    spread = found.select(F.explode("entities").alias("__e"), "severity")
-    worst = spread.groupBy("__e").agg(F.max_by("severity", metrics.severity_rank(F.col("severity"))).alias("severity"))
-    joined = entities.join(worst, F.col(key).cast("string") == F.col("__e"), "left")
+def flag_entities(rows: DataFrame, members: DataFrame, key: str = "id", kind: str = "import") -> DataFrame:
+    """``rows`` with in_cycle and the greatest severity of the cycles of ``members`` (node, size) they are in."""
+    severity = metrics.cycle_severity(kind, F.col("size"))
+    worst = members.groupBy(F.col("node").cast("string").alias("__e")).agg(
+        F.max_by(severity, metrics.severity_rank(severity)).alias("severity")
+    )
+    joined = rows.join(worst, F.col(key).cast("string") == F.col("__e"), "left")
     return joined.withColumn("in_cycle", F.col("__e").isNotNull()).drop("__e")
 
 

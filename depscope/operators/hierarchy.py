@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depscope.operators.ranking import with_rank
+from depscope.scratch import materialise
+
 LEVELS = ("package", "module", "class", "method", "field")
 
 
 def graph_nodes(levels: dict[str, DataFrame]) -> DataFrame:
-    """One table from a frame (id, name, parent_id) for each kind."""
+    """One table from a frame (id, name, parent_id) for each kind; a node without an id is named by its
+    name, and without both by its kind and a number."""
     out = None
     for level, kind in enumerate(LEVELS):
         if kind in levels:
+            made = F.concat(F.lit(f"{kind}_"), F.monotonically_increasing_id().cast("string"))
             own = levels[kind].select(
-                F.coalesce("id", "name").alias("id"),
+                F.coalesce(F.col("id"), F.col("name"), made).alias("id"),
                 "name",
                 F.lit(level).alias("level"),
                 F.lit(kind).alias("kind"),
@@ -59,42 +64,51 @@ def tree_counts(nodes: DataFrame) -> DataFrame:
 
 
 def tree_search(nodes: DataFrame, query: str) -> DataFrame:
-    """Nodes whose name holds ``query`` whatever the case, and all their ancestors; matched says which."""
+    """(id, kind, matched) of the nodes whose name holds ``query`` whatever the case, and of all their ancestors.
+
+    Hits climb by one join a level with the levels above alone, so the lowest and largest level is
+    read once. A node's parent has a lower level than the node.
+    """
     matched = F.contains(F.lower("name"), F.lit(query.lower()))
-    chain = nodes.where(matched).select("id", F.col("parent_id").alias("a0"))
-    for k in range(len(LEVELS) - 2):  # one join up the tree for each level; hits are the small side
-        above = nodes.select(F.col("id").alias(f"a{k}"), F.col("parent_id").alias(f"a{k + 1}"))
-        chain = chain.join(above, f"a{k}", "left")
-    ends = F.array("id", *[f"a{k}" for k in range(len(LEVELS) - 1)])
-    shown = chain.select(F.explode(ends).alias("id")).where("id IS NOT NULL").distinct()
-    return nodes.join(shown, "id", "left_semi").select("id", "kind", matched.alias("matched"))
+    hits = nodes.where(matched).select("id", "kind", matched.alias("matched"), "parent_id")
+    out = hits
+    for level in range(len(LEVELS) - 2, -1, -1):
+        wanted = hits.select(F.col("parent_id").alias("id")).where("id IS NOT NULL").distinct()
+        above = nodes.where(F.col("level") <= level).join(wanted, "id", "left_semi")
+        hits = above.select("id", "kind", matched.alias("matched"), "parent_id")
+        out = out.unionByName(hits)
+    return out.select("id", "kind", "matched").distinct()
 
 
 def tree_order(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with position among their siblings: by level, then name, then id."""
-    own = Window.partitionBy("parent_id").orderBy("level", "name", "id")
+    """``nodes`` with position among their siblings: by level, then name whatever the case, then name and id."""
+    own = Window.partitionBy("parent_id").orderBy("level", F.lower("name"), "name", "id")
     return nodes.withColumn("position", F.row_number().over(own))
 
 
 def circle(nodes: DataFrame, order: Column, groups: int = 3, radius: float = 10.0) -> DataFrame:
-    """``nodes`` with x, y and z on a circle; its radius grows with the rank modulo ``groups``.
+    """``nodes`` with rank, x, y and z on a circle; its radius grows with the rank modulo ``groups``.
 
-    The rank is a window over all nodes, as a view's nodes are few; give it a page of them.
+    Ranks come from ranges of ``order``, so no task holds all nodes.
     """
-    rank = F.row_number().over(Window.orderBy(order)) - 1
-    angle = 2 * F.pi() * F.col("rank") / F.col("total")
-    ranked = nodes.withColumn("rank", rank).withColumn("total", F.count("*").over(Window.partitionBy()))
+    ranked, total = with_rank(nodes, [order])
+    angle = 2 * F.pi() * F.col("rank") / F.lit(max(1, total))
     far = radius * (1 + F.pmod("rank", F.lit(groups)))
     return ranked.withColumns(
         {"x": F.cos(angle) * far, "y": F.pmod("rank", F.lit(groups)).cast("double"), "z": F.sin(angle) * far}
-    ).drop("total")
+    )
 
 
 def dependency_matrix(edges: DataFrame, members: DataFrame, most: int = 10) -> DataFrame:
-    """(src, dst, n, relationship_type) for every pair of the ``most`` first members (node)."""
-    first = members.select("node").distinct().orderBy("node").limit(most)
-    cells = first.select(F.col("node").alias("src")).crossJoin(first.select(F.col("node").alias("dst")))
-    found = edges.groupBy("src", "dst").agg(
+    """(src, dst, n, relationship_type) for every pair of the ``most`` first members (node).
+
+    Only edges between those are counted; cells are ``most`` squared.
+    """
+    first = materialise(members.select("node").distinct().orderBy("node").limit(most), "matrix-members")
+    ends = [F.broadcast(first.select(F.col("node").alias(c))) for c in ("src", "dst")]
+    cells = ends[0].crossJoin(ends[1])
+    inner = edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi")
+    found = inner.groupBy("src", "dst").agg(
         F.count("*").alias("n"), F.min("relationship_type").alias("relationship_type")
     )
     return cells.join(found, ["src", "dst"], "left").select(
@@ -111,13 +125,23 @@ def matrix_summary(matrix: DataFrame) -> DataFrame:
 
 
 def in_out_panel(edges: DataFrame, shown: int = 2) -> DataFrame:
-    """(node, n_out, n_in, first_out, first_in): degrees, and the least ``shown`` names on each side."""
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("o"), F.lit(None).cast(edges.schema["src"].dataType).alias("i"))
-    both = both.unionByName(edges.select(F.col("dst").alias("node"), F.lit(None).cast(edges.schema["dst"].dataType).alias("o"), F.col("src").alias("i")))
+    """(node, n_out, n_in, first_out, first_in): degrees, and the least ``shown`` names on each side.
+
+    Edges are counted by pair before anything else, and of a side's pairs only ``shown`` are kept
+    by rank, so a node with many neighbours is never one list.
+    """
+    pairs = edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    sides = pairs.select(F.col("src").alias("node"), F.lit("out").alias("side"), F.col("dst").alias("other"), "n").unionByName(
+        pairs.select(F.col("dst").alias("node"), F.lit("in").alias("side"), F.col("src").alias("other"), "n")
+    )
+    totals = sides.groupBy("node").agg(
+        *[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(f"n_{s}") for s in ("out", "in")]
+    )
+    rank = F.row_number().over(Window.partitionBy("node", "side").orderBy("other"))
+    few = sides.withColumn("rank", rank).where(F.col("rank") <= shown)
 
     def firsts(side: str) -> Column:
-        return F.array_join(F.slice(F.sort_array(F.collect_set(side)), 1, shown).cast("array<string>"), ",")
+        own = F.collect_list(F.when(F.col("side") == side, F.col("other")))
+        return F.array_join(F.sort_array(own).cast("array<string>"), ",").alias(f"first_{side}")
 
-    return both.groupBy("node").agg(
-        F.count("o").alias("n_out"), F.count("i").alias("n_in"), firsts("o").alias("first_out"), firsts("i").alias("first_in")
-    )
+    return totals.join(few.groupBy("node").agg(firsts("out"), firsts("in")), "node")

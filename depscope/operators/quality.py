@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depscope.functions import metrics
+from depscope.scratch import materialise
 
 
 def class_quality(methods: DataFrame, coupling: DataFrame) -> DataFrame:
@@ -61,22 +62,45 @@ def overall(rows: DataFrame) -> DataFrame:
     )
 
 
+def field_usage(methods: DataFrame, fields: DataFrame) -> DataFrame:
+    """(class_id, method_id, field): which fields of its class each method's text names.
+
+    ``methods``: (class_id, id, body_text); ``fields``: (class_id, name). A method that names none has a
+    row with a null field, so that it counts among its class's methods.
+    """
+    own = fields.where("class_id IS NOT NULL AND name <> ''").groupBy("class_id").agg(F.collect_set("name").alias("names"))
+    met = methods.where("class_id IS NOT NULL").join(own, "class_id", "left")
+    used = F.filter("names", lambda n: F.contains(F.col("body_text"), n))
+    return met.select("class_id", F.col("id").alias("method_id"), F.explode_outer(used).alias("field"))
+
+
 def cohesion(usage: DataFrame) -> DataFrame:
-    """(class_id, n_methods, sharing, lcom, tcc) from distinct (class_id, method_id, field).
+    """(class_id, n_methods, sharing, lcom, tcc) from (class_id, method_id, field).
 
-    Pairs of methods that share a field are counted by joining usage on (class, field); all
-    pairs are n (n-1) / 2 and aren't made. Methods without a field must come with a null one.
+    Methods that use the same fields are taken together: pairs of methods that share a field are
+    those inside such a set, by its size, and those of two sets that share a field, by the product
+    of their sizes. So a field that all methods use costs one row for each different set, and all
+    n (n-1) / 2 pairs are never made. Methods without a field must come with a null one.
     """
-    used = usage.where("field IS NOT NULL").distinct()
-    a, b = used.alias("a"), used.alias("b")
-    sharing = (
-        a.join(b, (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.field") == F.col("b.field")))
-        .where("a.method_id < b.method_id")
-        .select("a.class_id", F.col("a.method_id").alias("m1"), F.col("b.method_id").alias("m2"))
-        .distinct()
-        .groupBy("class_id")
-        .agg(F.count("*").alias("sharing"))
+    used = usage.where("field IS NOT NULL")
+    sets = (
+        used.groupBy("class_id", "method_id")
+        .agg(F.sort_array(F.collect_set("field")).alias("fields"))
+        .groupBy("class_id", "fields")
+        .agg(F.count("*").alias("c"))
+    )
+    sets = materialise(sets, "cohesion")
+    inside = sets.select("class_id", (F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("n"))
+    spread = sets.select("class_id", "fields", "c", F.explode("fields").alias("field"))
+    other = spread.select("class_id", "field", F.col("fields").alias("fields2"), F.col("c").alias("c2"))
+    across = (
+        spread.join(other, ["class_id", "field"])
+        .where("fields < fields2")
+        .groupBy("class_id", "fields", "fields2")
+        .agg(F.min(F.col("c") * F.col("c2")).alias("n"))
+        .select("class_id", "n")
     )
+    sharing = inside.unionByName(across).groupBy("class_id").agg(F.sum("n").alias("sharing"))
     sizes = usage.groupBy("class_id").agg(
         F.count_distinct("method_id").alias("n_methods"), F.count_distinct("field").alias("n_fields")
     )

@@ -16,37 +16,48 @@ def merge_modules(left: DataFrame, right: DataFrame, key: str, columns: list[str
     )
 
 
-def resolve_targets(names: DataFrame, nodes: DataFrame, contains_limit: int = 200_000) -> DataFrame:
+def _grams(ids: DataFrame, size: int) -> DataFrame:
+    """(id, g): the different runs of ``size`` characters of each id."""
+    places = F.sequence(F.lit(1), F.greatest(F.length("id") - size + 1, F.lit(1)))
+    runs = F.transform(places, lambda k: F.substring(F.col("id"), k, F.lit(size)))
+    return ids.select("id", F.explode(F.array_distinct(runs)).alias("g"))
+
+
+def _containing(names: DataFrame, ids: DataFrame) -> DataFrame:
+    """(name, id): the least id that contains each name, for names that some id contains.
+
+    A name of up to three characters is a run of an id, so the least id of each run answers it. A
+    longer one meets the ids that have its rarest run of three, and no others.
+    """
+    found = None
+    for size in (1, 2, 3):
+        least = _grams(ids, size).groupBy(F.col("g").alias("name")).agg(F.min("id").alias("id"))
+        own = names.where(F.length("name") == size).join(least, "name").select("name", "id")
+        found = own if found is None else found.unionByName(own)
+    runs = _grams(ids, 3)
+    often = runs.groupBy("g").agg(F.count("*").alias("n"))
+    long = names.where(F.length("name") > 3).select(F.col("name").alias("id"))
+    asked = _grams(long, 3).withColumnRenamed("id", "name").join(often, "g", "left")
+    rarest = asked.groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r"))
+    met = rarest.where("r.n > 0").select("name", F.col("r.g").alias("g")).join(runs, "g")
+    met = met.where(F.contains(F.col("id"), F.col("name"))).groupBy("name").agg(F.min("id").alias("id"))
+    return found.unionByName(met)
+
+
+def resolve_targets(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, id, how): each name's node; exact name, then an id that ends in ``:name``, then the
     least id that contains the name, else ``mod:name``.
 
-    The first two are equi-joins. Only names that they leave open are compared with all ids,
-    against a broadcast of at most ``contains_limit`` nodes; over that, by trigrams of the name,
-    and names shorter than that by the least id of each pair of characters and each character.
+    All three are equi-joins, so no name is compared with all ids, at any size.
     """
     wanted = names.select("name").where("name IS NOT NULL").distinct()
     exact = wanted.join(nodes.select("name", "id"), "name").groupBy("name").agg(F.min("id").alias("id"))
     open1 = wanted.join(exact.select("name"), "name", "left_anti")
     tails = nodes.select(F.substring_index("id", ":", -1).alias("name"), "id")
     suffix = open1.join(tails, "name").groupBy("name").agg(F.min("id").alias("id"))
-    open2 = open1.join(suffix.select("name"), "name", "left_anti").where("name <> ''")
-    ids = nodes.select("id").distinct()
-    if ids.limit(contains_limit + 1).count() <= contains_limit:
-        met = open2.join(F.broadcast(ids), F.contains(F.col("id"), F.col("name")))
-    else:
-        def spread(size: int) -> DataFrame:
-            places = F.sequence(F.lit(1), F.greatest(F.length("id") - size + 1, F.lit(1)))
-            grams = F.transform(places, lambda k: F.substring(F.col("id"), k, F.lit(size)))
-            return ids.select("id", F.explode(F.array_distinct(grams)).alias("g"))
-
-        long = open2.where(F.length("name") >= 3).withColumn("g", F.substring("name", 1, 3))
-        met = long.join(spread(3), "g").where(F.contains(F.col("id"), F.col("name"))).select("name", "id")
-        for size in (1, 2):
-            least = spread(size).groupBy("g").agg(F.min("id").alias("id"))
-            short = open2.where(F.length("name") == size)
-            met = met.unionByName(short.join(least, short["name"] == least["g"]).select("name", "id"))
-    inside = met.groupBy("name").agg(F.min("id").alias("id"))
-    rest = wanted.join(exact, "name", "left_anti").join(suffix, "name", "left_anti").join(inside, "name", "left_anti")
+    open2 = open1.join(suffix.select("name"), "name", "left_anti")
+    inside = _containing(open2, nodes.select("id").where("id IS NOT NULL").distinct())
+    rest = open2.join(inside, "name", "left_anti")
     parts = [
         exact.withColumn("how", F.lit("exact")),
         suffix.withColumn("how", F.lit("suffix")),
@@ -56,19 +67,20 @@ def resolve_targets(names: DataFrame, nodes: DataFrame, contains_limit: int = 20
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def longest_prefix_parent(children: DataFrame, parents: DataFrame, most: int = 255) -> DataFrame:
-    """(child, parent): the longest proper prefix of each child that is a parent's name.
+def longest_prefix_parent(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """(child, parent): the longest proper prefix of each child that is a parent's name, empty names aside.
 
-    A child's prefixes are joined by equality, so nothing is compared pair by pair; prefixes
-    longer than the longest parent name, ``most`` at most, aren't made.
+    A child's prefixes of the lengths that parents have are joined by equality, so nothing is
+    compared pair by pair. Those lengths are one array of different numbers.
     """
-    longest = F.least(F.length("child") - 1, F.lit(most))
-    prefixes = children.select("child").distinct().where(F.length("child") > 1).select(
-        "child", F.explode(F.sequence(F.lit(1), longest)).alias("n")
+    known = parents.select("parent").where("parent <> ''").distinct()
+    lengths = known.agg(F.sort_array(F.collect_set(F.length("parent"))).alias("n")).scalar()
+    wanted = children.select("child").distinct()
+    prefixes = wanted.withColumn("lengths", lengths).select(
+        "child", F.explode(F.expr("filter(lengths, n -> n < length(child))")).alias("n")
     ).select("child", "n", F.expr("substring(child, 1, n)").alias("parent"))
-    met = prefixes.join(parents.select("parent").distinct(), "parent")
-    best = met.groupBy("child").agg(F.max_by("parent", "n").alias("parent"))
-    return children.select("child").distinct().join(best, "child", "left").select("child", "parent")
+    best = prefixes.join(known, "parent").groupBy("child").agg(F.max_by("parent", "n").alias("parent"))
+    return wanted.join(best, "child", "left").select("child", "parent")
 
 
 def known_edges(imports: DataFrame, nodes: DataFrame) -> DataFrame:

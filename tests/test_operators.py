@@ -1,22 +1,26 @@
 """Edge cases of the relational operators."""
 
+import random
+from itertools import combinations
+
 from depscope.operators import hierarchy, incremental, paging, quality, resolve
 
 
 def test_resolution_order(spark):
     nodes = spark.createDataFrame([("mod:a.b", "a.b"), ("cls:mod:x:Thing", "other"), ("mod:long.name", "long.name")], "id string, name string")
     names = spark.createDataFrame([("a.b",), ("Thing",), ("ong.na",), ("none",), (None,), ("",)], "name string")
-    for limit in (100, 0):
-        got = {r["name"]: (r["id"], r["how"]) for r in resolve.resolve_targets(names, nodes, limit).collect()}
-        assert got["a.b"] == ("mod:a.b", "exact") and got["Thing"] == ("cls:mod:x:Thing", "suffix")
-        assert got["ong.na"] == ("mod:long.name", "contains") and got["none"] == ("mod:none", "new")
+    got = {r["name"]: (r["id"], r["how"]) for r in resolve.resolve_targets(names, nodes).collect()}
+    assert got["a.b"] == ("mod:a.b", "exact") and got["Thing"] == ("cls:mod:x:Thing", "suffix")
+    assert got["ong.na"] == ("mod:long.name", "contains") and got["none"] == ("mod:none", "new")
 
 
 def test_prefix_parent(spark):
-    children = spark.createDataFrame([("a.b.c",), ("a",), ("z",)], "child string")
-    parents = spark.createDataFrame([("a",), ("a.b",), ("a.b.c",)], "parent string")
+    long = "x" * 300
+    children = spark.createDataFrame([("a.b.c",), ("a",), ("z",), (long + "y",), (None,), ("",)], "child string")
+    parents = spark.createDataFrame([("a",), ("a.b",), ("a.b.c",), (long,), (None,), ("",)], "parent string")
     got = dict(map(tuple, resolve.longest_prefix_parent(children, parents).collect()))
-    assert got == {"a.b.c": "a.b", "a": None, "z": None}
+    assert got == {"a.b.c": "a.b", "a": None, "z": None, long + "y": long, None: None, "": None}
+    assert resolve.longest_prefix_parent(children, parents.limit(0)).where("parent IS NOT NULL").count() == 0
 
 
 def test_cohesion(spark):
@@ -25,6 +29,40 @@ def test_cohesion(spark):
     assert got == {"c": (1, 1.0, 2 / 3), "d": (0, 0.0, 0.0)}
 
 
+def test_cohesion_counts_pairs(spark):
+    pick = random.Random(4)
+    rows = [(f"c{k % 3}", f"m{k}", pick.choice(["f", "g", "h", None])) for k in range(40) for _ in range(3)]
+    usage = spark.createDataFrame(rows, "class_id string, method_id string, field string")
+    fields = {}
+    for c, m, f in rows:
+        fields.setdefault(c, {}).setdefault(m, set()).update({f} - {None})
+    want = {c: sum(bool(a & b) for a, b in combinations(own.values(), 2)) for c, own in fields.items()}
+    assert {r["class_id"]: r["sharing"] for r in quality.cohesion(usage).collect()} == want
+
+
+def test_field_usage(spark):
+    methods = spark.createDataFrame([("c", "m1", "self.size + 1"), ("c", "m2", "pass"), (None, "f", "size"), ("d", "m", None)], "class_id string, id string, body_text string")
+    fields = spark.createDataFrame([("c", "size"), ("c", "name"), ("d", "x"), (None, "q")], "class_id string, name string")
+    got = {tuple(r) for r in quality.field_usage(methods, fields).collect()}
+    assert got == {("c", "m1", "size"), ("c", "m2", None), ("d", "m", None)}
+
+
+def test_panel_matrix_and_circle(spark):
+    edges = spark.createDataFrame([("a", "c"), ("a", "b"), ("a", "b"), ("a", "d"), ("b", "a"), (None, "a")], "src string, dst string")
+    got = {r["node"]: tuple(r)[1:] for r in hierarchy.in_out_panel(edges).collect()}
+    assert got == {"a": (4, 1, "b,c", "b"), "b": (1, 2, "a", "a"), "c": (0, 1, "", "a"), "d": (0, 1, "", "a")}
+    nodes = spark.createDataFrame([(k,) for k in range(50)], "id long")
+    assert [(r["rank"], r["id"]) for r in hierarchy.circle(nodes, nodes["id"]).orderBy("id").collect()] == [(k, k) for k in range(50)]
+    assert hierarchy.circle(nodes.limit(0), nodes["id"]).count() == 0
+
+
+def test_tree_search_climbs(spark):
+    rows = [("p", "Root", 0, "package", None), ("m", "mid", 1, "module", "p"), ("f", "Needle", 3, "method", "m"), ("x", "needle", 4, "field", "gone"), ("q", "other", 0, "package", None)]
+    nodes = spark.createDataFrame(rows, "id string, name string, level int, kind string, parent_id string")
+    got = {r["id"]: r["matched"] for r in hierarchy.tree_search(nodes, "NEEDLE").collect()}
+    assert got == {"p": False, "m": False, "f": True, "x": True}
+
+
 def test_incremental(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, fingerprint string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, fingerprint string")
