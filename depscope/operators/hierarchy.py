@@ -39,6 +39,11 @@ def orphans(nodes: DataFrame) -> DataFrame:
     return nodes.join(ids, "parent_id", "left_anti")
 
 
+def childless(nodes: DataFrame, children: DataFrame) -> DataFrame:
+    """Nodes that none of ``children`` (parent_id) names as its parent."""
+    return nodes.join(children.select(F.col("parent_id").alias("id")), "id", "left_anti")
+
+
 def super_nodes(nodes: DataFrame, level: int, least: int = 2) -> DataFrame:
     """Groups below ``level``: (level, parent_id, n_children), from ``least`` children up."""
     return (

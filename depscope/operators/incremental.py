@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,9 +49,19 @@ def merge(old: DataFrame, fresh: DataFrame, actions: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
+def _key_text(path: str, options: dict) -> str:
+    return json.dumps({"path": path, "options": options}, sort_keys=True, ensure_ascii=False, default=str)
+
+
 def cache_key(path: str, options: dict) -> str:
-    text = json.dumps({"path": path, "options": options}, sort_keys=True)
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
+    return hashlib.sha256(_key_text(path, options).encode()).hexdigest()[:16]
+
+
+def cache_keys(path: Column, options: dict) -> Column:
+    """``cache_key`` of a column of paths; a null path has none."""
+    head, tail = _key_text("\0", options).rsplit('"\\u0000"', 1)
+    quoted = F.regexp_extract(F.to_json(F.struct(path.alias("p"))), r'(?s)^\{"p":(.*)\}$', 1)
+    return F.when(path.isNotNull(), F.substring(F.sha2(F.concat(F.lit(head), quoted, F.lit(tail)), 256), 1, 16))
 
 
 def expired(entries: DataFrame, created: str, now, days: int = 7) -> DataFrame:

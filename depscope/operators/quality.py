@@ -49,6 +49,19 @@ def module_rollup(classes: DataFrame) -> DataFrame:
     )
 
 
+def complexity_map(methods: DataFrame) -> DataFrame:
+    """(id, complexity) of the methods whose complexity isn't 0."""
+    return methods.where("complexity <> 0").select("id", "complexity")
+
+
+#: What a class without figures counts as.
+DEFAULTS = {"complexity": 2, "lines": 15, "maintainability": 75.0, "debt": 0.1}
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    return rows.fillna(DEFAULTS)
+
+
 def grade_distribution(rows: DataFrame) -> DataFrame:
     return rows.groupBy("grade").agg(F.count("*").alias("n"))
 

@@ -15,6 +15,7 @@ from depscope.operators import paging as pg
 from depscope.operators import resolve as rs
 from depscope.plans import adapters as ad
 from depscope.plans.registry import query
+from depscope.sources import files
 from depscope.sources.tables import read_table
 
 
@@ -28,15 +29,16 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return ad.levels(spark, d)
 
 
-@query(f"WITH {ad.LEVELS} SELECT id, kind FROM n WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM n)")
+@query(f"WITH {ad.LEVELS} SELECT n.id, n.kind FROM n LEFT JOIN (SELECT DISTINCT id FROM n) p ON p.id = n.parent_id WHERE p.id IS NULL")
 def orphans(spark: SparkSession, d: str) -> DataFrame:
     return hi.orphans(ad.levels(spark, d)).select("id", "kind")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT documents.doc_id AS id FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = documents.doc_id WHERE l.doc_id IS NULL")
 def childless(spark: SparkSession, d: str) -> DataFrame:
-    orders = read_table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return read_table(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
+    """Documents stand for containers, labels for what is in them."""
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    return hi.childless(docs, read_table(spark, d, "labels").select(F.col("doc_id").alias("parent_id"))).select("id")
 
 
 @query(f"WITH {ad.LEVELS} SELECT level, parent_id, count(*) AS n_children FROM n WHERE level > 1 GROUP BY level, parent_id HAVING count(*) > 1")
@@ -67,7 +69,7 @@ def visible_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {ad.LEVELS}, s AS (SELECT id FROM n WHERE level <= 1 OR parent_id IN {OPENED})
-    SELECT id AS src, parent_id AS dst FROM n WHERE id IN (SELECT id FROM s) AND parent_id IN (SELECT id FROM s)"""
+    SELECT n.id AS src, n.parent_id AS dst FROM n JOIN s a ON a.id = n.id JOIN s b ON b.id = n.parent_id"""
 )
 def visible_edges(spark: SparkSession, d: str) -> DataFrame:
     edges = ad.levels(spark, d).select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
@@ -94,11 +96,10 @@ def tree_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ad.LEVELS} SELECT id, row_number() OVER (PARTITION BY parent_id ORDER BY level, name, id) AS position
-    FROM n WHERE level < 3"""
+    f"""WITH {ad.LEVELS} SELECT id, row_number() OVER (PARTITION BY parent_id ORDER BY level, lower(name), name, id) AS position FROM n"""
 )
 def tree_sort(spark: SparkSession, d: str) -> DataFrame:
-    return hi.tree_order(ad.levels(spark, d).where("level < 3")).select("id", F.col("position").cast("long").alias("position"))
+    return hi.tree_order(ad.levels(spark, d)).select("id", F.col("position").cast("long").alias("position"))
 
 
 @query(
@@ -193,13 +194,15 @@ def size_tiers(spark: SparkSession, d: str) -> DataFrame:
     return sums.withColumn("tier", metrics.size_tier(F.col("files")))
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 5000")
+@query("SELECT doc_id AS path, n_chars AS length FROM documents WHERE n_chars <= 5000")
 def large_file_skip(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").where("n_chars <= 5000").select("doc_id", "n_chars")
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("length"))
+    return files.small_enough(docs, 5000)
 
 
-OLD_NEW = """o AS (SELECT doc_id AS path, md5(text) AS a FROM documents WHERE doc_id % 5 <> 0),
-nw AS (SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN md5(text || 'x') ELSE md5(text) END AS b FROM documents WHERE doc_id % 3 <> 0),
+OLD_NEW = """o AS (SELECT doc_id AS path, md5(CAST(quality AS VARCHAR)) AS a FROM labels
+  UNION ALL SELECT DISTINCT -1 - conv_id, md5('gone') FROM conversations),
+nw AS (SELECT doc_id AS path, md5(CASE WHEN n_chars > 400 THEN '1' ELSE '0' END) AS b FROM documents),
 s AS (SELECT coalesce(o.path, nw.path) AS path, CASE WHEN a IS NULL THEN 'new' WHEN b IS NULL THEN 'deleted'
   WHEN a <> b THEN 'modified' ELSE 'same' END AS status FROM o FULL JOIN nw ON o.path = nw.path)"""
 PLAN = """dep AS (SELECT path - 1 AS path FROM s WHERE status <> 'same'),
@@ -208,10 +211,12 @@ p AS (SELECT path, CASE WHEN status = 'deleted' THEN 'drop' WHEN status <> 'same
 
 
 def _status(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
-    changed = F.when(F.col("path") % 7 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(F.md5("text"))
-    old = docs.where("path % 5 <> 0").select("path", F.md5("text").alias("fingerprint"))
-    return inc.compare(old, docs.where("path % 3 <> 0").select("path", changed.alias("fingerprint")))
+    """Labels and conversations stand for the files of an older run, documents for those of today."""
+    old = read_table(spark, d, "labels").select(F.col("doc_id").alias("path"), F.md5(F.col("quality").cast("string")).alias("fingerprint"))
+    gone = read_table(spark, d, "conversations").select((-1 - F.col("conv_id")).alias("path")).distinct()
+    now = F.when(F.col("n_chars") > 400, "1").otherwise("0")
+    new = read_table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.md5(now).alias("fingerprint"))
+    return inc.compare(old.unionByName(gone.withColumn("fingerprint", F.md5(F.lit("gone")))), new)
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
@@ -241,17 +246,15 @@ def incremental_merge(spark: SparkSession, d: str) -> DataFrame:
     return inc.merge(docs.withColumn("origin", F.lit("old")), fresh, actions)
 
 
-@query("SELECT doc_id, md5(text) AS md5, sha256(text)[1:16] AS sha FROM documents")
+@query("SELECT doc_id AS path, md5(text) AS fingerprint FROM documents")
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents")
-    return docs.select("doc_id", F.md5("text").alias("md5"), F.substring(F.sha2("text", 256), 1, 16).alias("sha"))
+    return files.manifest(read_table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.encode("text", "utf-8").alias("content")))
 
 
 @query("SELECT source, sha256('{\"options\": {\"depth\": 0}, \"path\": \"' || source || '\"}')[1:16] AS cache_key FROM (SELECT DISTINCT source FROM documents)")
 def cache_key(spark: SparkSession, d: str) -> DataFrame:
     sources = read_table(spark, d, "documents").select("source").distinct()
-    text = F.concat(F.lit('{"options": {"depth": 0}, "path": "'), "source", F.lit('"}'))
-    return sources.select("source", F.substring(F.sha2(text, 256), 1, 16).alias("cache_key"))
+    return sources.select("source", inc.cache_keys(F.col("source"), {"depth": 0}).alias("cache_key"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate + INTERVAL 7 DAY < TIMESTAMP '1995-06-01 00:00:00'")
@@ -317,17 +320,17 @@ def self_package_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT l_partkey AS k, count(*) AS n, min(l_linestatus) AS tag FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY l_partkey),
-    p AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS n, p_type AS tag FROM part WHERE p_partkey % 2 = 0)
-    SELECT coalesce(l.k, p.k) AS k, coalesce(l.n, p.n) AS n, coalesce(l.tag, p.tag) AS tag,
-    CASE WHEN l.k IS NOT NULL AND p.k IS NOT NULL THEN 'both' WHEN l.k IS NOT NULL THEN 'right' ELSE 'left' END AS origin
-    FROM p FULL JOIN l ON l.k = p.k"""
+    """WITH r AS (SELECT conv_id AS k, count(*) AS n, min(role) AS tag FROM conversations GROUP BY conv_id),
+    l AS (SELECT doc_id AS k, CAST(quality AS BIGINT) AS n, CASE WHEN toxic = 0 THEN 'clean' END AS tag FROM labels)
+    SELECT coalesce(r.k, l.k) AS k, coalesce(r.n, l.n) AS n, coalesce(r.tag, l.tag) AS tag,
+    CASE WHEN r.k IS NOT NULL AND l.k IS NOT NULL THEN 'both' WHEN r.k IS NOT NULL THEN 'right' ELSE 'left' END AS origin
+    FROM l FULL JOIN r ON r.k = l.k"""
 )
 def merge_modules(spark: SparkSession, d: str) -> DataFrame:
-    parts = read_table(spark, d, "part").where("p_partkey % 2 = 0")
-    lines = read_table(spark, d, "lineitem").where("l_partkey % 3 = 0")
-    left = parts.select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("n"), F.col("p_type").alias("tag"))
-    right = lines.groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("n"), F.min("l_linestatus").alias("tag"))
+    """Labels and conversations stand for two detectors' modules."""
+    labels, turns = read_table(spark, d, "labels"), read_table(spark, d, "conversations")
+    left = labels.select(F.col("doc_id").alias("k"), F.col("quality").cast("long").alias("n"), F.when(F.col("toxic") == 0, "clean").alias("tag"))
+    right = turns.groupBy(F.col("conv_id").alias("k")).agg(F.count("*").alias("n"), F.min("role").alias("tag"))
     return rs.merge_modules(left, right, "k", ["n", "tag"])
 
 
@@ -355,11 +358,11 @@ def reserved_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_linenumber))) AS a FROM lineitem WHERE l_quantity > 45 GROUP BY l_suppkey)
+    """WITH s AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_linenumber))) AS a FROM lineitem GROUP BY l_suppkey)
     SELECT x.k AS a, y.k AS b, CAST(len(list_intersect(x.a, y.a)) AS INT) AS shared FROM s x JOIN s y ON y.k = x.k + 1"""
 )
 def shared_sets(spark: SparkSession, d: str) -> DataFrame:
-    lines = read_table(spark, d, "lineitem").where("l_quantity > 45")
+    lines = read_table(spark, d, "lineitem")
     sets = lines.groupBy(F.col("l_suppkey").alias("a")).agg(F.collect_set("l_linenumber").alias("x"))
     after = sets.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y"))
     return sets.join(after, "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"))

@@ -107,7 +107,7 @@ def class_to_module_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH u AS (SELECT DISTINCT l_suppkey AS class_id, l_orderkey AS method_id, CASE WHEN l_linenumber > 2 THEN NULL ELSE p_brand END AS field
-      FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40),
+      FROM lineitem JOIN part ON p_partkey = l_partkey),
     z AS (SELECT class_id, count(DISTINCT method_id) AS n_methods, count(DISTINCT field) AS n_fields FROM u GROUP BY class_id),
     s AS (SELECT class_id, count(*) AS sharing FROM (SELECT DISTINCT a.class_id, a.method_id, b.method_id FROM u a JOIN u b
       ON a.class_id = b.class_id AND a.field = b.field AND a.method_id < b.method_id) GROUP BY class_id),
@@ -118,7 +118,7 @@ def class_to_module_rollup(spark: SparkSession, d: str) -> DataFrame:
     round(CASE WHEN pairs > 0 THEN greatest(0.0, pairs - lcom) / pairs ELSE 0.0 END, 6) AS tcc FROM l"""
 )
 def lcom_tcc(spark: SparkSession, d: str) -> DataFrame:
-    lines = read_table(spark, d, "lineitem").where("l_quantity > 40")
+    lines = read_table(spark, d, "lineitem")
     parts = read_table(spark, d, "part").select("p_partkey", "p_brand")
     usage = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").alias("class_id"),
@@ -150,10 +150,10 @@ def line_metrics(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", physical.alias("physical"), logical.alias("logical"))
 
 
-@query("SELECT l_orderkey AS method_id, count(*) AS complexity FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey HAVING count(*) <> 0")
+@query("SELECT l_orderkey AS id, count(*) FILTER (l_returnflag = 'R') AS complexity FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_returnflag = 'R') <> 0")
 def method_complexity(spark: SparkSession, d: str) -> DataFrame:
-    lines = read_table(spark, d, "lineitem").where("l_returnflag = 'R'")
-    return lines.groupBy(F.col("l_orderkey").alias("method_id")).agg(F.count("*").alias("complexity")).where("complexity <> 0")
+    lines = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"))
+    return qu.complexity_map(lines.agg(F.count_if(F.col("l_returnflag") == "R").alias("complexity")))
 
 
 @query(
@@ -164,8 +164,7 @@ def method_complexity(spark: SparkSession, d: str) -> DataFrame:
 def default_metrics(spark: SparkSession, d: str) -> DataFrame:
     customers = read_table(spark, d, "customer").select(F.col("c_custkey").alias("class_id"))
     known = customers.join(_classes(spark, d), "class_id", "left")
-    filled = known.fillna({"complexity": 2, "lines": 15, "maintainability": 75.0, "debt": 0.1})
-    return filled.select("class_id", "complexity", "lines", F.round("maintainability", 6).alias("maintainability"), F.round("debt", 6).alias("debt"))
+    return qu.with_defaults(known).select("class_id", "complexity", "lines", F.round("maintainability", 6).alias("maintainability"), F.round("debt", 6).alias("debt"))
 
 
 @query(

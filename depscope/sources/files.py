@@ -70,6 +70,11 @@ def passed_over(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return names.mapInArrow(read, "path string, modified timestamp, length long, content binary")
 
 
+def small_enough(files: DataFrame, most_bytes: int = 0) -> DataFrame:
+    """``files`` (length) of at most ``most_bytes``; 0 keeps all."""
+    return files.where(F.col("length") <= most_bytes) if most_bytes else files
+
+
 def project_size(files: DataFrame) -> DataFrame:
     """One row: files, bytes, large_files, tier, estimated_mb. Content isn't read."""
     return files.agg(

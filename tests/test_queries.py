@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from depscope.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
 
 
 @pytest.fixture(scope="module")
