@@ -43,6 +43,12 @@ def needs_full_run(status: DataFrame, most: float = 0.7) -> bool:
     return n > 0 and changed / n > most
 
 
+def too_many(actions: DataFrame, most: float = 0.7) -> bool:
+    """Whether over ``most`` of the files that aren't dropped are to be analysed."""
+    n, again = actions.where("action <> 'drop'").agg(F.count("*"), F.count_if(F.col("action") == "analyse")).first()
+    return n > 0 and again / n > most
+
+
 def merge(old: DataFrame, fresh: DataFrame, actions: DataFrame) -> DataFrame:
     """Old rows of reused files, and the fresh rows; both have path."""
     kept = old.join(actions.where("action = 'reuse'").select("path"), "path", "left_semi")

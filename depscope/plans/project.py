@@ -6,22 +6,25 @@ import sys
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depscope.functions import ids, names
-from depscope.operators import coupling, cycles, filters, graph, hierarchy, quality, resolve
+from depscope.operators import coupling, cycles, filters, graph, hierarchy, paging, quality, resolve
 from depscope.scratch import materialise
 from depscope.sources import files, python_ast, sinks
 
 
 @dataclass
 class Options:
-    """max_depth 0 is unlimited; only keeps names with one of the prefixes; truncate_to cuts module
-    names to so many parts."""
+    """max_depth 0 is unlimited and counts hops from a root that imports all modules; exclude_parts leaves out
+    paths that hold one of them; only keeps names with one of the prefixes; truncate_to cuts module names to
+    so many parts."""
 
     max_depth: int = 0
+    exclude_parts: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=lambda: list(files.EXCLUDE))
     exclude_exact: list[str] = field(default_factory=list)
     include_stdlib: bool = False
@@ -54,6 +57,12 @@ class AnalysisResult:
     def get_entity_relationships(self, entity: str) -> DataFrame:
         return self.tables["edges"].where((F.col("from_entity") == entity) | (F.col("to_entity") == entity))
 
+    def search(self, query: str, kind: str | None = None) -> DataFrame:
+        """Modules, classes and methods whose name holds ``query``, with in_cycle and severity."""
+        found = paging.search(self.tables["nodes"], query, kind).where("kind IN ('module', 'class', 'method')")
+        members = self.tables["cycle_members"].withColumn("node", F.concat(F.lit("mod:"), "node"))
+        return cycles.flag_entities(found, members)
+
     def to_json(self) -> dict[str, DataFrame]:
         return {name: sinks.as_json(frame) for name, frame in self.tables.items()}
 
@@ -87,27 +96,68 @@ def import_edges(parsed: DataFrame, options: Options) -> DataFrame:
     loud = degrees.where(~filters.not_noise(options.noise_level)).select(F.col("entity").alias("node"))
     edges = filters.drop_edges(edges, loud)
     if options.max_depth:
-        roots = edges.select(F.col("src").alias("node")).join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
-        near = graph.hop_distance(edges, roots.distinct(), options.max_depth).where("depth IS NOT NULL")
+        near = hops(parsed, edges, options.max_depth).where("depth IS NOT NULL")
         edges = filters.keep_edges(edges, near)
     return edges
 
 
-def analyze_project(
-    spark: SparkSession, root: str, options: Options | None = None, progress: Callable[[dict], None] | None = None
-) -> AnalysisResult:
-    """Tables: modules, classes, methods, fields, imports, edges, import_edges, nodes, cycles, coupling,
-    class_quality, run. ``progress`` is called at each stage."""
-    options = options or Options()
+#: Fixed value: the name of the root that imports all modules of a project.
+ROOT = "__main__"
+
+
+def root_edges(parsed: DataFrame) -> DataFrame:
+    """(src, dst) from ROOT to each module with a legal name, but for those below a folder with a dot in front or
+    named ``migrations``."""
+    hidden = F.exists(F.split("path", "/"), lambda x: x.startswith(".") | (x == "migrations"))
+    legal = parsed.where(names.is_legal(F.col("module")) & ~hidden)
+    return legal.select(F.lit(ROOT).alias("src"), F.col("module").alias("dst")).distinct()
+
+
+def hops(parsed: DataFrame, edges: DataFrame, most: int = 0) -> DataFrame:
+    """(node, depth) of the modules: hops from ROOT, so a project that is one cycle has a beginning too."""
+    spark = parsed.sparkSession
+    return graph.hop_distance(edges.unionByName(root_edges(parsed)), spark.createDataFrame([(ROOT,)], "node string"), most)
+
+
+def discover(spark: SparkSession, root: str, options: Options) -> DataFrame:
+    """(path, modified, length) of the sources of a run; ValueError if there are none."""
+    root = files.checked_root(root)
+    found = files.without_parts(files.listing(spark, root, options.exclude), root, options.exclude_parts)
+    found = materialise(files.small_enough(found, options.max_file_bytes), "sources")
+    if found.isEmpty():
+        raise ValueError(f"no Python files found in project path: {root}")
+    return found
+
 
+def teller(progress: Callable[[dict], None] | None) -> Callable[[str, float], None]:
     def tell(stage: str, share: float) -> None:
         if progress:
             progress({"stage": stage, "progress": share})
 
+    return tell
+
+
+def analyze_project(
+    spark: SparkSession, root: str, options: Options | None = None, progress: Callable[[dict], None] | None = None
+) -> AnalysisResult:
+    """All tables of a run; see ``analysis``. ``progress`` is called at each stage."""
+    options, tell = options or Options(), teller(progress)
     tell("discover", 0.0)
-    found = files.source_files(spark, root, options.exclude, most_bytes=options.max_file_bytes)
+    found = discover(spark, root, options)
     tell("parse", 0.1)
-    parsed = materialise(python_ast.parse_files(found), "parsed")
+    parsed = materialise(python_ast.parse_files(files.with_content(found, root)), "parsed")
+    return analysis(parsed, found, root, options, parsed.count(), tell)
+
+
+def analysis(
+    parsed: DataFrame, found: DataFrame, root: str, options: Options, fresh: int, tell: Callable[[str, float], None]
+) -> AnalysisResult:
+    """Tables: modules, packages, classes, methods, fields, imports, edges, import_edges, nodes, cycles, cycle_members,
+    coupling, class_quality, cohesion, module_quality, grades, overall, hops, parsed, manifest, run.
+
+    ``parsed`` and the listing ``found`` are written tables; ``fresh`` is how many of its files were parsed now.
+    """
+    spark = parsed.sparkSession
     tell("graph", 0.6)
     imports = materialise(import_edges(parsed, options), "imports")
     tables = {n: python_ast.exploded(parsed, n) for n in ("imports", "classes", "methods", "fields", "edges")}
@@ -139,15 +189,27 @@ def analyze_project(
         }
     )
     tell("cycles", 0.8)
-    tables["cycles"] = cycles.cycles(cycles.cycle_members(imports))
+    tables["cycle_members"] = materialise(cycles.cycle_members(imports), "cycle-members")
+    tables["cycles"] = cycles.cycles(tables["cycle_members"])
+    tables["hops"] = hops(parsed, imports)
     tell("metrics", 0.9)
     ends = tables["edges"].select(F.col("from_entity").alias("src"), F.col("to_entity").alias("dst"))
     tables["coupling"] = coupling.coupling(ends)
     lines = F.size(F.filter(F.split("body_text", "\n"), lambda x: F.trim(x) != ""))
     per_class = tables["methods"].where("class_id IS NOT NULL").select("class_id", "complexity", lines.alias("lines"))
     tables["class_quality"] = quality.class_quality(per_class, tables["coupling"])
+    usage = quality.field_usage(tables["methods"], tables["fields"])
+    tables["cohesion"] = quality.cohesion(materialise(usage, "field-usage"))
+    owners = tables["classes"].select(F.col("id").alias("class_id"), "module_id").distinct()
+    everywhere = tables["modules"].select("module_id").distinct().join(owners, "module_id", "left")
+    tables["module_quality"] = quality.module_rollup(everywhere.join(tables["class_quality"], "class_id", "left"))
+    tables["grades"] = quality.grade_distribution(tables["class_quality"])
+    tables["overall"] = quality.overall(tables["class_quality"])
+    tables["parsed"] = parsed
+    tables["manifest"] = files.manifest(found, deep=False)
     tables["run"] = parsed.agg(F.count("*").alias("total_files"), F.count("parse_error").alias("errors")).select(
-        F.lit(uuid.uuid4().hex).alias("analysis_id"), F.lit(root).alias("path"), F.current_timestamp().alias("analyzed_at"), "*"
-    )
+        F.lit(uuid.uuid4().hex).alias("analysis_id"), F.lit(root).alias("path"), F.lit(datetime.now(UTC)).alias("analyzed_at"), "*",
+        F.lit(fresh).cast("long").alias("parsed_files"),
+    )
     tell("done", 1.0)
     return AnalysisResult(tables, options)

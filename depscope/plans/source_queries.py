@@ -44,7 +44,7 @@ NAMES = "c AS (SELECT 'mod:shop.m' || c_custkey AS m, c_custkey AS k FROM custom
 
 @query(f"WITH {NAMES} SELECT m AS module_id, 12 AS physical_lines, 12 AS logical_lines, CAST(NULL AS VARCHAR) AS parse_error FROM c")
 def ast_modules(spark: SparkSession, d: str) -> DataFrame:
-    return pa.parse_files(modules(spark, d)).select("module_id", "physical_lines", "logical_lines", "parse_error")
+    return pa.parse_files(modules(spark, d), []).select("module_id", "physical_lines", "logical_lines", "parse_error")
 
 
 @query(
@@ -52,12 +52,12 @@ def ast_modules(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT m, 'm' || (k + 1), 'run', 'go', 2 FROM c"""
 )
 def ast_imports(spark: SparkSession, d: str) -> DataFrame:
-    return pa.exploded(pa.parse_files(modules(spark, d)), "imports").select("module_id", "module", "name", "alias", "line")
+    return pa.exploded(pa.parse_files(modules(spark, d), ["imports"]), "imports").select("module_id", "module", "name", "alias", "line")
 
 
 @query(f"WITH {NAMES} SELECT 'cls:' || m || ':Order' AS id, 'Order' AS name, 5 AS line, 'Base' AS bases, false AS is_abstract FROM c")
 def ast_classes(spark: SparkSession, d: str) -> DataFrame:
-    found = pa.exploded(pa.parse_files(modules(spark, d)), "classes")
+    found = pa.exploded(pa.parse_files(modules(spark, d), ["classes"]), "classes")
     return found.select("id", "name", "line", F.array_join("bases", ",").alias("bases"), "is_abstract")
 
 
@@ -67,7 +67,7 @@ def ast_classes(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'meth:cls:' || m || ':Order:state:14', 3, 3, 1, 1, true, 'str', 'self:' FROM c"""
 )
 def ast_methods(spark: SparkSession, d: str) -> DataFrame:
-    found = pa.exploded(pa.parse_files(modules(spark, d)), "methods")
+    found = pa.exploded(pa.parse_files(modules(spark, d), ["methods"]), "methods")
     args = F.array_join(F.transform("args", lambda a: F.concat(a["name"], F.lit(":"), F.coalesce(a["annotation"], F.lit("")))), ";")
     return found.select("id", "complexity", "visitor_complexity", "cognitive", "nesting", "is_property", "return_annotation", args.alias("args"))
 
@@ -77,7 +77,7 @@ def ast_methods(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'field:cls:' || m || ':Order:key', NULL, 'key.strip()', false FROM c"""
 )
 def ast_fields(spark: SparkSession, d: str) -> DataFrame:
-    found = pa.exploded(pa.parse_files(modules(spark, d)), "fields")
+    found = pa.exploded(pa.parse_files(modules(spark, d), ["fields"]), "fields")
     return found.select("id", "type_annotation", "default_value", "is_class_variable")
 
 
@@ -87,7 +87,7 @@ def ast_fields(spark: SparkSession, d: str) -> DataFrame:
     SELECT m AS module_id, target AS to_entity, kind AS relationship_type, CAST(strength AS DOUBLE) AS strength, CAST(n AS BIGINT) AS n FROM c, t"""
 )
 def ast_edges(spark: SparkSession, d: str) -> DataFrame:
-    found = pa.exploded(pa.parse_files(modules(spark, d)), "edges")
+    found = pa.exploded(pa.parse_files(modules(spark, d), ["edges"]), "edges")
     return found.groupBy("module_id", "to_entity", "relationship_type", "strength").agg(F.count("*").alias("n"))
 
 

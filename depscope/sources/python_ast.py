@@ -1,12 +1,14 @@
 """Python source text to entities and edges: the one step that needs Python.
 
 ``parse_files`` maps files to one row each with nested arrays; the tables come from exploding
-those. A file that doesn't parse keeps its row, with parse_error set.
+those. Only the arrays that are asked for are made. A file that doesn't parse keeps its row, with
+parse_error set; one without content reads as empty.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,10 +46,8 @@ FIELDS = (
     "is_class_variable:boolean>>"
 )
 EDGES = "array<struct<from_entity:string,to_entity:string,relationship_type:string,line:int,strength:double>>"
-SCHEMA = (
-    f"path string, module_id string, module string, docstring string, physical_lines int, logical_lines int, "
-    f"imports {IMPORTS}, classes {CLASSES}, methods {METHODS}, fields {FIELDS}, edges {EDGES}, parse_error string"
-)
+NESTED = {"imports": IMPORTS, "classes": CLASSES, "methods": METHODS, "fields": FIELDS, "edges": EDGES}
+FLAT = "path string, module_id string, module string, docstring string, physical_lines int, logical_lines int, parse_error string"
 
 
 def module_name(path: str) -> str:
@@ -138,11 +138,28 @@ def visited(node: ast.AST, depth: int = 0) -> tuple[int, int, int]:
     return total + (depth == 0), cognitive, deepest
 
 
+class Lines:
+    """A text cut into lines once, for the pieces that nodes span."""
+
+    def __init__(self, text: str) -> None:
+        self.lines = [line.encode("utf-8", "surrogatepass") for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)]
+
+    def piece(self, node: ast.AST) -> str:
+        """The source of ``node``; its columns count UTF-8 bytes."""
+        first, last = node.lineno - 1, node.end_lineno - 1
+        if first == last:
+            out = self.lines[first][node.col_offset : node.end_col_offset]
+        else:
+            inner = self.lines[first + 1 : last]
+            out = b"".join([self.lines[first][node.col_offset :], *inner, self.lines[last][: node.end_col_offset]])
+        return out.decode("utf-8", "surrogatepass")
+
+
 class Reader(ast.NodeVisitor):
     """Collects one module's entities and edges; the scopes are those that enclose the node."""
 
     def __init__(self, module_id: str, text: str) -> None:
-        self.module_id, self.text = module_id, text
+        self.module_id, self.text = module_id, Lines(text)
         self.imports: list[dict] = []
         self.classes: list[dict] = []
         self.methods: list[dict] = []
@@ -231,7 +248,7 @@ class Reader(ast.NodeVisitor):
                 "cognitive": cognitive,
                 "nesting": nesting,
                 "docstring": ast.get_docstring(node),
-                "body_text": ast.get_source_segment(self.text, node) or "",
+                "body_text": self.text.piece(node),
             }
         )
         self.within({"kind": "method", "id": own, "name": node.name}, node)
@@ -287,7 +304,7 @@ def parse_source(path: str, content: bytes | str | None) -> dict:
         tree = ast.parse(text)
         doc = ast.get_docstring(tree)
         reader.visit(tree)
-    except (SyntaxError, ValueError, RecursionError) as problem:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
         reader, error = Reader(f"mod:{module}", ""), f"{type(problem).__name__}: {problem}"
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     return {
@@ -306,9 +323,10 @@ def parse_source(path: str, content: bytes | str | None) -> dict:
     }
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """A row for each of ``files`` (path, content): its module with nested entities and edges."""
-    schema = T.StructType.fromDDL(SCHEMA)
+def parse_files(files: DataFrame, nested: list[str] | None = None) -> DataFrame:
+    """A row for each of ``files`` (path, content): its module, with the arrays ``nested``, or all of entities and edges."""
+    wanted = list(NESTED) if nested is None else nested
+    schema = T.StructType.fromDDL(", ".join([FLAT, *(f"{n} {NESTED[n]}" for n in wanted)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = to_arrow_schema(schema)
@@ -316,7 +334,8 @@ def parse_files(files: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 100):
                 piece = batch.slice(at, 100).to_pydict()
                 rows = [parse_source(p, c) for p, c in zip(piece["path"], piece["content"], strict=True)]
-                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                columns = [pa.array([r[f.name] for r in rows], f.type) for f in shape]
+                yield pa.RecordBatch.from_arrays(columns, schema=shape)
 
     return files.select("path", "content").mapInArrow(run, schema)
 

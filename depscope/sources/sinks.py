@@ -21,9 +21,3 @@ def flat_edges(edges: DataFrame) -> DataFrame:
     return edges.select(
         F.col("from_entity").alias("from"), F.col("to_entity").alias("to"), F.col("relationship_type").alias("type")
     )
-
-
-def save_run(tables: dict[str, DataFrame], root: str, cache_id: str) -> None:
-    """A run's tables as Parquet below ``root``/table/cache_id=…, each replaced as a whole."""
-    for name, frame in tables.items():
-        frame.write.mode("overwrite").parquet(f"{root}/{name}/cache_id={cache_id}")

@@ -1,25 +1,52 @@
-"""Source files as a stream: each micro-batch is parsed and merged into a table of modules."""
+"""Source files as a stream: each micro-batch is parsed into a table of modules.
+
+What lies below a root is listed as the batch source does it, so names are relative to the root, and
+excluded, hidden and empty files fare alike. Listed files that no earlier start has seen become
+entries of a feed, ``per_batch`` to a file; the stream takes one such file a micro-batch.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from depscope.operators.ranking import with_rank
+from depscope.sources.files import listing, with_content
 from depscope.sources.python_ast import parse_files
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+ENTRY = "path string, modified timestamp, length long"
+
+
+def feed_files(spark: SparkSession, root: str, feed: str, exclude: list[str] | None = None, per_batch: int = 100) -> int:
+    """Adds what is new or changed below ``root`` to the feed, and returns how many files that are.
+
+    A file is known by its path, time and length. Each start writes folders of its own, whole or not at all.
+    """
+    listed = listing(spark, root, exclude)
+    path = spark._jvm.org.apache.hadoop.fs.Path(feed)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if store.exists(path) and len(store.listStatus(path)):
+        known = spark.read.schema(ENTRY).option("recursiveFileLookup", True).parquet(feed)
+        listed = listed.join(known, ["path", "modified", "length"], "left_anti")
+    ranked, count = with_rank(listed, ["path"])
+    if count:
+        number = F.floor(F.col("rank") / per_batch).cast("int")
+        batches = -(-count // per_batch)
+        ranked.repartitionById(batches, number).select("path", "modified", "length").write.parquet(f"{feed}/{uuid.uuid4().hex}")
+    return count
 
 
-def file_stream(spark: SparkSession, root: str, per_batch: int = 100) -> DataFrame:
+def file_stream(spark: SparkSession, feed: str) -> DataFrame:
     return (
-        spark.readStream.format("binaryFile")
-        .schema(FILE_SCHEMA)
+        spark.readStream.schema(ENTRY)
+        .option("maxFilesPerTrigger", 1)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.py")
-        .option("maxFilesPerTrigger", per_batch)
-        .load(root)
+        .option("pathGlobFilter", "*.parquet")
+        .parquet(feed)
     )
 
 
@@ -30,14 +57,17 @@ def start_ingest(
     checkpoint: str,
     progress: Callable[[dict], None] | None = None,
     per_batch: int = 100,
+    exclude: list[str] | None = None,
 ) -> StreamingQuery:
-    """Parse what is there, in batches, into Parquet at ``target``; a batch's folder is replaced as a
+    """Parse what is there and hasn't been, in batches, into Parquet at ``target``; a batch's folder is replaced as a
     whole if the batch runs again, so each file counts once."""
+    feed = f"{checkpoint.rstrip('/')}/feed"
+    feed_files(spark, root, feed, exclude, per_batch)
 
     def merge(batch: DataFrame, number: int) -> None:
-        parse_files(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        parse_files(with_content(batch, root)).write.mode("overwrite").parquet(f"{target}/batch={number}")
         if progress:
             progress({"stage": "parse", "batch": number})
 
-    writer = file_stream(spark, root, per_batch).writeStream.foreachBatch(merge)
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = file_stream(spark, feed).writeStream.foreachBatch(merge)
+    return writer.option("checkpointLocation", f"{checkpoint.rstrip('/')}/state").trigger(availableNow=True).start()

@@ -84,6 +84,15 @@ def test_entities():
     assert not fields["attribute"]["is_class_variable"]
 
 
+def test_pieces_are_the_source():
+    text = "def f():\r\n    é = 1\r    return 'ü'\n\x0cclass A:\n  def g(self): return 2; x = 1\n"
+    tree_ = ast.parse(text)
+    lines = pa.Lines(text)
+    for node in ast.walk(tree_):
+        if isinstance(node, ast.FunctionDef):
+            assert lines.piece(node) == ast.get_source_segment(text, node)
+
+
 def test_complexity():
     busy = next(m for m in pa.parse_source("m.py", SOURCE)["methods"] if m["name"] == "busy")
     assert busy["complexity"] == 7  # if, and, for, while, except, comprehension
@@ -134,11 +143,54 @@ def test_stdlib_missing_and_filters(spark, tmp_path):
 
 
 def test_discovery_and_size(spark, tmp_path):
-    root = tree(tmp_path, main="x = 1", tests__slash__t="", deep__slash____pycache____slash__c="", deep__slash__ok="")
+    root = tree(tmp_path, main="x = 1", tests__slash__t="", deep__slash____pycache____slash__c="", deep__slash__ok="", _hid="", deep__slash___slash__x="1")
     found = files.source_files(spark, root)
-    assert sorted(r["path"] for r in found.collect()) == ["deep/ok.py", "main.py"]
-    assert files.project_size(found).first()["tier"] == "low"
-    assert files.manifest(found).count() == 2
+    assert sorted(r["path"] for r in found.collect()) == ["_hid.py", "deep/_slash__x.py", "deep/ok.py", "main.py"]
+    assert files.project_size(files.listing(spark, root)).first()["tier"] == "low"
+    assert files.manifest(found).count() == 4
+    for least in (1, 2):  # folders handed on from round to round
+        assert files.listing(spark, root, per_task=least).count() == 4
+    assert files.without_parts(files.listing(spark, root), root, ["deep"]).count() == 2
+
+
+def test_checks_before_a_run(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "file.py").write_text("")
+    for bad in ("relative/path", str(tmp_path / "gone"), str(tmp_path / "file.py"), str(tmp_path / "empty")):
+        with pytest.raises(ValueError):
+            files.precheck(spark, bad)
+        with pytest.raises(ValueError):
+            analyze_project(spark, bad)
+    assert files.precheck(spark, f" {tmp_path} ").count() == 1
+    assert files.precheck(spark, str(tmp_path), ["empty"]).count() == 1
+
+
+def test_package_roots(spark, tmp_path):
+    root = tree(tmp_path, src__slash__p____slash____init__="", src__slash__p____slash__q__slash____init__="", src__slash__p____slash__q__slash__m="", src__slash__tool="")
+    got = {r["path"]: (r["kind"], r["package_root"]) for r in files.package_roots(files.listing(spark, root)).collect()}
+    assert got["src/p__/q/m.py"] == ("package", "src") and got["src/tool.py"] == ("directory", "src")
+    tree(tmp_path, __init__="", src__slash____init__="")
+    got = {r["path"]: r["package_root"] for r in files.package_roots(files.listing(spark, root)).collect()}
+    assert set(got.values()) == {None}
+
+
+def test_distribution_names(spark, tmp_path):
+    for folder, text in (("a/Foo_Bar-1.2.dist-info", "foo\nfoo/sub\n"), ("a/Old.egg/EGG-INFO", "old"), ("b/Other-3.egg-info", "foo"), ("b/x", "no")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "top_level.txt").write_text(text)
+    got = dict(map(tuple, files.distribution_names(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()))
+    assert got == {"yaml": "PyYAML", "Crypto": "pycrypto", "foo": "Foo-Bar", "foo.sub": "Foo-Bar", "old": "Old"}
+
+
+def test_hops_from_a_root_that_imports_all(spark, tmp_path):
+    root = tree(tmp_path, a="import b", b="import a\nimport json", migrations__slash__m="", c__slash__class="")
+    run = analyze_project(spark, root, Options(exclude=[], max_depth=1))
+    assert {(r["src"], r["dst"]) for r in run.import_edges.collect()} == {("a", "b"), ("b", "a")}
+    depth = {r["node"]: r["depth"] for r in run.hops.collect()}
+    assert depth == {"__main__": 0, "a": 1, "b": 1}
+    found = {r["name"]: (r["in_cycle"], r["severity"]) for r in run.search("A").collect()}
+    assert found["a"] == (True, "medium") and found["c.class"] == (False, None)
+    assert {r["path"] for r in run.manifest.collect()} == {"a.py", "b.py", "migrations/m.py", "c/class.py"}
 
 
 def test_globs(spark):
@@ -151,16 +203,33 @@ def test_globs(spark):
     assert kept(["test_*", "!**/test_b.py"]) == ["a/b/c.py", "x/keep/test_b.py", "top.py", "lib/top.py"]
     assert kept(["/top.py"]) == [p for p in paths if p != "top.py"]
     assert kept(["keep/"]) == [p for p in paths if "keep" not in p]
-    assert kept(["a/**"]) == paths and kept(["a/b/**"]) == paths[1:]
+    assert kept(["a/**"]) == paths[1:] and kept(["a/b/**"]) == paths[1:]  # a/b is in a, so it isn't entered
+    assert kept(["/lib"]) == paths[:4] and kept(["**/keep"]) == [p for p in paths if "keep" not in p]
     assert kept(["# c", ""]) == paths
-    assert globs.invalid_reason("a[b") and globs.invalid_reason("../x") and globs.invalid_reason("*.py") is None
+    for patterns in (["test_*", "!**/test_b.py"], ["/lib"], ["keep/"], ["a/**"], ["a/b/**"], ["**/keep"], ["*b*/", "!b"], ["**"], ["top.[!x]y"]):
+        matcher = globs.Matcher(patterns)
+        walked = [p for p in paths if not any(matcher.hits("/".join(p.split("/")[:n]), n < len(p.split("/"))) for n in range(1, 1 + len(p.split("/"))))]
+        assert kept(patterns) == walked
+
+
+def test_pattern_rules():
+    bad = ["", " ", "# c", "a\x01", "a****", "a///b", "a[b", "a[]b", "a\\b", "a....b", "a" * 256, "**/**/**/**/x"]
+    assert all(globs.invalid_reason(p) for p in bad) and len({globs.invalid_reason(p) for p in bad}) == 11
+    assert not any(globs.invalid_reason(p) for p in ("*.py", "../x", "a<b", "a***", "!keep", "a//b", "**/x/**"))
 
 
 def test_stream_ingest(spark, tmp_path):
-    root = tree(tmp_path / "src", a="import b", b="class B: pass", bad="def (")
+    root = tree(tmp_path / "src", a="import b", b="class B: pass", bad="def (", p__slash____init__="", tests__slash__t="")
     seen = []
-    query = start_ingest(spark, root, str(tmp_path / "out"), str(tmp_path / "state"), seen.append, per_batch=2)
-    query.awaitTermination(120)
-    found = spark.read.parquet(str(tmp_path / "out"))
-    assert found.count() == 3 and found.where("parse_error IS NOT NULL").count() == 1
+
+    def ingest():
+        query = start_ingest(spark, root, str(tmp_path / "out"), str(tmp_path / "state"), seen.append, per_batch=2)
+        query.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    found = ingest()
+    assert found.count() == 4 and found.where("parse_error IS NOT NULL").count() == 1
+    assert {r["module"] for r in found.collect()} == {"a", "b", "bad", "p"}
     assert len(seen) == 2
+    tree(tmp_path / "src", late="x = 1")
+    assert {r["module"] for r in ingest().collect()} == {"a", "b", "bad", "p", "late"} and len(seen) == 3
