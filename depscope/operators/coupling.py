@@ -58,3 +58,13 @@ def dedup_first_type(edges: DataFrame, order: list[str]) -> DataFrame:
     return edges.groupBy("src", "dst").agg(
         F.min(first)["relationship_type"].alias("relationship_type"), F.count("*").alias("n_edges")
     )
+
+
+def edge_counters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: valid and invalid. Edges (src, dst) are valid if both ends are in ``nodes`` (node) and differ."""
+    known = nodes.select("node").distinct()
+    marked = edges.join(known.select(F.col("node").alias("src"), F.lit(True).alias("a")), "src", "left").join(
+        known.select(F.col("node").alias("dst"), F.lit(True).alias("b")), "dst", "left"
+    )
+    valid = F.coalesce(F.col("a") & F.col("b") & (F.col("src") != F.col("dst")), F.lit(False))
+    return marked.agg(F.count_if(valid).alias("valid"), F.count_if(~valid).alias("invalid"))

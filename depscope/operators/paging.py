@@ -48,6 +48,25 @@ def summary(rows: DataFrame, kind: str, value: str) -> DataFrame:
     )
 
 
+def sample_summary(rows: DataFrame, order: list, kind: str, value: str, most: int = 1000) -> DataFrame:
+    """(kind, n, total_results, sample_size, is_sampled, mean_nonzero) of the ``most`` first rows; total_results counts all,
+    and the mean is over all kinds of the sample, 0 if nothing in it is other than 0."""
+    sample = top(rows.select(kind, value, *[c for c in order if c not in (kind, value)]), order, most)
+    nonzero = F.when(F.col(value) != 0, F.col(value))
+    sums = sample.groupBy(kind).agg(F.count("*").alias("n"), F.sum(nonzero).alias("s"), F.count(nonzero).alias("c"))
+    whole = Window.partitionBy()  # a row for each kind
+    mean = F.coalesce(F.sum("s").over(whole) / F.nullif(F.sum("c").over(whole), F.lit(0)), F.lit(0.0))
+    total = rows.agg(F.count("*")).scalar()
+    return sums.select(
+        kind,
+        "n",
+        total.alias("total_results"),
+        F.least(total, F.lit(most)).cast("long").alias("sample_size"),
+        (total > most).alias("is_sampled"),
+        mean.alias("mean_nonzero"),
+    )
+
+
 def evict(files: DataFrame, capacity: int) -> DataFrame:
     """Entries (id, size, used) that go, oldest first, until the rest fits ``capacity``.
 

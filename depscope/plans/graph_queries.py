@@ -340,6 +340,15 @@ def known_target_edges(spark: SparkSession, d: str) -> DataFrame:
     return rs.known_edges(ad.page_links(spark, d), _words(spark, d)).select("src", "dst")
 
 
+@query(
+    f"""WITH {ad.LINK}, {KNOWN}, h AS (SELECT node FROM w UNION SELECT src FROM e), m AS (SELECT a.node IS NOT NULL AND b.node IS NOT NULL AND src <> dst AS ok
+    FROM e LEFT JOIN h a ON a.node = src LEFT JOIN h b ON b.node = dst) SELECT count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid FROM m"""
+)
+def edge_counters(spark: SparkSession, d: str) -> DataFrame:
+    edges = ad.page_links(spark, d)
+    return cp.edge_counters(edges, _words(spark, d).unionByName(edges.select(F.col("src").alias("node"))))
+
+
 @query(f"WITH {ad.LINK}, {KNOWN} SELECT DISTINCT dst AS node, true AS external FROM e WHERE dst NOT IN (SELECT node FROM w)")
 def missing_externals(spark: SparkSession, d: str) -> DataFrame:
     return rs.missing_externals(ad.page_links(spark, d), _words(spark, d))[0]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depscope.functions import globs, ids, metrics, names
+from depscope.operators import cycles as cy
 from depscope.operators import filters as fl
 from depscope.operators import hierarchy as hi
 from depscope.operators import incremental as inc
@@ -175,6 +176,28 @@ def result_summary(spark: SparkSession, d: str) -> DataFrame:
     return pg.summary(events, "event_type", "v").withColumn("mean_nonzero", F.round("mean_nonzero", 6))
 
 
+@query(
+    """WITH t AS (SELECT * FROM events ORDER BY event_id LIMIT 1000), a AS (SELECT count(*) AS n FROM events)
+    SELECT event_type, count(*) AS n, any_value(a.n) AS total_results, any_value(least(a.n, 1000)) AS sample_size, any_value(a.n > 1000) AS is_sampled,
+    round((SELECT avg(value) FROM t WHERE value <> 0), 6) AS mean_nonzero FROM t, a GROUP BY event_type"""
+)
+def sample_summary(spark: SparkSession, d: str) -> DataFrame:
+    found = pg.sample_summary(read_table(spark, d, "events"), ["event_id"], "event_type", "value")
+    return found.withColumn("mean_nonzero", F.round("mean_nonzero", 6))
+
+
+@query(
+    f"""WITH RECURSIVE {NAMED}, {ad.MAIN}, {ad.SCC} SELECT n.*, k.node IS NOT NULL AS in_cycle,
+    CASE WHEN size > 3 THEN 'high' WHEN size IS NOT NULL THEN 'medium' END AS severity
+    FROM n LEFT JOIN k ON 'part:' || k.node = n.id WHERE contains(lower(name), 'a')"""
+)
+def search_flagged(spark: SparkSession, d: str) -> DataFrame:
+    """What a search finds, and whether it is on a cycle of parts."""
+    members = cy.cycle_members(ad.main_supplier(spark, d))
+    members = members.withColumn("node", F.concat(F.lit("part:"), F.col("node").cast("string")))
+    return cy.flag_entities(pg.search(_entities(spark, d), "A"), members)
+
+
 @query(
     """WITH h AS (SELECT o_orderkey AS id, CAST(o_custkey AS BIGINT) AS size, o_orderdate AS used, date_trunc('hour', o_orderdate) AS hour FROM orders),
     r AS (SELECT id, CAST(sum(size) OVER (ORDER BY hour DESC, used DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM h)

@@ -1,17 +1,18 @@
-"""Queries over parsed sources. The test tables hold no Python, so each order becomes a small module."""
+"""Queries over parsed sources. The test tables hold no Python, so each customer becomes a small module."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depscope.operators import quality
 from depscope.plans.registry import query
 from depscope.sources import python_ast as pa
-from depscope.sources.sinks import as_json
+from depscope.sources.sinks import as_json, flat_edges
 from depscope.sources.tables import read_table
 
-TEMPLATE = '''import os
-from m{next} import run as go
+HEAD = '''import os
+{imported}
 
 
 class Order(Base):
@@ -27,32 +28,61 @@ class Order(Base):
         if self.key and self.total:
             return "open"
         return go(self.key)
+
+
+{mark}def deep(x):
 '''
+BROKEN = "def (:\n"
 
 
 def modules(spark: SparkSession, d: str) -> DataFrame:
-    """(path, content): a module m<custkey> for each customer, which imports the next one."""
-    customers = read_table(spark, d, "customer").select("c_custkey")
-    text = F.replace(F.lit(TEMPLATE), F.lit("{next}"), (F.col("c_custkey") + 1).cast("string"))
-    return customers.select(
+    """(path, content): a module m<custkey> for each customer, which imports the next one.
+
+    Nations vary the depth of a function and the kind of import, balances mark it as async, and the files
+    of one market segment don't parse.
+    """
+    n = F.col("c_nationkey") % 4
+    following = F.concat(F.lit("m"), (F.col("c_custkey") + 1).cast("string"))
+    imported = F.when(F.col("c_nationkey") > 12, F.concat(F.lit("from . import "), following)).otherwise(
+        F.concat(F.lit("from "), following, F.lit(" import run as go"))
+    )
+    steps = F.transform(F.sequence(F.lit(0), n), lambda k: F.concat(F.repeat(F.lit("    "), k + 1), F.when(k < n, "if x:\n").otherwise("pass\n")))
+    text = F.replace(F.lit(HEAD), F.lit("{imported}"), imported)
+    text = F.replace(text, F.lit("{mark}"), F.when(F.col("c_acctbal") < 0, "async ").otherwise(""))
+    text = F.when(F.col("c_mktsegment") == "MACHINERY", BROKEN).otherwise(F.concat(text, F.array_join(steps, "")))
+    return read_table(spark, d, "customer").select(
         F.concat(F.lit("shop/m"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.encode(text, "utf-8").alias("content")
     )
 
 
-NAMES = "c AS (SELECT 'mod:shop.m' || c_custkey AS m, c_custkey AS k FROM customer)"
+NAMES = """a AS (SELECT 'mod:shop.m' || c_custkey AS m, c_custkey AS k, c_nationkey % 4 AS n, c_nationkey > 12 AS rel, c_acctbal < 0 AS late,
+  c_mktsegment = 'MACHINERY' AS broken FROM customer), c AS (SELECT * FROM a WHERE NOT broken)"""
 
 
-@query(f"WITH {NAMES} SELECT m AS module_id, 12 AS physical_lines, 12 AS logical_lines, CAST(NULL AS VARCHAR) AS parse_error FROM c")
+@query(
+    f"""WITH {NAMES} SELECT m AS module_id, CAST(CASE WHEN broken THEN 1 ELSE 14 + n END AS INT) AS physical_lines,
+    CAST(CASE WHEN broken THEN 1 ELSE 14 + n END AS INT) AS logical_lines, broken FROM a"""
+)
 def ast_modules(spark: SparkSession, d: str) -> DataFrame:
-    return pa.parse_files(modules(spark, d), []).select("module_id", "physical_lines", "logical_lines", "parse_error")
+    found = pa.parse_files(modules(spark, d), [])
+    return found.select("module_id", "physical_lines", "logical_lines", F.col("parse_error").isNotNull().alias("broken"))
 
 
 @query(
-    f"""WITH {NAMES} SELECT m AS module_id, 'os' AS module, NULL AS name, NULL AS alias, 1 AS line FROM c
-    UNION ALL SELECT m, 'm' || (k + 1), 'run', 'go', 2 FROM c"""
+    f"""WITH {NAMES} SELECT m AS module_id, 'os' AS module, NULL AS name, NULL AS alias, 1 AS line, 0 AS level FROM c
+    UNION ALL SELECT m, 'm' || (k + 1), 'run', 'go', 2, 0 FROM c WHERE NOT rel UNION ALL SELECT m, '', 'm' || (k + 1), NULL, 2, 1 FROM c WHERE rel"""
 )
 def ast_imports(spark: SparkSession, d: str) -> DataFrame:
-    return pa.exploded(pa.parse_files(modules(spark, d), ["imports"]), "imports").select("module_id", "module", "name", "alias", "line")
+    return pa.exploded(pa.parse_files(modules(spark, d), ["imports"]), "imports").select("module_id", "module", "name", "alias", "line", "level")
+
+
+@query(
+    f"""WITH {NAMES} SELECT 'shop.m' || c.k AS src, 'shop.m' || (c.k + 1) AS dst FROM c JOIN a b ON b.k = c.k + 1 WHERE c.rel
+    UNION ALL SELECT 'shop.m' || k, 'm' || (k + 1) FROM c WHERE NOT rel UNION ALL SELECT 'shop.m' || k, 'os' FROM c
+    UNION ALL SELECT 'shop.m' || k, 'shop' FROM c WHERE rel"""
+)
+def ast_import_targets(spark: SparkSession, d: str) -> DataFrame:
+    return pa.import_targets(pa.parse_files(modules(spark, d), ["imports"]))
 
 
 @query(f"WITH {NAMES} SELECT 'cls:' || m || ':Order' AS id, 'Order' AS name, 5 AS line, 'Base' AS bases, false AS is_abstract FROM c")
@@ -63,13 +93,16 @@ def ast_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {NAMES} SELECT 'meth:cls:' || m || ':Order:__init__:10' AS id, 1 AS complexity, 1 AS visitor_complexity, 0 AS cognitive, 0 AS nesting,
-    false AS is_property, NULL AS return_annotation, 'self:;key:str' AS args FROM c
-    UNION ALL SELECT 'meth:cls:' || m || ':Order:state:14', 3, 3, 1, 1, true, 'str', 'self:' FROM c"""
+    false AS is_property, false AS is_async, NULL AS return_annotation, 'self:;key:str' AS args FROM c
+    UNION ALL SELECT 'meth:cls:' || m || ':Order:state:14', 3, 3, 1, 1, true, false, 'str', 'self:' FROM c
+    UNION ALL SELECT 'func:' || m || ':deep:20', 1 + n, 1 + n, n * (n + 1) // 2, n, false, late, NULL, 'x:' FROM c"""
 )
 def ast_methods(spark: SparkSession, d: str) -> DataFrame:
     found = pa.exploded(pa.parse_files(modules(spark, d), ["methods"]), "methods")
     args = F.array_join(F.transform("args", lambda a: F.concat(a["name"], F.lit(":"), F.coalesce(a["annotation"], F.lit("")))), ";")
-    return found.select("id", "complexity", "visitor_complexity", "cognitive", "nesting", "is_property", "return_annotation", args.alias("args"))
+    return found.select(
+        "id", "complexity", "visitor_complexity", "cognitive", "nesting", "is_property", "is_async", "return_annotation", args.alias("args")
+    )
 
 
 @query(
@@ -84,13 +117,30 @@ def ast_fields(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {NAMES}, t(target, kind, strength, n) AS (VALUES ('Base', 'inheritance', 1.0, 1), ('key.strip', 'call', 1.0, 1), ('go', 'call', 1.0, 1),
     ('key.strip', 'attribute', 0.5, 1), ('self.key', 'attribute', 0.5, 2), ('self.total', 'attribute', 0.5, 1))
-    SELECT m AS module_id, target AS to_entity, kind AS relationship_type, CAST(strength AS DOUBLE) AS strength, CAST(n AS BIGINT) AS n FROM c, t"""
+    SELECT m AS module_id, target AS to_entity, kind AS relationship_type, CAST(strength AS DOUBLE) AS strength, CAST(t.n AS BIGINT) AS n FROM c, t"""
 )
 def ast_edges(spark: SparkSession, d: str) -> DataFrame:
     found = pa.exploded(pa.parse_files(modules(spark, d), ["edges"]), "edges")
     return found.groupBy("module_id", "to_entity", "relationship_type", "strength").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {NAMES} SELECT 'cls:' || m || ':Order' AS class_id, CAST(2 AS BIGINT) AS n_methods, CAST(1 AS BIGINT) AS sharing, 0.0 AS lcom, 1.0 AS tcc FROM c")
+def ast_cohesion(spark: SparkSession, d: str) -> DataFrame:
+    """Cohesion from sources: which fields the methods' texts name."""
+    parsed = pa.parse_files(modules(spark, d), ["methods", "fields"])
+    return quality.cohesion(quality.field_usage(pa.exploded(parsed, "methods"), pa.exploded(parsed, "fields")))
+
+
+@query("SELECT 'n' || n_nationkey AS \"from\", 'r' || n_regionkey AS \"to\", 'in' AS type FROM nation")
+def flat_sink(spark: SparkSession, d: str) -> DataFrame:
+    nations = read_table(spark, d, "nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("from_entity"),
+        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("to_entity"),
+        F.lit("in").alias("relationship_type"),
+    )
+    return flat_edges(nations)
+
+
 @query("SELECT '{\"n_regionkey\":' || n_regionkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")
 def json_sink(spark: SparkSession, d: str) -> DataFrame:
     return as_json(read_table(spark, d, "nation").select("n_regionkey", "n_name", F.lit(1).alias("_private")))
