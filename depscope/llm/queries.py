@@ -47,8 +47,8 @@ def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
     turns = turns.unionByName(spark.createDataFrame(more, "conv_id long, turn long, role string, text string"))
-    nodes, members = chat.prefix_tree(turns, TOKENIZER)
-    return chat.read_back(nodes, members, TOKENIZER).drop("n_tokens")
+    tree, members = chat.prefix_tree(turns, TOKENIZER)
+    return chat.read_back(tree, members, TOKENIZER).drop("n_tokens")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

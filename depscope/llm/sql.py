@@ -51,7 +51,7 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
        CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(role, '{BREAKS}|\n')) + len(regexp_extract_all(text, '{BREAKS}')))
-            AS BIGINT) AS formatted_chars
+            AS BIGINT) AS formatted_chars, true AS positions_hold
 FROM c GROUP BY conv_id
 """
 

@@ -1,6 +1,7 @@
 """The chat operator, the registered queries on held-out truth, and the pipeline, stage by stage."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from depscope.llm import chat, linededup, queries, quality, simhash
+from depscope.llm import chat, linededup, queries, quality, simhash, tokens
 
 DATA = "/root/testdata/sf0.001"
 SAID = "</s>[INST] ok [/INST]"
@@ -39,31 +40,90 @@ ROWS = [
 ]
 
 
-def test_prefix_tree(spark):
-    nodes, members = chat.prefix_tree(turns(spark, ROWS), queries.TOKENIZER)
-    rows = {r["path"]: r for r in nodes.collect()}
-    assert len(rows) == 4 + 2 + 2  # hi, its two answers and bye; two in 4; two in 5
-    at = 0
-    for path in sorted(rows):  # depth first, each node once, no gaps
-        r = rows[path]
-        assert r["start"] == at
+def sorted_turns(rows, conv):
+    own = [r for r in rows if r[0] == conv]
+    return [(r[2] or "", r[3] or "") for r in sorted(own, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))]
+
+
+def check_tree(spark, rows, extra=()):
+    frame = turns(spark, rows)
+    for name in extra:
+        frame = frame.withColumn(name, F.lit("old"))
+    tree, members = chat.prefix_tree(frame, queries.TOKENIZER)
+    runs, leaf = tree.collect(), {r["conv_id"]: bytes(r["leaf"]) for r in members.collect()}
+    pages = chat.stream(tree, 7).orderBy("page").collect()
+    assert all(len(r["learn"]) == 7 for r in pages[:-1]) and [r["page"] for r in pages] == list(range(len(pages)))
+    ids, positions = ([int.from_bytes(x[k : k + 4], "little") for x in [b"".join(r[c] for r in pages)] for k in range(0, len(x), 4)] for c in ("ids", "positions"))
+    learn = b"".join(r["learn"] for r in pages)
+    decode = tokens.encoder(queries.TOKENIZER).tokenizer.decode
+    prefixes = {tuple(sorted_turns(rows, conv)[: k + 1]) for conv in leaf for k in range(len(sorted_turns(rows, conv)))}
+    once = sum(len(b"".join(chat.tokenised([{"role": p[-1][0], "text": p[-1][1]}], tokens.encoder(queries.TOKENIZER))[0])) // 4 for p in prefixes)
+    assert len(ids) == once  # every node once
+    at, seen = 0, []
+    for r in sorted(runs, key=lambda r: r["start"]):
+        assert r["start"] == at  # no gaps
         at += r["n_tokens"]
-        above = [rows[path[: 8 * k]] for k in range(1, r["depth"])]
-        assert [(a["start"], a["end"]) for a in r["ancestors"]] == [(a["start"], a["start"] + a["n_tokens"]) for a in above]
-        assert r["position"] == sum(a["n_tokens"] for a in above)
-    back = {r["conv_id"]: r for r in chat.read_back(nodes, members, queries.TOKENIZER).collect()}
-    for conv in (1, 2, 3, 4, 5):
-        own = sorted((r for r in ROWS if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
-        said = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
-        learned = "".join(r[3] or "" for r in own if r[2] == "assistant")
-        assert back[conv]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
-        assert back[conv]["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
-        assert (back[conv]["n_turns"], back[conv]["loss_chars"]) == (len(own), len(learned))
+        if r["ancestors"]:  # depth first: it goes on from what the run before it went on from
+            assert [tuple(a) for a in r["ancestors"]][-1][1] <= r["start"] and r["ancestors"][0]["start"] in seen
+        seen.append(r["start"])
+    by_leaf = {bytes(r["leaf"]): r for r in runs}
+    for conv in leaf:
+        run = by_leaf[leaf[conv]]
+        spans = [(a["start"], a["end"]) for a in run["ancestors"]] + [(run["start"], run["start"] + run["n_tokens"])]
+        assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:-1], strict=False))  # neighbours are joined
+        places = [k for a, b in spans for k in range(a, b)]
+        own = sorted_turns(rows, conv)
+        assert decode([ids[k] for k in places], skip_special_tokens=False) == "".join(chat.format_turn(*t)[0] for t in own)
+        assert [positions[k] for k in places] == list(range(len(places)))
+        said = decode([ids[k] for k in places if learn[k]], skip_special_tokens=False)
+        assert chat.unescape(said) == "".join(t for r, t in own if r == "assistant")
+    back = {r["conv_id"]: r for r in chat.read_back(tree, members, queries.TOKENIZER, 5).collect()}
+    assert set(back) == {r[0] for r in rows}
+    for conv, r in back.items():
+        own = sorted_turns(rows, conv)
+        assert r["positions_hold"] and r["n_turns"] == len(own)
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+        learned = "".join(t for role, t in own if role == "assistant")
+        assert (r["loss_sha256"], r["loss_chars"]) == (hashlib.sha256(learned.encode()).hexdigest(), len(learned))
+        assert r["formatted_chars"] == sum(len(chat.format_turn(*t)[0]) for t in own)
+    return runs
+
+
+def test_prefix_tree(spark):
+    check_tree(spark, ROWS, ("path", "leaf", "part", "ids", "start", "turns"))
+    same = [(None, 0, "user", "hi"), (9, 0, "user", "hi"), (10, 0, "user", "hi"), (10, 1, "user", "é" * 30), (11, 3, "", "")]
+    check_tree(spark, [*ROWS, *same])
+
+
+def test_prefix_tree_over_many_parts(spark):
+    pick = random.Random(3)
+    rows = []
+    for conv in range(120):  # few words, so that conversations branch at all depths
+        rows += [(conv, k, "assistant" if k % 2 else "user", pick.choice("ab")) for k in range(pick.randrange(1, 9))]
+    rows += [(1000 + c, k, "user", f"long {min(k, 18 + c)}") for c in range(12) for k in range(20)]
+    runs = check_tree(spark, rows)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(map(str, check_tree(spark, rows))) == sorted(map(str, runs))  # the same stream, however it is cut
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_long_conversation(spark):
+    turns_ = [(1, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(5000)]
+    turns_ += [(2, k, r, t) for _, k, r, t in turns_[:4000]] + [(2, 4000, "user", "else")]
+    tree, members = chat.prefix_tree(turns(spark, turns_), queries.TOKENIZER)
+    assert max(len(r["ancestors"]) for r in tree.collect()) == 1
+    back = {r["conv_id"]: r for r in chat.read_back(tree, members, queries.TOKENIZER).collect()}
+    assert back[1]["n_turns"] == 5000 and back[2]["n_turns"] == 4001 and back[1]["positions_hold"] and back[2]["positions_hold"]
 
 
 def test_prefix_tree_empty(spark):
-    nodes, members = chat.prefix_tree(turns(spark, []), queries.TOKENIZER)
-    assert nodes.count() == 0 and chat.read_back(nodes, members, queries.TOKENIZER).count() == 0
+    tree, members = chat.prefix_tree(turns(spark, []), queries.TOKENIZER)
+    assert tree.count() == 0 and chat.read_back(tree, members, queries.TOKENIZER).count() == 0
 
 
 def test_names():
