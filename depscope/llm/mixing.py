@@ -3,27 +3,36 @@
 Each source's documents are dealt into blocks. Time goes by slots of one block. A source
 with weight w of total W releases its i-th block of a cycle at floor((i-1) W / w) and owes it
 by ceil(i W / w); in each slot the released block with the earliest deadline goes. So before
-any slot each source is less than one block away from its share. When a source has no
-blocks left, the rest go on from there with their own weights. All documents are kept.
+any slot each source is less than one block away from its share. Sources of one weight are
+scheduled as one of their weights' sum and take turns with its slots, which keeps each of
+them less than a block away from its own share, too.
 
-A cycle of W slots repeats, so only one cycle for each set of sources left is computed, on the
-driver: its size depends on the number of sources and the weights' sum, not on documents.
-Ranks inside a source come from salted shares of it, so no task holds a whole source.
+A source that has no blocks left leaves its slots empty: the others keep theirs, so each
+stays less than one block away from its weight's part of the common clock, which the slots
+count, and the rows in order of slot and place are the mixture. All documents are kept.
+
+A cycle of W slots repeats, so the driver computes one: its work depends on the sum of the
+weights of all sources, not on documents, and a step on the number of different weights.
+Sources, and ranks inside a source, are counted by tasks; ranks come from shares of a source
+by hash, and a row that occurs very often is shared out again by where its copies stand, so
+no task holds a whole source or all copies.
 
 Defined results: a null source is a source of its own; a source without a given weight has
 the default weight; a weight that isn't a positive whole number raises ValueError;
 documents in a source are ordered by a hash of the row, ties by doc_id; rows equal in all
-columns are each placed; an empty table gives an empty result.
+columns are each placed; a null size counts as 1, and one below 1 as 1; an empty table gives an
+empty result; columns named block, slot or place give way to the result's.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depscope.llm.order import with_order
+from depscope.operators.ranking import with_rank
 from depscope.scratch import materialise
 
 
@@ -45,61 +54,48 @@ def cycle(weights: list[int]) -> list[int]:
     return slots
 
 
-def schedule(weights: list[int], blocks: list[int]) -> list[dict]:
-    """Phases: in each, first slot and first blocks, the period, and each source's slots in a cycle.
+def source_table(docs: DataFrame, weights: dict, default_weight: int) -> DataFrame:
+    """(s, n, w, turn, peers) for each source of ``docs`` (s): rows, weight, its turn among the sources of its weight,
+    from 0 by name with null last, and how many those are."""
+    spark, kind = docs.sparkSession, docs.schema["s"].dataType.simpleString()
+    given = F.broadcast(spark.createDataFrame(list(weights.items()), f"g {kind}, w long"))  # a row for each given weight
+    counted = docs.groupBy("s").agg(F.count("*").alias("n")).join(given, F.col("s").eqNullSafe(F.col("g")), "left")
+    counted = counted.select("s", "n", F.coalesce("w", F.lit(default_weight).cast("long")).alias("w"))
+    ranked, _ = with_rank(counted, ["w", F.col("s").isNull(), "s"])
+    firsts = ranked.groupBy("w").agg(F.min("rank").alias("first"), F.count("*").alias("peers"))  # a row for each weight
+    placed = ranked.join(F.broadcast(firsts), "w")
+    return materialise(placed.select("s", "n", "w", (F.col("rank") - F.col("first")).alias("turn"), "peers"), "mixing-sources")
 
-    A phase ends behind the slot in which a source's last block goes.
-    """
-    left, done, slot, phases = list(blocks), [0] * len(blocks), 0, []
-    active = [s for s in range(len(blocks)) if left[s]]
-    while active:
-        order = cycle([weights[s] for s in active])
-        period = len(order)
-        places: dict[int, list[int]] = {s: [] for s in active}
-        for at, k in enumerate(order):
-            places[active[k]].append(at)
-
-        def last(s: int, period: int = period, places: dict[int, list[int]] = places) -> int:
-            rounds, at = divmod(left[s] - 1, len(places[s]))
-            return rounds * period + places[s][at]
-
-        end = min(map(last, active)) + 1
-        rounds, rest = divmod(end, period)
-        taken = {s: rounds * len(places[s]) + bisect_right(places[s], rest - 1) for s in active}
-        phases.append(
-            {"slot": slot, "period": period, "first": {s: done[s] for s in active}, "places": places, "taken": taken}
-        )
-        for s, n in taken.items():
-            left[s] -= n
-            done[s] += n
-        slot += end
-        active = [s for s in active if left[s]]
-    return phases
-
-
-def ranked(docs: DataFrame, counts: DataFrame, source: str, tie: Column, per_share: int = 4096) -> DataFrame:
-    """``docs`` with __rank, from 0 in each source, in the order of a hash of the row. ``counts``:
-    (__s, __n), a row for each source.
-
-    A source is split by the hash's range into shares of about ``per_share`` rows; a share is
-    sorted on its own, and the counts of the shares before it are added. Counting moves
-    no texts; the rows themselves move once, to their shares.
+
+def ranked(rows: DataFrame, sources: DataFrame, per_share: int) -> DataFrame:
+    """``rows`` (s, h, d, size, at, row) with the columns of ``sources`` and before: the sizes of what precedes a row in its
+    source, in the order of h, then d.
+
+    A source is split by ranges of h into shares of about ``per_share`` rows; a share is sorted on
+    its own, and the sums of the shares before it are added. The copies of a row with more than
+    ``per_share`` of them are shares of their own, dealt by where they stand.
     """
     span = 1 << 32
-    hashed = docs.withColumn("__h", F.pmod(F.xxhash64(*[f"`{c}`" for c in docs.columns]), F.lit(span)))
-    keyed = hashed.join(counts, F.col(f"`{source}`").eqNullSafe(F.col("__s")), "left").drop("__s")
-    keyed = keyed.withColumn("__share", F.floor(F.col("__h") * F.ceil(F.col("__n") / per_share) / span)).drop("__n")
-    sizes = keyed.groupBy(F.col(f"`{source}`").alias("__s"), F.col("__share").alias("__t")).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("__s").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__s", "__t", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    starts = materialise(starts, "mixing-starts")  # a row for each share
-    own = Window.partitionBy(f"`{source}`", "__share").orderBy("__h", tie)
-    return (
-        keyed.withColumn("__k", F.row_number().over(own) - 1)
-        .join(starts, F.col(f"`{source}`").eqNullSafe(F.col("__s")) & (F.col("__share") == F.col("__t")))
-        .withColumn("__rank", F.col("__before") + F.col("__k"))
-        .drop("__s", "__t", "__before", "__k", "__h", "__share")
+    often = rows.groupBy("s", "h").agg(F.count("*").alias("copies")).where(F.col("copies") > per_share)
+    often = materialise(often, "mixing-often").select(F.col("s").alias("s2"), F.col("h").alias("h2"), "copies")
+    known = sources.withColumnRenamed("s", "s1")
+    keyed = rows.join(known, F.col("s").eqNullSafe(F.col("s1")), "left").drop("s1")
+    keyed = keyed.join(often, F.col("s").eqNullSafe(F.col("s2")) & (F.col("h") == F.col("h2")), "left")
+    dealt = F.pmod("at", F.ceil(F.col("copies") / per_share))
+    share = F.struct(
+        F.floor(F.col("h") * F.ceil(F.col("n") / per_share) / span).alias("t"),
+        F.coalesce("h2", F.lit(-1)).alias("hot"),
+        F.coalesce(dealt, F.lit(0)).alias("part"),
     )
+    keyed = keyed.withColumn("share", share).drop("s2", "h2", "copies")
+    sums = keyed.groupBy("s", "share").agg(F.sum("size").alias("size"))
+    first = F.sum("size").over(Window.partitionBy("s").orderBy("share").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(F.col("s").alias("s3"), F.col("share").alias("share3"), F.coalesce(first, F.lit(0)).alias("first"))
+    starts = materialise(starts, "mixing-starts")  # a row for each share
+    own = Window.partitionBy("s", "share").orderBy("h", "d", "at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = keyed.withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
+    met = inside.join(starts, F.col("s").eqNullSafe(F.col("s3")) & (F.col("share") == F.col("share3")))
+    return met.withColumn("before", F.col("first") + F.col("inside"))
 
 
 def mix(
@@ -109,51 +105,64 @@ def mix(
     source: str = "source",
     doc_id: str = "doc_id",
     block: int = 16,
+    size: str | None = None,
+    per_share: int = 4096,
 ) -> DataFrame:
     """``docs`` with block (of its source), slot (of the schedule) and place (in the block).
 
-    Order by slot and place is the mixture; ``in_order`` lays it out. ``weights`` are whole blocks per cycle.
+    Order by slot and place is the mixture; ``in_order`` lays it out. ``weights`` are whole blocks per cycle. A
+    block is ``block`` documents, or as many units of the column ``size``, such as tokens or bytes; a
+    document goes in the block that it begins in.
     """
     given = weights or {}
     if any(not isinstance(w, int) or w < 1 for w in [default_weight, *given.values()]):
         raise ValueError("weights must be positive whole numbers")
-    spark, kind = docs.sparkSession, docs.schema[source].dataType.simpleString()
-    counts = docs.groupBy(F.col(f"`{source}`").alias("s")).count().collect()  # a row for each source
+    spark = docs.sparkSession
+    units = F.lit(1) if size is None else F.greatest(F.lit(1), F.coalesce(F.col(f"`{size}`"), F.lit(1)))
+    columns = [f"`{c}`" for c in docs.columns]
+    own = {
+        "s": F.col(f"`{source}`"),
+        "h": F.pmod(F.xxhash64(*columns), F.lit(1 << 32)),
+        "d": F.col(f"`{doc_id}`"),
+        "size": units.cast("long"),
+        "at": F.xxhash64("__file", "__row"),
+        "row": F.struct(*columns),
+    }
+    rows = with_order(docs.select(*columns)).select(*[c.alias(n) for n, c in own.items()])
+    sources = source_table(rows.select("s"), given, default_weight)
+    groups = [tuple(r) for r in sources.groupBy("w").agg(F.max("peers")).orderBy("w").collect()]  # a row for each weight
+    order, places = cycle([w * peers for w, peers in groups]), []
+    counts = [0] * len(groups)
+    for slot, g in enumerate(order):
+        places.append((groups[g][0], counts[g], slot))
+        counts[g] += 1
     # a local table has a known size, so the planner broadcasts it if it is small and moves no texts
-    known = spark.createDataFrame([tuple(r) for r in counts], f"__s {kind}, __n long")
-    placed = ranked(docs, known, source, F.col(f"`{doc_id}`")).withColumns(
-        {"block": F.floor(F.col("__rank") / block), "place": F.pmod("__rank", F.lit(block))}
-    )
-    names = sorted((r["s"] for r in counts), key=lambda s: (s is None, str(s)))
-    sizes = {r["s"]: r["count"] for r in counts}
-    phases = schedule([given.get(s, default_weight) for s in names], [-(-sizes[s] // block) for s in names])
-    rows = [
-        (names[s], p["first"][s], p["first"][s] + p["taken"][s], p["slot"], p["period"], p["places"][s])
-        for p in phases
-        for s in p["places"]
-        if p["taken"][s]
-    ]
-    table = spark.createDataFrame(
-        rows, f"__s {kind}, __first long, __end long, __slot long, __period long, __places array<int>"
-    )
-    # rows: sources times phases, both bounded by the number of sources
-    at = F.col("block") - F.col("__first")
-    size = F.size("__places")
-    slot = F.col("__slot") + F.floor(at / size) * F.col("__period") + F.get("__places", F.pmod(at, size).cast("int"))
-    fits = F.col(f"`{source}`").eqNullSafe(F.col("__s")) & (F.col("block") >= F.col("__first"))
-    fits &= F.col("block") < F.col("__end")
-    return placed.join(table, fits).withColumn("slot", slot.cast("long")).select(
-        *[f"`{c}`" for c in docs.columns if c not in ("block", "slot", "place")], "block", "slot", "place"
-    )
+    table = spark.createDataFrame(places, "w2 long, nth long, offset long")
+    placed = ranked(rows, sources, per_share).withColumn("block", F.floor(F.col("before") / block))
+    nth = F.col("block") * F.col("peers") + F.col("turn")
+    period = F.col("w") * F.col("peers")
+    met = placed.withColumn("round", F.floor(nth / period)).withColumn("in_round", nth - F.col("round") * period)
+    met = met.join(table, (F.col("w") == F.col("w2")) & (F.col("in_round") == F.col("nth")))
+    slot = (F.col("round") * len(order) + F.col("offset")).cast("long")
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("block", "slot", "place")]
+    return met.select(*kept, "block", slot.alias("slot"), (F.col("before") - F.col("block") * block).alias("place"))
 
 
 def in_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``mixed`` by slot and place, cut into partitions of about equally many slots.
+    """``mixed`` by slot and place, cut into partitions of about equally many rows.
 
-    Slots are dense, so their greatest number gives the cuts and no range is sampled.
+    The cuts come from counts of ranges of slots, a bounded number of them, so no range is sampled.
     """
     spark = mixed.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    last = mixed.agg(F.max("slot")).first()[0]
-    part = F.floor(F.col("slot") * count / ((last or 0) + 1)).cast("int")
-    return mixed.repartitionById(count, part).sortWithinPartitions("slot", "place")
+    last = mixed.agg(F.max("slot")).first()[0] or 0
+    width = last // (64 * count) + 1
+    before, cuts = 0, []
+    ranges = mixed.groupBy(F.floor(F.col("slot") / width).alias("r")).count().orderBy("r").collect()
+    total = sum(n for _, n in ranges)
+    for at, n in ranges:
+        cuts.append((at, before * count // total))
+        before += n
+    known = F.broadcast(spark.createDataFrame(cuts, "__r long, __part int"))  # 64 rows a partition at most
+    dealt = mixed.join(known, F.floor(F.col("slot") / width) == F.col("__r"))
+    return dealt.repartitionById(count, F.col("__part")).sortWithinPartitions("slot", "place").select(*[f"`{c}`" for c in mixed.columns])

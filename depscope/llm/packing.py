@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from depscope.llm.arrow import add_columns
+from depscope.llm.order import with_order
 from depscope.llm.tokens import encoder
 from depscope.scratch import materialise
 
@@ -135,25 +136,6 @@ def tightest(sizes: list[int], capacity: int) -> tuple[np.ndarray, int]:
     return places, count
 
 
-def with_order(docs: DataFrame) -> DataFrame:
-    """``docs`` with __file and __row, which sort rows as they were written.
-
-    Spark reads a table's files by size, so for a written table these are the file's name, which has
-    the number of the task that wrote it, and the row's index; for any other frame, the partition and the row in it.
-    """
-    plan = docs._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "SubqueryAlias"):
-        plan = plan.children().head()
-    if plan.nodeName() == "LogicalRelation":
-        name = F.col("_metadata.file_name")
-        number = F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 19, "0")
-        return docs.select("*", F.concat(number, name).alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    at = F.monotonically_increasing_id()
-    made = docs.withColumn("__at", at)
-    number = F.lpad(F.shiftright("__at", 33).cast("string"), 19, "0")
-    return made.select("*", number.alias("__file"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__row")).drop("__at")
-
-
 def in_shares(table: DataFrame, tasks: int) -> DataFrame:
     """``table`` (__file, __row, piece) in ``tasks`` partitions that follow the order of rows."""
     rows, before, starts = table.groupBy("__file").agg(F.max("__row")).orderBy("__file").collect(), 0, []  # a row for each file

@@ -331,42 +331,98 @@ def test_urls(spark):
 # --- mixing
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 40)), min_size=1, max_size=6))
-def test_pfair_lag(sources):
-    weights, blocks = [w for w, _ in sources], [b for _, b in sources]
-    slots = {}
-    for p in mixing.schedule(weights, blocks):
-        ran = Counter()
-        end = max(
-            p["slot"] + (n - 1) // len(p["places"][s]) * p["period"] + p["places"][s][(n - 1) % len(p["places"][s])]
-            for s, n in p["taken"].items() if n
-        )
-        for s, n in p["taken"].items():
-            for i in range(n):
-                q, k = divmod(i, len(p["places"][s]))
-                at = p["slot"] + q * p["period"] + p["places"][s][k]
-                assert at not in slots
-                slots[at] = s
-        for at in range(p["slot"], end + 1):
-            ran[slots[at]] += 1
-            for s in p["places"]:
-                assert abs(ran[s] - (at + 1 - p["slot"]) * weights[s] / p["period"]) < 1
-    assert sorted(slots) == list(range(sum(blocks))) and Counter(slots.values()) == Counter({k: b for k, b in enumerate(blocks) if b})
-
-
-def test_mix_keeps_all(spark):
+def slots_by_force(weights, slots):
+    """Which source has each slot: of the blocks whose window has begun the one that is due first. Slot by slot,
+    over all sources, without cycles."""
+    total, done, out = sum(weights), [0] * len(weights), []
+    for now in range(slots):
+        due = [
+            (-(-(done[s] + 1) * total // w), s)
+            for s, w in enumerate(weights)
+            if done[s] * total // w <= now  # released
+        ]
+        _, s = min(due)
+        done[s] += 1
+        out.append(s)
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=7))
+def test_pfair_cycle(weights):
+    total = sum(weights)
+    order = mixing.cycle(weights)
+    assert order * 3 == slots_by_force(weights, 3 * total)
+    for now in range(1, total + 1):
+        for s, w in enumerate(weights):
+            assert abs(order[:now].count(s) - now * w / total) < 1
+
+
+def mixed_by_force(rows, weights, default, block):
+    """(slot, source) of all blocks: sources of a weight take turns with its slots."""
+    sizes = Counter(r[3] for r in rows)
+    names = {}
+    for s in sorted(sizes, key=lambda s: (s is None, s or "")):
+        names.setdefault(weights.get(s, default), []).append(s)
+    kinds = sorted(names)
+    left = {s: -(-n // block) for s, n in sizes.items()}
+    out, turn = {}, Counter()
+    cycles = max(-(-n // weights.get(s, default)) for s, n in left.items()) + 1
+    for slot, g in enumerate(slots_by_force([w * len(names[w]) for w in kinds], cycles * sum(w * len(n) for w, n in names.items()))):
+        s = names[kinds[g]][turn[g] % len(names[kinds[g]])]
+        turn[g] += 1
+        if left[s]:
+            left[s] -= 1
+            out[slot] = s
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"s0": 3}, {"s0": 2, None: 4, "s9": 5}, {}])
+def test_mix_as_by_force(spark, weights):
     rng = random.Random(6)
-    rows = ROWS + [(50 + k, f"t{k}", "en", rng.choice(["s0", "s0", "s1", "s2", None]), k) for k in range(200)]
-    got = mixing.mix(docs(spark, rows, ["slot"]), {"s0": 3}, block=4).collect()
-    assert len(got) == len(rows) and len({(r["slot"], r["place"]) for r in got}) == len(rows)
-    by_slot = {}
+    rows = ROWS + [(50 + k, f"t{k}", "en", rng.choice(["s0", "s0", "s1", "s2", "s3", "s4", None]), k) for k in range(300)]
+    frame = docs(spark, rows, ["slot", "h", "s", "row", "share", "__h", "__n", "__s"])
+    got = mixing.mix(frame, weights, 2, block=4, per_share=10)
+    assert got.columns == [c for c in frame.columns if c != "slot"] + ["block", "slot", "place"]
+    got = got.collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter((r[0], r[1], r[3]) for r in rows)
+    assert len({(r["slot"], r["place"]) for r in got}) == len(rows)
+    by_slot, full = {}, Counter()
     for r in got:
         assert by_slot.setdefault(r["slot"], r["source"]) == r["source"]
-    assert sorted(by_slot) == list(range(len(by_slot)))
-    assert mixing.mix(docs(spark, [])).collect() == []
-    with pytest.raises(ValueError):
-        mixing.mix(docs(spark), {"s0": 0})
+        full[r["slot"]] += 1
+    assert by_slot == mixed_by_force(rows, weights, 2, 4)
+    blocks = {}
+    for r in got:
+        assert blocks.setdefault((r["source"], r["block"]), r["slot"]) == r["slot"]
+    laid = mixing.in_order(mixing.mix(frame, weights, 2, block=4), 3)
+    parts = [[(r["slot"], r["place"]) for r in part] for part in laid.rdd.glom().collect()]
+    assert sum(parts, []) == sorted(sum(parts, [])) and max(map(len, parts)) < len(rows) / 2
+
+
+def test_mix_by_size_and_copies(spark):
+    rows = [(1, "same", "en", "a", 5)] * 300 + [(2 + k, "x", "en", "b", 1 + k % 9) for k in range(60)] + [(99, "big", "en", "b", 200), (100, "n", "en", "b", None)]
+    got = mixing.mix(docs(spark, rows), {"a": 2}, block=10, size="n_chars", per_share=16).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = sorted((r["block"] * 10 + r["place"], r["n_chars"] or 1) for r in got if r["source"] == s)
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]  # no gaps, none twice
+
+
+def test_mix_odd_input(spark):
+    assert mixing.mix(docs(spark, [])).collect() == [] and mixing.in_order(mixing.mix(docs(spark, []))).collect() == []
+    for bad in ({"s0": 0}, {"s0": 1.5}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs(spark), bad)
+
+
+def test_mix_many_sources(spark):
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "'' AS text", "'' AS lang", "concat('s', id % 20000) AS source", "id AS n_chars")
+    got = mixing.mix(rows, {"s7": 3}, block=1)
+    assert got.count() == 60_000 and got.select("slot").distinct().count() == 60_000
+    first = got.where("source = 's7'").orderBy("slot").limit(3).collect()
+    # 20002 slots a cycle, three of them its own, each in its window
+    assert all(k * 20002 // 3 <= r["slot"] < -(-(k + 1) * 20002 // 3) for k, r in enumerate(first))
 
 
 # --- language
