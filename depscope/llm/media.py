@@ -1,17 +1,21 @@
-"""Bytes as motion-JPEG video in AVI, and shots of such video.
+"""Bytes as motion-JPEG video in AVI, and timed clips of such video.
 
-A payload is stored in frames of up to 64 rows of 64 eight-bit samples, each frame a lossless
+A payload is stored in frames of up to 8 rows of 64 eight-bit samples, each frame a lossless
 JPEG (sequential lossless process, predictor 1, one component) whose restart intervals are
 the rows, so rows decode independently: a batch of rows is coded and decoded in lockstep,
 one sample of every row at a time. The AVI has the usual headers, a ``strd`` chunk with the
 payload's length, the frames as ``00dc`` chunks and an ``idx1`` index.
 
-Shots are cut where the difference of two frames' histograms is far above what the frames
-just before differ by.
+Other files' frames may be baseline JPEG of one or three components, with or without tables of
+their own (``llm/jpeg.py``); their luma is what shots are looked for in. Times follow the file's frame rate.
+
+Shots are cut where the difference of two frames' histograms is above what chance makes of
+frames of their sizes, and far above what the frames just before differ by. Rows that pad the last
+frame and zeros at a payload's end count in no histogram.
 
 Defined results: a null text is an empty payload, stored as 64 zero bytes; equal texts give
-equal media and values; an empty table gives an empty result; a media value that is not such
-an AVI raises ValueError.
+equal media and values; an empty table gives an empty result; a media value that is null, no AVI
+or damaged has one row without a clip and with the error.
 """
 
 from __future__ import annotations
@@ -27,30 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depscope.llm import jpeg
 from depscope.llm.arrow import add_columns
 
 WIDTH = 64
-ROWS = 64
+ROWS = 8
 FPS = 25
-BINS = 32
+BINS = 64
 
 #: Fixed values of the JPEG standard: the usual table for differences, codes per length and symbols.
 CODES_PER_LENGTH = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 SYMBOLS = tuple(range(12))
 
 
-def canonical(per_length: tuple[int, ...], symbols: tuple[int, ...]) -> list[tuple[int, int, int]]:
-    """(symbol, code, length) of a Huffman table as JPEG defines it."""
-    out, code, at = [], 0, 0
-    for length, count in enumerate(per_length, 1):
-        for _ in range(count):
-            out.append((symbols[at], code, length))
-            code, at = code + 1, at + 1
-        code <<= 1
-    return out
-
-
-TABLE = canonical(CODES_PER_LENGTH, SYMBOLS)
+TABLE = jpeg.canonical(CODES_PER_LENGTH, SYMBOLS)
 CODE = np.array([c for _, c, _ in TABLE], np.int64)
 LENGTH = np.array([n for _, _, n in TABLE], np.int64)
 CATEGORY = np.array([int(d).bit_length() for d in range(512)], np.int64)
@@ -135,7 +129,7 @@ def chunks(data: bytes, at: int, end: int):
 
 @dataclass
 class Video:
-    """Index of an AVI: its frames' places, and the payload's length (-1 if not given)."""
+    """Index of an AVI: its frames' places, the payload's length (-1 if not given), and frames a second."""
 
     frames: list[tuple[int, int]]
     payload: int
@@ -143,28 +137,45 @@ class Video:
 
 
 def parse_avi(data: bytes) -> Video:
-    """The frames that ``idx1`` lists, or without one those that ``movi`` holds."""
+    """The frames that ``idx1`` lists, or without one those that ``movi`` holds. The rate is the video stream's, or
+    without one the file's. ValueError if it isn't a whole AVI with frames."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI")
-    frames, listed, payload, fps, movi = [], [], -1, float(FPS), 0
+    frames, listed, payload, rates, movi, kind = [], [], -1, {}, 0, b""
     stack = [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]
     while stack:
         at, end = stack.pop()
+        inner = []
         for name, start, size in chunks(data, at, end):
+            if start + size > len(data):
+                raise ValueError("cut off")
             if name == b"LIST":
                 movi = start if data[start : start + 4] == b"movi" else movi
-                stack.append((start + 4, start + size))
-            elif name == b"avih":
-                fps = 1e6 / max(1, struct.unpack_from("<I", data, start)[0])
+                inner.append((start + 4, start + size))
+            elif name == b"avih" and size >= 4:
+                rates["file"] = 1e6 / max(1, struct.unpack_from("<I", data, start)[0])
+            elif name == b"strh" and size >= 28:
+                kind = data[start : start + 4]
+                scale, rate = struct.unpack_from("<II", data, start + 20)
+                if kind == b"vids" and scale and rate:
+                    rates["stream"] = rate / scale
             elif name == b"strd" and size == 8:
                 payload = struct.unpack_from("<Q", data, start)[0]
             elif name == b"idx1":
                 listed = [struct.unpack_from("<4sIII", data, start + k) for k in range(0, size - 15, 16)]
             elif name[2:] in (b"dc", b"db"):
                 frames.append((start, size))
+        stack += reversed(inner)
     if listed:
-        frames = [(movi + at + 8, size) for name, _, at, size in listed if name[2:] in (b"dc", b"db")]
-    return Video(frames, payload, fps)
+        rows = [(at, size) for name, _, at, size in listed if name[2:] in (b"dc", b"db")]
+        # places count from the list's name or from the file's start, as the first frame shows
+        base = 0 if rows and data[rows[0][0] + 2 : rows[0][0] + 4] in (b"dc", b"db") and rows[0][0] >= movi else movi
+        frames = [(base + at + 8, size) for at, size in rows]
+    if not frames:
+        raise ValueError("no frames")
+    if any(start + size > len(data) for start, size in frames):
+        raise ValueError("frames behind the end")
+    return Video(frames, payload, rates.get("stream", rates.get("file", float(FPS))))
 
 
 @dataclass
@@ -176,12 +187,15 @@ class Frame:
     segments: list[bytes]
 
 
-def parse_frame(data: bytes) -> Frame:
-    """Marker segments of one lossless JPEG frame, and its restart intervals without stuffing."""
+def parse_frame(data: bytes) -> Frame | None:
+    """Marker segments of one lossless frame of one component, rows apart, and its restart intervals without
+    stuffing; None for any other process."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    at, height, width, table = 2, 0, 0, ((), ())
+    at, height, width, table, restart = 2, 0, 0, ((), ()), 0
     while True:
+        if at + 4 > len(data) or data[at] != 0xFF:
+            raise ValueError("broken marker")
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
         if marker == 0xC4:
@@ -189,20 +203,27 @@ def parse_frame(data: bytes) -> Frame:
         elif marker == 0xC3:
             precision, height, width, parts = struct.unpack_from(">BHHB", body)
             if precision != 8 or parts != 1:
-                raise ValueError("only 8-bit frames of one component")
-        elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
-            raise ValueError("not a lossless frame")
+                raise ValueError("only 8-bit lossless frames of one component")
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return None
+        elif marker == 0xDD:
+            restart = struct.unpack_from(">H", body)[0]
         elif marker == 0xDA:
             break
         at += 2 + size
-    coded = data[at + 2 + size : data.rindex(b"\xff\xd9")]
-    return Frame(height, width, *table, [s.replace(b"\xff\x00", b"\xff") for s in _RESTART.split(coded)])
+    end = data.rfind(b"\xff\xd9")
+    if end < at + 2 + size:
+        raise ValueError("no end of image")
+    segments = [s.replace(b"\xff\x00", b"\xff") for s in _RESTART.split(data[at + 2 + size : end])]
+    if not height or restart != width or len(segments) != height:
+        raise ValueError("rows aren't restart intervals")
+    return Frame(height, width, *table, segments)
 
 
 def decode_rows(segments: list[bytes], per_length: tuple[int, ...], symbols: tuple[int, ...], width: int) -> np.ndarray:
     """Samples of each segment, one row each, all decoded in lockstep."""
     sizes, lengths = np.zeros(1 << 16, np.uint8), np.ones(1 << 16, np.uint8)
-    for symbol, code, length in canonical(per_length, symbols):
+    for symbol, code, length in jpeg.canonical(per_length, symbols):
         first = code << 16 - length
         sizes[first : first + (1 << 16 - length)] = symbol
         lengths[first : first + (1 << 16 - length)] = length
@@ -248,38 +269,96 @@ def store(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def load(media: list[bytes]) -> list[tuple[np.ndarray, int]]:
-    """Of each AVI the frames as (count, height, width) samples, and the payload's length."""
-    videos = [parse_avi(m) for m in media]
-    frames = [[parse_frame(m[a : a + n]) for a, n in v.frames] for m, v in zip(media, videos, strict=True)]
+@dataclass
+class Loaded:
+    """A file's frames as samples, its payload's length (-1 if not given) and its rate; or what is wrong with it."""
+
+    images: list[np.ndarray]
+    payload: int = -1
+    fps: float = float(FPS)
+    error: str | None = None
+
+
+def load(media: list[bytes | None]) -> list[Loaded]:
+    """Each file decoded; frames' rows of all files go in lockstep."""
+    found: list[Loaded] = []
+    parsed: list[list[Frame | bytes]] = []
     kinds: dict[tuple, list[bytes]] = {}
-    for own in frames:
+    for data in media:
+        own: list[Frame | bytes] = []
+        try:
+            if data is None:
+                raise ValueError("no media")
+            video = parse_avi(data)
+            for at, size in video.frames:
+                frame = parse_frame(data[at : at + size])
+                own.append(data[at : at + size] if frame is None else frame)
+            found.append(Loaded([], video.payload, video.fps))
+        except (ValueError, IndexError, struct.error) as problem:
+            own = []
+            found.append(Loaded([], error=str(problem)))
+        parsed.append(own)
         for f in own:
-            kinds.setdefault((f.per_length, f.symbols, f.width), []).extend(f.segments)
+            if isinstance(f, Frame):
+                kinds.setdefault((f.per_length, f.symbols, f.width), []).extend(f.segments)
     rows = {kind: decode_rows(segments, *kind) for kind, segments in kinds.items()}
     at = dict.fromkeys(rows, 0)
-    out = []
-    for own, video in zip(frames, videos, strict=True):
-        images = []
+    for own, out in zip(parsed, found, strict=True):
         for f in own:
-            kind = (f.per_length, f.symbols, f.width)
-            images.append(rows[kind][at[kind] : at[kind] + f.height])
-            at[kind] += f.height
-        out.append((np.stack(images), video.payload))
-    return out
-
-
-def shots(images: np.ndarray, span: int = 8, spread: float = 3.0, least: float = 0.1) -> list[tuple[int, int]]:
+            if isinstance(f, Frame):
+                kind = (f.per_length, f.symbols, f.width)
+                out.images.append(rows[kind][at[kind] : at[kind] + f.height])
+                at[kind] += f.height
+            elif out.error is None:
+                try:
+                    out.images.append(jpeg.luma(f))
+                except (ValueError, IndexError, KeyError, struct.error) as problem:
+                    out.error = str(problem)
+        if out.error is not None:
+            out.images = []
+    return found
+
+
+def content_samples(video: Loaded) -> int:
+    """How many samples from the start count: those of the payload without zeros at its end, 1 at least; all if
+    no payload is given."""
+    total = sum(map(np.size, video.images))
+    if video.payload < 0:
+        return total
+    left, size = min(video.payload, total), 0
+    last = -1
+    for k, image in enumerate(video.images):
+        held = np.flatnonzero(image.ravel()[: max(0, left - size)])
+        last = size + int(held[-1]) if len(held) else last
+        size += image.size
+    return max(1, last + 1)
+
+
+def histograms(images: list[np.ndarray], samples: int) -> np.ndarray:
+    """Counts by frame and bin of the first ``samples`` samples."""
+    flat = np.concatenate([image.ravel() for image in images])[:samples]
+    which = np.repeat(np.arange(len(images)), [image.size for image in images])[:samples]
+    bins = which * BINS + (flat.astype(np.int64) * BINS >> 8)
+    return np.bincount(bins, minlength=len(images) * BINS).reshape(-1, BINS)
+
+
+def shots(images: list[np.ndarray] | np.ndarray, samples: int = -1, span: int = 8, spread: float = 3.0, least: float = 0.1) -> list[tuple[int, int]]:
     """(first frame, end frame) of each clip.
 
-    A cut lies where the histogram difference, 0 to 1, is over ``least`` and over the mean plus
-    ``spread`` deviations of the up to ``span`` differences since the last cut.
+    The difference of two histograms, 0 to 1, counts less what two samples of their sizes from the frames'
+    common distribution differ by on average. A cut lies where that is over ``least`` and over the mean
+    plus ``spread`` deviations of the up to ``span`` differences since the last cut. Only the first
+    ``samples`` samples count, or all.
     """
-    count = len(images)
-    bins = images.reshape(count, -1) >> 3
-    which = bins.astype(np.int64) + np.arange(count)[:, None] * BINS
-    hist = np.bincount(which.ravel(), minlength=count * BINS).reshape(count, BINS) / bins.shape[1]
-    steps = np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2
+    images = list(images)
+    counts = histograms(images, sum(map(np.size, images)) if samples < 0 else samples).astype(np.float64)
+    sizes = counts.sum(axis=1)
+    a, b, n, m = counts[:-1], counts[1:], sizes[:-1, None], sizes[1:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        common = (a + b) / (n + m)
+        chance = np.sqrt(2 / np.pi * common * (1 - common) * (1 / n + 1 / m)).sum(axis=1) / 2
+        steps = np.abs(a / n - b / m).sum(axis=1) / 2 - chance
+    steps = np.where(np.isfinite(steps), np.maximum(0.0, steps), 0.0)  # a frame that doesn't count differs from none
     cuts, recent = [0], []
     for k, step in enumerate(steps.tolist(), 1):
         known = len(recent) >= 2
@@ -290,7 +369,12 @@ def shots(images: np.ndarray, span: int = 8, spread: float = 3.0, least: float =
             recent = []
         else:
             recent = [*recent[1 - span :], step]
-    return list(zip(cuts, [*cuts[1:], count], strict=True))
+    return list(zip(cuts, [*cuts[1:], len(images)], strict=True))
+
+
+def timed(video: Loaded) -> list[tuple[int, int, float, float]]:
+    """(first frame, end frame, start and end in seconds) of each clip."""
+    return [(a, b, round(a / video.fps, 6), round(b / video.fps, 6)) for a, b in shots(video.images, content_samples(video))]
 
 
 def padded_payload(text: str | None) -> tuple[bytes, int]:
@@ -308,27 +392,42 @@ def as_media(docs: DataFrame, text: str = "text") -> DataFrame:
     return add_columns(docs, text, [("media", T.BinaryType()), ("n_bytes", T.LongType())], compute)
 
 
-CLIP = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("first_frame", T.LongType()),
-            T.StructField("end_frame", T.LongType()),
-            T.StructField("start_s", T.DoubleType()),
-            T.StructField("end_s", T.DoubleType()),
-        ]
-    )
+CLIPS = T.StructType(
+    [
+        T.StructField("error", T.StringType()),
+        T.StructField(
+            "clips",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("first_frame", T.LongType()),
+                        T.StructField("end_frame", T.LongType()),
+                        T.StructField("start_s", T.DoubleType()),
+                        T.StructField("end_s", T.DoubleType()),
+                    ]
+                )
+            ),
+        ),
+    ]
 )
+CLIP_COLUMNS = ("clip", "first_frame", "end_frame", "start_s", "end_s", "error")
 
 
 def clips(table: DataFrame, media: str = "media") -> DataFrame:
-    """A row for each clip of each AVI in ``media``: ``table`` without it, clip, and the clip's times."""
+    """A row for each clip of each AVI in ``media``: ``table`` without it, clip from 0, its frames and times, error.
+
+    Columns of ``table`` named as a result column give way to it.
+    """
 
-    def compute(values: list[bytes]) -> list[list]:
-        return [[[(a, b, a / FPS, b / FPS) for a, b in shots(images)] for images, _ in load(values)]]
+    def compute(values: list[bytes | None]) -> list[list]:
+        found = load(values)
+        return [[{"error": v.error, "clips": [] if v.error else [dict(zip(CLIP_COLUMNS[1:5], c, strict=True)) for c in timed(v)]} for v in found]]
 
-    found = add_columns(table.where(F.col(f"`{media}`").isNotNull()), media, [("clips", CLIP)], compute, drop=True)
-    rest = [f"`{c}`" for c in found.columns if c not in ("clips", "clip")]
-    return found.select(*rest, F.posexplode("clips").alias("clip", "x")).select(*rest, "clip", "x.*")
+    kept = [f"`{c}`" for c in table.columns if c not in CLIP_COLUMNS]
+    found = add_columns(table.select(*kept), media, [("__found", CLIPS)], compute, drop=True)
+    rest = [f"`{c}`" for c in found.columns if c != "__found"]
+    rows = found.select(*rest, F.posexplode_outer("__found.clips").alias("clip", "__x"), F.col("__found.error").alias("error"))
+    return rows.select(*rest, "clip", *[F.col(f"__x.{c}").alias(c) for c in CLIP_COLUMNS[1:5]], "error")
 
 
 DIGEST = [
@@ -344,13 +443,16 @@ DIGEST = [
 
 def stored_and_read(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with digests of the media and of the payload read back from it;
-    feature lists the clips as first-end frames."""
+    feature lists the clips, each as first-end@start, frames and seconds."""
 
     def compute(values: list[str | None]) -> list[list]:
         pairs = [padded_payload(v) for v in values]
         media, out = store([p for p, _ in pairs]), []
-        for stored, (_, n_bytes), (images, size) in zip(media, pairs, load(media), strict=True):
-            back = images.tobytes()[:size]
+        for stored, (_, n_bytes), video in zip(media, pairs, load(media), strict=True):
+            if video.error:
+                raise ValueError(video.error)
+            size = video.payload
+            back = b"".join(image.tobytes() for image in video.images)[:size]
             out.append(
                 [
                     n_bytes,
@@ -359,7 +461,7 @@ def stored_and_read(docs: DataFrame, text: str = "text") -> DataFrame:
                     zlib.crc32(back[-64:]),
                     len(stored),
                     hashlib.sha256(stored).hexdigest(),
-                    ",".join(f"{a}-{b}" for a, b in shots(images)),
+                    ",".join(f"{a}-{b}@{start:.2f}" for a, b, start, _ in timed(video)),
                 ]
             )
         return list(map(list, zip(*out, strict=True))) if out else [[]] * len(DIGEST)

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from depscope.llm import langid, linededup, media, mixing, packing, private, quality, simhash, tokens, urls
+from depscope.llm import langid, linededup, mixing, packing, private, quality, simhash, tokens, urls
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -277,32 +277,6 @@ def test_sum_of_squares_rule(sizes):
     assert check_sequences(list(zip(s.tolist(), o.tolist(), sizes, strict=True)), 100) >= -(-sum(sizes) // 100)
 
 
-# --- media
-
-
-def test_media_round_trip(spark):
-    rng = random.Random(8)
-    payloads = [rng.randbytes(64 * rng.randrange(1, 200)) for _ in range(20)] + [b"\xff" * 640, b"\0" * 64, bytes([0, 255]) * 4160]
-    stored = media.store(payloads)
-    assert [images.tobytes()[:size] for images, size in media.load(stored)] == payloads
-    assert stored == media.store(payloads)
-    without_index = stored[0][: stored[0].index(b"idx1")]
-    assert [f[1] for f in media.parse_avi(without_index).frames] == [f[1] for f in media.parse_avi(stored[0]).frames]
-    with pytest.raises(ValueError):
-        media.parse_avi(b"RIFFxxxxWAVE")
-    got = {r["doc_id"]: r for r in media.stored_and_read(docs(spark, extra=["feature"])).collect()}
-    assert got[3]["n_bytes"] == 0 and got[3]["payload_bytes"] == 64
-    assert got[3]["payload_sha256"] == hashlib.sha256(b"\0" * 64).hexdigest()
-    assert got[4]["payload_sha256"] == hashlib.sha256(media.padded_payload(LONG)[0]).hexdigest()
-    assert media.clips(media.as_media(docs(spark))).count() >= len(ROWS)
-
-
-def test_shots():
-    dark, light = np.zeros((6, 64, 64), np.uint8), np.full((6, 64, 64), 200, np.uint8)
-    assert media.shots(np.concatenate([dark, light, dark])) == [(0, 6), (6, 12), (12, 18)]
-    assert media.shots(dark[:1]) == [(0, 1)]
-
-
 # --- URLs
 
 
