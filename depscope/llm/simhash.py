@@ -1,18 +1,23 @@
-"""Near-duplicates by SimHash: fingerprints, a vantage-point tree over them, components.
-
-The tree routes fingerprints to shards by Hamming distance. A node has a vantage point and
-a slice of the bits that no node above it uses; its children are ranges of the distance
-between a fingerprint's slice and the vantage point's. By the triangle inequality two
-fingerprints whose slice distances differ by k differ in k bits of that slice at least, and
-as slices are disjoint these bounds add up along a path: a search with radius r enters a
-child only while the sum stays within r. Few shards are told apart best by all 64 bits, more
-by more and narrower slices. A fingerprint has one home shard and is also sent to the later
-shards that its search enters, so every pair within r meets in a shard.
-A shard goes on with the same tree in memory, compares exactly at the leaves, and gives out
+"""Near-duplicates by SimHash: fingerprints, vantage-point trees over them, components.
+
+Of two fingerprints within radius r one half differs in r // 2 bits at most, so there is a tree for
+each half of the bits, searched with that radius. A tree routes fingerprints to shards by Hamming
+distance. A node has a vantage point and a slice of the half's bits that no node above it uses; its
+children are ranges of the distance between a fingerprint's slice and the vantage point's. By the
+triangle inequality two fingerprints whose slice distances differ by k differ in k bits of that slice
+at least, and as slices are disjoint these bounds add up along a path: a search enters a child only
+while the sum stays within its radius. Few shards are told apart best by a whole half, more by more
+and narrower slices. A fingerprint has one home shard a tree and is also sent to the later shards
+that its search enters, so every pair within r meets in a shard of one tree. What it costs: a
+search of a whole fingerprint with radius 3 would enter 126 of 18,000 shards on average; both halves
+together enter about a tenth of that (figures in the README).
+A leaf that holds more than its share, when all slices are used or the tree may not grow, is dealt to
+several shards by hash, and a search enters those from its own on.
+A shard goes on with the same bounds in memory, compares exactly at the leaves, and gives out
 a spanning forest of its links rather than the links, so a dense group costs no more
 than its members. Components join the shards' forests.
 
-The tree is fitted to a bounded sample (``sample``, ``max_shards``), which only sets how even
+The trees are fitted to a bounded sample (``sample``, ``max_leaves``), which only sets how even
 the shards are; every fingerprint is indexed and searched.
 
 Defined results: a null text is empty and has fingerprint zero, linked like any other;
@@ -52,6 +57,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         lists = [words[k:] for k in range(shingle)]
         hashes = np.fromiter((digest(join(t), SEED) for t in zip(*lists, strict=False)), np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are set in over half of ``hashes``."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -68,38 +78,44 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE
     return add_columns(docs, text, [("fp", T.LongType())], compute, drop=drop)
 
 
-def slice_distance(points: np.ndarray, vantage: int, k: int, width: int) -> np.ndarray:
-    mask = np.uint64(((1 << width) - 1) << (width * k))
+HALF = 32
+
+
+def slice_distance(points: np.ndarray, vantage: int, cut: int, width: int) -> np.ndarray:
+    """Differing bits among the ``width`` ones from bit ``cut`` up."""
+    mask = np.uint64(((1 << width) - 1) << cut)
     return np.bitwise_count((points ^ np.uint64(vantage)) & mask).astype(np.int16)
 
 
 def slice_width(shards: float) -> int:
-    """The widest slices that tell ``shards`` apart: each splits random points into about as
+    """The widest slices of a half that tell ``shards`` apart: each splits random points into about as
     many even parts as the deviation of its distance allows."""
-    width = 64
-    while width > 4 and (2 * (np.pi * width / 4) ** 0.5) ** (64 // width) < shards:
+    width = HALF
+    while width > 4 and (2 * (np.pi * width / 4) ** 0.5) ** (HALF // width) < shards:
         width //= 2
     return width
 
 
 @dataclass
 class Node:
-    """An inner node has a vantage point, a slice and children by distance, (low, high, node); a leaf has a shard."""
+    """An inner node has a vantage point, a slice and children by distance, (low, high, node); a leaf has its first shard
+    and how many there are."""
 
     shard: int = -1
+    parts: int = 1
     vantage: int = 0
     cut: int = -1
-    width: int = 64
+    width: int = HALF
     children: tuple = ()
 
 
 def best_cut(sample: np.ndarray, unused: list[int], width: int, tries: int = 3) -> tuple[int, int]:
     """The unused slice and vantage point whose distances spread the sample best."""
     best = (np.inf, 0, 0)
-    for k in unused:
+    for cut in unused:
         for vantage in sample[:: max(1, len(sample) // tries)][:tries].tolist():
-            shares = np.bincount(slice_distance(sample, vantage, k, width)) / len(sample)
-            best = min(best, (float(shares @ shares), k, vantage))
+            shares = np.bincount(slice_distance(sample, vantage, cut, width)) / len(sample)
+            best = min(best, (float(shares @ shares), cut, vantage))
     return best[1], best[2]
 
 
@@ -116,35 +132,43 @@ def ranges(counts: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def fit_tree(sample: np.ndarray, most: float) -> tuple[Node, int]:
-    """A tree whose leaves hold at most ``most`` of the sample where slices allow; number of shards."""
-    count = 0
+def fit_tree(sample: np.ndarray, most: float, first: int = 0, split: float = np.inf, half: int = 0) -> tuple[Node, int]:
+    """A tree over ``half`` 0 or 1 of the bits whose leaves hold at most ``most`` of the sample where slices allow; shards
+    count from ``first``, one for each ``split`` of a leaf's sample. Returns the next free shard, too."""
+    count = first
     width = slice_width(len(sample) / most)
 
     def grow(points: np.ndarray, unused: list[int]) -> Node:
         nonlocal count
         if len(points) <= most or not unused:
-            count += 1
-            return Node(shard=count - 1)
+            parts = max(1, int(np.ceil(len(points) / split)))
+            count += parts
+            return Node(count - parts, parts)
         cut, vantage = best_cut(points, unused, width)
         d = slice_distance(points, vantage, cut, width)
         rest = [k for k in unused if k != cut]
         parts = ranges(np.bincount(d, minlength=width + 1), most / 2)
         children = tuple((low, high, grow(points[(d >= low) & (d <= high)], rest)) for low, high in parts)
-        return Node(-1, vantage, cut, width, children)
+        return Node(-1, 1, vantage, cut, width, children)
 
-    return grow(np.sort(sample.astype(np.uint64)), list(range(64 // width))), count
+    tree = grow(np.sort(sample.astype(np.uint64)), list(range(half * HALF, (half + 1) * HALF, width)))
+    return tree, count
 
 
 def route(node: Node, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, indices of points, whether at home) for each shard that a search enters."""
+    """(shard, indices of points, whether at home) for each shard that a search enters: of the shards at home the one
+    that a point is dealt to and those behind it."""
     stack = [(node, np.arange(len(points)), np.full(len(points), radius, np.int16))]
     while stack:
         at, idx, left = stack.pop()
         if not len(idx):
             continue
         if at.cut < 0:
-            yield at.shard, idx, left
+            home = left == radius  # the full radius is left at home only, as ranges don't overlap
+            own = (points[idx] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % at.parts
+            for part in range(at.parts):
+                enters = ~home | (own <= part)
+                yield at.shard + part, idx[enters], (home & (own == part))[enters]
             continue
         d = slice_distance(points[idx], at.vantage, at.cut, at.width)
         for low, high, child in at.children:
@@ -152,6 +176,18 @@ def route(node: Node, points: np.ndarray, radius: int) -> Iterator[tuple[int, np
             stack.append((child, idx[rest >= 0], rest[rest >= 0]))
 
 
+def visits(tree: Node, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, indices of points, whether at home) of each point's home shard and the later ones that its search enters."""
+    entered = list(route(tree, points, radius))
+    first = np.full(len(points), -1, np.int64)
+    for shard, idx, home in entered:
+        first[idx[home]] = shard
+    for shard, idx, home in entered:
+        later = first[idx] <= shard
+        if later.any():
+            yield shard, idx[later], home[later]
+
+
 def find_roots(parent: np.ndarray) -> np.ndarray:
     while True:
         up = parent[parent]
@@ -173,20 +209,26 @@ def join_links(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shard_forest(
-    home: np.ndarray, visitors: np.ndarray, radius: int, leaf: int = 192, width: int = 16
+    home: np.ndarray, visitors: np.ndarray, radius: int, half: int = 0, leaf: int = 192, width: int = 8
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, root) of the forest over links between ``home`` and everything in the shard."""
+    """Edges (member, root) of the forest over links between ``home`` and everything in the shard whose ``half``
+    differs in ``radius`` // 2 bits at most; the other tree finds the rest."""
     points = np.concatenate([home, visitors])
     parent = np.arange(len(points))
     everyone = np.arange(len(points))
-    stack = [(np.arange(len(home)), everyone, np.full(len(points), radius, np.int16), 0)]
+    inner = list(range(half * HALF, (half + 1) * HALF, width))
+    outer = [k for k in range(0, 2 * HALF, width) if k not in inner]
+    stack = [(np.arange(len(home)), everyone, np.full(len(points), radius // 2, np.int16), 0)]
     while stack:
         own, seekers, left, level = stack.pop()
         if not len(own) or not len(seekers):
             continue
-        if len(own) > leaf and level < 64 // width:
+        if len(own) > leaf and level < len(inner) + len(outer):
+            if level == len(inner):  # the bits that the near half leaves of the radius are not known: all of it
+                left = np.full(len(seekers), radius, np.int16)
             vantage = int(points[own[len(own) // 2]])
-            d, e = (slice_distance(points[x], vantage, level, width) for x in (own, seekers))
+            cut = (inner + outer)[level]
+            d, e = (slice_distance(points[x], vantage, cut, width) for x in (own, seekers))
             for k in np.unique(d).tolist():
                 rest = left - np.abs(e - k)
                 stack.append((own[d == k], seekers[rest >= 0], rest[rest >= 0], level + 1))
@@ -204,10 +246,11 @@ def shard_forest(
     return points[moved], points[parent[moved]]
 
 
-def links(fps: DataFrame, radius: int = 3, sample: int = 65536, target: int = 65536, max_shards: int = 16384) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, sample: int = 65536, target: int = 65536, max_leaves: int = 16384) -> DataFrame:
     """(a, b) edges that connect the distinct fingerprints ``fps`` (fp) as the links do.
 
-    ``target`` fingerprints are aimed at per shard, more if that took over ``max_shards``.
+    ``target`` fingerprints are aimed at per shard and tree, and up to twice as many are held; a leaf of more is
+    several shards, as it is where a tree would need over ``max_leaves`` leaves.
     """
     spark = fps.sparkSession
     count = fps.count()
@@ -215,9 +258,11 @@ def links(fps: DataFrame, radius: int = 3, sample: int = 65536, target: int = 65
     part = int(grain * min(1.0, sample / max(1, count)))
     drawn = fps.where(F.pmod(F.xxhash64("fp"), F.lit(grain)) < part).limit(2 * sample)
     points = np.array([r[0] for r in drawn.collect()], dtype=np.int64).view(np.uint64)
-    most = max(target, count / max_shards) * max(1, len(points)) / max(1, count)
-    tree, _ = fit_tree(points, most)
-    shared = spark.sparkContext.broadcast(tree)
+    share = max(1, len(points)) / max(1, count)
+    most = max(target, count / max_leaves) * share
+    low, second = fit_tree(points, most, 0, 2 * target * share, 0)
+    high, _ = fit_tree(points, most, second, 2 * target * share, 1)
+    shared = spark.sparkContext.broadcast((low, high))
     routed = T.StructType(
         [T.StructField("shard", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("home", T.BooleanType())]
     )
@@ -225,26 +270,18 @@ def links(fps: DataFrame, radius: int = 3, sample: int = 65536, target: int = 65
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            visits = list(route(shared.value, points, radius))
-            home = np.zeros(len(points), np.int64)
-            for shard, idx, left in visits:
-                home[idx[left == radius]] = shard  # the full radius is left at home only: ranges don't overlap
-            for shard, idx, _ in visits:
-                later = idx[home[idx] <= shard]
-                if len(later):
+            for tree in shared.value:
+                for shard, idx, home in visits(tree, points, radius // 2):
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(later), shard, np.int32)),
-                            pa.array(points[later].view(np.int64)),
-                            pa.array(home[later] == shard),
-                        ],
+                        [pa.array(np.full(len(idx), shard, np.int32)), pa.array(points[idx].view(np.int64)), pa.array(home)],
                         names=["shard", "fp", "home"],
                     )
 
     def search(table: pa.Table) -> pa.Table:
         points = table.column("fp").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy()
-        a, b = shard_forest(points[home], points[~home], radius)
+        half = int(table.num_rows > 0 and table.column("shard")[0].as_py() >= second)
+        a, b = shard_forest(points[home], points[~home], radius, half)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return fps.mapInArrow(send, routed).groupBy("shard").applyInArrow(search, "a long, b long")
@@ -271,10 +308,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 3) -> DataFrame:
-    """The row of ``docs`` with the least doc_id of each component, ties by a hash of the row;
-    of rows equal in all columns one stays."""
-    columns = docs.columns
-    marked = docs.withColumn("__row", F.xxhash64(*[f"`{c}`" for c in columns]))
+    """The row of ``docs`` with the least doc_id of each component, ties by a hash of the row; of rows
+    equal in all columns one stays."""
+    columns = [f"`{c}`" for c in docs.columns]
+    wide = F.concat(F.hex(F.xxhash64(*columns)), F.hex(F.xxhash64(F.lit("second"), *columns)))  # 128 bits
+    marked = docs.withColumn("__row", wide)
     prints = with_fingerprint(marked.select(f"`{doc_id}`", f"`{text}`", "__row"), text, drop=True)
     prints = materialise(prints, "simhash-prints")
     key = F.struct(F.col(f"`{doc_id}`").isNull().alias("n"), F.col(f"`{doc_id}`").alias("d"), F.col("__row").alias("r"))
@@ -283,4 +321,4 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rad
         prints.groupBy("fp").agg(F.min(key).alias("k")).join(groups, "fp").groupBy("component").agg(F.min("k").alias("k"))
     )
     chosen = firsts.select(F.col("k.r").alias("__row")).distinct()
-    return marked.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in columns])
+    return marked.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).select(*columns)

@@ -187,20 +187,36 @@ def linked_by_force(prints):
     return simhash.find_roots(parent)
 
 
-@pytest.mark.parametrize("target", [40, 400, 100_000])
-def test_links_lose_nothing(spark, target):
+@pytest.mark.parametrize(("target", "leaves"), [(40, 16384), (40, 4), (400, 16384), (400, 1), (100_000, 16384)])
+def test_links_lose_nothing(spark, target, leaves):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**64, 800, dtype=np.uint64)
     near = base[:400] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
     dense = base[0] ^ (np.uint64(1) << rng.integers(0, 9, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 9, 200).astype(np.uint64))
     prints = np.unique(np.concatenate([base, near, dense]))
     frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
-    edges = simhash.links(frame, target=target).collect()
+    edges = simhash.links(frame, target=target, max_leaves=leaves).collect()
     at = {int(p): k for k, p in enumerate(prints.view(np.int64))}
     a, b = (np.array([at[e[k]] for e in edges]) for k in (0, 1))
     assert np.array_equal(simhash.find_roots(simhash.join_links(np.arange(len(prints)), a, b)), linked_by_force(prints))
 
 
+def test_a_search_enters_few_shards():
+    """What each fingerprint costs: a hundred leaves or thousands a tree, not the larger part of them."""
+    rng = np.random.default_rng(1)
+    sample, asked = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (65536, 2000))
+    for leaves, most in ((100, 8), (16384, 16)):
+        sent = 0
+        for half in (0, 1):
+            tree, _ = simhash.fit_tree(sample, len(sample) / leaves, half=half)
+            homes = np.zeros(len(asked), int)
+            for _, idx, home in simhash.visits(tree, asked, 1):
+                sent += len(idx)
+                homes[idx[home]] += 1
+            assert (homes == 1).all()
+        assert sent / len(asked) < most
+
+
 def test_near_duplicates(spark):
     got = simhash.near_duplicates(docs(spark, extra=["fp", "component_id"])).collect()
     assert len(got) == len(ROWS)
