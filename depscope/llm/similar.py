@@ -1,13 +1,15 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: shared prefixes, verified pairs, components.
+"""Near-duplicates by SimHash with exact decisions: Jaccard similarity of word shingles.
 
-Fingerprints within any radius of bits miss some similar pairs, so candidates come from prefixes:
-a text's distinct shingles are put in one order for all texts, and two sets with similarity t
-share a shingle among the first n - ceil(t n) + 1 of each. Any fixed order will do; shingles that are frequent
-in a sample of texts come last, so few candidates are made, and the sample changes no result.
+Fingerprints of the shingle sets go through the vantage-point trees of ``llm/simhash.py``: what they link,
+and sets of one fingerprint, are candidates. Fingerprints within any radius of bits miss some similar
+pairs, so candidates come from prefixes, too: a text's distinct shingles are put in one order for all
+texts, and two sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each. Any
+fixed order will do; shingles that are frequent in a sample of texts come last, so few candidates are
+made, and the sample changes no result.
 
-A candidate pair is joined only if the shingle sets themselves have similarity t. First each text
-that shares a prefix shingle meets the least text that has it, which joins large groups of
-copies at a linear cost; then all texts of a shingle that are in different groups meet.
+A candidate pair is joined only if the shingle sets themselves have similarity t. First what SimHash
+links, and each text that shares a prefix shingle with the least text that has it, which joins large
+groups of copies at a linear cost; then all texts of a shingle that are in different groups meet.
 
 Defined results: a text of no more words than a shingle is one shingle, a null text is empty, and empty
 texts equal each other; a null doc_id comes last; of rows equal in all columns one stays; an empty table
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depscope.llm import simhash
 from depscope.llm.arrow import add_columns
 from depscope.operators.components import components
 from depscope.scratch import materialise
@@ -83,7 +86,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: tuple[int, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[int, np.ndarray] = {}
+            known: dict[bytes, np.ndarray] = {}
             keep = []
             a, b, x, y = (batch.column(k) for k in range(4))
             for k, (i, j) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
@@ -95,7 +98,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: tuple[int, i
 
     left = texts.select(F.col("sig").alias("a"), "x")
     right = texts.select(F.col("sig").alias("b"), F.col("x").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def texts_of(pairs: DataFrame, rows: DataFrame, marked: DataFrame) -> DataFrame:
@@ -105,10 +108,22 @@ def texts_of(pairs: DataFrame, rows: DataFrame, marked: DataFrame) -> DataFrame:
     return materialise(marked.join(wanted, "__row").select("sig", "x").dropDuplicates(["sig"]), "similar-texts")
 
 
-def links(sets: DataFrame, rows: DataFrame, marked: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
+def fingerprint_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of sets that SimHash links: those of one fingerprint with the least of them, and the least ones of
+    linked fingerprints. ``prints``: (sig, fp)."""
+    low = materialise(prints.groupBy("fp").agg(F.min("sig").alias("low")), "similar-fingerprints")
+    same = prints.join(low, "fp").where("sig <> low").select(F.col("low").alias("a"), F.col("sig").alias("b"))
+    linked = simhash.links(low.select("fp"), radius).toDF("f", "g")
+    one = low.select(F.col("fp").alias("f"), F.col("low").alias("x"))
+    other = low.select(F.col("fp").alias("g"), F.col("low").alias("y"))
+    near = linked.join(one, "f").join(other, "g").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(near)
+
+
+def links(sets: DataFrame, rows: DataFrame, marked: DataFrame, width: int, least: tuple[int, int], radius: int) -> DataFrame:
     """(a, b) edges that connect the distinct sets as all similar pairs do.
 
-    ``sets``: (sig, n, prefix); ``rows``: (sig, __row); ``marked``: (__row, x).
+    ``sets``: (sig, n, fp, prefix); ``rows``: (sig, __row); ``marked``: (__row, x).
     """
     shared = sets.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1").select("h")
     shared = materialise(shared, "similar-shared")
@@ -120,8 +135,8 @@ def links(sets: DataFrame, rows: DataFrame, marked: DataFrame, width: int, least
     def fits(n: str, m: str):
         return least[1] * F.least(n, m) >= least[0] * F.greatest(n, m)
 
-    star = held.join(low, "h").where("sig <> low").where(fits("n", "m"))
-    star = materialise(star.select(F.col("low").alias("a"), F.col("sig").alias("b")).distinct(), "similar-star")
+    star = held.join(low, "h").where("sig <> low").where(fits("n", "m")).select(F.col("low").alias("a"), F.col("sig").alias("b"))
+    star = materialise(star.unionByName(fingerprint_pairs(sets.select("sig", "fp"), radius)).distinct(), "similar-star")
     first = materialise(verified(star, texts_of(star, rows, marked), width, least), "similar-first")
     groups = components(first)
     named = held.join(groups, held["sig"] == groups["node"], "left").select(
@@ -148,19 +163,23 @@ def one_of_each(
     least: tuple[int, int] = SIMILARITY,
     sample: int = 8192,
     most: int = 1 << 16,
+    radius: int = 3,
 ) -> DataFrame:
     """The row of ``docs`` with the least doc_id of each group of similar texts, ties by a hash of the row."""
     columns = docs.columns
-    marked = docs.withColumn("__row", F.xxhash64(*[f"`{c}`" for c in columns]))
+    every = [f"`{c}`" for c in columns]
+    # 128 bits name a row, and a set
+    marked = docs.withColumn("__row", F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*every), F.xxhash64(F.lit("second"), *every))])))
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, width, sample, most))
 
     def compute(values: list[str | None]) -> list[list]:
         made = [shingles(v, width) for v in values]
         common, counts = shared.value
-        sigs = [int(np.int64(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)))) for own in made]
-        return [sigs, [len(own) for own in made], [prefix(own, common, counts, least).view(np.int64) for own in made]]
+        sigs = [xxhash.xxh3_128_digest(own.tobytes(), SEED) for own in made]
+        prints = [simhash.majority(own) for own in made]
+        return [sigs, [len(own) for own in made], prints, [prefix(own, common, counts, least).view(np.int64) for own in made]]
 
-    fields = [("sig", T.LongType()), ("n", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
+    fields = [("sig", T.BinaryType()), ("n", T.LongType()), ("fp", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
     rows = marked.select(F.col(f"`{doc_id}`").alias("d"), "__row", F.col(f"`{text}`").alias("x"))
     prints = materialise(add_columns(rows, "x", fields, compute, drop=True), "similar-prints")
     key = F.struct(F.col("d").isNull().alias("n"), "d", F.col("__row").alias("r"))
@@ -169,9 +188,9 @@ def one_of_each(
     chosen = firsts.select("sig", F.col("k.r").alias("__row"))
     spare = prints.select("sig", "__row").join(chosen, ["sig", "__row"], "left_anti").select("__row").distinct()
     spare = materialise(spare, "similar-spare")  # written, so that few copies are known to be few
-    sets = prints.join(spare, "__row", "left_anti").select("sig", "n", "prefix")
+    sets = prints.join(spare, "__row", "left_anti").select("sig", "n", "fp", "prefix")
     texts = marked.select("__row", F.col(f"`{text}`").alias("x"))
-    groups = components(links(sets, chosen, texts, width, least))
+    groups = components(links(sets, chosen, texts, width, least, radius))
     named = firsts.join(groups, firsts["sig"] == groups["node"], "left")
     best = named.groupBy(F.coalesce("component", "sig").alias("c")).agg(F.min("k").alias("k")).select(F.col("k.r").alias("__row"))
     return marked.join(best.distinct(), "__row", "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in columns])
