@@ -2,7 +2,13 @@
 
 Each document is measured by itself, rule failures are summed by host, every host's
 failure rate is shrunk with a beta prior fitted to all hosts, and the host's verdict
-is joined back to decide how its doubtful documents fare.
+is joined back to decide how its doubtful documents fare. A host is strict if by its
+posterior the rate is over the prior's mean with probability ``tail``; so hosts that
+differ by no more than chance are all open, and only a host that stands out takes its
+doubtful documents with it.
+
+Windows of words are compared by a 64-bit hash: in a text of n words two different ones
+are taken for equal with a chance of about n * n / 2**65.
 
 Defined results: a null or empty text has zero counts and fails the base rule; a null
 host is a host of its own; repeated rows each count and each get a result; an empty
@@ -12,6 +18,8 @@ column that has the name of a result column gives way to the result.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +63,10 @@ def _repeat_words(words: Column) -> Column:
         )
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.size(words) - WINDOW),
-        lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]),
+    windows = F.sequence(F.lit(0), F.size(words) - WINDOW)
+    hashes = let(
+        F.transform(words, lambda w: F.xxhash64(w)),  # each word once, then five numbers a window
+        lambda own: F.transform(windows, lambda i: F.xxhash64(*[F.get(own, i + k) for k in range(WINDOW)])),
     )
     count = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
     return F.when(F.size(words) <= WINDOW, 0).otherwise(count)
@@ -106,7 +115,8 @@ FEW_HOSTS = 50_000
 
 
 def host_rates(failures: DataFrame) -> tuple[DataFrame, int]:
-    """(host, host_rate), the failure rate of each host, shrunk to the beta prior; and their count.
+    """(host, host_rate, above), the failure rate of each host, shrunk to the beta prior, and by how many
+    of its posterior's deviations it is over the prior's mean; and how many hosts there are.
 
     ``failures`` has host and failed (0 or 1). The prior's mean is the overall rate;
     its strength comes from the spread of the hosts' rates, by moments, kept in
@@ -116,14 +126,17 @@ def host_rates(failures: DataFrame) -> tuple[DataFrame, int]:
     hosts = materialise(hosts, "quality-hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("hosts")).first()
     if not total["n"]:
-        return hosts.select("host", F.lit(0.0).alias("host_rate")), 0
+        return hosts.select("host", F.lit(0.0).alias("host_rate"), F.lit(0.0).alias("above")), 0
     mean = total["k"] / total["n"]
     spread = hosts.agg(F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - mean, 2))).first()[0] / total["n"]
     noise = mean * (1 - mean) * total["hosts"] / total["n"]
     between = spread - noise
     strength = 1000.0 if between <= 0 else min(1000.0, max(1.0, mean * (1 - mean) / between - 1))
     rate = (F.col("k") + strength * mean) / (F.col("n") + strength)
-    return hosts.select("host", rate.alias("host_rate")), total["hosts"]
+    rated = hosts.select("host", "n", rate.alias("host_rate"))
+    deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n") + strength + 1))
+    above = F.when(deviation > 0, (F.col("host_rate") - mean) / deviation).otherwise(0.0)
+    return rated.select("host", "host_rate", above.alias("above")), total["hosts"]
 
 
 def quality(
@@ -134,15 +147,15 @@ def quality(
     soft_symbols: float = 0.1,
     soft_dup: float = 0.3,
     word_length: tuple[float, float] = (2.5, 14.0),
-    strict_rate: float = 0.5,
+    tail: float = 0.95,
 ) -> DataFrame:
     """``docs`` (its columns ``carry``, or all) with counts, host rate and verdict, and kept.
 
     A document goes if it fails the base rule or a hard rule, or if it fails a soft
-    rule and its host's shrunk failure rate is ``strict_rate`` or more. A document
-    that fails no rule stays whatever its host.
+    rule and its host is strict: the posterior, taken as normal, leaves less than 1 - ``tail``
+    below the prior's mean. A document that fails no rule stays whatever its host.
     """
-    carried = [c for c in (docs.columns if carry is None else carry) if c not in {*RESULT, "n_lines"}]
+    carried = [c for c in (docs.columns if carry is None else carry) if c not in {*RESULT, "n_lines", "above"}]
     measured = docs.select(
         *[F.col(f"`{c}`") for c in carried], F.col(f"`{host}`").alias("__host"), measures(F.col(f"`{text}`")).alias("__m")
     )
@@ -153,10 +166,10 @@ def quality(
     rates = rates.withColumnRenamed("host", "__key")
     rates = F.broadcast(rates) if hosts <= FEW_HOSTS else rates
     joined = table.join(rates, F.col("__host").eqNullSafe(F.col("__key")), "left")
-    strict = F.col("host_rate") >= strict_rate
+    strict = F.coalesce(F.col("above") > NormalDist().inv_cdf(tail), F.lit(False))
     return joined.withColumns(
         {
             "host_verdict": F.when(strict, "strict").otherwise("open"),
             "kept": ~(F.col("base_failed") | (F.col("n_hard") > 0) | ((F.col("n_soft") > 0) & strict)),
         }
-    ).drop("__host", "__key", "n_lines")
+    ).drop("__host", "__key", "n_lines", "above")

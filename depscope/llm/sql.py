@@ -33,7 +33,8 @@ b AS (SELECT mean, sum(n * pow(k / n - mean, 2)) / any_value(total)
              - mean * (1 - mean) * any_value(hosts) / any_value(total) AS rest FROM h, a GROUP BY mean),
 p AS (SELECT mean, CASE WHEN rest <= 0 THEN 1000.0
              ELSE least(1000.0, greatest(1.0, mean * (1 - mean) / rest - 1)) END AS strength FROM b),
-r AS (SELECT source, (k + strength * mean) / (n + strength) >= 0.5 AS strict FROM h, p)
+q AS (SELECT source, n, mean, strength, (k + strength * mean) / (n + strength) AS rate FROM h, p),
+r AS (SELECT source, rate - mean > 1.6448536269514722 * sqrt(rate * (1 - rate) / (n + strength + 1)) AS strict FROM q)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR n_hard > 0 OR (n_soft > 0 AND strict)) AS kept,
        CASE WHEN strict THEN 'strict' ELSE 'open' END AS host_verdict

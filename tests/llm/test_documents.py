@@ -1,6 +1,7 @@
 """Document operators against brute force, with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -73,10 +74,45 @@ def test_quality_host_verdict(spark):
     doubtful = clean + " ### #"
     rows = [(k, doubtful, "en", "bad", 0) for k in range(40)] + [(100, clean, "en", "bad", 0)]
     rows += [(200 + k, clean, "en", "good", 0) for k in range(40)] + [(300, doubtful, "en", "good", 0)]
-    kept = {r["doc_id"]: r["kept"] for r in quality.quality(docs(spark, rows)).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(docs(spark, rows, ["above"])).collect()}
     assert not any(kept[k] for k in range(40)) and kept[100] and kept[300] and all(kept[200 + k] for k in range(40))
 
 
+def verdicts_by_force(failed):
+    """Strict hosts of {host: (documents, failures)}: moments of the hosts' rates, then each posterior."""
+    n, k = (sum(v[x] for v in failed.values()) for x in (0, 1))
+    mean = k / n
+    between = sum(a * (b / a - mean) ** 2 for a, b in failed.values()) / n - mean * (1 - mean) * len(failed) / n
+    strength = 1000 if between <= 0 else min(1000, max(1, mean * (1 - mean) / between - 1))
+    out = set()
+    for host, (a, b) in failed.items():
+        alpha, beta = b + strength * mean, a - b + strength * (1 - mean)
+        rate = alpha / (alpha + beta)
+        deviation = (alpha * beta / (alpha + beta) ** 2 / (alpha + beta + 1)) ** 0.5
+        if 0.5 * (1 + math.erf((rate - mean) / deviation / 2**0.5)) > 0.95:
+            out.add(host)
+    return out
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_quality_verdicts_of_real_documents(spark, few, monkeypatch):
+    """One source of the test table gets symbols into most of its texts: its verdict alone is strict."""
+    monkeypatch.setattr(quality, "FEW_HOSTS", few)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    signs = F.when((F.col("source") == "src3") & (F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0), F.concat("text", F.repeat(F.lit(" | #"), (F.size(F.split("text", " ")) / 12).cast("int"))))
+    got = quality.quality(table.withColumn("text", F.coalesce(signs, F.col("text")))).collect()
+    failed = {}
+    for r in got:
+        n, k = failed.get(r["source"], (0, 0))
+        failed[r["source"]] = (n + 1, k + bool(r["base_failed"] or r["n_soft"] or r["n_hard"]))
+    strict = verdicts_by_force(failed)
+    assert {r["source"] for r in got if r["host_verdict"] == "strict"} == strict and "src3" in strict and len(strict) < 5
+    for r in got:
+        assert r["kept"] == (not (r["base_failed"] or r["n_hard"] or (r["n_soft"] and r["source"] in strict)))
+    assert any(r["n_soft"] and not r["n_hard"] and not r["base_failed"] and not r["kept"] for r in got)
+    assert any(r["n_soft"] and r["kept"] for r in got)
+
+
 def test_quality_empty(spark):
     assert quality.quality(docs(spark, [])).collect() == []
 
