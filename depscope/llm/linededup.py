@@ -1,15 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share lines. Each shared line of a later document names one
-partner, the earliest document that has the line, so a line that a third of all documents
-have gives a third of all documents one pair each, not pairs among them. Each pair is aligned
-as patience diff does, by the longest increasing run of lines unique on both sides, and aligned
-common blocks of ``min_words`` words or more leave the later document, with the blank lines
-that follow their lines.
+Documents overlap where they share lines. A rare line, one that ``rare`` rows at most hold, pairs each
+document that has it with every earlier one. Each pair is aligned as patience diff does, by the longest
+increasing run of lines unique on both sides, and aligned common blocks of ``min_words`` words or more
+leave the later document, with the blank lines that follow their lines.
 
-What crosses that run is aligned again on its own until nothing more aligns, as another
-earlier document may well hold it in the later one's order. So every common block goes,
-whatever the order of the blocks, and no further pairs are needed for it.
+Lines that more rows hold are no rare ones, and pairs among all their documents would be too many. There
+each later document names one partner, the earliest that has the line, so a line that a third of all
+documents have costs a third of all documents one pair each, and is aligned like the others.
+
+What crosses a pair's run is aligned again on its own until nothing more aligns. So every common block
+goes, whatever the order of the blocks, and whichever earlier document has it.
 
 A line's key hashes the trimmed line. A line of fewer than ``short`` words is keyed with the
 line before it, so that ``The.`` alone matches nothing, and the k-th repeat of a line in a
@@ -161,8 +162,8 @@ def without(text: str, matches: list[tuple], min_words: int, short: int = 5) ->
     return b"\n".join(left).decode("utf-8", "surrogatepass"), len(places), len(gone)
 
 
-def line_matches(docs: DataFrame, text: str, doc_id: str, short: int, min_words: int) -> DataFrame:
-    """(d, t, matches) of each document that shares lines with earlier ones; t hashes the text."""
+def line_matches(docs: DataFrame, text: str, doc_id: str, short: int, min_words: int, rare: int) -> DataFrame:
+    """(d, t, m) of each document that shares lines with earlier ones; t hashes the text, m lists line, partner and its line."""
     named = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("x"), F.xxhash64(f"`{text}`").alias("t"))
     keyed = add_columns(
         named, "x", [("keys", T.ArrayType(T.LongType()))], lambda values: [[line_keys(v, short, min_words) for v in values]], drop=True
@@ -170,21 +171,25 @@ def line_matches(docs: DataFrame, text: str, doc_id: str, short: int, min_words:
     lines = materialise(keyed, "linededup-keys").select("d", "t", F.posexplode("keys").alias("i", "h"))
     own = F.struct(F.col("d").isNull().alias("n"), "d", "t")
     first = lines.groupBy("h").agg(
-        F.min(F.struct(F.col("d").isNull().alias("n"), "d", "t", "i")).alias("p"), F.max(own).alias("q")
+        F.min(F.struct(F.col("d").isNull().alias("n"), "d", "t", "i")).alias("p"), F.max(own).alias("q"), F.count("*").alias("c")
     )
-    shared = first.where(~(F.struct("p.n", "p.d", "p.t").eqNullSafe(F.col("q")))).select("h", "p")
+    shared = first.where(~(F.struct("p.n", "p.d", "p.t").eqNullSafe(F.col("q")))).select("h", "p", "c")
     # written, so that both sides of the join are shuffled anew and a very common line's rows can be split
     shared = materialise(shared, "linededup-shared")
-    met = lines.join(shared, "h").where(~own.eqNullSafe(F.struct("p.n", "p.d", "p.t")))
-    partner = F.struct("p.d", "p.t")
-    return met.groupBy("d", "t").agg(F.collect_list(F.struct("i", partner.alias("p"), F.col("p.i").alias("j"))).alias("m"))
+    met = lines.join(shared, "h")
+    common = met.where(F.col("c") > rare).where(~own.eqNullSafe(F.struct("p.n", "p.d", "p.t")))
+    common = common.select("d", "t", "i", F.struct("p.d", "p.t").alias("p"), F.col("p.i").alias("j"))
+    few = met.where(F.col("c") <= rare).groupBy("h").agg(F.collect_list(F.struct(own.alias("o"), "i")).alias("g"))
+    pairs = few.select(F.explode("g").alias("x"), "g").select("x", F.explode(F.expr("filter(g, y -> y.o < x.o)")).alias("y"))
+    pairs = pairs.select("x.o.d", "x.o.t", "x.i", F.struct("y.o.d", "y.o.t").alias("p"), F.col("y.i").alias("j"))
+    return common.unionByName(pairs).groupBy("d", "t").agg(F.collect_list(F.struct("i", "p", "j")).alias("m"))
 
 
 def dedup_lines(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 5, short: int = 5
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 5, short: int = 5, rare: int = 8
 ) -> DataFrame:
     """``docs`` with its text changed, and n_lines (before) and n_removed."""
-    matches = line_matches(docs, text, doc_id, short, min_words).withColumnsRenamed({"d": "__d", "t": "__t", "m": "__m"})
+    matches = line_matches(docs, text, doc_id, short, min_words, rare).withColumnsRenamed({"d": "__d", "t": "__t", "m": "__m"})
     joined = docs.join(
         matches,
         F.col(f"`{doc_id}`").eqNullSafe(F.col("__d")) & (F.xxhash64(f"`{text}`") == F.col("__t")),

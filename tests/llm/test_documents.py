@@ -162,31 +162,8 @@ def test_method_kinds_and_columns(spark):
 # --- line dedup
 
 
-def removed_by_force(rows, min_words=5, short=5):
-    first, out = {}, {}
-    ordered = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest(r[1])))
-    for doc, text in ordered:
-        keys = linededup.line_keys(text, short)
-        matches = [(k, first[h][0], first[h][1]) for k, h in enumerate(keys) if h in first]
-        out[doc, text] = linededup.without(text, matches, min_words)
-        for k, h in enumerate(keys):
-            first.setdefault(h, ((doc, text), k))
-    return out
-
-
-def test_line_dedup_as_by_force(spark):
-    rng = random.Random(3)
-    pool = [" ".join(rng.choice(["red", "green", "blue", "ink", "pen"]) for _ in range(rng.choice([1, 3, 6, 9]))) for _ in range(30)]
-    rows = ROWS + [(1000 + k, "\n".join(rng.choice([*pool, ""]) for _ in range(rng.randrange(14))), "en", "s", 0) for k in range(60)]
-    want = removed_by_force(rows)
-    got = linededup.dedup_lines(docs(spark, rows, ["n_lines"])).collect()
-    assert len(got) == len(rows)
-    # rows equal in doc_id and text are one document, so the multiset of results is known
-    left = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got)
-    assert left == Counter((r[0], *(want[r[0], r[1]] if r[1] is not None else (None, 0, 0))) for r in rows)
-
-
 def test_line_dedup_blocks():
+    """One pair by hand; tests/llm/test_line_dedup_whole.py has the whole operator against its definition."""
     earlier = [f"line number {k} with enough words" for k in range(6)]
     later = ["head of the later one stays here", *earlier[1:4], "The.", *earlier[4:], "The."]
     keys = {h: k for k, h in enumerate(linededup.line_keys("\n".join(earlier), 5))}

@@ -1,26 +1,66 @@
 """Line dedup against all earlier documents."""
 
 import random
+from collections import Counter
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from depscope.llm import linededup
 
 
 def by_force(rows, min_words=5):
     """What is left: a run of lines that an earlier document has in a row goes, if it has words enough."""
+    return {d: text for (d, _), (text, _, _) in by_definition(rows, min_words).items()}
+
+
+def by_definition(rows, min_words=5):
+    """(text left, lines, lines gone) of each document (d, text): of its lines that have a word, every run of
+    ``min_words`` words or more that some earlier document has in a row goes, with the blank lines behind it."""
     out, earlier = {}, []
-    for d, text in sorted(rows):
-        lines = [x.strip() for x in text.split("\n")]
+    known = {(d, text) for d, text in rows if text is not None}
+    for d, text in sorted(known, key=lambda r: (r[0] is None, r[0] or 0, spark_hash(r[1]))):
+        raw = text.split("\n")
+        lines = [x.strip() for x in raw if x.strip()]
+        places = [k for k, x in enumerate(raw) if x.strip()]
         gone = set()
         for a in range(len(lines)):
             for b in range(a + 1, len(lines) + 1):
                 enough = sum(len(x.split()) for x in lines[a:b]) >= min_words
                 if enough and any(lines[a:b] == e[k : k + b - a] for e in earlier for k in range(len(e))):
                     gone.update(range(a, b))
-        out[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        left, going = [], False
+        for k, line in enumerate(raw):
+            going = places.index(k) in gone if k in places else going
+            if not going:
+                left.append(line)
+        out[d, text] = ("\n".join(left) if gone else text, len(lines), len(gone))
         earlier.append(lines)
     return out
 
 
+def spark_hash(text):
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+@pytest.mark.parametrize(("rare", "min_words"), [(8, 5), (0, 5), (100, 5), (3, 12)])
+def test_as_defined(spark, rare, min_words):
+    """Pairs by rare lines, by the earliest document alone, by all: the result is the definition's."""
+    pick = random.Random(3)
+    pool = [" ".join(pick.choice(["red", "green", "blue", "ink", "pen"]) for _ in range(pick.choice([1, 3, 6, 9]))) for _ in range(30)]
+    rows = [(d, "\n".join(pick.choice([*pool, "", " "]) for _ in range(pick.randrange(14)))) for d in range(60)]
+    rows += [(None, "\n".join(pool[:5])), (None, "\n".join(pool[3:9])), (70, None), (70, ""), (5, "\n".join(pool[9:4:-1])), rows[20], rows[20], (None, None)]
+    rows += [(3, "\n".join([" ".join(pool), "a " * 9000, *pool[:3]])), (80, "\n".join(["own words that begin it here", "a " * 9000]))]
+    frame = spark.createDataFrame(rows, "d long, text string").withColumn("n_lines", F.lit("old"))
+    got = linededup.dedup_lines(frame, doc_id="d", rare=rare, min_words=min_words).collect()
+    want = by_definition(rows, min_words)
+    assert Counter((r["d"], r["text"], r["n_lines"], r["n_removed"]) for r in got) == Counter(
+        (d, *(want[d, text] if text is not None else (None, 0, 0))) for d, text in rows
+    )
+
+
 def whole(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     return {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame).collect()}
