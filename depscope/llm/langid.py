@@ -4,13 +4,17 @@ A linear machine picks the language family; within it, linear support vector mac
 of one language against another vote. All work on hashed counts of character bigrams
 and trigrams of the whole text, folded to lower case, with every non-letter a blank.
 
-The machines are fitted on the driver to a sample of labelled rows whose size is bounded
-by ``per_language`` and ``max_languages``; counts for the sampling cover all rows, and
-prediction reads every text in full.
+The machines are fitted on the driver to a bounded sample of the labelled texts: of every
+language the ``per_language`` different texts with the least hashes, fewer if all languages
+together would have over ``total_texts``, but four at least. So every language is learned, copies
+count once, and the sample is the same whatever the partitions are. Tasks make the features;
+the driver gets four vectors of 2**bits numbers a text, at most 270 MB with the defaults and up to a
+thousand languages. Prediction reads every text in full.
 
 Defined results: a null text, and one with no letter, gets ``und`` with score 0; rows
 without a label teach nothing; without any labelled row every text gets ``und``;
-repeated rows get equal results; an empty table gives an empty result.
+repeated rows get equal results; an empty table gives an empty result; input columns named as
+a result column give way to it.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depscope.llm.arrow import add_columns
+from depscope.scratch import materialise
 
 #: Language families by ISO 639-1 code. A language not here is a family of its own.
 FAMILIES = {
@@ -94,7 +99,7 @@ class Model:
     bits: int
     languages: dict[str, list[str]] = field(default_factory=dict)
     outer: dict[str, np.ndarray] = field(default_factory=dict)
-    inner: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    inner: dict[str, list[tuple[str, str, np.ndarray]]] = field(default_factory=dict)  # by family
 
     def predict(self, text: str | None) -> tuple[str, float]:
         points = letters(text or "")
@@ -106,15 +111,15 @@ class Model:
         rest = max((m for f, m in margins.items() if f != best), default=None)
         score = 1.0 if rest is None else sigmoid(margins[best] - rest)
         votes = dict.fromkeys(self.languages[best], 0.0)
-        for (a, b), w in self.inner.items():
-            if a in votes and b in votes:
-                p = sigmoid(2 * float(w @ x))
-                votes[a] += (p >= 0.5) + 1e-3 * p
-                votes[b] += (p < 0.5) + 1e-3 * (1 - p)
+        pairs = [(a, b, float(w @ x)) for a, b, w in self.inner.get(best, ())]
+        for a, b, margin in pairs:
+            p = sigmoid(2 * margin)
+            votes[a] += (p >= 0.5) + 1e-3 * p
+            votes[b] += (p < 0.5) + 1e-3 * (1 - p)
         lang = max(sorted(votes), key=votes.get)
-        for (a, b), w in self.inner.items():
-            if lang in (a, b) and a in votes:
-                score *= sigmoid((2 if lang == a else -2) * float(w @ x))
+        for a, b, margin in pairs:
+            if lang in (a, b):
+                score *= sigmoid((2 if lang == a else -2) * margin)
         return lang, round(min(1.0, max(0.0, score)), 6)
 
 
@@ -122,53 +127,53 @@ def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def fit(rows: list[tuple[str, str]], bits: int = 12, windows: int = 3, seed: int = 7) -> Model:
-    """A model from (text, lang) pairs: each text whole, and in ``windows`` short cuts, so
-    that short texts are learned too. The rows' order doesn't matter."""
-    rng = np.random.default_rng(seed)
-    xs, langs = [], []
-    for text, lang in sorted(rows):
-        points = letters(text)
-        if not len(points):
-            continue
-        xs.append(features(points, bits))
-        langs.append(lang)
-        for _ in range(windows):
-            size = int(rng.integers(6, 120))
-            at = int(rng.integers(0, max(1, len(points) - size)))
-            xs.append(features(points[at : at + size], bits))
-            langs.append(lang)
+def lessons(text: str, bits: int, windows: int, seed: int) -> list[bytes]:
+    """Features of a text whole, and of ``windows`` short cuts, so that short texts are learned too; none without letters."""
+    points = letters(text)
+    if not len(points):
+        return []
+    rng = np.random.default_rng(seed % (1 << 64))
+    made = [features(points, bits)]
+    for _ in range(windows):
+        size = int(rng.integers(6, 120))
+        at = int(rng.integers(0, max(1, len(points) - size)))
+        made.append(features(points[at : at + size], bits))
+    return [x.astype("<f4").tobytes() for x in made]
+
+
+def fit(rows: list[tuple[str, int, list[bytes]]], bits: int = 12) -> Model:
+    """A model from (lang, number of the text, its lessons). The rows' order doesn't matter."""
+    ordered = sorted(rows, key=lambda r: r[:2])
+    langs = [lang for lang, _, made in ordered for _ in made]
     model = Model(bits)
-    if not xs:
+    if not langs:
         return model
-    x, names = np.array(xs), np.array(langs)
+    x = np.frombuffer(b"".join(v for *_, made in ordered for v in made), "<f4").reshape(len(langs), 1 << bits)
+    names = np.array(langs)
     for lang in sorted(set(langs)):
         model.languages.setdefault(family(lang), []).append(lang)
     kinds = np.array([family(n) for n in langs])
     if len(model.languages) > 1:
         model.outer = {f: fit_svm(x, np.where(kinds == f, 1, -1).astype(np.float32)) for f in model.languages}
-    for members in model.languages.values():
+    for f, members in model.languages.items():
         for i, a in enumerate(members):
             for b in members[i + 1 :]:
                 two = (names == a) | (names == b)
-                model.inner[a, b] = fit_svm(x[two], np.where(names[two] == a, 1, -1).astype(np.float32))
+                w = fit_svm(x[two], np.where(names[two] == a, 1, -1).astype(np.float32))
+                model.inner.setdefault(f, []).append((a, b, w))
     return model
 
 
-def training_sample(labelled: DataFrame, per_language: int, max_languages: int) -> list[tuple[str, str]]:
-    """About ``per_language`` rows of each of the ``max_languages`` most frequent languages.
-
-    ``labelled`` has text and lang, both non-null, and draw, a hash of the whole row: the
-    sample is the same whatever the partitions are, and copies are drawn one by one.
-    """
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
-        return []
-    grain = 1 << 30
-    shares = F.create_map(*[c for r in counts for c in (F.lit(r[0]), F.lit(int(grain * min(1, per_language / r[1]))))])
-    drawn = labelled.where(F.pmod("draw", F.lit(grain)) < F.element_at(shares, F.col("lang")))
-    most = 2 * per_language * len(counts)
-    return [tuple(r) for r in drawn.select("text", "lang").limit(most).toLocalIterator()]
+def training_texts(labelled: DataFrame, per_language: int, total_texts: int) -> DataFrame:
+    """(lang, draw, text): the chosen texts of ``labelled`` (text, lang), both non-null. Each language's come from its
+    least hashes, of which a task hands on no more than are wanted."""
+    hashed = labelled.withColumn("draw", F.xxhash64("text"))
+    known = hashed.select("lang", "draw").distinct()
+    languages = labelled.select("lang").distinct().count()
+    wanted = max(4, min(per_language, total_texts // max(1, languages)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = materialise(known.withColumn("rank", rank).where(F.col("rank") <= wanted).select("lang", "draw"), "langid-drawn")
+    return hashed.join(F.broadcast(drawn), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
 
 def identify(
@@ -177,16 +182,22 @@ def identify(
     text: str = "text",
     lang: str = "lang",
     per_language: int = 150,
-    max_languages: int = 200,
+    total_texts: int = 4096,
     bits: int = 12,
+    windows: int = 3,
 ) -> DataFrame:
     """``docs`` with lang_pred and score, learned from the rows where ``teach`` holds."""
     labelled = docs.where(teach & F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(
-        F.col(f"`{text}`").alias("text"),
-        F.col(f"`{lang}`").alias("lang"),
-        F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("draw"),
+        F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")
     )
-    model = fit(training_sample(labelled, per_language, max_languages), bits)
+    chosen = training_texts(labelled, per_language, total_texts)
+    both = F.struct("text", "draw").alias("x")
+
+    def teach_one(values: list[dict]) -> list[list]:
+        return [[lessons(v["text"], bits, windows, v["draw"]) for v in values]]
+
+    made = add_columns(chosen.select("lang", "draw", both), "x", [("made", T.ArrayType(T.BinaryType()))], teach_one, drop=True)
+    model = fit([(r["lang"], r["draw"], [bytes(v) for v in r["made"]]) for r in made.collect()], bits)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(values: list[str | None]) -> list[list]:
