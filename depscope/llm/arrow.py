@@ -6,10 +6,19 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def add_columns(
     df: DataFrame,
     source: str,
@@ -26,7 +35,7 @@ def add_columns(
     """
     names = {n for n, _ in fields}
     kept = [c for c in df.columns if c not in names and not (drop and c == source)]
-    chosen = df.select(*[f"`{c}`" for c in kept], df[f"`{source}`"].alias("__source"))
+    chosen = df.select(*[f"`{c}`" for c in kept], F.col(f"`{source}`").alias(unused(df.columns, "__source")))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depscope.llm.arrow import add_columns
+from depscope.llm.arrow import add_columns, unused
 from depscope.scratch import materialise
 
 #: Seed of windows' keys, so that they equal no line's.
@@ -189,13 +189,15 @@ def dedup_lines(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 5, short: int = 5, rare: int = 8
 ) -> DataFrame:
     """``docs`` with its text changed, and n_lines (before) and n_removed."""
-    matches = line_matches(docs, text, doc_id, short, min_words, rare).withColumnsRenamed({"d": "__d", "t": "__t", "m": "__m"})
+    matches = line_matches(docs, text, doc_id, short, min_words, rare)
+    d, t, m, x = (unused(docs.columns, name) for name in ("__d", "__t", "__m", "__x"))
+    matches = matches.withColumnsRenamed({"d": d, "t": t, "m": m})
     joined = docs.join(
         matches,
-        F.col(f"`{doc_id}`").eqNullSafe(F.col("__d")) & (F.xxhash64(f"`{text}`") == F.col("__t")),
+        F.col(f"`{doc_id}`").eqNullSafe(F.col(d)) & (F.xxhash64(f"`{text}`") == F.col(t)),
         "left",
     )
-    both = F.struct(F.col(f"`{text}`").alias("text"), F.col("__m").alias("m"))
+    both = F.struct(F.col(f"`{text}`").alias("text"), F.col(m).alias("m"))
     kept = [f"`{c}`" for c in docs.columns if c not in (text, "n_lines", "n_removed")]
 
     def compute(values: list[dict]) -> list[list]:
@@ -210,6 +212,6 @@ def dedup_lines(
 
     fields = [(text, T.StringType()), ("n_lines", T.LongType()), ("n_removed", T.LongType())]
     order = [f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return add_columns(joined.select(*kept, both.alias("__x")), "__x", fields, compute, drop=True).select(
+    return add_columns(joined.select(*kept, both.alias(x)), x, fields, compute, drop=True).select(
         *order, "n_lines", "n_removed"
     )

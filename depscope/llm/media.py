@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depscope.llm import jpeg
-from depscope.llm.arrow import add_columns
+from depscope.llm.arrow import add_columns, unused
 
 WIDTH = 64
 ROWS = 8
@@ -424,10 +424,11 @@ def clips(table: DataFrame, media: str = "media") -> DataFrame:
         return [[{"error": v.error, "clips": [] if v.error else [dict(zip(CLIP_COLUMNS[1:5], c, strict=True)) for c in timed(v)]} for v in found]]
 
     kept = [f"`{c}`" for c in table.columns if c not in CLIP_COLUMNS]
-    found = add_columns(table.select(*kept), media, [("__found", CLIPS)], compute, drop=True)
-    rest = [f"`{c}`" for c in found.columns if c != "__found"]
-    rows = found.select(*rest, F.posexplode_outer("__found.clips").alias("clip", "__x"), F.col("__found.error").alias("error"))
-    return rows.select(*rest, "clip", *[F.col(f"__x.{c}").alias(c) for c in CLIP_COLUMNS[1:5]], "error")
+    own, one = unused(table.columns, "__found"), unused(table.columns, "__clip")
+    found = add_columns(table.select(*kept), media, [(own, CLIPS)], compute, drop=True)
+    rest = [f"`{c}`" for c in found.columns if c != own]
+    rows = found.select(*rest, F.posexplode_outer(f"{own}.clips").alias("clip", one), F.col(f"{own}.error").alias("error"))
+    return rows.select(*rest, "clip", *[F.col(f"{one}.{c}").alias(c) for c in CLIP_COLUMNS[1:5]], "error")
 
 
 DIGEST = [

@@ -23,6 +23,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depscope.llm.arrow import unused
 from depscope.scratch import materialise
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -156,20 +157,21 @@ def quality(
     below the prior's mean. A document that fails no rule stays whatever its host.
     """
     carried = [c for c in (docs.columns if carry is None else carry) if c not in {*RESULT, "n_lines", "above"}]
+    own, found, key = (unused(docs.columns, name) for name in ("__host", "__m", "__key"))
     measured = docs.select(
-        *[F.col(f"`{c}`") for c in carried], F.col(f"`{host}`").alias("__host"), measures(F.col(f"`{text}`")).alias("__m")
+        *[F.col(f"`{c}`") for c in carried], F.col(f"`{host}`").alias(own), measures(F.col(f"`{text}`")).alias(found)
     )
-    table = materialise(measured, "quality").select(*[f"`{c}`" for c in carried], "__host", "__m.*")
+    table = materialise(measured, "quality").select(*[f"`{c}`" for c in carried], own, f"{found}.*")
     table = table.withColumns(rule_failures(soft_symbols, soft_dup, word_length))
     failed = (F.col("base_failed") | (F.col("n_soft") > 0) | (F.col("n_hard") > 0)).cast("int")
-    rates, hosts = host_rates(table.select(F.col("__host").alias("host"), failed.alias("failed")))
-    rates = rates.withColumnRenamed("host", "__key")
+    rates, hosts = host_rates(table.select(F.col(own).alias("host"), failed.alias("failed")))
+    rates = rates.withColumnRenamed("host", key)
     rates = F.broadcast(rates) if hosts <= FEW_HOSTS else rates
-    joined = table.join(rates, F.col("__host").eqNullSafe(F.col("__key")), "left")
+    joined = table.join(rates, F.col(own).eqNullSafe(F.col(key)), "left")
     strict = F.coalesce(F.col("above") > NormalDist().inv_cdf(tail), F.lit(False))
     return joined.withColumns(
         {
             "host_verdict": F.when(strict, "strict").otherwise("open"),
             "kept": ~(F.col("base_failed") | (F.col("n_hard") > 0) | ((F.col("n_soft") > 0) & strict)),
         }
-    ).drop("__host", "__key", "n_lines", "above")
+    ).drop(own, key, "n_lines", "above")

@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -311,14 +311,19 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rad
     """The row of ``docs`` with the least doc_id of each component, ties by a hash of the row; of rows
     equal in all columns one stays."""
     columns = [f"`{c}`" for c in docs.columns]
-    wide = F.concat(F.hex(F.xxhash64(*columns)), F.hex(F.xxhash64(F.lit("second"), *columns)))  # 128 bits
-    marked = docs.withColumn("__row", wide)
-    prints = with_fingerprint(marked.select(f"`{doc_id}`", f"`{text}`", "__row"), text, drop=True)
-    prints = materialise(prints, "simhash-prints")
-    key = F.struct(F.col(f"`{doc_id}`").isNull().alias("n"), F.col(f"`{doc_id}`").alias("d"), F.col("__row").alias("r"))
-    groups = clusters(prints.select(f"`{doc_id}`", "fp"), doc_id, radius)
+    marked = docs.select(F.struct(*columns).alias("row"), F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("x"), row_key(docs).alias("r"))
+    prints = materialise(with_fingerprint(marked.select("d", "x", "r"), "x", drop=True), "simhash-prints")
+    groups = clusters(prints.select("d", "fp"), "d", radius)
+    key = F.struct(F.col("d").isNull().alias("n"), "d", "r")
     firsts = (
         prints.groupBy("fp").agg(F.min(key).alias("k")).join(groups, "fp").groupBy("component").agg(F.min("k").alias("k"))
     )
-    chosen = firsts.select(F.col("k.r").alias("__row")).distinct()
-    return marked.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).select(*columns)
+    chosen = firsts.select("k.r").distinct()
+    return marked.join(chosen, "r", "left_semi").dropDuplicates(["r"]).select("row.*")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """128 bits that name a row of ``docs`` by all its columns."""
+    columns = [f"`{c}`" for c in docs.columns]
+    halves = (F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns))
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))

@@ -166,10 +166,9 @@ def one_of_each(
     radius: int = 3,
 ) -> DataFrame:
     """The row of ``docs`` with the least doc_id of each group of similar texts, ties by a hash of the row."""
-    columns = docs.columns
-    every = [f"`{c}`" for c in columns]
-    # 128 bits name a row, and a set
-    marked = docs.withColumn("__row", F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*every), F.xxhash64(F.lit("second"), *every))])))
+    columns = [f"`{c}`" for c in docs.columns]
+    own = [F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("x"), simhash.row_key(docs).alias("__row")]
+    marked = docs.select(F.struct(*columns).alias("row"), *own)
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, width, sample, most))
 
     def compute(values: list[str | None]) -> list[list]:
@@ -180,7 +179,7 @@ def one_of_each(
         return [sigs, [len(own) for own in made], prints, [prefix(own, common, counts, least).view(np.int64) for own in made]]
 
     fields = [("sig", T.BinaryType()), ("n", T.LongType()), ("fp", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
-    rows = marked.select(F.col(f"`{doc_id}`").alias("d"), "__row", F.col(f"`{text}`").alias("x"))
+    rows = marked.select("d", "__row", "x")
     prints = materialise(add_columns(rows, "x", fields, compute, drop=True), "similar-prints")
     key = F.struct(F.col("d").isNull().alias("n"), "d", F.col("__row").alias("r"))
     # of rows with one set the first stands for it; its prefix is taken by the row, as the set gives it anyway
@@ -189,8 +188,8 @@ def one_of_each(
     spare = prints.select("sig", "__row").join(chosen, ["sig", "__row"], "left_anti").select("__row").distinct()
     spare = materialise(spare, "similar-spare")  # written, so that few copies are known to be few
     sets = prints.join(spare, "__row", "left_anti").select("sig", "n", "fp", "prefix")
-    texts = marked.select("__row", F.col(f"`{text}`").alias("x"))
+    texts = marked.select("__row", "x")
     groups = components(links(sets, chosen, texts, width, least, radius))
     named = firsts.join(groups, firsts["sig"] == groups["node"], "left")
     best = named.groupBy(F.coalesce("component", "sig").alias("c")).agg(F.min("k").alias("k")).select(F.col("k.r").alias("__row"))
-    return marked.join(best.distinct(), "__row", "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in columns])
+    return marked.join(best.distinct(), "__row", "left_semi").dropDuplicates(["__row"]).select("row.*")

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from depscope.llm import langid, linededup, mixing, packing, private, quality, simhash, tokens, urls
+from depscope.llm import langid, linededup, mixing, packing, private, quality, similar, simhash, tokens, urls
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -449,3 +449,43 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     untaught = langid.identify(docs(spark), F.col("doc_id") < 0).collect()
     assert {r["lang_pred"] for r in untaught} == {"und"}
+    assert langid.identify(docs(spark, []), F.lit(True)).collect() == []
+
+
+def test_every_language_is_learned(spark):
+    """A very frequent text and many languages: none is left out, and copies count once."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{k:03d}" for k in range(21)] + ["en", "de", "nl"]
+    words = {n: ["".join(rng.choices(letters, k=6)) for _ in range(6)] for n in names}
+    rows = [(k, " ".join(rng.choices(words[n], k=12)), n, "s", 0) for k, n in enumerate(names * 12)]
+    rows += [(5, "the one text that is everywhere", "en", "s", 0)] * 3000
+    frame = docs(spark, rows)
+    chosen = langid.training_texts(frame.select("text", "lang"), 150, 4096).groupBy("lang").count().collect()
+    assert {r["lang"] for r in chosen} == set(names) and max(r["count"] for r in chosen) <= 25
+    few = langid.training_texts(frame.select("text", "lang"), 150, 24).groupBy("lang").count().collect()
+    assert {r["count"] for r in few} == {4}
+    got = langid.identify(frame, F.lit(True), per_language=10, bits=10).where("doc_id <> 5").collect()
+    assert {r["lang_pred"] for r in got} == set(names)
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got)
+
+
+# --- empty tables and columns with clashing names
+
+
+def test_empty_tables(spark):
+    none = docs(spark, [])
+    assert private.personal_data(none).collect() == [] and urls.judge(none.withColumnRenamed("text", "url")).collect() == []
+    assert simhash.one_of_each(none).collect() == [] and packing.packed_documents(none, PATH).collect() == []
+
+
+def test_clashing_names_give_way(spark):
+    clash = ["__host", "__M", "__row", "__d", "__x", "__found", "lang_pred", "score", "n_email", "spans", "redacted", "n_lines", "n_removed", "kept", "host_rate", "__source", "fp", "host"]
+    frame = docs(spark, extra=clash)
+    first = langid.identify(frame, F.lit(True)).where("doc_id = 1").collect()[0]
+    assert first["lang_pred"] in ("en", "fr", "de")
+    assert private.personal_data(frame).where("doc_id = 1").first()["spans"] == ""
+    assert quality.quality(frame).where("doc_id = 1").first()["kept"] in (True, False)
+    assert linededup.dedup_lines(frame).where("doc_id = 5").first()["n_removed"] == 2
+    for one in (simhash, similar):
+        assert one.one_of_each(frame).columns == frame.columns
