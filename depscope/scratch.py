@@ -36,12 +36,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every table written by this process; call when results are consumed."""
-    while _written:
-        path, spark = _written.popitem()
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
+def written() -> list[str]:
+    """The folders of all tables that are written and not released, oldest first."""
+    return list(_written)
+
+
+def release(paths: list[str] | None = None) -> None:
+    """Delete the tables at ``paths``, or every table written by this process; call when the results that read them
+    are consumed, as a frame over a deleted table can't be read any more."""
+    for path in list(_written) if paths is None else paths:
+        spark = _written.pop(path, None)
+        if spark is not None:
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
 
 
 @atexit.register
