@@ -15,8 +15,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depscope import scratch
 from depscope.llm import linededup, mixing, packing, quality, similar
-from depscope.scratch import materialise
 from depscope.sources.tables import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,7 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 of 5-word shingles at least, every pair verified."""
+    """One document of each group linked by a similarity of 0.8 of 5-word shingles at least: SimHash's links and those
+    that it misses, every pair verified."""
     return similar.one_of_each(docs.select(*COLUMNS))
 
 
@@ -66,10 +67,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the table documents, each one's rows written before the next."""
+    """All stages in order over the table documents, each one's rows written before the next. What a stage wrote for
+    itself goes when its rows are written, and they go when the next one's are."""
     docs = read_table(spark, sf_dir, "documents").select(*COLUMNS)
+    before = set(scratch.written())
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{k}")
+            docs = scratch.materialise(docs, f"pipeline-{k}")
+            own = [path for path in scratch.written() if path not in before]
+            scratch.release(own[:-1])  # the last one is this stage's rows
     return docs
