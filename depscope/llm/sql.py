@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depscope.llm.urls import RULES, SOFT, STRICT
+from depscope.llm.urls import RULES, VOCABULARY
 
 HOST_QUALITY = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
@@ -61,6 +61,7 @@ def alone(term: str) -> str:
     return f"CAST(regexp_matches(translate(coalesce(url, ''), '{UPPER}', '{UPPER.lower()}'), '(^|[^a-z0-9]){term}([^a-z0-9]|$)') AS BIGINT)"
 
 
+STRICT, SOFT = ([t for t, weight in VOCABULARY if weight == w] for w in ("strict", "soft"))
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FITS = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"

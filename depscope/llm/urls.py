@@ -22,15 +22,15 @@ from depscope.llm.arrow import add_columns
 #: Fixed values: (rule, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: Terms of which one rejects.
-STRICT = (
-    "ads-track", "cheap-pills", "free-bets", "spam-farm", "casino", "porn", "xxx", "malware", "phishing", "warez",
-)
-
-#: Terms of which several different ones reject.
-SOFT = (
-    "ads", "bets", "betting", "bonus", "cheap", "clickbait", "deal", "dating", "download", "free", "gambling", "loan",
-    "lottery", "pills", "poker", "spam", "track", "viagra", "win",
+#: The vocabulary that holds if no other is passed in: (term, weight). One strict term rejects, several different
+#: soft ones do. General words of unwanted pages, from no particular table.
+VOCABULARY = (
+    *((term, "strict") for term in ("casino", "porn", "xxx", "malware", "phishing", "warez", "spam", "viagra", "cialis", "escort")),
+    *((term, "soft") for term in (
+        "ads", "adult", "affiliate", "bet", "bets", "betting", "bonus", "cheap", "click", "clickbait", "coupon", "crack", "dating",
+        "deal", "deals", "discount", "download", "free", "gambling", "jackpot", "keygen", "loan", "loans", "lottery", "pills", "poker",
+        "popup", "pharmacy", "replica", "track", "tracker", "win", "winner",
+    )),
 )
 
 FIELDS = [("host", T.StringType()), ("path", T.StringType()), ("rule", T.StringType()), ("verdict", T.StringType())]
@@ -40,12 +40,13 @@ ALONE = set("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 @lru_cache(maxsize=4)
-def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
-    """Terms by weight; a term in both lists is strict."""
+def automaton(vocabulary: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton:
+    """Terms by weight, letters A-Z folded; a term with both weights is strict, an empty one is left out."""
     found = ahocorasick.Automaton()
-    for weight, terms in (("soft", soft), ("strict", strict)):
-        for term in terms:
-            found.add_word(term, (weight, term))
+    for term, weight in sorted(vocabulary, key=lambda row: row[1] == "strict"):
+        folded = term.translate(LOWER)
+        if folded:
+            found.add_word(folded, (weight, folded))
     found.make_automaton()
     return found
 
@@ -75,6 +76,8 @@ def longest_rule(host: str, path: str, rules: dict[str, list[tuple[str, str, str
 def term_counts(url: str, terms: ahocorasick.Automaton) -> tuple[set[str], set[str]]:
     """The strict and soft terms that stand alone in a lower-cased URL."""
     strict, soft = set(), set()
+    if not len(terms):
+        return strict, soft
     for end, (weight, term) in terms.iter(url):
         before, after = end - len(term), end + 1
         if (before < 0 or url[before] not in ALONE) and (after == len(url) or url[after] not in ALONE):
@@ -86,11 +89,19 @@ def judge(
     pages: DataFrame,
     url: str = "url",
     rules: tuple[tuple[str, str], ...] = RULES,
-    strict: tuple[str, ...] = STRICT,
-    soft: tuple[str, ...] = SOFT,
+    vocabulary: tuple[tuple[str, str], ...] | DataFrame = VOCABULARY,
     soft_limit: int = 2,
 ) -> DataFrame:
-    """``pages`` with host, path, rule, verdict, and the counts n_strict and n_soft."""
+    """``pages`` with host, path, rule, verdict, and the counts n_strict and n_soft.
+
+    ``vocabulary``: rows of term and weight, strict or soft, or such a table; it is held by every task, so it is meant
+    to be a list of words. ValueError for any other weight.
+    """
+    if isinstance(vocabulary, DataFrame):
+        vocabulary = tuple((r["term"], r["weight"]) for r in vocabulary.where("term IS NOT NULL").select("term", "weight").collect())
+    known = tuple(vocabulary)
+    if any(weight not in ("strict", "soft") for _, weight in known):
+        raise ValueError("a term's weight is strict or soft")
 
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for rule, verdict in rules:
@@ -98,7 +109,7 @@ def judge(
         by_host.setdefault(host, []).append((f"/{path}", rule, verdict))
 
     def compute(urls: list[str | None]) -> list[list]:
-        terms, out = automaton(strict, soft), []
+        terms, out = automaton(known), []
         for value in urls:
             host, path = split_url(value)
             rule, verdict = longest_rule(host, path, by_host)

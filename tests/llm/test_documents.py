@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from depscope.llm import langid, linededup, mixing, packing, private, quality, similar, simhash, tokens, urls
+from depscope.llm import langid, linededup, mixing, packing, private, quality, queries, similar, simhash, tokens, urls
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -317,6 +317,8 @@ def test_urls(spark):
         ("http://x.example.com/de/1", "x.example.com", "/de/1", "example.com/de/", "block"),
         ("http://a.net", "a.net", "", None, "allow"),
         ("http://spam-farm.example.org/fr/1", "spam-farm.example.org", "/fr/1", "org/fr/", "allow"),
+        ("http://ads-track.example.org/en/1", "ads-track.example.org", "/en/1", None, "block"),
+        ("http://loads-of-tracks.org/spammer", "loads-of-tracks.org", "/spammer", None, "allow"),
         ("http://spam-farm.example.org/en/1", "spam-farm.example.org", "/en/1", None, "block"),
         ("http://x.com/freedom/cheaper", "x.com", "/freedom/cheaper", None, "allow"),
         ("http://x.com/free/free", "x.com", "/free/free", None, "allow"),
@@ -329,6 +331,19 @@ def test_urls(spark):
     for k, want in enumerate(rows):
         assert tuple(got[k][c] for c in ("url", "host", "path", "rule", "verdict")) == want
     assert urls.judge(frame.limit(0)).collect() == []
+    words = spark.createDataFrame([("Example", "strict"), ("x", "soft"), (None, "soft"), ("", "soft"), ("com", "soft")], "term string, weight string")
+    own = {r["page_id"]: (r["n_strict"], r["n_soft"], r["verdict"]) for r in urls.judge(frame, rules=(), vocabulary=words).collect()}
+    assert own[1] == (1, 0, "block") and own[0] == (0, 1, "allow") and own[len(rows) - 4] == (0, 2, "block")
+    assert {r["verdict"] for r in urls.judge(frame, rules=(), vocabulary=()).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        urls.judge(frame, vocabulary=(("x", "hard"),))
+
+
+def test_soft_terms_decide_pages(spark):
+    got = queries.op9_url_vocabulary(spark, "/root/testdata/sf0.01").where("rule IS NULL")
+    assert got.where("verdict = 'block' AND n_strict = 0 AND n_soft >= 2").count() > 0
+    assert got.where("verdict = 'block' AND n_strict > 0").count() > 0
+    assert got.where("verdict = 'allow'").count() > 0
 
 
 # --- mixing
