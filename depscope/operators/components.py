@@ -13,7 +13,7 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("node").agg(F.min("other").alias("low"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its least node.
 
     Alternating large and small stars: every round links neighbours to the least one they
@@ -26,7 +26,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "components",
     )
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = current.select(F.col("hi").alias("node"), F.col("lo").alias("other")).unionByName(
             current.select(F.col("lo").alias("node"), F.col("hi").alias("other"))
         )
@@ -51,7 +51,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots).distinct()
