@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depscope.operators import quality
 from depscope.plans.registry import query
+from depscope.sources import files
 from depscope.sources import python_ast as pa
 from depscope.sources.sinks import as_json, flat_edges
 from depscope.sources.tables import read_table
@@ -141,6 +142,22 @@ def flat_sink(spark: SparkSession, d: str) -> DataFrame:
     return flat_edges(nations)
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+FILES = "f AS (SELECT unnest([" + ", ".join(f"'{t}.parquet'" for t in TABLES) + "]) AS path)"
+
+
+@query(f"WITH {FILES} SELECT path FROM f WHERE path NOT SIMILAR TO '[el].*' AND (path NOT LIKE 'c%' OR path = 'customer.parquet')")
+def source_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the tables' folder stand for sources: anchored, double-star and plain patterns, and one that brings back."""
+    found = files.listing(spark, d, ["/c*", "**/e*.parquet", "l*", "!customer.parquet"], "*.parquet")
+    return found.select(F.regexp_replace("path", "/.*", "").alias("path")).distinct()
+
+
+@query(f"WITH {FILES} SELECT count(*) AS files, CAST(0 AS BIGINT) AS large_files, 'low' AS tier FROM f")
+def project_tier(spark: SparkSession, d: str) -> DataFrame:
+    return files.project_size(files.listing(spark, d, [], "*.parquet")).select("files", "large_files", "tier")
+
+
 @query("SELECT '{\"n_regionkey\":' || n_regionkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")
 def json_sink(spark: SparkSession, d: str) -> DataFrame:
     return as_json(read_table(spark, d, "nation").select("n_regionkey", "n_name", F.lit(1).alias("_private")))
