@@ -111,13 +111,13 @@ def rule_failures(soft_symbols: float, soft_dup: float, word_length: tuple[float
     }
 
 
-#: Hosts that are joined by broadcast at most: a few megabytes of names and rates.
-FEW_HOSTS = 50_000
+#: Bytes of host names and rates up to which they are joined by broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def host_rates(failures: DataFrame) -> tuple[DataFrame, int]:
     """(host, host_rate, above), the failure rate of each host, shrunk to the beta prior, and by how many
-    of its posterior's deviations it is over the prior's mean; and how many hosts there are.
+    of its posterior's deviations it is over the prior's mean; and about how many bytes that is.
 
     ``failures`` has host and failed (0 or 1). The prior's mean is the overall rate;
     its strength comes from the spread of the hosts' rates, by moments, kept in
@@ -125,7 +125,7 @@ def host_rates(failures: DataFrame) -> tuple[DataFrame, int]:
     """
     hosts = failures.groupBy("host").agg(F.count("*").alias("n"), F.sum("failed").alias("k"))
     hosts = materialise(hosts, "quality-hosts")
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("hosts")).first()
+    total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("hosts"), F.coalesce(F.sum(F.octet_length(F.col("host").cast("string"))), F.lit(0)).alias("bytes")).first()
     if not total["n"]:
         return hosts.select("host", F.lit(0.0).alias("host_rate"), F.lit(0.0).alias("above")), 0
     mean = total["k"] / total["n"]
@@ -137,7 +137,7 @@ def host_rates(failures: DataFrame) -> tuple[DataFrame, int]:
     rated = hosts.select("host", "n", rate.alias("host_rate"))
     deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n") + strength + 1))
     above = F.when(deviation > 0, (F.col("host_rate") - mean) / deviation).otherwise(0.0)
-    return rated.select("host", "host_rate", above.alias("above")), total["hosts"]
+    return rated.select("host", "host_rate", above.alias("above")), total["bytes"] + 40 * total["hosts"]
 
 
 def quality(
@@ -164,9 +164,9 @@ def quality(
     table = materialise(measured, "quality").select(*[f"`{c}`" for c in carried], own, f"{found}.*")
     table = table.withColumns(rule_failures(soft_symbols, soft_dup, word_length))
     failed = (F.col("base_failed") | (F.col("n_soft") > 0) | (F.col("n_hard") > 0)).cast("int")
-    rates, hosts = host_rates(table.select(F.col(own).alias("host"), failed.alias("failed")))
+    rates, size = host_rates(table.select(F.col(own).alias("host"), failed.alias("failed")))
     rates = rates.withColumnRenamed("host", key)
-    rates = F.broadcast(rates) if hosts <= FEW_HOSTS else rates
+    rates = F.broadcast(rates) if size <= BROADCAST_BYTES else rates
     joined = table.join(rates, F.col(own).eqNullSafe(F.col(key)), "left")
     strict = F.coalesce(F.col("above") > NormalDist().inv_cdf(tail), F.lit(False))
     return joined.withColumns(

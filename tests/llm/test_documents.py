@@ -94,10 +94,10 @@ def verdicts_by_force(failed):
     return out
 
 
-@pytest.mark.parametrize("few", [50_000, 0])
-def test_quality_verdicts_of_real_documents(spark, few, monkeypatch):
+@pytest.mark.parametrize("most", [8 << 20, -1])
+def test_quality_verdicts_of_real_documents(spark, most, monkeypatch):
     """One source of the test table gets symbols into most of its texts: its verdict alone is strict."""
-    monkeypatch.setattr(quality, "FEW_HOSTS", few)
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", most)
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     signs = F.when((F.col("source") == "src3") & (F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0), F.concat("text", F.repeat(F.lit(" | #"), (F.size(F.split("text", " ")) / 12).cast("int"))))
     got = quality.quality(table.withColumn("text", F.coalesce(signs, F.col("text")))).collect()
