@@ -87,13 +87,14 @@ def field_usage(methods: DataFrame, fields: DataFrame) -> DataFrame:
     return met.select("class_id", F.col("id").alias("method_id"), F.explode_outer(used).alias("field"))
 
 
-def cohesion(usage: DataFrame) -> DataFrame:
+def cohesion(usage: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """(class_id, n_methods, sharing, lcom, tcc) from (class_id, method_id, field).
 
     Methods that use the same fields are taken together: pairs of methods that share a field are
     those inside such a set, by its size, and those of two sets that share a field, by the product
     of their sizes. So a field that all methods use costs one row for each different set, and all
-    n (n-1) / 2 pairs are never made. Methods without a field must come with a null one.
+    n (n-1) / 2 pairs are never made. Methods without a field must come with a null one. A class has no
+    lcom if it has no field: none in ``usage``, or if ``fields`` (class_id) is given, none there.
     """
     used = usage.where("field IS NOT NULL")
     sets = (
@@ -117,6 +118,9 @@ def cohesion(usage: DataFrame) -> DataFrame:
     sizes = usage.groupBy("class_id").agg(
         F.count_distinct("method_id").alias("n_methods"), F.count_distinct("field").alias("n_fields")
     )
+    if fields is not None:
+        owned = fields.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("n_fields"))
+        sizes = sizes.drop("n_fields").join(owned, "class_id", "left").fillna({"n_fields": 0})
     pairs = F.col("n_methods") * (F.col("n_methods") - 1) / 2
     lcom = F.when(F.col("n_fields") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), pairs - 2 * F.col("sharing")))
     tcc = F.when(pairs > 0, F.greatest(F.lit(0.0), pairs - F.col("lcom")) / pairs).otherwise(0.0)

@@ -199,7 +199,7 @@ def analysis(
     per_class = tables["methods"].where("class_id IS NOT NULL").select("class_id", "complexity", lines.alias("lines"))
     tables["class_quality"] = quality.class_quality(per_class, tables["coupling"])
     usage = quality.field_usage(tables["methods"], tables["fields"])
-    tables["cohesion"] = quality.cohesion(materialise(usage, "field-usage"))
+    tables["cohesion"] = quality.cohesion(materialise(usage, "field-usage"), tables["fields"])
     owners = tables["classes"].select(F.col("id").alias("class_id"), "module_id").distinct()
     everywhere = tables["modules"].select("module_id").distinct().join(owners, "module_id", "left")
     tables["module_quality"] = quality.module_rollup(everywhere.join(tables["class_quality"], "class_id", "left"))

@@ -129,7 +129,8 @@ def ast_edges(spark: SparkSession, d: str) -> DataFrame:
 def ast_cohesion(spark: SparkSession, d: str) -> DataFrame:
     """Cohesion from sources: which fields the methods' texts name."""
     parsed = pa.parse_files(modules(spark, d), ["methods", "fields"])
-    return quality.cohesion(quality.field_usage(pa.exploded(parsed, "methods"), pa.exploded(parsed, "fields")))
+    fields = pa.exploded(parsed, "fields")
+    return quality.cohesion(quality.field_usage(pa.exploded(parsed, "methods"), fields), fields)
 
 
 @query("SELECT 'n' || n_nationkey AS \"from\", 'r' || n_regionkey AS \"to\", 'in' AS type FROM nation")

@@ -27,6 +27,10 @@ def test_cohesion(spark):
     usage = spark.createDataFrame([("c", "m1", "f"), ("c", "m2", "f"), ("c", "m3", None), ("d", "m", None)], "class_id string, method_id string, field string")
     got = {r["class_id"]: (r["sharing"], r["lcom"], r["tcc"]) for r in quality.cohesion(usage).collect()}
     assert got == {"c": (1, 1.0, 2 / 3), "d": (0, 0.0, 0.0)}
+    unused = spark.createDataFrame([("e", "m1", None), ("e", "m2", None), ("f", "m", None)], "class_id string, method_id string, field string")
+    fields = spark.createDataFrame([("e",), (None,)], "class_id string")
+    got = {r["class_id"]: (r["lcom"], r["tcc"]) for r in quality.cohesion(unused, fields).collect()}
+    assert got == {"e": (1.0, 0.0), "f": (0.0, 0.0)}
 
 
 def test_cohesion_counts_pairs(spark):
