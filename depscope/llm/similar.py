@@ -7,7 +7,9 @@ texts, and two sets with similarity t share a shingle among the first n - ceil(t
 fixed order will do; shingles that are frequent in a sample of texts come last, so few candidates are
 made, and the sample changes no result.
 
-A candidate pair is joined only if the shingle sets themselves have similarity t. First what SimHash
+A candidate pair is joined only if the shingle sets themselves have similarity t. Before texts move, pairs are
+dropped whose sets can't have it: a sketch counts a set's hashes by range, a few to a range, and two sets
+share no more than the sum of the lesser counts. First what SimHash
 links, and each text that shares a prefix shingle with the least text that has it, which joins large
 groups of copies at a linear cost; then all texts of a shingle that are in different groups meet.
 
@@ -65,6 +67,24 @@ def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = SIMILARITY) -
     return least[1] * both >= least[0] * (len(a) + len(b) - both)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many of the hashes lie in each of 64 to 16384 even ranges, about two to four; 255 stands for more, too."""
+    bits = min(14, max(6, int(len(own) - 1).bit_length() - 2))
+    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def can_be_similar(a: bytes, b: bytes, n: int, m: int, least: tuple[int, int] = SIMILARITY) -> bool:
+    """Whether sets of ``n`` and ``m`` hashes with these sketches may have the similarity."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if x.max() == 255 or y.max() == 255:
+        return True
+    if len(x) > len(y):
+        x, y = y, x
+    y = y.reshape(len(x), -1).sum(axis=1, dtype=np.int64)
+    both = int(np.minimum(x, y).sum())
+    return least[1] * both >= least[0] * (n + m - both)
+
+
 def common_shingles(docs: DataFrame, text: str, width: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found more than once in about ``sample`` texts, at most ``most`` of them, and their counts."""
     grain = 1 << 30
@@ -81,6 +101,19 @@ def common_shingles(docs: DataFrame, text: str, width: int, sample: int, most: i
     return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
 
 
+def promising(pairs: DataFrame, sketches: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The ``pairs`` (a, b) whose sketches don't rule similarity out. ``sketches``: (sig, n, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            yield batch.select([0, 1]).filter(pa.array([can_be_similar(x, y, n, m, least) for x, y, n, m in rows], pa.bool_()))
+
+    left, right = (sketches.select(F.col("sig").alias(e), F.col("sketch").alias(f"s{e}"), F.col("n").alias(f"n{e}")) for e in "ab")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb")
+    return met.mapInArrow(run, "a binary, b binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
     """The ``pairs`` (a, b) whose texts are similar. ``texts``: (sig, x)."""
 
@@ -123,7 +156,7 @@ def fingerprint_pairs(prints: DataFrame, radius: int) -> DataFrame:
 def links(sets: DataFrame, rows: DataFrame, marked: DataFrame, width: int, least: tuple[int, int], radius: int) -> DataFrame:
     """(a, b) edges that connect the distinct sets as all similar pairs do.
 
-    ``sets``: (sig, n, fp, prefix); ``rows``: (sig, __row); ``marked``: (__row, x).
+    ``sets``: (sig, n, fp, prefix, sketch); ``rows``: (sig, __row); ``marked``: (__row, x).
     """
     shared = sets.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1").select("h")
     shared = materialise(shared, "similar-shared")
@@ -137,7 +170,9 @@ def links(sets: DataFrame, rows: DataFrame, marked: DataFrame, width: int, least
 
     star = held.join(low, "h").where("sig <> low").where(fits("n", "m")).select(F.col("low").alias("a"), F.col("sig").alias("b"))
     star = materialise(star.unionByName(fingerprint_pairs(sets.select("sig", "fp"), radius)).distinct(), "similar-star")
-    first = materialise(verified(star, texts_of(star, rows, marked), width, least), "similar-first")
+    sketches = sets.select("sig", "n", "sketch")
+    likely = materialise(promising(star, sketches, least), "similar-likely")
+    first = materialise(verified(likely, texts_of(likely, rows, marked), width, least), "similar-first")
     groups = components(first)
     named = held.join(groups, held["sig"] == groups["node"], "left").select(
         "h", "sig", "n", F.coalesce("component", "sig").alias("c")
@@ -151,7 +186,8 @@ def links(sets: DataFrame, rows: DataFrame, marked: DataFrame, width: int, least
     crossed = crossed.where(fits("s.n", "t.n")).select(
         F.least("s.sig", "t.sig").alias("a"), F.greatest("s.sig", "t.sig").alias("b")
     )
-    rest = materialise(crossed.distinct().join(star, ["a", "b"], "left_anti"), "similar-rest")
+    rest = materialise(crossed.distinct().join(star, ["a", "b"], "left_anti"), "similar-crossed")
+    rest = materialise(promising(rest, sketches, least), "similar-rest")
     return first.unionByName(verified(rest, texts_of(rest, rows, marked), width, least))
 
 
@@ -176,9 +212,10 @@ def one_of_each(
         common, counts = shared.value
         sigs = [xxhash.xxh3_128_digest(own.tobytes(), SEED) for own in made]
         prints = [simhash.majority(own) for own in made]
-        return [sigs, [len(own) for own in made], prints, [prefix(own, common, counts, least).view(np.int64) for own in made]]
+        firsts = [prefix(own, common, counts, least).view(np.int64) for own in made]
+        return [sigs, [len(own) for own in made], prints, firsts, [sketch(own) for own in made]]
 
-    fields = [("sig", T.BinaryType()), ("n", T.LongType()), ("fp", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
+    fields = [("sig", T.BinaryType()), ("n", T.LongType()), ("fp", T.LongType()), ("prefix", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
     rows = marked.select("d", "__row", "x")
     prints = materialise(add_columns(rows, "x", fields, compute, drop=True), "similar-prints")
     key = F.struct(F.col("d").isNull().alias("n"), "d", F.col("__row").alias("r"))
@@ -187,9 +224,14 @@ def one_of_each(
     chosen = firsts.select("sig", F.col("k.r").alias("__row"))
     spare = prints.select("sig", "__row").join(chosen, ["sig", "__row"], "left_anti").select("__row").distinct()
     spare = materialise(spare, "similar-spare")  # written, so that few copies are known to be few
-    sets = prints.join(spare, "__row", "left_anti").select("sig", "n", "fp", "prefix")
+    sets = prints.join(spare, "__row", "left_anti").select("sig", "n", "fp", "prefix", "sketch")
     texts = marked.select("__row", "x")
     groups = components(links(sets, chosen, texts, width, least, radius))
     named = firsts.join(groups, firsts["sig"] == groups["node"], "left")
     best = named.groupBy(F.coalesce("component", "sig").alias("c")).agg(F.min("k").alias("k")).select(F.col("k.r").alias("__row"))
-    return marked.join(best.distinct(), "__row", "left_semi").dropDuplicates(["__row"]).select("row.*")
+    # what goes is listed, not what stays, and only rows that occur more than once are brought together
+    gone = materialise(prints.select("__row").join(best, "__row", "left_anti").distinct(), "similar-gone")
+    twice = materialise(prints.groupBy("__row").count().where("count > 1").select("__row"), "similar-twice")
+    kept = marked.join(gone, "__row", "left_anti")
+    again = kept.join(twice, "__row", "left_semi").dropDuplicates(["__row"])
+    return kept.join(twice, "__row", "left_anti").unionByName(again).select("row.*")

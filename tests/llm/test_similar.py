@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from depscope.llm import similar
 
 
 def grams(text):
@@ -49,3 +52,22 @@ def test_similar_pairs_of_any_distance(spark):
     want = survivors(rows)
     assert len(got) == len(set(got)) and set(got) == want
     assert 40 < len(want) < len(rows) - 40
+
+
+def test_sketches_rule_out_no_similar_pair():
+    pick = np.random.default_rng(4)
+    dropped = 0
+    for size in (1, 3, 40, 300, 5000):
+        base = pick.integers(0, 2**64, size, dtype=np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.2, 0.5, 1.0):
+            other = base.copy()
+            changed = pick.random(size) < share
+            other[changed] = pick.integers(0, 2**64, int(changed.sum()), dtype=np.uint64)
+            other = np.concatenate([other, pick.integers(0, 2**64, int(size * share / 3), dtype=np.uint64)])
+            a, b = np.unique(base), np.unique(other)
+            may = similar.can_be_similar(similar.sketch(a), similar.sketch(b), len(a), len(b))
+            assert may or not similar.similar(a, b)
+            dropped += not may
+    assert dropped > 8
+    many = np.arange(9000, dtype=np.uint64)  # all in one range
+    assert similar.can_be_similar(similar.sketch(many), similar.sketch(many[:10]), 9000, 10)
