@@ -44,13 +44,22 @@ def test_similar_pairs_of_any_distance(spark):
             rows.append((10 * k + c, " ".join(words)))
     shared = " ".join(f"boiler{k}" for k in range(30))
     rows += [(1000 + k, f"{shared} own{k} " + " ".join(f"u{k}v{j}" for j in range(k))) for k in range(12)]
+    long = [f"common{k}" for k in range(300)]
+    for k in range(24):  # long texts that are mostly what many have: all of their shingles are looked at
+        words = list(long)
+        for c in range(pick.randrange(2, 14)):
+            words[20 * c + pick.randrange(9)] = f"z{pick.randrange(6)}"
+        rows.append((3000 + k, " ".join(words)))
+        rows.append((4000 + k, " ".join([*long[100:180], *(f"own{k}x{j}" for j in range(200))])))  # a passage quoted
     rows += [(2000, None), (2001, ""), (2002, "few words"), (2003, "Few  words")]
     docs = spark.createDataFrame(
         [(d, t, "en", "a", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
     )
-    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     want = survivors(rows)
-    assert len(got) == len(set(got)) and set(got) == want
+    for rare in (8, 1, 10**6):
+        got = [r["doc_id"] for r in similar.one_of_each(docs, rare=rare).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
     assert 40 < len(want) < len(rows) - 40
 
 
@@ -71,3 +80,29 @@ def test_sketches_rule_out_no_similar_pair():
     assert dropped > 8
     many = np.arange(9000, dtype=np.uint64)  # all in one range
     assert similar.can_be_similar(similar.sketch(many), similar.sketch(many[:10]), 9000, 10)
+
+
+def test_groups_in_blocks(spark):
+    """Sets of a shingle in blocks of any size: the pairs that comparing all gives."""
+    pick = np.random.default_rng(2)
+    base = pick.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = {}
+    for k in range(60):
+        own = base[: int(pick.integers(60, 400))].copy() if k % 3 else pick.integers(0, 2**64, int(pick.integers(1, 300)), dtype=np.uint64)
+        changed = pick.random(len(own)) < pick.choice([0.01, 0.1, 0.4])
+        own[changed] = pick.integers(0, 2**64, int(changed.sum()), dtype=np.uint64)
+        sets[k] = np.unique(own)
+    sketches = {k: similar.sketch(v) for k, v in sets.items()}
+    named = spark.createDataFrame([(h, k, len(sets[k]), k // 2) for h in (1, 2) for k in sets if (k + h) % 5], "h long, id long, n long, c long")
+    frame = spark.createDataFrame([(k, bytearray(v)) for k, v in sketches.items()], "id long, sketch binary")
+    want = {
+        (a, b)
+        for a in sets
+        for b in sets
+        if a < b and a // 2 != b // 2 and any((a + h) % 5 and (b + h) % 5 for h in (1, 2))
+        and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))
+        and similar.can_be_similar(sketches[a], sketches[b], len(sets[a]), len(sets[b]))
+    }
+    for block in (2048, 7, 1):
+        assert {(r["a"], r["b"]) for r in similar.met_in_groups(named, frame, similar.SIMILARITY, block).collect()} == want
+    assert len(want) > 20
