@@ -75,12 +75,13 @@ def tree_search(nodes: DataFrame, query: str) -> DataFrame:
     read once. A node's parent has a lower level than the node.
     """
     matched = F.contains(F.lower("name"), F.lit(query.lower()))
-    hits = nodes.where(matched).select("id", "kind", matched.alias("matched"), "parent_id")
+    # each level's hits are written, as the next level and the result both read them
+    hits = materialise(nodes.where(matched).select("id", "kind", matched.alias("matched"), "parent_id"), "tree-hits")
     out = hits
     for level in range(len(LEVELS) - 2, -1, -1):
         wanted = hits.select(F.col("parent_id").alias("id")).where("id IS NOT NULL").distinct()
         above = nodes.where(F.col("level") <= level).join(wanted, "id", "left_semi")
-        hits = above.select("id", "kind", matched.alias("matched"), "parent_id")
+        hits = materialise(above.select("id", "kind", matched.alias("matched"), "parent_id"), "tree-hits")
         out = out.unionByName(hits)
     return out.select("id", "kind", "matched").distinct()
 
