@@ -14,9 +14,10 @@ dropped whose sets can't have it: a sketch counts a set's hashes by range, a few
 share no more than the sum of the lesser counts. First what SimHash
 links, and each text that shares a prefix shingle with the least text that has it, which joins large
 groups of copies at a linear cost; then the texts of a shingle that are in different groups have their sketches
-compared, in blocks of a bounded number, once for all shingles that the same texts have. No pair of them is a row
-unless its sketches allow it. Many texts have a shingle there only if they consist of common shingles for more than
-four fifths, as near copies do that aren't similar enough.
+compared, once for all shingles that the same texts have, and no pair is a row unless its sketches allow it. Many
+texts have a shingle there only if they consist of common shingles for more than four fifths, as near copies do;
+where more than ``wide`` have one, blocks of a bounded number of whole sets are compared, and only the links that
+join groups come out, so a large family of near copies makes no more rows than it has members a block.
 
 Defined results: a text of no more words than a shingle is one shingle, a null text is empty, and empty
 texts equal each other; a null doc_id comes last; of rows equal in all columns one stays; an empty table
@@ -117,7 +118,7 @@ def promising(pairs: DataFrame, sketches: DataFrame, least: tuple[int, int]) ->
     """The ``pairs`` (a, b) whose sketches don't rule similarity out. ``sketches``: (id, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, PIECE):
             rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
             yield batch.select([0, 1]).filter(pa.array([can_be_similar(x, y, n, m, least) for x, y, n, m in rows], pa.bool_()))
 
@@ -126,11 +127,21 @@ def promising(pairs: DataFrame, sketches: DataFrame, least: tuple[int, int]) ->
     return met.mapInArrow(run, "a long, b long")
 
 
+#: Rows that are Python objects at once, so that a task's memory is that of a few texts.
+PIECE = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
     """The ``pairs`` (a, b) whose texts are similar. ``texts``: (id, x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, PIECE):
             known: dict[int, np.ndarray] = {}
             keep = []
             a, b, x, y = (batch.column(k) for k in range(4))
@@ -182,38 +193,63 @@ def likely_pairs(n: np.ndarray, group: np.ndarray, side: np.ndarray, sketches: l
             yield k, near
 
 
-def met_in_groups(named: DataFrame, sketches: DataFrame, least: tuple[int, int], block: int = 2048) -> DataFrame:
-    """(a, b) of sets that share a shingle, are in different groups, and whose sketches allow similarity.
+class Joined:
+    """Groups that links join."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
 
-    ``named``: (h, id, n, c) with c the group; ``sketches``: (id, sketch). A shingle's sets are dealt to blocks of about
-    ``block``, and a task compares two blocks at a time.
+    def root(self, group: int) -> int:
+        while (up := self.above.get(group, group)) != group:
+            group = up
+        return group
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they weren't joined before."""
+        a, b = self.root(a), self.root(b)
+        self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
+def met_in_groups(named: DataFrame, sets: DataFrame, least: tuple[int, int], block: int) -> DataFrame:
+    """(a, b) of sets that share a shingle, are in different groups, and whose sketches allow similarity; or, if ``sets``
+    has the whole ones, links that join the groups of all such that are similar.
+
+    ``named``: (h, id, n, c, g) with c the group and g how many have the shingle; ``sets``: (id, sketch) and maybe whole. A
+    shingle's sets are dealt to blocks of about ``block``, and a task compares two blocks at a time.
     """
-    # of shingles that the very same sets have, as those of one passage, one is enough: 128 bits name the sets
-    same = F.struct(F.count("*"), F.sum(F.xxhash64("id").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("second"), "id")))
-    mixed = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("g"), same.alias("same"))
-    mixed = mixed.where("x <> y").groupBy("same").agg(F.min(F.struct("h", "g")).alias("k"))
-    mixed = materialise(mixed.select("k.h", F.ceil(F.col("k.g") / block).alias("blocks")), "similar-mixed")
-    rows = materialise(named.join(mixed, "h"), "similar-members").join(sketches.select("id", "sketch"), "id")
+    exact = "whole" in sets.columns
+    rows = named.withColumn("blocks", F.ceil(F.col("g") / block)).join(sets, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     dealt = rows.withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "id", "n", "c", "own", "sketch")
+    kept = ["id", "n", "c", "own", "sketch", *(["whole"] if exact else [])]
+    dealt = dealt.select("h", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), *kept)
 
     def compare(held: dict[str, list]) -> pa.RecordBatch:
-        ids = np.array(held["id"], np.int64)
+        ids, groups = np.array(held["id"], np.int64), held["c"]
         found = likely_pairs(*(np.array(held[c], np.int64) for c in ("n", "c", "own")), held["sketch"], least)
-        pairs = [(np.full(len(near), ids[k]), ids[near]) for k, near in found]
-        a, b = (np.concatenate([p[x] for p in pairs]) if pairs else ids[:0] for x in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        joined, a, b = Joined(), [], []
+        wholes = [np.frombuffer(x, np.uint64) for x in held["whole"]] if exact else []
+        for k, near in found:
+            for j in near.tolist():
+                if exact:
+                    apart = joined.root(groups[k]) != joined.root(groups[j])
+                    if not (apart and similar(wholes[k], wholes[j], least)):
+                        continue
+                    joined.join(groups[k], groups[j])
+                a.append(min(ids[k], ids[j]))
+                b.append(max(ids[k], ids[j]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
-        for batch in batches:
+        for batch in sliced(batches, PIECE):
             columns = batch.to_pydict()
             for k, now in enumerate(zip(columns["h"], columns["i"], columns["j"], strict=True)):
                 if now != key:
                     if held and len(held["id"]) > 1:
                         yield compare(held)
-                    key, held = now, {c: [] for c in ("id", "n", "c", "own", "sketch")}
+                    key, held = now, {c: [] for c in kept}
                 for c, values in held.items():
                     values.append(columns[c][k])
         if held and len(held["id"]) > 1:
@@ -223,6 +259,15 @@ def met_in_groups(named: DataFrame, sketches: DataFrame, least: tuple[int, int],
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
+def mixed_members(named: DataFrame) -> DataFrame:
+    """(h, id, n, c, g) of the shingles whose sets are in different groups, g how many they are. ``named``: (h, id, n, c)."""
+    # of shingles that the very same sets have, as those of one passage, one is enough: 128 bits name the sets
+    same = F.struct(F.count("*"), F.sum(F.xxhash64("id").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("second"), "id")))
+    mixed = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("g"), same.alias("same"))
+    mixed = mixed.where("x <> y").groupBy("same").agg(F.min(F.struct("h", "g")).alias("k"))
+    return named.join(materialise(mixed.select("k.h", "k.g"), "similar-mixed"), "h")
+
+
 def texts_of(pairs: DataFrame, rows: DataFrame, marked: DataFrame) -> DataFrame:
     """(id, x) of the ends of ``pairs`` alone, written, so that no other text moves. ``rows``: (id, __row)."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -292,6 +337,7 @@ def links(
     least: tuple[int, int],
     radius: int,
     rare: int,
+    wide: int,
 ) -> DataFrame:
     """(a, b) edges that connect the distinct sets as all similar pairs do.
 
@@ -314,8 +360,17 @@ def links(
         "h", "id", "n", F.coalesce("component", "id").alias("c")
     )
     named = materialise(named, "similar-named")
-    rest = materialise(met_in_groups(named, sketches, least).join(likely, ["a", "b"], "left_anti"), "similar-rest")
-    return first.unionByName(verified(rest, texts_of(rest, rows, marked), width, least))
+    members = materialise(mixed_members(named), "similar-members")
+    few, many = members.where(F.col("g") <= wide), members.where(F.col("g") > wide)
+    rest = met_in_groups(few, sketches.select("id", "sketch"), least, wide)
+    rest = materialise(rest.join(likely, ["a", "b"], "left_anti"), "similar-rest")
+    edges = first.unionByName(verified(rest, texts_of(rest, rows, marked), width, least))
+    if many.isEmpty():
+        return edges
+    texts = texts_by_id(many.select("id").distinct(), rows, marked)
+    whole = add_columns(texts, "x", [("whole", T.BinaryType())], lambda values: [[everything(v).tobytes() for v in values]], drop=True)
+    whole = materialise(whole.join(sketches.select("id", "sketch"), "id"), "similar-whole")
+    return edges.unionByName(materialise(met_in_groups(many, whole, least, 512), "similar-many"))
 
 
 def one_of_each(
@@ -328,6 +383,7 @@ def one_of_each(
     most: int = 1 << 16,
     radius: int = 3,
     rare: int = 8,
+    wide: int = 32,
 ) -> DataFrame:
     """The row of ``docs`` with the least doc_id of each group of similar texts, ties by a hash of the row."""
     columns = [f"`{c}`" for c in docs.columns]
@@ -345,7 +401,7 @@ def one_of_each(
         return [sigs, [len(own) for own in made], [simhash.majority(own) for own in made], heads, [sketch(own) for own in made]]
 
     fields = [("sig", T.BinaryType()), ("n", T.LongType()), ("fp", T.LongType()), ("head", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
-    prints = add_columns(marked.select("d", "__row", "x"), "x", fields, compute, drop=True)
+    prints = add_columns(marked.select("d", "__row", "x"), "x", fields, compute, drop=True, piece_bytes=2 << 20)
     # written with the number, so that it stays the row's
     prints = materialise(prints.withColumn("id", F.monotonically_increasing_id()), "similar-prints")
     key = F.struct(F.col("d").isNull().alias("n"), "d", F.col("__row").alias("r"))
@@ -355,7 +411,7 @@ def one_of_each(
     sets = prints.join(spare, "id", "left_anti").select("id", "n", "fp", "head", "sketch")
     chosen = firsts.select("id", F.col("k.r").alias("__row"))
     texts = marked.select("__row", "x")
-    groups = components(links(sets, chosen, texts, everything, width, least, radius, rare))
+    groups = components(links(sets, chosen, texts, everything, width, least, radius, rare, wide))
     named = firsts.join(groups, firsts["id"] == groups["node"], "left")
     best = named.groupBy(F.coalesce("component", "id").alias("c")).agg(F.min("k").alias("k")).select(F.col("k.r").alias("__row"))
     # what goes is listed, not what stays, and only rows that occur more than once are brought together

@@ -56,8 +56,8 @@ def test_similar_pairs_of_any_distance(spark):
         [(d, t, "en", "a", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
     )
     want = survivors(rows)
-    for rare in (8, 1, 10**6):
-        got = [r["doc_id"] for r in similar.one_of_each(docs, rare=rare).collect()]
+    for rare, wide in ((8, 2), (1, 32), (10**6, 10**6)):
+        got = [r["doc_id"] for r in similar.one_of_each(docs, rare=rare, wide=wide).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
     assert 40 < len(want) < len(rows) - 40
@@ -103,6 +103,19 @@ def test_groups_in_blocks(spark):
         and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))
         and similar.can_be_similar(sketches[a], sketches[b], len(sets[a]), len(sets[b]))
     }
+    counted = named.join(named.groupBy("h").count().withColumnRenamed("count", "g"), "h")
+    whole = spark.createDataFrame([(k, bytearray(v.tobytes()), bytearray(sketches[k])) for k, v in sets.items()], "id long, whole binary, sketch binary")
+    alike = {(a, b) for a, b in want if similar.similar(sets[a], sets[b])}
     for block in (2048, 7, 1):
-        assert {(r["a"], r["b"]) for r in similar.met_in_groups(named, frame, similar.SIMILARITY, block).collect()} == want
-    assert len(want) > 20
+        assert {(r["a"], r["b"]) for r in similar.met_in_groups(counted, frame, similar.SIMILARITY, block).collect()} == want
+        links = {(r["a"], r["b"]) for r in similar.met_in_groups(counted, whole, similar.SIMILARITY, block).collect()}
+        assert links <= alike and joined(links) == joined(alike)
+    assert len(want) > 20 and len(alike) > 5
+
+
+def joined(links):
+    """Groups of the sets' groups, two sets each, as the links join them."""
+    found = similar.Joined()
+    for a, b in sorted(links):
+        found.join(a // 2, b // 2)
+    return [found.root(c) for c in range(30)]
