@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depscope.functions.columns import unused
 from depscope.scratch import materialise
 
 
@@ -12,18 +13,19 @@ def with_rank(rows: DataFrame, order: list[str | Column], name: str = "rank") ->
     """``rows`` with ``name``, a row's place from 0 in ``order``, and the number of rows.
 
     Rows are cut into ranges of the order and numbered in each; the driver sees one count a
-    range. Rows equal in ``order`` get different places, in no fixed order.
+    range. Rows equal in ``order`` get different places, in no fixed order. A column called
+    ``name`` gives way; any other column may have any name.
     """
-    spark, columns = rows.sparkSession, [f"`{c}`" for c in rows.columns if c != name]
-    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"__o{k}") for k, c in enumerate(order)]
-    keyed = rows.select(*columns, *keys)
-    sort = [f"__o{k}" for k in range(len(keys))]
-    ranged = materialise(keyed.repartitionByRange(*sort).withColumn("__part", F.spark_partition_id()), "ranked")
+    spark, kept = rows.sparkSession, [c for c in rows.columns if c != name]
+    columns = [f"`{c}`" for c in kept]
+    part, start, own = (unused(kept, c) for c in ("__part", "__start", "__own"))
+    sort = [unused(kept, f"__o{k}") for k in range(len(order))]
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(s) for c, s in zip(order, sort, strict=True)]
+    ranged = materialise(rows.select(*columns, *keys).repartitionByRange(*sort).withColumn(part, F.spark_partition_id()), "ranked")
     starts, total = [], 0
-    for part, count in ranged.groupBy("__part").count().orderBy("__part").collect():
-        starts.append((part, total))
+    for number, count in ranged.groupBy(part).count().orderBy(part).collect():
+        starts.append((number, total))
         total += count
-    known = F.broadcast(spark.createDataFrame(starts, "__part int, __start long"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*sort)) - 1
-    placed = ranged.withColumn("__own", own).join(known, "__part")
-    return placed.select(*columns, (F.col("__start") + F.col("__own")).alias(name)), total
+    known = F.broadcast(spark.createDataFrame(starts, f"`{part}` int, `{start}` long"))
+    placed = ranged.withColumn(own, F.row_number().over(Window.partitionBy(part).orderBy(*sort)) - 1).join(known, part)
+    return placed.select(*columns, (F.col(start) + F.col(own)).alias(name)), total
