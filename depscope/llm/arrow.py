@@ -10,19 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from depscope.functions.columns import unused
 
-def unused(columns: list[str], name: str) -> str:
-    """``name``, with underscores behind it until no column is called so, whatever the case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+
+def pieces(batches: Iterator[pa.RecordBatch], piece_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to about ``piece_bytes`` each, one row at least."""
+    for batch in batches:
+        start = 0
+        while start < batch.num_rows:
+            rows = max(1, int((batch.num_rows - start) * min(1.0, piece_bytes / max(1, batch.nbytes))))
+            piece = batch.slice(start, min(rows, batch.num_rows - start))
+            start += piece.num_rows
+            yield piece
 
 
 def add_columns(
     df: DataFrame,
     source: str,
-    fields: list[tuple[str, T.DataType]],
+    fields: list[tuple[str, T.DataType | str]],
     compute: Callable[[list], list[list]],
     drop: bool = False,
     piece_bytes: int = 8 << 20,
@@ -36,20 +41,17 @@ def add_columns(
     names = {n for n, _ in fields}
     kept = [c for c in df.columns if c not in names and not (drop and c == source)]
     chosen = df.select(*[f"`{c}`" for c in kept], F.col(f"`{source}`").alias(unused(df.columns, "__source")))
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in fields])
+    schema = T.StructType([df.schema[c] for c in kept])
+    for name, kind in fields:
+        schema = schema.add(name, T.DataType.fromDDL(kind) if isinstance(kind, str) else kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(schema)
-        for batch in batches:
-            start = 0
-            while start < batch.num_rows:
-                rows = max(1, int((batch.num_rows - start) * min(1.0, piece_bytes / max(1, batch.nbytes))))
-                piece = batch.slice(start, min(rows, batch.num_rows - start))
-                start += piece.num_rows
-                values = piece.column(piece.num_columns - 1).to_pylist()
-                made = compute(values)
-                arrays = [piece.column(i).cast(target.field(i).type) for i in range(len(kept))]
-                arrays += [pa.array(v, type=target.field(len(kept) + i).type) for i, v in enumerate(made)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        for piece in pieces(batches, piece_bytes):
+            values = piece.column(piece.num_columns - 1).to_pylist()
+            made = compute(values)
+            arrays = [piece.column(i).cast(target.field(i).type) for i in range(len(kept))]
+            arrays += [pa.array(v, type=target.field(len(kept) + i).type) for i, v in enumerate(made)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return chosen.mapInArrow(run, schema)

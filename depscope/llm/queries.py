@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depscope.llm import chat, langid, linededup, media, mixing, packing, private, quality, simhash, urls
+from depscope.llm import chat, importance, langid, linededup, media, mixing, packing, periodic, private, quality, simhash, substrings, urls
 from depscope.llm.sql import ORACLES
 from depscope.sources.tables import read_table
 
@@ -75,6 +75,38 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, WEIGHTS)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Of a tenth of the documents, by a hash of doc_id, the words from one on repeat the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n, a, p = F.floor(h / 10), F.size("w"), F.col("a"), F.col("p")
+    chosen = docs.where(h % 10 == 0).withColumn("w", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).where(n > 0)
+    chosen = chosen.withColumn("a", (g % n).cast("int")).withColumn("p", (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("w", F.when(i < a, i).otherwise(a + (i - a) % p) + 1))
+    rest = docs.where((h % 10 != 0) | h.isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return chosen.select("doc_id", F.array_join(words, " ").alias("text")).unionByName(rest.select("doc_id", "text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.periodic_runs(planted(read_table(spark, sf_dir, "documents")))
+    line = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.col("n_runs") > 0, F.concat(line, F.lit("\n"))).otherwise("")
+    return docs.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substrings.dedup_substrings(docs)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every opN_<name> of this module."""
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
