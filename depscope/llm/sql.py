@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from depscope.llm.importance import POLYNOMIAL
 from depscope.llm.urls import RULES, VOCABULARY
 
 HOST_QUALITY = r"""
@@ -75,4 +76,37 @@ SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r}' THEN '{v}'"
        WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft FROM j
 """
 
-ORACLES = {"op2_host_quality": HOST_QUALITY, "op5_chat_prefix_tree": CHAT, "op9_url_vocabulary": URLS}
+def nibbles() -> list[int]:
+    """The CRC-32 register after four bits, by the four lowest."""
+    out = []
+    for value in range(16):
+        for _ in range(4):
+            value = (value >> 1) ^ POLYNOMIAL if value & 1 else value >> 1
+        out.append(value)
+    return out
+
+
+def lower_words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+IMPORTANCE = rf"""
+WITH w AS (SELECT 0 AS part, doc_id AS id, {lower_words('text')} AS x FROM documents UNION ALL SELECT 1, item_id, {lower_words('text')} FROM benchmark),
+f AS (SELECT part, id, unnest(list_concat(x, list_transform(range(1, len(x)), lambda k: x[k] || ' ' || x[k + 1]))) AS f FROM w),
+n AS (SELECT part, id, f, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM n)),
+c AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(2 * octet_length(encode(f))),
+  lambda k: (strpos('0123456789ABCDEF', h[k + 2 - 2 * (k % 2)]) - 1)::BIGINT)), lambda a, b: xor(a >> 4, [{', '.join(f'{v}::BIGINT' for v in nibbles())}][(xor(a, b) & 15) + 1]))) % 10000 AS b FROM h),
+k AS (SELECT part, id, b, n FROM n JOIN c USING (f)),
+s AS (SELECT b, sum(CASE WHEN part = 0 THEN n ELSE 0 END)::DOUBLE AS s, sum(part * n)::DOUBLE AS t FROM k GROUP BY b),
+z AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM s),
+g AS (SELECT b, floor(1000 * ln(((t + 1) * (ss + 10000)) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM s, z),
+d AS (SELECT id, sum(n)::BIGINT AS n, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM k JOIN g USING (b) WHERE part = 0 GROUP BY id),
+o AS (SELECT w.id AS doc_id, len(x) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  ('0x' || left(sha256('7:' || w.id), 8))::BIGINT AS h FROM w LEFT JOIN d ON d.id = w.id WHERE part = 0),
+e AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, 25 * count_if(words >= 20) OVER () // 100 AS drawn FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= drawn THEN place END AS rank FROM r
+"""
+
+ORACLES = {"op2_host_quality": HOST_QUALITY, "op5_chat_prefix_tree": CHAT, "op9_url_vocabulary": URLS, "op11_importance_resampling": IMPORTANCE}
