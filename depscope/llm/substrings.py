@@ -16,7 +16,7 @@ passage's shard. A window that isn't there may still equal one in a third docume
 taken for anchors themselves, whole, and go through the same steps once more. After that, none is open.
 
 Earliest occurrences come from one global sort by anchor and place, in ranges that split an anchor of any frequency; each task
-scans its range, and the driver gets nothing: what crosses borders of ranges is two rows for each of them. Documents with the
+scans its range, and the driver learns of the keys at the borders of ranges, two for each. Documents with the
 same sequence of words are one for all these steps, and all but the first go whole, if they have a window.
 
 Defined results: a null text stays null and has no words; a text of fewer words than a window stays. A null doc_id is
@@ -144,10 +144,18 @@ def first_places(rows: DataFrame) -> DataFrame:
 
     ranged = rows.select("key", "at", "part").repartitionByRange("key", "at").sortWithinPartitions("key", "at")
     found = materialise(ranged.mapInArrow(scan, schema), "substrings-places")
-    # two keys of each range at most
+    # two keys of each range at most, so this is a small table whatever the rows
     edges = found.where("kind > 0").groupBy("key").agg(F.min("first").alias("first"), F.count("*").alias("c")).where("c > 1")
-    across = found.where("kind = 1").select("key", "at", "part").join(F.broadcast(edges.select("key", "first")), "key")
-    return found.where("kind = 0").select("at", "part", "first").unionByName(across.select("at", "part", "first"))
+    known = {bytes(k) if isinstance(k := r["key"], bytearray) else k: r["first"] for r in edges.select("key", "first").collect()}
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = pa.array([known.get(k) for k in batch.column(0).to_pylist()], pa.int64())
+            made = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), first], names=["at", "part", "first"])
+            yield made.filter(first.is_valid())
+
+    border = found.where("kind = 1").select("key", "at", "part").mapInArrow(across, "at long, part long, first long")
+    return found.where("kind = 0").select("at", "part", "first").unionByName(border)
 
 
 class Automaton:
