@@ -166,9 +166,8 @@ def test_line_dedup_blocks():
     """One pair by hand; tests/llm/test_line_dedup_whole.py has the whole operator against its definition."""
     earlier = [f"line number {k} with enough words" for k in range(6)]
     later = ["head of the later one stays here", *earlier[1:4], "The.", *earlier[4:], "The."]
-    keys = {h: k for k, h in enumerate(linededup.line_keys("\n".join(earlier), 5))}
-    matches = [(k, 1, keys[h]) for k, h in enumerate(linededup.line_keys("\n".join(later), 5)) if h in keys]
-    assert linededup.without("\n".join(later), matches, 5)[0] == "head of the later one stays here\nThe.\nThe."
+    page = {"n": False, "d": 1, "t": 0, "page": 0, "lines": linededup.line_hashes([x.encode() for x in earlier])}
+    assert linededup.without("\n".join(later), [page], 5)[0] == "head of the later one stays here\nThe.\nThe."
     assert linededup.increasing([(0, 5), (1, 1), (2, 2), (3, 0), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
 
 
