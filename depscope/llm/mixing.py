@@ -21,7 +21,7 @@ Defined results: a null source is a source of its own; a source without a given
 the default weight; a weight that isn't a positive whole number raises ValueError;
 documents in a source are ordered by a hash of the row, ties by doc_id; rows equal in all
 columns are each placed; a null size counts as 1, and one below 1 as 1; an empty table gives an
-empty result; columns named block, slot or place give way to the result's.
+empty result; columns named block, slot or place give way to the result's, and any other column may have any name.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depscope.functions.columns import unused
 from depscope.llm.order import with_order
 from depscope.operators.ranking import with_rank
 from depscope.scratch import materialise
@@ -120,15 +121,16 @@ def mix(
     spark = docs.sparkSession
     units = F.lit(1) if size is None else F.greatest(F.lit(1), F.coalesce(F.col(f"`{size}`"), F.lit(1)))
     columns = [f"`{c}`" for c in docs.columns]
+    ordered, file, number = with_order(docs.select(*columns))
     own = {
         "s": F.col(f"`{source}`"),
         "h": F.pmod(F.xxhash64(*columns), F.lit(1 << 32)),
         "d": F.col(f"`{doc_id}`"),
         "size": units.cast("long"),
-        "at": F.xxhash64("__file", "__row"),
+        "at": F.xxhash64(file, number),
         "row": F.struct(*columns),
     }
-    rows = with_order(docs.select(*columns)).select(*[c.alias(n) for n, c in own.items()])
+    rows = ordered.select(*[c.alias(n) for n, c in own.items()])
     sources = source_table(rows.select("s"), given, default_weight)
     groups = [tuple(r) for r in sources.groupBy("w").agg(F.max("peers")).orderBy("w").collect()]  # a row for each weight
     order, places = cycle([w * peers for w, peers in groups]), []
@@ -163,6 +165,7 @@ def in_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
     for at, n in ranges:
         cuts.append((at, before * count // total))
         before += n
-    known = F.broadcast(spark.createDataFrame(cuts, "__r long, __part int"))  # 64 rows a partition at most
-    dealt = mixed.join(known, F.floor(F.col("slot") / width) == F.col("__r"))
-    return dealt.repartitionById(count, F.col("__part")).sortWithinPartitions("slot", "place").select(*[f"`{c}`" for c in mixed.columns])
+    r, part = unused(mixed.columns, "__r"), unused(mixed.columns, "__part")
+    known = F.broadcast(spark.createDataFrame(cuts, f"{r} long, {part} int"))  # 64 rows a partition at most
+    dealt = mixed.join(known, F.floor(F.col("slot") / width) == F.col(r))
+    return dealt.repartitionById(count, F.col(part)).sortWithinPartitions("slot", "place").select(*[f"`{c}`" for c in mixed.columns])

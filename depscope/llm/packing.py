@@ -12,7 +12,8 @@ same order again. Each task packs a bounded share of them.
 
 Defined results: a null text is empty and is a piece with the end id alone; repeated rows are
 packed each; an empty table gives an empty result. With ``ordered`` documents are packed in the
-order in which their table was written, and sequences are numbered along it.
+order in which their table was written, and sequences are numbered along it. A very long text is cut into its pieces in one
+task. Input columns called piece, start, length, ids_crc32, ids, sequence_id or offset give way; any other column may have any name.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from depscope.functions.columns import unused
 from depscope.llm.arrow import add_columns
 from depscope.llm.order import with_order
 from depscope.llm.tokens import encoder
@@ -45,6 +47,9 @@ PIECE = T.StructType(
     ]
 )
 
+#: Columns of a result, which input columns of their names give way to.
+RESULT = [*PIECE.names, "sequence_id", "offset"]
+
 
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, bytes]]:
     """(piece, start, ids) of a document's packed ids."""
@@ -68,10 +73,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, text: str = "tex
             out.append([dict(zip(PIECE.names, m, strict=True)) for m in made])
         return [out]
 
-    made = add_columns(docs, text, [("__pieces", T.ArrayType(PIECE))], compute, drop=True)
+    cut_up, x = unused(docs.columns, "__pieces"), unused(docs.columns, "__x")
+    made = add_columns(docs, text, [(cut_up, T.ArrayType(PIECE))], compute, drop=True)
     names = PIECE.names if with_ids else PIECE.names[:-1]
-    kept = [f"`{c}`" for c in made.columns if c not in ("__pieces", *PIECE.names)]
-    return made.select(*kept, F.explode("__pieces").alias("x")).select(*kept, *[F.col(f"x.{n}").alias(n) for n in names])
+    kept = [f"`{c}`" for c in made.columns if c not in (cut_up, *PIECE.names)]
+    return made.select(*kept, F.explode(cut_up).alias(x)).select(*kept, *[F.col(f"{x}.{n}").alias(n) for n in names])
 
 
 class SumOfSquares:
@@ -136,41 +142,41 @@ def tightest(sizes: list[int], capacity: int) -> tuple[np.ndarray, int]:
     return places, count
 
 
-def in_shares(table: DataFrame, tasks: int) -> DataFrame:
-    """``table`` (__file, __row, piece) in ``tasks`` partitions that follow the order of rows."""
-    rows, before, starts = table.groupBy("__file").agg(F.max("__row")).orderBy("__file").collect(), 0, []  # a row for each file
-    for file, last in rows:
-        starts.append((file, before))
+def in_shares(table: DataFrame, tasks: int, file: str, row: str) -> DataFrame:
+    """``table`` in ``tasks`` partitions that follow the order of ``file``, ``row`` and piece."""
+    name, start, at = (unused(table.columns, c) for c in ("__name", "__start", "__at"))
+    rows, before, starts = table.groupBy(file).agg(F.max(row)).orderBy(file).collect(), 0, []  # a row for each file
+    for one, last in rows:
+        starts.append((one, before))
         before += last + 1
-    known = table.sparkSession.createDataFrame(starts, "__file string, __start long")
-    placed = table.join(F.broadcast(known), "__file").withColumn("__at", F.col("__start") + F.col("__row"))
-    share = F.floor(F.col("__at") * tasks / max(1, before)).cast("int")
-    return placed.repartitionById(tasks, share).sortWithinPartitions("__at", "piece").drop("__at", "__start")
+    known = table.sparkSession.createDataFrame(starts, f"{name} string, {start} long")
+    placed = table.join(F.broadcast(known), F.col(file) == F.col(name)).withColumn(at, F.col(start) + F.col(row))
+    share = F.floor(F.col(at) * tasks / max(1, before)).cast("int")
+    return placed.repartitionById(tasks, share).sortWithinPartitions(at, "piece").drop(at, start, name)
 
 
-def pack(table: DataFrame, capacity: int = 1024, per_task: int = 1 << 16) -> DataFrame:
+def pack(table: DataFrame, capacity: int = 1024, per_task: int = 1 << 16, order: tuple[str, str] | None = None) -> DataFrame:
     """``table``, a written table of pieces with length, with sequence_id and offset.
 
-    If it has __file and __row, pieces are packed and sequences numbered in their order.
+    With ``order``, two of its columns that go, pieces are packed and sequences numbered in their order.
     """
-    ordered = "__file" in table.columns
     schema = T.StructType(
-        [f for f in table.schema if f.name not in ("sequence_id", "offset", "__file", "__row")]
+        [f for f in table.schema if f.name not in ("sequence_id", "offset", *(order or ()))]
         + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
-    names = schema.names[:-2]
+    names, part = schema.names[:-2], unused(table.columns, "__part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, share in enumerate(grouped(batches, per_task)):
-            first = (share.column("__part")[0].as_py() << 40) + (k << 20)
+            first = (share.column(len(names))[0].as_py() << 40) + (k << 20)
             sequences, offsets = assign(share.column("length").to_numpy(), capacity)
-            made = [*(share.column(n) for n in names), pa.array(first + sequences), pa.array(offsets)]
+            made = [*share.columns[: len(names)], pa.array(first + sequences), pa.array(offsets)]
             yield from pa.Table.from_arrays(made, schema=schema_of).combine_chunks().to_batches()
 
     schema_of = to_arrow_schema(schema)
     tasks = max(1, round(table.count() / per_task))
-    dealt = in_shares(table, tasks) if ordered else table.coalesce(tasks)
-    return dealt.select(*names, F.spark_partition_id().alias("__part")).mapInArrow(run, schema)
+    dealt = in_shares(table, tasks, *order) if order else table.coalesce(tasks)
+    return dealt.select(*[f"`{c}`" for c in names], F.spark_partition_id().alias(part)).mapInArrow(run, schema)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -195,5 +201,7 @@ def packed_documents(
     ordered: bool = False,
 ) -> DataFrame:
     """The pieces of ``docs`` with their sequences and offsets."""
-    docs = with_order(docs) if ordered else docs
-    return pack(materialise(pieces(docs, tokenizer_path, capacity, text, with_ids), "packing-pieces"), capacity)
+    order = None
+    if ordered:
+        docs, *order = with_order(docs.drop(*(c for c in RESULT if c in docs.columns and c != text)))
+    return pack(materialise(pieces(docs, tokenizer_path, capacity, text, with_ids), "packing-pieces"), capacity, order=order)
