@@ -148,14 +148,15 @@ def first_places(rows: DataFrame) -> DataFrame:
     edges = found.where("kind > 0").groupBy("key").agg(F.min("first").alias("first"), F.count("*").alias("c")).where("c > 1")
     known = {bytes(k) if isinstance(k := r["key"], bytearray) else k: r["first"] for r in edges.select("key", "first").collect()}
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = pa.array([known.get(k) for k in batch.column(0).to_pylist()], pa.int64())
-            made = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), first], names=["at", "part", "first"])
-            yield made.filter(first.is_valid())
+            keys, at, part, first = batch.columns
+            if keys.null_count < batch.num_rows:
+                own = zip(keys.to_pylist(), first.to_pylist(), strict=True)
+                first = pa.array([f if k is None else known.get(k) for k, f in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([at, part, first], names=["at", "part", "first"]).filter(first.is_valid())
 
-    border = found.where("kind = 1").select("key", "at", "part").mapInArrow(across, "at long, part long, first long")
-    return found.where("kind = 0").select("at", "part", "first").unionByName(border)
+    return found.where("kind < 2").select("key", "at", "part", "first").mapInArrow(resolved, "at long, part long, first long")
 
 
 class Automaton:
