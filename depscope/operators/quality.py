@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from depscope.functions import metrics
 from depscope.scratch import materialise
@@ -87,14 +90,39 @@ def field_usage(methods: DataFrame, fields: DataFrame) -> DataFrame:
     return met.select("class_id", F.col("id").alias("method_id"), F.explode_outer(used).alias("field"))
 
 
+#: So many fields of a class, each used by more than LIGHT different sets, are counted by bits.
+HEAVY, LIGHT = 20, 64
+
+
+def _sharing_bits(masks: DataFrame) -> DataFrame:
+    """(class_id, n): pairs of methods with a bit in common, from (class_id, mask, c). A class has 2^HEAVY rows at most.
+
+    Two methods have none in common if one's bits lie in the other's complement, and the counts of all masks inside
+    each complement are subset sums, made bit by bit."""
+    schema = T.StructType([masks.schema["class_id"], T.StructField("n", T.LongType())])
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        mask, c = rows["mask"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
+        width = int(mask.max()).bit_length()
+        inside = np.bincount(mask, weights=c, minlength=1 << width).astype(np.int64)
+        for bit in range(width):
+            halves = inside.reshape(-1, 2, 1 << bit)
+            halves[:, 1] += halves[:, 0]
+        apart = inside[((1 << width) - 1) ^ mask]
+        both = int((c * (c.sum() - apart)).sum()) - int(c[mask > 0].sum())
+        return pd.DataFrame({"class_id": rows["class_id"].iloc[:1], "n": [both // 2]})
+
+    return masks.groupBy("class_id").applyInPandas(count, schema)
+
+
 def cohesion(usage: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """(class_id, n_methods, sharing, lcom, tcc) from (class_id, method_id, field).
 
-    Methods that use the same fields are taken together: pairs of methods that share a field are
-    those inside such a set, by its size, and those of two sets that share a field, by the product
-    of their sizes. So a field that all methods use costs one row for each different set, and all
-    n (n-1) / 2 pairs are never made. Methods without a field must come with a null one. A class has no
-    lcom if it has no field: none in ``usage``, or if ``fields`` (class_id) is given, none there.
+    Methods that use the same fields are taken together as a set. The fields that most sets of a class have, ``HEAVY`` at most,
+    become bits of a set's mask, and pairs that share one of them are counted from the counts of masks. Pairs that share only
+    others are made by a join on these, each of which few sets have. So a field that all methods use costs a row for each set. Methods
+    without a field must come with a null one. A class has no lcom if it has no field: none in ``usage``, or
+    if ``fields`` (class_id) is given, none there.
     """
     used = usage.where("field IS NOT NULL")
     sets = (
@@ -102,19 +130,27 @@ def cohesion(usage: DataFrame, fields: DataFrame | None = None) -> DataFrame:
         .agg(F.sort_array(F.collect_set("field")).alias("fields"))
         .groupBy("class_id", "fields")
         .agg(F.count("*").alias("c"))
+        .withColumn("s", F.monotonically_increasing_id())
     )
     sets = materialise(sets, "cohesion")
-    inside = sets.select("class_id", (F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("n"))
-    spread = sets.select("class_id", "fields", "c", F.explode("fields").alias("field"))
-    other = spread.select("class_id", "field", F.col("fields").alias("fields2"), F.col("c").alias("c2"))
+    spread = sets.select("class_id", "s", "c", F.explode("fields").alias("field"))
+    often = spread.groupBy("class_id", "field").agg(F.count("*").alias("n")).where(F.col("n") > LIGHT)
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("n"), "field"))
+    heavy = materialise(often.withColumn("bit", place).where(F.col("bit") <= HEAVY).select("class_id", "field", "bit"), "cohesion-heavy")
+    marked = spread.join(heavy, ["class_id", "field"], "left").select("*", F.coalesce(F.expr("shiftleft(1L, bit - 1)"), F.lit(0)).alias("own"))
+    masks = materialise(marked.groupBy("class_id", "s").agg(F.first("c").alias("c"), F.bit_or("own").alias("mask")), "cohesion-masks")
+    by_bits = _sharing_bits(masks.groupBy("class_id", "mask").agg(F.sum("c").alias("c")))
+    inside = masks.where("mask = 0").select("class_id", (F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("n"))
+    light = spread.join(heavy, ["class_id", "field"], "left_anti").join(masks.select("class_id", "s", "mask"), ["class_id", "s"])
+    other = light.select("class_id", "field", F.col("s").alias("s2"), F.col("c").alias("c2"), F.col("mask").alias("mask2"))
     across = (
-        spread.join(other, ["class_id", "field"])
-        .where("fields < fields2")
-        .groupBy("class_id", "fields", "fields2")
+        light.join(other, ["class_id", "field"])
+        .where((F.col("s") < F.col("s2")) & (F.col("mask").bitwiseAND(F.col("mask2")) == 0))
+        .groupBy("class_id", "s", "s2")
         .agg(F.min(F.col("c") * F.col("c2")).alias("n"))
         .select("class_id", "n")
     )
-    sharing = inside.unionByName(across).groupBy("class_id").agg(F.sum("n").alias("sharing"))
+    sharing = by_bits.unionByName(inside).unionByName(across).groupBy("class_id").agg(F.sum("n").alias("sharing"))
     sizes = usage.groupBy("class_id").agg(
         F.count_distinct("method_id").alias("n_methods"), F.count_distinct("field").alias("n_fields")
     )

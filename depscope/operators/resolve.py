@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def merge_modules(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """All keys of both sides; a column's value from ``right`` wins where there is one."""
+def _last(rows: DataFrame, key: str, columns: list[str], order: str | None) -> DataFrame:
+    """One row a key: the last by ``order``, of equals or without an order the greatest in its columns."""
+    values = F.struct(*columns)
+    by = values if order is None else F.struct(F.col(order), values.alias("__v"))
+    return rows.groupBy(key).agg(F.max_by(values, by).alias("__x")).select(key, "__x.*")
+
+
+def merge_modules(left: DataFrame, right: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """All keys of both sides, one row each; a column's value from ``right`` wins where there is one. Of several rows
+    with a key on one side the last by ``order`` counts."""
+    left, right = (_last(side, key, columns, order) for side in (left, right))
     r = right.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__r"))
     l = left.select(key, *columns, F.lit(True).alias("__l"))  # noqa: E741
     origin = F.when(F.col("__r") & F.col("__l"), "both").when(F.col("__r"), "right").otherwise("left")
@@ -53,7 +62,9 @@ def resolve_targets(names: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = names.select("name").where("name IS NOT NULL").distinct()
     exact = wanted.join(nodes.select("name", "id"), "name").groupBy("name").agg(F.min("id").alias("id"))
     open1 = wanted.join(exact.select("name"), "name", "left_anti")
-    tails = nodes.select(F.substring_index("id", ":", -1).alias("name"), "id")
+    words = F.split("id", ":")
+    ends = F.transform(F.sequence(F.lit(2), F.size(words)), lambda k: F.array_join(F.slice(words, k, F.size(words)), ":"))
+    tails = nodes.where(F.contains("id", F.lit(":"))).select(F.explode(ends).alias("name"), "id")
     suffix = open1.join(tails, "name").groupBy("name").agg(F.min("id").alias("id"))
     open2 = open1.join(suffix.select("name"), "name", "left_anti")
     inside = _containing(open2, nodes.select("id").where("id IS NOT NULL").distinct())

@@ -23,13 +23,6 @@ def supplier_handoff(spark: SparkSession, d: str) -> DataFrame:
     return moved.where("dst IS NOT NULL").distinct()
 
 
-def main_supplier(spark: SparkSession, d: str) -> DataFrame:
-    """(src, dst): each part, and the supplier of its dearest line. Part and supplier keys are one set of
-    nodes, so suppliers lead on to others."""
-    best = F.max_by("l_suppkey", F.struct("l_extendedprice", -F.col("l_suppkey")))
-    return read_table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src")).agg(best.alias("dst"))
-
-
 def event_steps(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kind = F.when(F.col("event_id") % 3 == 0, "import").when(F.col("event_id") % 3 == 1, "call").otherwise("inheritance")
@@ -69,8 +62,6 @@ PS = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
 SUP = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (
   PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
   FROM lineitem) WHERE dst IS NOT NULL)"""
-MAIN = """e AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem
-  QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_suppkey) = 1)"""
 EVT = """e AS (SELECT * FROM (SELECT event_id, event_type AS src,
   lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst,
   CASE event_id % 3 WHEN 0 THEN 'import' WHEN 1 THEN 'call' ELSE 'inheritance' END AS relationship_type

@@ -17,6 +17,9 @@ from depscope.plans.registry import query
 from depscope.scratch import materialise
 from depscope.sources.tables import read_table
 
+#: Edges of a task for the queries that show what large graphs take.
+FEW = 1000
+
 ROOTS = "q AS (SELECT src AS node FROM e GROUP BY src ORDER BY src LIMIT 20)"
 HOPS = """h AS (SELECT node, 0 AS depth FROM q UNION SELECT e.dst, h.depth + 1 FROM h JOIN e ON e.src = h.node
   WHERE h.depth < 60 AND e.src <> e.dst)"""
@@ -59,56 +62,56 @@ def node_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ad.MAIN}, {ROOTS}, {HOPS}, v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+    f"""WITH RECURSIVE {ad.PS}, {ROOTS}, {HOPS}, v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
     SELECT v.node, CAST(min(depth) AS BIGINT) AS depth FROM v LEFT JOIN h ON h.node = v.node GROUP BY v.node"""
 )
 def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
-    edges = ad.main_supplier(spark, d)
+    edges = ad.part_supplier(spark, d)
     return gr.hop_distance(edges, _roots(edges))
 
 
 @query(
-    f"""WITH RECURSIVE {ad.MAIN}, {ROOTS}, {HOPS}, v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+    f"""WITH RECURSIVE {ad.PS}, {ROOTS}, {HOPS}, v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
     SELECT v.node, CAST(min(depth) AS BIGINT) AS depth FROM v LEFT JOIN h ON h.node = v.node GROUP BY v.node"""
 )
 def bfs_depth_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """Hops by the rounds that large graphs take."""
-    edges = ad.main_supplier(spark, d)
-    return gr.hop_distance(edges, _roots(edges), small=0)
+    """Hops by the levels and rounds that large graphs take."""
+    edges = ad.part_supplier(spark, d)
+    return gr.hop_distance(edges, _roots(edges), most=FEW)
 
 
 @query(
-    f"""WITH RECURSIVE {ad.MAIN}, {ROOTS}, {HOPS}
+    f"""WITH RECURSIVE {ad.PS}, {ROOTS}, {HOPS}
     SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM h WHERE depth <= 3 GROUP BY node"""
 )
 def depth_filter(spark: SparkSession, d: str) -> DataFrame:
-    edges = ad.main_supplier(spark, d)
+    edges = ad.part_supplier(spark, d)
     return gr.hop_distance(edges, _roots(edges)).where(fl.within_depth(3))
 
 
 @query(
-    f"""WITH RECURSIVE {ad.MAIN}, {ROOTS},
+    f"""WITH RECURSIVE {ad.PS}, {ROOTS},
     h AS (SELECT node FROM q UNION SELECT e.dst FROM h JOIN e ON e.src = h.node) SELECT node FROM h"""
 )
 def reachable(spark: SparkSession, d: str) -> DataFrame:
-    edges = ad.main_supplier(spark, d)
+    edges = ad.part_supplier(spark, d)
     return gr.reachable(edges, _roots(edges))
 
 
-@query(f"WITH RECURSIVE {ad.MAIN}, {ad.SCC} SELECT node, scc FROM c")
+@query(f"WITH RECURSIVE {ad.PS}, {ad.SCC} SELECT node, scc FROM c")
 def scc_members(spark: SparkSession, d: str) -> DataFrame:
-    return gr.strong_components(ad.main_supplier(spark, d))
+    return gr.strong_components(ad.part_supplier(spark, d))
 
 
-@query(f"WITH RECURSIVE {ad.MAIN}, {ad.SCC} SELECT node, scc FROM c")
+@query(f"WITH RECURSIVE {ad.PS}, {ad.SCC} SELECT node, scc FROM c")
 def scc_members_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """The components by the rounds that large graphs take."""
-    return gr.strong_components(ad.main_supplier(spark, d), small=0)
+    """The components by the levels and pivots that large graphs take."""
+    return gr.strong_components(ad.part_supplier(spark, d), most=FEW)
 
 
-@query(f"WITH RECURSIVE {ad.MAIN}, {ad.SCC} SELECT scc, count(*) AS size FROM c GROUP BY scc ORDER BY size DESC, scc")
+@query(f"WITH RECURSIVE {ad.PS}, {ad.SCC} SELECT scc, count(*) AS size FROM c GROUP BY scc ORDER BY size DESC, scc")
 def scc_sizes(spark: SparkSession, d: str) -> DataFrame:
-    found = gr.strong_components(ad.main_supplier(spark, d))
+    found = gr.strong_components(ad.part_supplier(spark, d))
     return found.groupBy("scc").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "scc")
 
 
@@ -118,7 +121,7 @@ def _members(edges: DataFrame) -> DataFrame:
 
 
 def _severity(spark: SparkSession, d: str) -> DataFrame:
-    edges = ad.main_supplier(spark, d)
+    edges = ad.part_supplier(spark, d)
     members = _members(edges)
     found = cy.cycles(members, entities=False).select("scc", "size", "severity")
     per_node = cp.coupling(edges)
@@ -128,7 +131,7 @@ def _severity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ad.MAIN}, {ad.SCC}, {ad.COUPLING}
+    f"""WITH RECURSIVE {ad.PS}, {ad.SCC}, {ad.COUPLING}
     SELECT scc, max(size) AS size, CASE WHEN max(size) > 3 THEN 'high' ELSE 'medium' END AS severity,
     CAST(sum(afferent) AS BIGINT) AS afferent, CAST(sum(efferent) AS BIGINT) AS efferent
     FROM k JOIN cp ON cp.entity = k.node GROUP BY scc"""
@@ -139,21 +142,21 @@ def cycles_severity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ad.MAIN}, {ad.SCC} SELECT e.src, e.dst, a.scc, a.size FROM e JOIN k a ON a.node = e.src
+    f"""WITH RECURSIVE {ad.PS}, {ad.SCC} SELECT e.src, e.dst, a.scc, a.size FROM e JOIN k a ON a.node = e.src
     JOIN k b ON b.node = e.dst AND b.scc = a.scc"""
 )
 def cycle_edges(spark: SparkSession, d: str) -> DataFrame:
-    edges = ad.main_supplier(spark, d)
+    edges = ad.part_supplier(spark, d)
     return cy.cycle_edges(edges, _members(edges)).select("src", "dst", "scc", "size")
 
 
 @query(
-    f"""WITH RECURSIVE {ad.MAIN}, {ad.SCC}, y AS (SELECT scc, {ad.IMPORT_SEVERITY} AS s FROM (SELECT scc, max(size) AS size FROM k GROUP BY scc))
+    f"""WITH RECURSIVE {ad.PS}, {ad.SCC}, y AS (SELECT scc, {ad.IMPORT_SEVERITY} AS s FROM (SELECT scc, max(size) AS size FROM k GROUP BY scc))
     SELECT count(*) AS total, count(*) AS n_import, CAST(0 AS BIGINT) AS n_call, count(*) FILTER (s = 'high') AS n_high,
     count(*) FILTER (s = 'medium') AS n_medium, count(*) FILTER (s = 'low') AS n_low FROM y"""
 )
 def cycle_stats(spark: SparkSession, d: str) -> DataFrame:
-    return cy.cycle_statistics(cy.cycles(cy.cycle_members(ad.main_supplier(spark, d)), entities=False))
+    return cy.cycle_statistics(cy.cycles(cy.cycle_members(ad.part_supplier(spark, d)), entities=False))
 
 
 @query(f"WITH {ad.EVT} SELECT src AS node, count(*) AS n FROM e WHERE src = dst GROUP BY src")
@@ -162,12 +165,12 @@ def self_loops(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ad.MAIN}, {ad.SCC} SELECT string_agg(CAST(node AS VARCHAR), ',' ORDER BY CAST(node AS VARCHAR)) AS entities,
+    f"""WITH RECURSIVE {ad.PS}, {ad.SCC} SELECT string_agg(CAST(node AS VARCHAR), ',' ORDER BY CAST(node AS VARCHAR)) AS entities,
     'import' AS cycle_type, CASE WHEN max(size) > 3 THEN 'high' ELSE 'medium' END AS severity FROM k GROUP BY scc"""
 )
 def cycles_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The same edges found by two detectors: each cycle once."""
-    edges = ad.main_supplier(spark, d).withColumn("relationship_type", F.lit("import"))
+    edges = ad.part_supplier(spark, d).withColumn("relationship_type", F.lit("import"))
     found = cy.typed_cycles(edges, ["import"]).unionByName(cy.typed_cycles(edges, ["import"]))
     once = found.dropDuplicates(["entities", "cycle_type"])
     return once.select(F.array_join("entities", ",").alias("entities"), "cycle_type", "severity")
@@ -194,15 +197,15 @@ def edge_strength(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ad.MAIN}, {ad.SCC}, {STRENGTH}, g AS (SELECT a.scc, a.size, count(*) AS n_edges, avg(strength) AS m
+    f"""WITH RECURSIVE {ad.PS}, {ad.SCC}, {STRENGTH}, g AS (SELECT a.scc, a.size, count(*) AS n_edges, avg(strength) AS m
     FROM st JOIN k a ON a.node = st.src JOIN k b ON b.node = st.dst AND b.scc = a.scc GROUP BY a.scc, a.size)
     SELECT scc, size, n_edges, round(CAST(m AS DOUBLE), 6) AS mean_strength,
     CASE WHEN size <= 2 THEN CASE WHEN m < 2.0 THEN 'low' ELSE 'medium' END
     WHEN size <= 4 THEN CASE WHEN m < 3.0 THEN 'medium' ELSE 'high' END ELSE 'high' END AS severity FROM g"""
 )
 def cycle_strength(spark: SparkSession, d: str) -> DataFrame:
-    members = _members(ad.main_supplier(spark, d))
-    found = cy.cycle_strength(cy.cycle_edges(cp.strengths(_named(spark, d, ad.main_supplier(spark, d))), members))
+    members = _members(ad.part_supplier(spark, d))
+    found = cy.cycle_strength(cy.cycle_edges(cp.strengths(_named(spark, d, ad.part_supplier(spark, d))), members))
     return found.withColumn("mean_strength", F.round("mean_strength", 6))
 
 
@@ -258,20 +261,20 @@ def stdlib_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ad.MAIN}, {ad.SCC} SELECT v.node, k.node IS NOT NULL AS in_cycle,
+    f"""WITH RECURSIVE {ad.PS}, {ad.SCC} SELECT v.node, k.node IS NOT NULL AS in_cycle,
     {ad.IMPORT_SEVERITY.replace('CASE', 'CASE WHEN size IS NULL THEN NULL', 1)} AS severity FROM v LEFT JOIN k ON k.node = v.node"""
 )
 def in_cycle_flag(spark: SparkSession, d: str) -> DataFrame:
-    edges = ad.main_supplier(spark, d)
+    edges = ad.part_supplier(spark, d)
     return cy.flag_entities(gr.endpoints(edges), cy.cycle_members(edges), "node").select("node", "in_cycle", "severity")
 
 
 @query(
-    f"""WITH RECURSIVE {ad.MAIN}, {ad.SCC} SELECT e.src, e.dst, coalesce(a.scc = b.scc, false) AS in_cycle FROM e
+    f"""WITH RECURSIVE {ad.PS}, {ad.SCC} SELECT e.src, e.dst, coalesce(a.scc = b.scc, false) AS in_cycle FROM e
     LEFT JOIN k a ON a.node = e.src LEFT JOIN k b ON b.node = e.dst"""
 )
 def cycle_edge_flag(spark: SparkSession, d: str) -> DataFrame:
-    edges = ad.main_supplier(spark, d)
+    edges = ad.part_supplier(spark, d)
     return cy.flag_edges(edges, _members(edges)).select("src", "dst", "in_cycle")
 
 

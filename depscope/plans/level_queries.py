@@ -17,6 +17,7 @@ from depscope.operators import resolve as rs
 from depscope.plans import adapters as ad
 from depscope.plans.registry import query
 from depscope.sources import files
+from depscope.scratch import materialise
 from depscope.sources.tables import read_table
 
 
@@ -73,8 +74,8 @@ def visible_nodes(spark: SparkSession, d: str) -> DataFrame:
     SELECT n.id AS src, n.parent_id AS dst FROM n JOIN s a ON a.id = n.id JOIN s b ON b.id = n.parent_id"""
 )
 def visible_edges(spark: SparkSession, d: str) -> DataFrame:
-    edges = ad.levels(spark, d).select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
-    return fl.visible_edges(edges, _visible(spark, d)).select("src", "dst")
+    shown = materialise(_visible(spark, d).select("id", "parent_id"), "visible")
+    return fl.visible_edges(shown.select(F.col("id").alias("src"), F.col("parent_id").alias("dst")), shown).select("src", "dst")
 
 
 @query(f"WITH {ad.LEVELS} SELECT id, name FROM n WHERE kind = 'class'")
@@ -187,13 +188,13 @@ def sample_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {NAMED}, {ad.MAIN}, {ad.SCC} SELECT n.*, k.node IS NOT NULL AS in_cycle,
+    f"""WITH RECURSIVE {NAMED}, {ad.PS}, {ad.SCC} SELECT n.*, k.node IS NOT NULL AS in_cycle,
     CASE WHEN size > 3 THEN 'high' WHEN size IS NOT NULL THEN 'medium' END AS severity
     FROM n LEFT JOIN k ON 'part:' || k.node = n.id WHERE contains(lower(name), 'a')"""
 )
 def search_flagged(spark: SparkSession, d: str) -> DataFrame:
     """What a search finds, and whether it is on a cycle of parts."""
-    members = cy.cycle_members(ad.main_supplier(spark, d))
+    members = cy.cycle_members(ad.part_supplier(spark, d))
     members = members.withColumn("node", F.concat(F.lit("part:"), F.col("node").cast("string")))
     return cy.flag_entities(pg.search(_entities(spark, d), "A"), members)
 
@@ -343,18 +344,18 @@ def self_package_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT conv_id AS k, count(*) AS n, min(role) AS tag FROM conversations GROUP BY conv_id),
+    """WITH r AS (SELECT conv_id AS k, turn AS n, role AS tag FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) = 1),
     l AS (SELECT doc_id AS k, CAST(quality AS BIGINT) AS n, CASE WHEN toxic = 0 THEN 'clean' END AS tag FROM labels)
     SELECT coalesce(r.k, l.k) AS k, coalesce(r.n, l.n) AS n, coalesce(r.tag, l.tag) AS tag,
     CASE WHEN r.k IS NOT NULL AND l.k IS NOT NULL THEN 'both' WHEN r.k IS NOT NULL THEN 'right' ELSE 'left' END AS origin
     FROM l FULL JOIN r ON r.k = l.k"""
 )
 def merge_modules(spark: SparkSession, d: str) -> DataFrame:
-    """Labels and conversations stand for two detectors' modules."""
+    """Labels and conversations stand for two detectors' modules; the last turn of a conversation counts."""
     labels, turns = read_table(spark, d, "labels"), read_table(spark, d, "conversations")
     left = labels.select(F.col("doc_id").alias("k"), F.col("quality").cast("long").alias("n"), F.when(F.col("toxic") == 0, "clean").alias("tag"))
-    right = turns.groupBy(F.col("conv_id").alias("k")).agg(F.count("*").alias("n"), F.min("role").alias("tag"))
-    return rs.merge_modules(left, right, "k", ["n", "tag"])
+    right = turns.select(F.col("conv_id").alias("k"), F.col("turn").alias("n"), F.col("role").alias("tag"))
+    return rs.merge_modules(left, right, "k", ["n", "tag"], "n")
 
 
 @query(

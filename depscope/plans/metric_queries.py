@@ -106,7 +106,7 @@ def class_to_module_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH u AS (SELECT DISTINCT l_suppkey AS class_id, l_orderkey AS method_id, CASE WHEN l_linenumber > 2 THEN NULL ELSE p_brand END AS field
+    """WITH u AS (SELECT DISTINCT l_suppkey AS class_id, l_orderkey AS method_id, p_brand AS field
       FROM lineitem JOIN part ON p_partkey = l_partkey),
     z AS (SELECT class_id, count(DISTINCT method_id) AS n_methods, count(DISTINCT field) AS n_fields FROM u GROUP BY class_id),
     s AS (SELECT class_id, count(*) AS sharing FROM (SELECT DISTINCT a.class_id, a.method_id, b.method_id FROM u a JOIN u b
@@ -123,7 +123,7 @@ def lcom_tcc(spark: SparkSession, d: str) -> DataFrame:
     usage = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").alias("class_id"),
         F.col("l_orderkey").alias("method_id"),
-        F.when(F.col("l_linenumber") <= 2, F.col("p_brand")).alias("field"),
+        F.col("p_brand").alias("field"),
     )
     return qu.cohesion(usage).withColumn("tcc", F.round("tcc", 6))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depscope import scratch
 from depscope.operators import quality
 from depscope.plans.registry import query
 from depscope.sources import files
@@ -143,20 +144,26 @@ def flat_sink(spark: SparkSession, d: str) -> DataFrame:
     return flat_edges(nations)
 
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FILES = "f AS (SELECT unnest([" + ", ".join(f"'{t}.parquet'" for t in TABLES) + "]) AS path)"
-
-
-@query(f"WITH {FILES} SELECT path FROM f WHERE path NOT SIMILAR TO '[el].*' AND (path NOT LIKE 'c%' OR path = 'customer.parquet')")
+@query(
+    """SELECT DISTINCT 'status=' || o_orderstatus || '/year=' || year(o_orderdate) || '/priority=' || o_orderpriority AS folder FROM orders
+    WHERE o_orderstatus <> 'O' AND o_orderpriority <> '5-LOW' AND NOT (o_orderstatus = 'F' AND year(o_orderdate) = 1994)"""
+)
 def source_listing(spark: SparkSession, d: str) -> DataFrame:
-    """The files of the tables' folder stand for sources: anchored, double-star and plain patterns, and one that brings back."""
-    found = files.listing(spark, d, ["/c*", "**/e*.parquet", "l*", "!customer.parquet"], "*.parquet")
-    return found.select(F.regexp_replace("path", "/.*", "").alias("path")).distinct()
+    """Folders of a tree of orders by status, year and priority: anchored, double-star and plain patterns, and one that brings back."""
+    orders = read_table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("priority"))
+    top = scratch.partitioned(orders, ["status", "year", "priority"], "listed")
+    found = files.listing(spark, top, ["/status=O", "/status=F/year=1994", "priority=1-*", "**/priority=5-*", "!priority=1-URGENT"], "*.parquet")
+    return found.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
 
 
-@query(f"WITH {FILES} SELECT count(*) AS files, CAST(0 AS BIGINT) AS large_files, 'low' AS tier FROM f")
+@query(
+    """WITH f AS (SELECT octet_length(encode(text)) AS n FROM documents) SELECT count(*) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS bytes,
+    count(*) FILTER (n > 10485760) AS large_files, CASE WHEN count(*) > 10000 THEN 'very_high' WHEN count(*) > 5000 THEN 'high' WHEN count(*) > 1000 THEN 'medium' ELSE 'low' END AS tier FROM f"""
+)
 def project_tier(spark: SparkSession, d: str) -> DataFrame:
-    return files.project_size(files.listing(spark, d, [], "*.parquet")).select("files", "large_files", "tier")
+    """Documents stand for sources."""
+    docs = read_table(spark, d, "documents").select(F.octet_length("text").cast("long").alias("length"))
+    return files.project_size(docs).select("files", "bytes", "large_files", "tier")
 
 
 @query("SELECT '{\"n_regionkey\":' || n_regionkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")

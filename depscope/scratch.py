@@ -36,6 +36,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitioned(df: DataFrame, columns: list[str], label: str) -> str:
+    """Where ``df`` is written with a folder for each value of ``columns``."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*columns).parquet(path)
+    _written[path] = df.sparkSession
+    return path
+
+
 def written() -> list[str]:
     """The folders of all tables that are written and not released, oldest first."""
     return list(_written)

@@ -7,6 +7,7 @@ entered. Only names, times and lengths are listed; contents are read by tasks wh
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from fnmatch import fnmatch
 
@@ -29,13 +30,22 @@ LARGE = 10 << 20
 LISTED = "path string, modified timestamp, length long, folder boolean"
 
 
+def entries(store: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
+    """What a folder holds; nothing if it has gone or may not be read."""
+    try:
+        return store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    except PermissionError:
+        return []
+
+
 def listing(
     spark: SparkSession, root: str, exclude: list[str] | None = None, pattern: str = "*.py", per_task: int = 10_000
 ) -> DataFrame:
     """(path, modified, length) of the files below ``root``, paths relative to it, that no exclude pattern hits.
 
     A task lists ``per_task`` entries a round, so a small tree takes one round and a large one is
-    shared out from the second round on.
+    shared out from the second round on. A link to a folder isn't followed, so nothing is listed twice and no
+    circle is entered; a folder that can't be read is passed over.
     """
     patterns = EXCLUDE if exclude is None else exclude
 
@@ -49,13 +59,13 @@ def listing(
                 if listed >= per_task:
                     rows.append((at, None, 0, True))
                 else:
-                    for info in store.get_file_info(fs.FileSelector(f"{top}/{at}" if at else top or "/", allow_not_found=True)):
+                    for info in entries(store, f"{top}/{at}" if at else top or "/"):
                         listed += 1
                         path = info.path[len(top) + 1 :]
                         folder = info.type == fs.FileType.Directory
                         if matcher.hits(path, folder) or not (folder or fnmatch(info.base_name, pattern)):
                             continue
-                        if folder:
+                        if folder and not (store.type_name == "local" and os.path.islink(info.path)):
                             waiting.append(path)
                         elif info.is_file:
                             rows.append((path, info.mtime, info.size, False))

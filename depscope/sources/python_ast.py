@@ -8,7 +8,9 @@ parse_error set; one without content reads as empty.
 from __future__ import annotations
 
 import ast
+import io
 import re
+import tokenize
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -297,11 +299,14 @@ class Reader(ast.NodeVisitor):
 
 def parse_source(path: str, content: bytes | str | None) -> dict:
     """One file's row."""
-    text = content.decode("utf-8", "replace") if isinstance(content, bytes) else content or ""
-    module = module_name(path)
-    reader, doc, error = Reader(f"mod:{module}", text), None, None
+    raw = content.encode("utf-8", "surrogatepass") if isinstance(content, str) else content or b""
+    module, doc, error = module_name(path), None, None
+    text = raw.decode("utf-8", "replace")
+    reader = Reader(f"mod:{module}", text)
     try:
-        tree = ast.parse(text)
+        # as Python reads it: a byte order mark and a declared encoding count
+        text = raw.decode(tokenize.detect_encoding(io.BytesIO(raw).readline)[0])
+        reader, tree = Reader(f"mod:{module}", text), ast.parse(text)
         doc = ast.get_docstring(tree)
         reader.visit(tree)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
