@@ -33,25 +33,23 @@ def cycle_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def cycles(members: DataFrame, kind: str = "import", entities: bool = True) -> DataFrame:
-    """(scc, size, entities, cycle_type, severity, description); without ``entities`` no list of members is
-    built, and a cycle of any size is one small row."""
-    listed = F.sort_array(F.collect_list(F.col("node").cast("string"))).alias("entities")
-    grouped = members.groupBy("scc").agg(F.max("size").alias("size"), *([listed] if entities else []))
-    return grouped.select(
-        *grouped.columns,
+def cycles(members: DataFrame, kind: str = "import") -> DataFrame:
+    """(scc, size, cycle_type, severity, description): a cycle of any size is one small row; its members are those of its scc."""
+    return members.groupBy("scc").agg(F.max("size").alias("size")).select(
+        "scc",
+        "size",
         F.lit(kind).alias("cycle_type"),
         metrics.cycle_severity(kind, F.col("size")).alias("severity"),
         F.concat(F.lit(f"{kind} cycle of "), F.col("size").cast("string")).alias("description"),
     )
 
 
-def typed_cycles(edges: DataFrame, kinds: list[str], entities: bool = True) -> DataFrame:
+def typed_cycles(edges: DataFrame, kinds: list[str]) -> DataFrame:
     """Cycles among the edges of each type alone, united; a type that is named twice counts once."""
     out = None
     for kind in dict.fromkeys(kinds):
         own = edges.where(F.col("relationship_type") == kind)
-        found = cycles(materialise(cycle_members(own), "cycle-members"), kind, entities)
+        found = cycles(materialise(cycle_members(own), "cycle-members"), kind)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from depscope.functions import names
 from depscope.operators import coupling as cp
 from depscope.operators import cycles as cy
+from depscope.operators import deltas as de
 from depscope.operators import filters as fl
 from depscope.operators import graph as gr
 from depscope.operators import hierarchy as hi
@@ -123,7 +124,7 @@ def _members(edges: DataFrame) -> DataFrame:
 def _severity(spark: SparkSession, d: str) -> DataFrame:
     edges = ad.part_supplier(spark, d)
     members = _members(edges)
-    found = cy.cycles(members, entities=False).select("scc", "size", "severity")
+    found = cy.cycles(members).select("scc", "size", "severity")
     per_node = cp.coupling(edges)
     joined = members.select("node", "scc").join(per_node, F.col("node") == F.col("entity"))
     sums = joined.groupBy("scc").agg(F.sum("afferent").alias("afferent"), F.sum("efferent").alias("efferent"))
@@ -156,7 +157,30 @@ def cycle_edges(spark: SparkSession, d: str) -> DataFrame:
     count(*) FILTER (s = 'medium') AS n_medium, count(*) FILTER (s = 'low') AS n_low FROM y"""
 )
 def cycle_stats(spark: SparkSession, d: str) -> DataFrame:
-    return cy.cycle_statistics(cy.cycles(cy.cycle_members(ad.part_supplier(spark, d)), entities=False))
+    return cy.cycle_statistics(cy.cycles(cy.cycle_members(ad.part_supplier(spark, d))))
+
+
+def _changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Edges before, now, added and removed: lines returned were once there and go, open ones come. A part and supplier with
+    lines of several kinds have an edge as long as one of them is there."""
+    lines = read_table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), "l_returnflag")
+    before, now = (lines.where(F.col("l_returnflag") != flag).select("src", "dst").distinct() for flag in ("N", "R"))
+    return before, now, now.exceptAll(before), before.exceptAll(now)
+
+
+NOW = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_returnflag <> 'R')"
+
+
+@query(f"WITH {NOW}, {ad.COUPLING} SELECT * FROM cp")
+def coupling_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    before, _, added, removed = _changes(spark, d)
+    return de.coupling_after(cp.coupling(before), added, removed)
+
+
+@query(f"WITH RECURSIVE {NOW}, {ad.SCC} SELECT node, scc FROM c")
+def components_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    before, now, added, removed = (materialise(x, "changes") for x in _changes(spark, d))
+    return de.components_after(now, gr.strong_components(before), added, removed)
 
 
 @query(f"WITH {ad.EVT} SELECT src AS node, count(*) AS n FROM e WHERE src = dst GROUP BY src")
@@ -165,15 +189,14 @@ def self_loops(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ad.PS}, {ad.SCC} SELECT string_agg(CAST(node AS VARCHAR), ',' ORDER BY CAST(node AS VARCHAR)) AS entities,
-    'import' AS cycle_type, CASE WHEN max(size) > 3 THEN 'high' ELSE 'medium' END AS severity FROM k GROUP BY scc"""
+    f"""WITH RECURSIVE {ad.PS}, {ad.SCC} SELECT scc, max(size) AS size, 'import' AS cycle_type,
+    CASE WHEN max(size) > 3 THEN 'high' ELSE 'medium' END AS severity FROM k GROUP BY scc"""
 )
 def cycles_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """The same edges found by two detectors: each cycle once."""
+    """The same edges found by two detectors: each cycle once, known by its component."""
     edges = ad.part_supplier(spark, d).withColumn("relationship_type", F.lit("import"))
     found = cy.typed_cycles(edges, ["import"]).unionByName(cy.typed_cycles(edges, ["import"]))
-    once = found.dropDuplicates(["entities", "cycle_type"])
-    return once.select(F.array_join("entities", ",").alias("entities"), "cycle_type", "severity")
+    return found.dropDuplicates(["scc", "cycle_type"]).select("scc", "size", "cycle_type", "severity")
 
 
 def _named(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:

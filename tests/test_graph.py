@@ -49,8 +49,10 @@ def test_empty_graph(spark):
 def test_cycle_of_a_package(spark):
     names = [("a", "b"), ("a", "c"), ("b", "c"), ("b", "a"), ("c", "a"), ("init", "a"), ("loop", "loop")]
     edges = spark.createDataFrame(names, "src string, dst string")
-    found = {tuple(r["entities"]): r["severity"] for r in cycles.cycles(cycles.cycle_members(edges)).collect()}
-    assert found == {("a", "b", "c"): "medium", ("loop",): "medium"}
+    members = cycles.cycle_members(edges)
+    found = {(r["scc"], r["size"]): r["severity"] for r in cycles.cycles(members).collect()}
+    assert found == {("a", 3): "medium", ("loop", 1): "medium"}
+    assert {r["node"] for r in members.where("scc = 'a'").collect()} == {"a", "b", "c"}
     assert cycles.cycle_edges(edges, cycles.cycle_members(edges, loops=False)).count() == 5
 
 
