@@ -54,6 +54,25 @@ def typed_cycles(edges: DataFrame, kinds: list[str]) -> DataFrame:
     return out
 
 
+def simple_cycles(edges: DataFrame, members: DataFrame, longest: int) -> DataFrame:
+    """(length, path, scc) of every way of at most ``longest`` edges that comes back to where it began and meets no other node twice.
+
+    A cycle is told once, from its least node on, so a path only goes on to greater nodes of its component; repeats of an edge
+    count as one. There is a row for each cycle, however many they are, and a round for each length."""
+    links = materialise(cycle_edges(edges.select("src", "dst").distinct(), members).select("src", "dst", "scc"), "cycle-links")
+    back = links.select(F.col("src").alias("last"), F.col("dst").alias("first"))
+    found = links.where("src = dst").select(F.array("src").alias("path"), "scc")
+    paths = links.where("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"), "scc")
+    for length in range(2, longest + 1):
+        paths = materialise(paths, "cycle-paths")
+        found = found.unionByName(paths.join(back, ["last", "first"], "left_semi").select("path", "scc"))
+        if length < longest:
+            ahead = links.select(F.col("src").alias("last"), F.col("dst").alias("to"))
+            further = paths.join(ahead, "last").where((F.col("to") > F.col("first")) & ~F.array_contains("path", F.col("to")))
+            paths = further.select("first", F.col("to").alias("last"), F.array_append("path", F.col("to")).alias("path"), "scc")
+    return found.select(F.size("path").alias("length"), "path", "scc")
+
+
 def cycle_strength(inner: DataFrame) -> DataFrame:
     """(scc, size, n_edges, mean_strength, severity) from cycle edges with strength."""
     return (

@@ -199,6 +199,19 @@ def cycles_dedup(spark: SparkSession, d: str) -> DataFrame:
     return found.dropDuplicates(["scc", "cycle_type"]).select("scc", "size", "cycle_type", "severity")
 
 
+@query(
+    f"""WITH RECURSIVE {ad.PS}, p AS (SELECT src AS first, dst AS last, [src, dst] AS path FROM e WHERE src < dst UNION ALL
+      SELECT first, e.dst, list_append(path, e.dst) FROM p JOIN e ON e.src = last WHERE e.dst > first AND NOT list_contains(path, e.dst) AND len(path) < 3)
+    SELECT CAST(len(path) AS INT) AS length, array_to_string(path, '>') AS path FROM p JOIN e ON e.src = last AND e.dst = first
+    UNION ALL SELECT 1, CAST(src AS VARCHAR) FROM e WHERE src = dst"""
+)
+def simple_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """All cycles of up to three edges, each once."""
+    edges = ad.part_supplier(spark, d)
+    found = cy.simple_cycles(edges, _members(edges), 3)
+    return found.select("length", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
 def _named(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     parts = read_table(spark, d, "part").select("p_partkey", F.translate("p_name", " ", ".").alias("n"))
     first = parts.select(F.col("p_partkey").alias("src"), F.col("n").alias("src_name"))

@@ -56,6 +56,27 @@ def test_cycle_of_a_package(spark):
     assert cycles.cycle_edges(edges, cycles.cycle_members(edges, loops=False)).count() == 5
 
 
+def test_simple_cycles(spark):
+    pick = random.Random(6)
+    pairs = [(pick.randrange(9), pick.randrange(9)) for _ in range(28)]
+    edges = frame(spark, [*pairs, *pairs[:5]])
+    found = sorted(tuple(r["path"]) for r in cycles.simple_cycles(edges, cycles.cycle_members(edges), 5).collect())
+    follow, want = {}, set()
+    for a, b in pairs:
+        follow.setdefault(a, set()).add(b)
+
+    def walk(path):
+        for to in follow.get(path[-1], ()):
+            if to == path[0]:
+                want.add(tuple(path))
+            elif to > path[0] and to not in path and len(path) < 5:
+                walk([*path, to])
+
+    for start in range(9):
+        walk([start])
+    assert found == sorted(want) and {len(p) for p in found} >= {1, 2, 3, 4, 5}
+
+
 def test_coupling_sums(spark):
     rows = coupling.coupling(frame(spark, LETTERS + LETTERS[:3])).collect()
     assert sum(r["afferent"] for r in rows) == sum(r["efferent"] for r in rows) == len(LETTERS) + 3
