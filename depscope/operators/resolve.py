@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depscope.scratch import materialise
+
 
 def _last(rows: DataFrame, key: str, columns: list[str], order: str | None) -> DataFrame:
     """One row a key: the last by ``order``, of equals or without an order the greatest in its columns."""
@@ -25,11 +27,14 @@ def merge_modules(left: DataFrame, right: DataFrame, key: str, columns: list[str
     )
 
 
-def _grams(ids: DataFrame, size: int) -> DataFrame:
-    """(id, g): the different runs of ``size`` characters of each id."""
-    places = F.sequence(F.lit(1), F.greatest(F.length("id") - size + 1, F.lit(1)))
-    runs = F.transform(places, lambda k: F.substring(F.col("id"), k, F.lit(size)))
-    return ids.select("id", F.explode(F.array_distinct(runs)).alias("g"))
+def _grams(ids: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(id, g): the different runs of so many characters of each id."""
+
+    def runs(size: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length("id") - size + 1, F.lit(1)))
+        return F.transform(places, lambda k: F.substring(F.col("id"), k, F.lit(size)))
+
+    return ids.select("id", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("g"))
 
 
 def _containing(names: DataFrame, ids: DataFrame) -> DataFrame:
@@ -38,44 +43,34 @@ def _containing(names: DataFrame, ids: DataFrame) -> DataFrame:
     A name of up to three characters is a run of an id, so the least id of each run answers it. A
     longer one meets the ids that have its rarest run of three, and no others.
     """
-    found = None
-    for size in (1, 2, 3):
-        least = _grams(ids, size).groupBy(F.col("g").alias("name")).agg(F.min("id").alias("id"))
-        own = names.where(F.length("name") == size).join(least, "name").select("name", "id")
-        found = own if found is None else found.unionByName(own)
-    runs = _grams(ids, 3)
-    often = runs.groupBy("g").agg(F.count("*").alias("n"))
+    least = _grams(ids, (1, 2, 3)).groupBy(F.col("g").alias("name")).agg(F.min("id").alias("short"), F.count("*").alias("n"))
     long = names.where(F.length("name") > 3).select(F.col("name").alias("id"))
-    asked = _grams(long, 3).withColumnRenamed("id", "name").join(often, "g", "left")
+    asked = _grams(long, (3,)).withColumnRenamed("id", "name").join(least.select(F.col("name").alias("g"), "n"), "g", "left")
     rarest = asked.groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r"))
-    met = rarest.where("r.n > 0").select("name", F.col("r.g").alias("g")).join(runs, "g")
-    met = met.where(F.contains(F.col("id"), F.col("name"))).groupBy("name").agg(F.min("id").alias("id"))
-    return found.unionByName(met)
+    met = rarest.where("r.n > 0").select("name", F.col("r.g").alias("g")).join(_grams(ids, (3,)), "g")
+    met = met.where(F.contains(F.col("id"), F.col("name"))).groupBy("name").agg(F.min("id").alias("long"))
+    found = names.join(least.where(F.length("name") <= 3).select("name", "short"), "name", "left").join(met, "name", "left")
+    return found.select("name", F.coalesce("short", "long").alias("id")).where("id IS NOT NULL")
 
 
 def resolve_targets(names: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(name, id, how): each name's node; exact name, then an id that ends in ``:name``, then the
+    """(name, id, how): each name's node; exact name, then an id that ends in ``:name`` or, without a colon, is the name, then the
     least id that contains the name, else ``mod:name``.
 
     All three are equi-joins, so no name is compared with all ids, at any size.
     """
     wanted = names.select("name").where("name IS NOT NULL").distinct()
-    exact = wanted.join(nodes.select("name", "id"), "name").groupBy("name").agg(F.min("id").alias("id"))
-    open1 = wanted.join(exact.select("name"), "name", "left_anti")
+    exact = nodes.groupBy("name").agg(F.min("id").alias("exact"))
     words = F.split("id", ":")
-    ends = F.transform(F.sequence(F.lit(2), F.size(words)), lambda k: F.array_join(F.slice(words, k, F.size(words)), ":"))
-    tails = nodes.where(F.contains("id", F.lit(":"))).select(F.explode(ends).alias("name"), "id")
-    suffix = open1.join(tails, "name").groupBy("name").agg(F.min("id").alias("id"))
-    open2 = open1.join(suffix.select("name"), "name", "left_anti")
-    inside = _containing(open2, nodes.select("id").where("id IS NOT NULL").distinct())
-    rest = open2.join(inside, "name", "left_anti")
-    parts = [
-        exact.withColumn("how", F.lit("exact")),
-        suffix.withColumn("how", F.lit("suffix")),
-        inside.withColumn("how", F.lit("contains")),
-        rest.select("name", F.concat(F.lit("mod:"), "name").alias("id"), F.lit("new").alias("how")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    ends = F.transform(F.sequence(F.least(F.lit(2), F.size(words)), F.size(words)), lambda k: F.array_join(F.slice(words, k, F.size(words)), ":"))
+    tails = nodes.where("id IS NOT NULL").select(F.explode(ends).alias("name"), "id")
+    suffix = tails.groupBy("name").agg(F.min("id").alias("suffix"))
+    known = materialise(wanted.join(exact, "name", "left").join(suffix, "name", "left"), "resolved")
+    rest = known.where("exact IS NULL AND suffix IS NULL").select("name")
+    inside = _containing(rest, nodes.select("id").where("id IS NOT NULL").distinct()).withColumnRenamed("id", "inside")
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("suffix").isNotNull(), "suffix").when(F.col("inside").isNotNull(), "contains").otherwise("new")
+    found = F.coalesce("exact", "suffix", "inside", F.concat(F.lit("mod:"), "name"))
+    return known.join(inside, "name", "left").select("name", found.alias("id"), how.alias("how"))
 
 
 def longest_prefix_parent(children: DataFrame, parents: DataFrame) -> DataFrame:
