@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depscope.functions import ids, names
-from depscope.operators import coupling, cycles, filters, graph, hierarchy, paging, quality, resolve
+from depscope.operators import coupling, cycles, entities, filters, graph, hierarchy, paging, quality, resolve
 from depscope.scratch import materialise
 from depscope.sources import files, python_ast, sinks
 
@@ -75,8 +75,8 @@ def stdlib(spark: SparkSession) -> DataFrame:
 def import_edges(parsed: DataFrame, options: Options) -> DataFrame:
     """(src, dst) between modules, from importer to imported, after the run's filters."""
     spark = parsed.sparkSession
-    found = python_ast.import_targets(parsed)
-    own = parsed.select(F.col("module").alias("node")).distinct()
+    found = entities.import_targets(parsed)
+    own = parsed.where("n = 0").select(F.col("module").alias("node")).distinct()
     library = stdlib(spark)
     edges = resolve.known_edges(found, own).select("src", "dst")
     top = F.split_part("dst", F.lit("."), F.lit(1))
@@ -109,7 +109,7 @@ def root_edges(parsed: DataFrame) -> DataFrame:
     """(src, dst) from ROOT to each module with a legal name, but for those below a folder with a dot in front or
     named ``migrations``."""
     hidden = F.exists(F.split("path", "/"), lambda x: x.startswith(".") | (x == "migrations"))
-    legal = parsed.where(names.is_legal(F.col("module")) & ~hidden)
+    legal = parsed.where((F.col("n") == 0) & names.is_legal(F.col("module")) & ~hidden)
     return legal.select(F.lit(ROOT).alias("src"), F.col("module").alias("dst")).distinct()
 
 
@@ -146,7 +146,7 @@ def analyze_project(
     found = discover(spark, root, options)
     tell("parse", 0.1)
     parsed = materialise(python_ast.parse_files(files.with_content(found, root)), "parsed")
-    return analysis(parsed, found, root, options, parsed.count(), tell)
+    return analysis(parsed, found, root, options, parsed.where("n = 0").count(), tell)
 
 
 def analysis(
@@ -155,13 +155,13 @@ def analysis(
     """Tables: modules, packages, classes, methods, fields, imports, edges, import_edges, nodes, cycles, cycle_members,
     coupling, class_quality, cohesion, module_quality, grades, overall, hops, parsed, manifest, run.
 
-    ``parsed`` and the listing ``found`` are written tables; ``fresh`` is how many of its files were parsed now.
+    ``parsed``, the nodes, and the listing ``found`` are written tables; ``fresh`` is how many of its files were parsed now.
     """
     spark = parsed.sparkSession
     tell("graph", 0.6)
     imports = materialise(import_edges(parsed, options), "imports")
-    tables = {n: python_ast.exploded(parsed, n) for n in ("imports", "classes", "methods", "fields", "edges")}
-    tables["modules"] = parsed.select(
+    tables = {n: materialise(made(parsed), n) for n, made in entities.TABLES.items()}
+    tables["modules"] = entities.modules(parsed).select(
         "module_id", "module", "path", "docstring", "physical_lines", "logical_lines", "parse_error",
         names.label(F.col("module")).alias("label"), names.depth(F.col("module")).alias("depth"),
         F.when(names.package_of(F.col("module")).isNotNull(), ids.package_id(names.package_of(F.col("module")))).alias("package_id"),
@@ -207,7 +207,7 @@ def analysis(
     tables["overall"] = quality.overall(tables["class_quality"])
     tables["parsed"] = parsed
     tables["manifest"] = files.manifest(found, deep=False)
-    tables["run"] = parsed.agg(F.count("*").alias("total_files"), F.count("parse_error").alias("errors")).select(
+    tables["run"] = parsed.where("n = 0").agg(F.count("*").alias("total_files"), F.count("parse_error").alias("errors")).select(
         F.lit(uuid.uuid4().hex).alias("analysis_id"), F.lit(root).alias("path"), F.lit(datetime.now(UTC)).alias("analyzed_at"), "*",
         F.lit(fresh).cast("long").alias("parsed_files"),
     )

@@ -150,6 +150,6 @@ class RunStore:
             changed = files.with_content(found.join(again, "path", "left_semi"), project)
             fresh = materialise(python_ast.parse_files(changed), "parsed")
             merged = materialise(incremental.merge(stored.parsed, fresh, actions), "parsed")
-            result = analysis(merged, found, project, options, fresh.count(), tell)
+            result = analysis(merged, found, project, options, fresh.where("n = 0").count(), tell)
         self.save(key, result)
         return self.load(key, options)

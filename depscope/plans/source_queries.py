@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depscope import scratch
-from depscope.operators import quality
+from depscope.operators import entities, quality
 from depscope.plans.registry import query
 from depscope.sources import files
 from depscope.sources import python_ast as pa
@@ -57,6 +57,11 @@ def modules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The syntax nodes of all modules."""
+    return scratch.materialise(pa.parse_files(modules(spark, d)), "nodes")
+
+
 NAMES = """a AS (SELECT 'mod:shop.m' || c_custkey AS m, c_custkey AS k, c_nationkey % 4 AS n, c_nationkey > 12 AS rel, c_acctbal < 0 AS late,
   c_mktsegment = 'MACHINERY' AS broken FROM customer), c AS (SELECT * FROM a WHERE NOT broken)"""
 
@@ -66,7 +71,7 @@ NAMES = """a AS (SELECT 'mod:shop.m' || c_custkey AS m, c_custkey AS k, c_nation
     CAST(CASE WHEN broken THEN 1 ELSE 14 + n END AS INT) AS logical_lines, broken FROM a"""
 )
 def ast_modules(spark: SparkSession, d: str) -> DataFrame:
-    found = pa.parse_files(modules(spark, d), [])
+    found = entities.modules(pa.parse_files(modules(spark, d)))
     return found.select("module_id", "physical_lines", "logical_lines", F.col("parse_error").isNotNull().alias("broken"))
 
 
@@ -75,7 +80,7 @@ def ast_modules(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT m, 'm' || (k + 1), 'run', 'go', 2, 0 FROM c WHERE NOT rel UNION ALL SELECT m, '', 'm' || (k + 1), NULL, 2, 1 FROM c WHERE rel"""
 )
 def ast_imports(spark: SparkSession, d: str) -> DataFrame:
-    return pa.exploded(pa.parse_files(modules(spark, d), ["imports"]), "imports").select("module_id", "module", "name", "alias", "line", "level")
+    return entities.imports(pa.parse_files(modules(spark, d))).select("module_id", "module", "name", "alias", "line", "level")
 
 
 @query(
@@ -84,12 +89,12 @@ def ast_imports(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'shop.m' || k, 'shop' FROM c WHERE rel"""
 )
 def ast_import_targets(spark: SparkSession, d: str) -> DataFrame:
-    return pa.import_targets(pa.parse_files(modules(spark, d), ["imports"]))
+    return entities.import_targets(nodes(spark, d))
 
 
 @query(f"WITH {NAMES} SELECT 'cls:' || m || ':Order' AS id, 'Order' AS name, 5 AS line, 'Base' AS bases, false AS is_abstract FROM c")
 def ast_classes(spark: SparkSession, d: str) -> DataFrame:
-    found = pa.exploded(pa.parse_files(modules(spark, d), ["classes"]), "classes")
+    found = entities.classes(nodes(spark, d))
     return found.select("id", "name", "line", F.array_join("bases", ",").alias("bases"), "is_abstract")
 
 
@@ -100,7 +105,7 @@ def ast_classes(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'func:' || m || ':deep:20', 1 + n, 1 + n, n * (n + 1) // 2, n, false, late, NULL, 'x:' FROM c"""
 )
 def ast_methods(spark: SparkSession, d: str) -> DataFrame:
-    found = pa.exploded(pa.parse_files(modules(spark, d), ["methods"]), "methods")
+    found = entities.methods(nodes(spark, d))
     args = F.array_join(F.transform("args", lambda a: F.concat(a["name"], F.lit(":"), F.coalesce(a["annotation"], F.lit("")))), ";")
     return found.select(
         "id", "complexity", "visitor_complexity", "cognitive", "nesting", "is_property", "is_async", "return_annotation", args.alias("args")
@@ -112,7 +117,7 @@ def ast_methods(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'field:cls:' || m || ':Order:key', NULL, 'key.strip()', false FROM c"""
 )
 def ast_fields(spark: SparkSession, d: str) -> DataFrame:
-    found = pa.exploded(pa.parse_files(modules(spark, d), ["fields"]), "fields")
+    found = entities.fields(nodes(spark, d))
     return found.select("id", "type_annotation", "default_value", "is_class_variable")
 
 
@@ -122,16 +127,17 @@ def ast_fields(spark: SparkSession, d: str) -> DataFrame:
     SELECT m AS module_id, target AS to_entity, kind AS relationship_type, CAST(strength AS DOUBLE) AS strength, CAST(t.n AS BIGINT) AS n FROM c, t"""
 )
 def ast_edges(spark: SparkSession, d: str) -> DataFrame:
-    found = pa.exploded(pa.parse_files(modules(spark, d), ["edges"]), "edges")
+    found = entities.edges(nodes(spark, d))
     return found.groupBy("module_id", "to_entity", "relationship_type", "strength").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {NAMES} SELECT 'cls:' || m || ':Order' AS class_id, CAST(2 AS BIGINT) AS n_methods, CAST(1 AS BIGINT) AS sharing, 0.0 AS lcom, 1.0 AS tcc FROM c")
 def ast_cohesion(spark: SparkSession, d: str) -> DataFrame:
     """Cohesion from sources: which fields the methods' texts name."""
-    parsed = pa.parse_files(modules(spark, d), ["methods", "fields"])
-    fields = pa.exploded(parsed, "fields")
-    return quality.cohesion(quality.field_usage(pa.exploded(parsed, "methods"), fields), fields)
+    parsed = nodes(spark, d)
+    fields = scratch.materialise(entities.fields(parsed), "fields")
+    usage = scratch.materialise(quality.field_usage(entities.methods(parsed), fields), "field-usage")
+    return quality.cohesion(usage, fields)
 
 
 @query("SELECT 'n' || n_nationkey AS \"from\", 'r' || n_regionkey AS \"to\", 'in' AS type FROM nation")

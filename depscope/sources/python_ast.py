@@ -1,8 +1,9 @@
-"""Python source text to entities and edges: the one step that needs Python.
+"""Python source text to a table of syntax nodes: the one step that needs Python.
 
-``parse_files`` maps files to one row each with nested arrays; the tables come from exploding
-those. Only the arrays that are asked for are made. A file that doesn't parse keeps its row, with
-parse_error set; one without content reads as empty.
+``parse_files`` has a row for each node. A file's nodes are numbered in the order of its text, and a node holds the
+numbers up to its ``last``, so containment is a range. What entities, edges and figures there are is left to
+``operators.entities``. A file's root has number 0 and is always there; of a file that doesn't parse it is all, with
+parse_error set. One without content reads as empty.
 """
 
 from __future__ import annotations
@@ -15,17 +16,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Methods that tell a parameter's type; the last call in the body decides.
-TELLS = {
-    "str": ("upper", "lower", "strip", "replace", "split", "join"),
-    "List": ("append", "extend", "remove", "pop", "index", "count"),
-    "Dict": ("get", "keys", "values", "items", "update"),
-}
-TYPE_OF_METHOD = {m: t for t, methods in TELLS.items() for m in methods}
 #: Constructors that tell a value's type.
 TYPE_OF_CALL = {
     "list": "List", "List": "List", "dict": "Dict", "Dict": "Dict", "set": "Set", "Set": "Set", "tuple": "Tuple",
@@ -33,23 +26,17 @@ TYPE_OF_CALL = {
 }
 TYPE_OF_NODE = {ast.Dict: "Dict", ast.Set: "Set", ast.Tuple: "Tuple"}
 
-IMPORTS = "array<struct<module:string,name:string,alias:string,line:int,import_type:string,is_relative:boolean,level:int>>"
-CLASSES = (
-    "array<struct<id:string,name:string,line:int,bases:array<string>,decorators:array<string>,docstring:string,"
-    "is_abstract:boolean>>"
+#: Of a node: where it stands (n, parent, last, depth), what it is (kind, and role in its parent), the innermost function
+#: and class around it, the name it has and the name it is an attribute of or an import from; its dotted name, annotation,
+#: value and the value's type as written; size counts handlers, values, ifs or an import's dots. The three last are the root's.
+NODE = (
+    "path string, module string, n int, parent int, last int, depth int, kind string, role string, line int, in_function int, "
+    "in_class int, name string, of string, alias string, dotted string, annotation string, value string, shows string, "
+    "loaded boolean, size int, docstring string, text string, physical_lines int, logical_lines int, parse_error string"
 )
-METHODS = (
-    "array<struct<id:string,name:string,class_id:string,line:int,args:array<struct<name:string,annotation:string>>,"
-    "return_annotation:string,decorators:array<string>,is_async:boolean,is_static:boolean,is_class_method:boolean,"
-    "is_property:boolean,complexity:int,visitor_complexity:int,cognitive:int,nesting:int,docstring:string,body_text:string>>"
-)
-FIELDS = (
-    "array<struct<id:string,name:string,class_id:string,line:int,type_annotation:string,default_value:string,"
-    "is_class_variable:boolean>>"
-)
-EDGES = "array<struct<from_entity:string,to_entity:string,relationship_type:string,line:int,strength:double>>"
-NESTED = {"imports": IMPORTS, "classes": CLASSES, "methods": METHODS, "fields": FIELDS, "edges": EDGES}
-FLAT = "path string, module_id string, module string, docstring string, physical_lines int, logical_lines int, parse_error string"
+FUNCTION = ast.FunctionDef | ast.AsyncFunctionDef
+#: Nodes that say nothing beyond their parent.
+SILENT = ast.expr_context | ast.operator | ast.boolop | ast.unaryop | ast.cmpop
 
 
 def module_name(path: str) -> str:
@@ -60,84 +47,42 @@ def module_name(path: str) -> str:
 
 
 def name_of(node: ast.AST) -> str | None:
-    match node:
-        case ast.Name():
-            return node.id
-        case ast.Attribute():
-            base = name_of(node.value)
-            return f"{base}.{node.attr}" if base else node.attr
-        case ast.Constant():
-            return str(node.value)
-        case ast.Call():
-            return name_of(node.func)
-        case ast.Subscript():
-            return name_of(node.value)
-    return None
-
-
-def written(node: ast.AST | None) -> str | None:
-    """How an annotation or a value reads."""
-    return None if node is None else ast.unparse(node)
+    """The dotted name that a node ends in; what is called or subscribed goes by its own name."""
+    parts: list[str] = []
+    while True:
+        match node:
+            case ast.Attribute():
+                parts.append(node.attr)
+                node = node.value
+            case ast.Call():
+                node = node.func
+            case ast.Subscript():
+                node = node.value
+            case ast.Name(id=first):
+                return ".".join([first, *reversed(parts)])
+            case ast.Constant(value=value):
+                return ".".join(filter(None, [str(value), *reversed(parts)]))
+            case _:
+                return ".".join(reversed(parts)) or None
 
 
 def value_type(node: ast.AST | None) -> str | None:
-    """The type that a literal or a constructor call shows."""
+    """The type that a literal or a constructor call shows; a list's is that of its first element, too."""
+    lists = 0
+    while isinstance(node, ast.List):
+        lists, node = lists + 1, node.elts[0] if node.elts else None
     match node:
         case ast.Constant(value=None):
-            return "None"
+            kind = "None"
         case ast.Constant(value=value):
-            kind = type(value).__name__
-            return kind if kind in ("str", "int", "float", "bool") else None
-        case ast.List(elts=[first, *_]) if (inner := value_type(first)):
-            return f"List[{inner}]"
-        case ast.List():
-            return "List"
+            kind = type(value).__name__ if type(value) in (str, int, float, bool) else None
         case ast.Call(func=ast.Name(id=name)):
-            return TYPE_OF_CALL.get(name)
-    return TYPE_OF_NODE.get(type(node))
-
-
-def parameter_types(function: ast.AST) -> dict[str, str]:
-    calls = (n.func for n in ast.walk(function) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute))
-    met = ((f.value.id, TYPE_OF_METHOD.get(f.attr)) for f in calls if isinstance(f.value, ast.Name))
-    return {name: kind for name, kind in met if kind}
-
-
-def return_type(function: ast.AST) -> str | None:
-    """The one type of all returned values, or their union."""
-    kinds = sorted({k for n in ast.walk(function) if isinstance(n, ast.Return) and (k := value_type(n.value))})
-    return f"Union[{', '.join(kinds)}]" if len(kinds) > 1 else (kinds[0] if kinds else None)
-
-
-DECISIONS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.And, ast.Or, ast.comprehension)
-
-
-def decisions(node: ast.AST) -> int:
-    """Cyclomatic complexity: 1 and one for each decision point, nested functions included."""
-    return 1 + sum(isinstance(n, DECISIONS) for n in ast.walk(node))
-
-
-def visited(node: ast.AST, depth: int = 0) -> tuple[int, int, int]:
-    """(complexity, cognitive, nesting) of what lies below, by the depth-aware rules."""
-    total = cognitive = 0
-    deepest = depth
-    stack = [(child, depth) for child in ast.iter_child_nodes(node)]
-    while stack:
-        at, level = stack.pop()
-        inner = level
-        if isinstance(at, ast.If | ast.For | ast.While):
-            total, cognitive, inner = total + 1, cognitive + 1 + level, level + 1
-        elif isinstance(at, ast.Try):
-            total, cognitive, inner = total + len(at.handlers), cognitive + len(at.handlers), level + 1
-        elif isinstance(at, ast.With):
-            total, inner = total + 1, level + 1
-        elif isinstance(at, ast.BoolOp):
-            total += len(at.values) - 1
-        elif isinstance(at, ast.comprehension):
-            total += 1 + len(at.ifs)
-        deepest = max(deepest, inner)
-        stack += [(child, inner) for child in ast.iter_child_nodes(at)]
-    return total + (depth == 0), cognitive, deepest
+            kind = TYPE_OF_CALL.get(name)
+        case _:
+            kind = TYPE_OF_NODE.get(type(node))
+    if lists and kind is None:
+        lists, kind = lists - 1, "List"
+    return kind and "List[" * lists + kind + "]" * lists
 
 
 class Lines:
@@ -156,216 +101,130 @@ class Lines:
             out = b"".join([self.lines[first][node.col_offset :], *inner, self.lines[last][: node.end_col_offset]])
         return out.decode("utf-8", "surrogatepass")
 
+    def written(self, node: ast.AST | None) -> str | None:
+        """How an annotation or a value reads; one nested too deeply to be written anew, as it stands."""
+        try:
+            return None if node is None else ast.unparse(node)
+        except RecursionError:
+            return self.piece(node)
 
-class Reader(ast.NodeVisitor):
-    """Collects one module's entities and edges; the scopes are those that enclose the node."""
-
-    def __init__(self, module_id: str, text: str) -> None:
-        self.module_id, self.text = module_id, Lines(text)
-        self.imports: list[dict] = []
-        self.classes: list[dict] = []
-        self.methods: list[dict] = []
-        self.fields: list[dict] = []
-        self.edges: list[dict] = []
-        self.scopes: list[dict] = []
-
-    def scope(self, kind: str) -> dict | None:
-        return next((s for s in reversed(self.scopes) if s["kind"] == kind), None)
-
-    def edge(self, source: str, target: str, kind: str, line: int, strength: float) -> None:
-        self.edges.append(
-            {"from_entity": source, "to_entity": target, "relationship_type": kind, "line": line, "strength": strength}
-        )
-
-    def imported(self, module: str, name: str | None, alias: str | None, node: ast.stmt, level: int, kind: str) -> None:
-        self.imports.append(
-            {
-                "module": module,
-                "name": name,
-                "alias": alias,
-                "line": node.lineno,
-                "import_type": kind,
-                "is_relative": level > 0,
-                "level": level,
-            }
-        )
-
-    def visit_Import(self, node: ast.Import) -> None:
-        for item in node.names:
-            self.imported(item.name, None, item.asname, node, 0, "import")
-
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        for item in node.names:
-            self.imported(node.module or "", item.name, item.asname, node, node.level, "from_import")
-
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        own = f"cls:{self.module_id}:{node.name}"
-        bases = [b for b in map(name_of, node.bases) if b]
-        marks = [d for d in map(name_of, node.decorator_list) if d]
-        self.classes.append(
-            {
-                "id": own,
-                "name": node.name,
-                "line": node.lineno,
-                "bases": bases,
-                "decorators": marks,
-                "docstring": ast.get_docstring(node),
-                "is_abstract": any("abc" in d.lower() or "abstract" in d.lower() for d in marks),
-            }
-        )
-        for base in bases:
-            self.edge(own, base, "inheritance", node.lineno, 1.0)
-        self.within({"kind": "class", "id": own, "name": node.name}, node)
-
-    def within(self, scope: dict, node: ast.AST) -> None:
-        self.scopes.append(scope)
-        self.generic_visit(node)
-        self.scopes.pop()
-
-    def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
-        owner = self.scopes[-1] if self.scopes and self.scopes[-1]["kind"] == "class" else self.scope("class")
-        owner_id = owner["id"] if owner else None
-        tail = f"{node.name}:{node.lineno}"
-        own = f"meth:{owner_id}:{tail}" if owner_id else f"func:{self.module_id}:{tail}"
-        marks = [d for d in map(name_of, node.decorator_list) if d]
-        told = parameter_types(node)
-        spec = node.args
-        arguments = [*spec.posonlyargs, *spec.args, *filter(None, [spec.vararg]), *spec.kwonlyargs, *filter(None, [spec.kwarg])]
-        complexity, cognitive, nesting = visited(node)
-        self.methods.append(
-            {
-                "id": own,
-                "name": node.name,
-                "class_id": owner_id,
-                "line": node.lineno,
-                "args": [{"name": a.arg, "annotation": written(a.annotation) or told.get(a.arg)} for a in arguments],
-                "return_annotation": written(node.returns) or return_type(node),
-                "decorators": marks,
-                "is_async": isinstance(node, ast.AsyncFunctionDef),
-                "is_static": "staticmethod" in marks,
-                "is_class_method": "classmethod" in marks,
-                "is_property": "property" in marks,
-                "complexity": decisions(node),
-                "visitor_complexity": complexity,
-                "cognitive": cognitive,
-                "nesting": nesting,
-                "docstring": ast.get_docstring(node),
-                "body_text": self.text.piece(node),
-            }
-        )
-        self.within({"kind": "method", "id": own, "name": node.name}, node)
-
-    visit_AsyncFunctionDef = visit_FunctionDef
-
-    def assigned(self, name: str, node: ast.stmt, annotation: ast.AST | None, value: ast.AST | None) -> None:
-        owner = self.scope("class")
-        if owner:
-            self.fields.append(
-                {
-                    "id": f"field:{owner['id']}:{name}",
-                    "name": name,
-                    "class_id": owner["id"],
-                    "line": node.lineno,
-                    "type_annotation": written(annotation) or value_type(value),
-                    "default_value": written(value),
-                    "is_class_variable": not any(s["name"] == "__init__" for s in self.scopes if s["kind"] == "method"),
-                }
-            )
-
-    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
-        if isinstance(node.target, ast.Name):
-            self.assigned(node.target.id, node, node.annotation, node.value)
-        self.generic_visit(node)
-
-    def visit_Assign(self, node: ast.Assign) -> None:
-        for target in node.targets:
-            match target:
-                case ast.Name(id=name) | ast.Attribute(value=ast.Name(id="self"), attr=name):
-                    self.assigned(name, node, None, node.value)
-        self.generic_visit(node)
-
-    def visit_Call(self, node: ast.Call) -> None:
-        method, called = self.scope("method"), name_of(node.func)
-        if method and called:
-            self.edge(method["id"], called, "call", node.lineno, 1.0)
-        self.generic_visit(node)
-
-    def visit_Attribute(self, node: ast.Attribute) -> None:
-        method = self.scope("method")
-        if method and isinstance(node.ctx, ast.Load) and isinstance(node.value, ast.Name):
-            self.edge(method["id"], f"{node.value.id}.{node.attr}", "attribute", node.lineno, 0.5)
-        self.generic_visit(node)
-
-
-def parse_source(path: str, content: bytes | str | None) -> dict:
-    """One file's row."""
+
+def described(node: ast.AST, role: str | None, row: dict, text: Lines) -> None:
+    """Fills in what a row tells of its own node."""
+    if role in ("bases", "decorator_list"):
+        row["dotted"] = name_of(node) or None
+    match node:
+        case ast.ClassDef() | ast.FunctionDef() | ast.AsyncFunctionDef():
+            row |= {"name": node.name, "docstring": ast.get_docstring(node)}
+            if isinstance(node, FUNCTION):
+                row |= {"annotation": text.written(node.returns), "text": text.piece(node)}
+        case ast.arg():
+            row |= {"name": node.arg, "annotation": text.written(node.annotation)}
+        case ast.Name():
+            row |= {"name": node.id, "loaded": isinstance(node.ctx, ast.Load)}
+        case ast.Attribute():
+            of = node.value.id if isinstance(node.value, ast.Name) else None
+            row |= {"name": node.attr, "of": of, "loaded": isinstance(node.ctx, ast.Load)}
+        case ast.Call():
+            row["dotted"] = name_of(node) or None
+        case ast.Assign() | ast.AnnAssign() if row["in_class"] is not None:
+            row |= {"value": text.written(node.value), "shows": value_type(node.value)}
+            row["annotation"] = text.written(getattr(node, "annotation", None))
+        case ast.Return():
+            row["shows"] = value_type(node.value)
+        case ast.Try():
+            row["size"] = len(node.handlers)
+        case ast.BoolOp():
+            row["size"] = len(node.values)
+        case ast.comprehension():
+            row["size"] = len(node.ifs)
+        case ast.alias():
+            row |= {"name": node.name, "alias": node.asname}
+
+
+def numbered(tree: ast.Module, text: Lines) -> list[dict]:
+    """A row for each node below ``tree`` and itself, by number. No step is taken by recursion, so depth doesn't matter."""
+    rows: list[dict] = []
+    todo: list[tuple] = [(tree, None, None, 0, None, None)]
+    while todo:
+        node, role, up, depth, function, owner = todo.pop()
+        n = len(rows)
+        row = {
+            "n": n, "parent": up and up[0], "last": n, "depth": depth, "kind": type(node).__name__, "role": role,
+            "line": getattr(node, "lineno", None), "in_function": function, "in_class": owner,
+        }
+        described(node, role, row, text)
+        if isinstance(node, ast.alias) and up:  # an import counts by its statement
+            origin = up[1]
+            row["line"] = origin.lineno
+            if isinstance(origin, ast.ImportFrom):
+                row |= {"of": origin.module or "", "size": origin.level}
+        rows.append(row)
+        function = n if isinstance(node, FUNCTION) else function
+        owner = n if isinstance(node, ast.ClassDef) else owner
+        below = []
+        for part, value in ast.iter_fields(node):
+            for child in value if isinstance(value, list) else [value]:
+                if isinstance(child, ast.AST) and not isinstance(child, SILENT):
+                    below.append((child, part, (n, node), depth + 1, function, owner))
+        todo += reversed(below)
+    for row in reversed(rows[1:]):
+        above = rows[row["parent"]]
+        above["last"] = max(above["last"], row["last"])
+    return rows
+
+
+def parse_source(path: str, content: bytes | str | None) -> list[dict]:
+    """One file's rows; columns that a node has nothing for are left out."""
     raw = content.encode("utf-8", "surrogatepass") if isinstance(content, str) else content or b""
-    module, doc, error = module_name(path), None, None
-    text = raw.decode("utf-8", "replace")
-    reader = Reader(f"mod:{module}", text)
+    text, error = raw.decode("utf-8", "replace"), None
+    rows = [{"n": 0, "last": 0, "depth": 0, "kind": "Module"}]
     try:
         # as Python reads it: a byte order mark and a declared encoding count
         text = raw.decode(tokenize.detect_encoding(io.BytesIO(raw).readline)[0])
-        reader, tree = Reader(f"mod:{module}", text), ast.parse(text)
-        doc = ast.get_docstring(tree)
-        reader.visit(tree)
+        tree = ast.parse(text)
+        rows = numbered(tree, Lines(text))
+        rows[0]["docstring"] = ast.get_docstring(tree)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
-        reader, error = Reader(f"mod:{module}", ""), f"{type(problem).__name__}: {problem}"
+        error = f"{type(problem).__name__}: {problem}"
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    return {
-        "path": path,
-        "module_id": f"mod:{module}",
-        "module": module,
-        "docstring": doc,
-        "physical_lines": len(lines),
-        "logical_lines": sum(not x.startswith("#") for x in lines),
-        "imports": reader.imports,
-        "classes": reader.classes,
-        "methods": reader.methods,
-        "fields": reader.fields,
-        "edges": reader.edges,
-        "parse_error": error,
-    }
-
-
-def parse_files(files: DataFrame, nested: list[str] | None = None) -> DataFrame:
-    """A row for each of ``files`` (path, content): its module, with the arrays ``nested``, or all of entities and edges."""
-    wanted = list(NESTED) if nested is None else nested
-    schema = T.StructType.fromDDL(", ".join([FLAT, *(f"{n} {NESTED[n]}" for n in wanted)]))
+    rows[0] |= {
+        "physical_lines": len(lines), "logical_lines": sum(not x.startswith("#") for x in lines), "parse_error": error,
+    }
+    module = module_name(path)
+    return [{"path": path, "module": module} | row for row in rows]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def column_of(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow column; half of a surrogate pair, which Python allows and UTF-8 doesn't, stands as its escape."""
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:
+        return pa.array([v and v.encode("utf-8", "backslashreplace").decode() for v in values], kind)
+
+
+#: So many rows leave a task together, so that a batch of large files needn't be held.
+ROWS = 20_000
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """The nodes of ``files`` (path, content), with the columns of NODE."""
+
+    schema = T.StructType.fromDDL(NODE)
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
         shape = to_arrow_schema(schema)
+        return pa.RecordBatch.from_arrays([column_of([r.get(f.name) for r in rows], f.type) for f in shape], schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                piece = batch.slice(at, 100).to_pydict()
-                rows = [parse_source(p, c) for p, c in zip(piece["path"], piece["content"], strict=True)]
-                columns = [pa.array([r[f.name] for r in rows], f.type) for f in shape]
-                yield pa.RecordBatch.from_arrays(columns, schema=shape)
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                rows += parse_source(path.as_py(), content.as_py())
+                while len(rows) >= ROWS:
+                    yield batch_of(rows[:ROWS])
+                    rows = rows[ROWS:]
+        if rows:
+            yield batch_of(rows)
 
     return files.select("path", "content").mapInArrow(run, schema)
-
-
-def exploded(parsed: DataFrame, column: str) -> DataFrame:
-    """A row for each element of a nested column, with path and module_id."""
-    return parsed.select("path", "module_id", F.explode(column).alias("x")).select("path", "module_id", "x.*")
-
-
-def import_targets(parsed: DataFrame) -> DataFrame:
-    """(src, dst) module names of imports: a relative one is resolved against its package, and
-    ``from a import b`` names a and, if there is such a module, a.b."""
-    package = F.when(F.col("path").endswith("__init__.py"), F.col("module")).otherwise(
-        F.regexp_replace("module", r"(^|\.)[^.]*$", "")
-    )
-    up = F.split(package, r"\.")
-    kept = F.array_join(F.slice(up, F.lit(1), F.greatest(F.size(up) - F.col("level") + 1, F.lit(0))), ".")
-    base = F.when(F.col("level") == 0, F.col("module_name")).otherwise(
-        F.regexp_replace(F.concat_ws(".", kept, F.nullif("module_name", F.lit(""))), r"^\.+", "")
-    )
-    rows = parsed.select("path", "module", F.explode("imports").alias("i")).select(
-        "path", "module", F.col("i.module").alias("module_name"), F.col("i.name").alias("name"), F.col("i.level").alias("level")
-    )
-    based = rows.select(F.col("module").alias("src"), base.alias("base"), "name")
-    known = parsed.select(F.col("module").alias("dst")).distinct()
-    deep = based.where("name IS NOT NULL").select("src", F.regexp_replace(F.concat_ws(".", "base", "name"), r"^\.+", "").alias("dst"))
-    named = based.where("base <> ''").select("src", F.col("base").alias("dst"))
-    return named.unionByName(deep.join(known, "dst", "left_semi").select("src", "dst")).where("src <> dst").distinct()

@@ -41,11 +41,12 @@ def test_links_and_closed_folders(spark, tmp_path):
 
 def test_encodings():
     latin = "# -*- coding: latin-1 -*-\nNAME = 'é'\n\nclass A:\n    x: str = 'ü'\n".encode("latin-1")
-    row = python_ast.parse_source("a.py", latin)
-    assert row["parse_error"] is None and row["fields"][0]["default_value"] == "'ü'"
-    assert python_ast.parse_source("b.py", b"\xef\xbb\xbfdef f():\n    return 'x'\n")["methods"][0]["body_text"] == "def f():\n    return 'x'"
-    assert "SyntaxError" in python_ast.parse_source("c.py", b"# coding: no-such\nx = 1\n")["parse_error"]
-    assert python_ast.parse_source("d.py", b"x = '\xff'\n")["parse_error"]
+    rows = python_ast.parse_source("a.py", latin)
+    assert rows[0]["parse_error"] is None and [r["value"] for r in rows if r["kind"] == "AnnAssign"] == ["'ü'"]
+    marked = python_ast.parse_source("b.py", b"\xef\xbb\xbfdef f():\n    return 'x'\n")
+    assert marked[1]["text"] == "def f():\n    return 'x'"
+    assert "SyntaxError" in python_ast.parse_source("c.py", b"# coding: no-such\nx = 1\n")[0]["parse_error"]
+    assert python_ast.parse_source("d.py", b"x = '\xff'\n")[0]["parse_error"]
 
 
 def test_cohesion_of_many_sets(spark, monkeypatch):

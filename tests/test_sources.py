@@ -1,11 +1,16 @@
 """Parsing, discovery, import edges and whole runs on small trees."""
 
 import ast
+import textwrap
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from depscope.functions import globs
+from depscope.operators import entities
 from depscope.plans.project import Options, analyze_project
+from depscope.scratch import materialise
 from depscope.sources import files
 from depscope.sources import python_ast as pa
 from depscope.streaming.ingest import start_ingest
@@ -66,22 +71,136 @@ def tree(folder, **texts):
     return str(folder)
 
 
-def test_entities():
-    row = pa.parse_source("pkg/mod.py", SOURCE)
+def read(spark, texts):
+    """The nodes of sources by path."""
+    files_ = spark.createDataFrame([(p, t if isinstance(t, bytes) else t.encode()) for p, t in texts.items()], "path string, content binary")
+    return materialise(pa.parse_files(files_), "nodes")
+
+
+def rows(frame):
+    return [r.asDict(True) for r in frame.collect()]
+
+
+def test_entities(spark):
+    nodes = read(spark, {"pkg/mod.py": SOURCE})
+    row = rows(entities.modules(nodes))[0]
     assert row["module"] == "pkg.mod" and row["docstring"] == "Doc." and row["parse_error"] is None
-    assert [(i["module"], i["name"], i["alias"]) for i in row["imports"]] == [
+    assert [(i["module"], i["name"], i["alias"]) for i in sorted(rows(entities.imports(nodes)), key=lambda r: (r["line"], r["name"] or ""))] == [
         ("os", None, None), ("sys", None, "system"), ("typing", "Dict", None), ("typing", "List", None),
     ]
-    child = row["classes"][1]
+    child = {c["name"]: c for c in rows(entities.classes(nodes))}["Child"]
     assert child["bases"] == ["Parent"] and child["docstring"] == "A child." and child["id"] == "cls:mod:pkg.mod:Child"
-    by_name = {m["name"]: m for m in row["methods"]}
+    by_name = {m["name"]: m for m in rows(entities.methods(nodes))}
     assert by_name["tool"]["is_static"] and by_name["size"]["is_property"] and by_name["wait"]["is_async"]
     assert by_name["size"]["return_annotation"] == "Union[List[int], str]"
     assert by_name["__init__"]["args"][1] == {"name": "name", "annotation": "str"}
-    fields = {f["name"]: f for f in row["fields"]}
-    assert fields["count"]["type_annotation"] == "int" and fields["count"]["default_value"] == "0"
-    assert fields["flag"]["type_annotation"] == "bool" and fields["count"]["is_class_variable"]
-    assert not fields["attribute"]["is_class_variable"]
+    assert by_name["busy"]["complexity"] == 7  # if, and, for, while, except, comprehension
+    assert by_name["busy"]["visitor_complexity"] == 1 + 1 + 1 + 1 + 1 + 1 + 2 and by_name["busy"]["nesting"] == 3
+    found = {f["name"]: f for f in rows(entities.fields(nodes))}
+    assert found["count"]["type_annotation"] == "int" and found["count"]["default_value"] == "0"
+    assert found["flag"]["type_annotation"] == "bool" and found["count"]["is_class_variable"]
+    assert not found["attribute"]["is_class_variable"]
+    calls = {e["to_entity"] for e in rows(entities.edges(nodes)) if ":wait:" in e["from_entity"] and e["relationship_type"] == "call"}
+    assert {"inner", "self.tool"} <= calls  # those after a nested function stay
+
+
+NESTED = """
+class A:
+    def outer(self, a, /, b, *c, d: int = 1, **e):
+        b.get(a.strip())
+        if a and b or c:
+            def inner(a):
+                a.append(1)
+                for i in a:
+                    with i:
+                        try:
+                            pass
+                        except (A, B):
+                            return {}
+                class Local:
+                    def __init__(self):
+                        self.held = [[], 1]
+                return [[x for x in a if x if a]]
+            while inner:
+                pass
+        return lambda u: u.upper()
+    class Inner(A):
+        kept = several = ()
+        def __init__(self):
+            def later():
+                self.made = 'x'
+        other: "B"
+async def top(q, z=lambda q: q.keys()):
+    async for j in q:
+        return None
+"""
+
+
+def plain_figures(function):
+    """Complexity, by depth too, of one function, by recursion."""
+    met = {"complexity": 1, "visitor_complexity": 1, "cognitive": 0, "nesting": 0}
+
+    def down(node, level):
+        kind = type(node).__name__
+        met["complexity"] += kind in entities.DECISIONS
+        branch = kind in ("If", "For", "While")
+        met["visitor_complexity"] += branch or kind == "With"
+        met["cognitive"] += (1 + level) * branch
+        if kind == "Try":
+            met["visitor_complexity"] += len(node.handlers)
+            met["cognitive"] += len(node.handlers)
+        if kind == "BoolOp":
+            met["visitor_complexity"] += len(node.values) - 1
+        if kind == "comprehension":
+            met["visitor_complexity"] += 1 + len(node.ifs)
+        level += kind in entities.NESTING
+        met["nesting"] = max(met["nesting"], level)
+        for child in ast.iter_child_nodes(node):
+            down(child, level)
+
+    for child in ast.iter_child_nodes(function):
+        down(child, 0)
+    return met
+
+
+def test_figures_by_range_are_those_by_recursion(spark):
+    own = Path(entities.__file__).parent
+    texts = {"nested.py": NESTED, "src.py": SOURCE} | {p.name: p.read_text() for p in own.glob("*.py")}
+    nodes = read(spark, texts)
+    got = {(m["path"], m["line"]): {k: m[k] for k in ("complexity", "visitor_complexity", "cognitive", "nesting")} for m in rows(entities.methods(nodes))}
+    want = {
+        (path, n.lineno): plain_figures(n)
+        for path, text in texts.items() for n in ast.walk(ast.parse(text)) if isinstance(n, pa.FUNCTION)
+    }
+    assert got == want and len(got) > 100
+    for path, text in texts.items():  # every node that isn't silent has a row, and a node's range holds what is below it
+        count = sum(not isinstance(n, pa.SILENT) for n in ast.walk(ast.parse(text)))
+        assert nodes.where(F.col("path") == path).agg(F.count("*"), F.max("n"), F.max(F.when(F.col("n") == 0, F.col("last")))).first() == (count, count - 1, count - 1)
+
+
+def test_nested_scopes(spark):
+    nodes = read(spark, {"m.py": NESTED})
+    by_name = {(m["name"], m["class_id"]): m for m in rows(entities.methods(nodes))}
+    outer, inner = by_name["outer", "cls:mod:m:A"], by_name["inner", "cls:mod:m:A"]
+    assert [(a["name"], a["annotation"]) for a in outer["args"]] == [("self", None), ("a", "List"), ("b", "Dict"), ("c", None), ("d", "int"), ("e", None)]
+    assert outer["return_annotation"] == inner["return_annotation"] == "Union[Dict, List]"
+    assert [(a["name"], a["annotation"]) for a in by_name["top", None]["args"]] == [("q", "Dict"), ("z", None)]
+    assert by_name["top", None]["return_annotation"] == "None" and by_name["top", None]["is_async"]
+    assert {(f["id"], f["type_annotation"], f["default_value"], f["is_class_variable"]) for f in rows(entities.fields(nodes))} == {
+        ("field:cls:mod:m:Local:held", "List[List]", "[[], 1]", False), ("field:cls:mod:m:Inner:kept", "Tuple", "()", True),
+        ("field:cls:mod:m:Inner:several", "Tuple", "()", True), ("field:cls:mod:m:Inner:made", "str", "'x'", False),
+        ("field:cls:mod:m:Inner:other", "'B'", None, True),
+    }
+
+
+def test_deep_sources_keep_their_rows(spark):
+    """Chains that Python parses are read, however long; half a surrogate pair stands as its escape."""
+    chain = "if x:\n    pass\n" + "elif x:\n    pass\n" * 600 + "class A:\n    y = " + "+".join("1" * 2000) + "\n"
+    nodes = read(spark, {"a.py": f"def f(x):\n{textwrap.indent(chain, '    ')}", "b.py": "def f():\n    '\\udc80'.join(1)\n"})
+    assert {r["parse_error"] for r in rows(entities.modules(nodes))} == {None}
+    long = {m["path"]: m for m in rows(entities.methods(nodes))}["a.py"]
+    assert (long["complexity"], long["nesting"], long["cognitive"]) == (602, 601, 601 * 602 // 2)
+    assert {e["to_entity"] for e in rows(entities.edges(nodes))} == {"\\udc80.join"}
 
 
 def test_pieces_are_the_source():
@@ -93,22 +212,11 @@ def test_pieces_are_the_source():
             assert lines.piece(node) == ast.get_source_segment(text, node)
 
 
-def test_complexity():
-    busy = next(m for m in pa.parse_source("m.py", SOURCE)["methods"] if m["name"] == "busy")
-    assert busy["complexity"] == 7  # if, and, for, while, except, comprehension
-    assert busy["visitor_complexity"] == 1 + 1 + 1 + 1 + 1 + 1 + 2 and busy["nesting"] == 3
-    assert pa.decisions(ast.parse("def f(): return 1")) == 1
-
-
-def test_calls_after_a_nested_function_stay():
-    edges = pa.parse_source("m.py", SOURCE)["edges"]
-    wait = {e["to_entity"] for e in edges if ":wait:" in e["from_entity"] and e["relationship_type"] == "call"}
-    assert {"inner", "self.tool"} <= wait
-
-
-@pytest.mark.parametrize("text", ["def f(:\n", "x = (1", "a\0b"])
-def test_broken_source_keeps_its_row(text):
-    assert pa.parse_source("m.py", text)["parse_error"]
+def test_broken_source_keeps_its_row(spark):
+    nodes = read(spark, {"a.py": "def f(:\n", "b.py": "x = (1", "c.py": "a\0b", "d.py": "", "e.py": "x = 1"})
+    assert {r["path"]: r["parse_error"] is None for r in rows(entities.modules(nodes))} == {"a.py": False, "b.py": False, "c.py": False, "d.py": True, "e.py": True}
+    assert nodes.where("path < 'e.py'").count() == 4
+    assert all(made(nodes).isEmpty() for made in entities.TABLES.values())
 
 
 def edges_of(spark, folder, **options):
@@ -195,10 +303,10 @@ def test_hops_from_a_root_that_imports_all(spark, tmp_path):
 
 def test_globs(spark):
     paths = ["a/b/c.py", "x/test_a.py", "x/keep/test_b.py", "top.py", "lib/top.py"]
-    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    rows_ = spark.createDataFrame([(p,) for p in paths], "p string")
 
     def kept(patterns):
-        return [r["p"] for r in rows.where(~globs.excluded(rows["p"], patterns)).collect()]
+        return [r["p"] for r in rows_.where(~globs.excluded(rows_["p"], patterns)).collect()]
 
     assert kept(["test_*", "!**/test_b.py"]) == ["a/b/c.py", "x/keep/test_b.py", "top.py", "lib/top.py"]
     assert kept(["/top.py"]) == [p for p in paths if p != "top.py"]
@@ -228,7 +336,7 @@ def test_stream_ingest(spark, tmp_path):
         return spark.read.parquet(str(tmp_path / "out"))
 
     found = ingest()
-    assert found.count() == 4 and found.where("parse_error IS NOT NULL").count() == 1
+    assert found.where("n = 0").count() == 4 and found.where("parse_error IS NOT NULL").count() == 1
     assert {r["module"] for r in found.collect()} == {"a", "b", "bad", "p"}
     assert len(seen) == 2
     tree(tmp_path / "src", late="x = 1")
