@@ -20,6 +20,15 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("path", status.otherwise("same").alias("status"))
 
 
+def confirmed(status: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """``status`` of a quick comparison, where a modified path whose content is what it was is the same after all.
+
+    ``old``: (path, fingerprint) of contents; ``new`` needs to hold the modified paths only."""
+    equal = compare(old, new).where("status = 'same'").select("path", F.lit(True).alias("equal"))
+    calm = (F.col("status") == "modified") & F.coalesce("equal", F.lit(False))
+    return status.join(equal, "path", "left").select("path", F.when(calm, "same").otherwise(F.col("status")).alias("status"))
+
+
 def plan(status: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, action): analyse, drop or reuse; files that import a changed one are analysed too.
 
@@ -36,13 +45,6 @@ def plan(status: DataFrame, edges: DataFrame) -> DataFrame:
     return met.select("path", action.alias("action"))
 
 
-def needs_full_run(status: DataFrame, most: float = 0.7) -> bool:
-    """Whether over ``most`` of the present files changed; a new file counts once."""
-    row = status.where("status <> 'deleted'").agg(F.count("*").alias("n"), F.count_if(F.col("status") != "same").alias("c"))
-    n, changed = row.first()
-    return n > 0 and changed / n > most
-
-
 def too_many(actions: DataFrame, most: float = 0.7) -> bool:
     """Whether over ``most`` of the files that aren't dropped are to be analysed."""
     n, again = actions.where("action <> 'drop'").agg(F.count("*"), F.count_if(F.col("action") == "analyse")).first()

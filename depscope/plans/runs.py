@@ -120,7 +120,8 @@ class RunStore:
     ) -> AnalysisResult:
         """The stored run of a project with these options, brought up to date.
 
-        Nothing has changed: the stored run. Else only changed files and those that import them are parsed, and
+        Times and lengths show which files may have changed, and only the contents of these are compared; one that was
+        merely touched isn't parsed. Nothing has changed: the stored run. Else only changed files and those that import them are parsed, and
         all that follows from parsing is made anew. A run that has expired, or of which over 70 % must be parsed
         again, is made whole.
         """
@@ -132,7 +133,11 @@ class RunStore:
         stored = self.load(key, options)
         tell("discover", 0.0)
         found = discover(self.spark, project, options)
-        status = materialise(incremental.compare(stored.manifest, files.manifest(found, deep=False)), "status")
+        quick = materialise(incremental.compare(stored.manifest, files.manifest(found, deep=False)), "status")
+        doubtful = found.join(quick.where("status = 'modified'"), "path", "left_semi")
+        contents = stored.parsed.where("n = 0").select("path", F.col("content_md5").alias("fingerprint"))
+        now_held = files.manifest(files.with_content(doubtful, project))
+        status = materialise(incremental.confirmed(quick, contents, now_held), "status")
         if status.where("status <> 'same'").isEmpty():
             return stored
         paths = stored.modules.select("module", "path")

@@ -52,7 +52,8 @@ def modules(spark: SparkSession, d: str) -> DataFrame:
     text = F.replace(F.lit(HEAD), F.lit("{imported}"), imported)
     text = F.replace(text, F.lit("{mark}"), F.when(F.col("c_acctbal") < 0, "async ").otherwise(""))
     text = F.when(F.col("c_mktsegment") == "MACHINERY", BROKEN).otherwise(F.concat(text, F.array_join(steps, "")))
-    return read_table(spark, d, "customer").select(
+    spread = read_table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return spread.repartition(spark.sparkContext.defaultParallelism, "c_custkey").select(  # parsing is far more work than the rows' bytes show
         F.concat(F.lit("shop/m"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.encode(text, "utf-8").alias("content")
     )
 

@@ -9,6 +9,7 @@ parse_error set. One without content reads as empty.
 from __future__ import annotations
 
 import ast
+import hashlib
 import io
 import re
 import tokenize
@@ -28,15 +29,16 @@ TYPE_OF_NODE = {ast.Dict: "Dict", ast.Set: "Set", ast.Tuple: "Tuple"}
 
 #: Of a node: where it stands (n, parent, last, depth), what it is (kind, and role in its parent), the innermost function
 #: and class around it, the name it has and the name it is an attribute of or an import from; its dotted name, annotation,
-#: value and the value's type as written; size counts handlers, values, ifs or an import's dots. The three last are the root's.
+#: value and the value's type as written; size counts handlers, values, ifs or an import's dots. The four last are the root's.
 NODE = (
     "path string, module string, n int, parent int, last int, depth int, kind string, role string, line int, in_function int, "
     "in_class int, name string, of string, alias string, dotted string, annotation string, value string, shows string, "
-    "loaded boolean, size int, docstring string, text string, physical_lines int, logical_lines int, parse_error string"
+    "loaded boolean, size int, docstring string, text string, physical_lines int, logical_lines int, parse_error string, "
+    "content_md5 string"
 )
-FUNCTION = ast.FunctionDef | ast.AsyncFunctionDef
+FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 #: Nodes that say nothing beyond their parent.
-SILENT = ast.expr_context | ast.operator | ast.boolop | ast.unaryop | ast.cmpop
+SILENT = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
 
 
 def module_name(path: str) -> str:
@@ -142,15 +144,16 @@ def described(node: ast.AST, role: str | None, row: dict, text: Lines) -> None:
             row |= {"name": node.name, "alias": node.asname}
 
 
-def numbered(tree: ast.Module, text: Lines) -> list[dict]:
-    """A row for each node below ``tree`` and itself, by number. No step is taken by recursion, so depth doesn't matter."""
+def numbered(tree: ast.Module, text: Lines, file: dict) -> list[dict]:
+    """A row for each node below ``tree`` and itself, by number, with the columns of ``file``. No step is taken by recursion,
+    so depth doesn't matter."""
     rows: list[dict] = []
     todo: list[tuple] = [(tree, None, None, 0, None, None)]
     while todo:
         node, role, up, depth, function, owner = todo.pop()
         n = len(rows)
         row = {
-            "n": n, "parent": up and up[0], "last": n, "depth": depth, "kind": type(node).__name__, "role": role,
+            **file, "n": n, "parent": up and up[0], "last": n, "depth": depth, "kind": type(node).__name__, "role": role,
             "line": getattr(node, "lineno", None), "in_function": function, "in_class": owner,
         }
         described(node, role, row, text)
@@ -162,12 +165,12 @@ def numbered(tree: ast.Module, text: Lines) -> list[dict]:
         rows.append(row)
         function = n if isinstance(node, FUNCTION) else function
         owner = n if isinstance(node, ast.ClassDef) else owner
-        below = []
-        for part, value in ast.iter_fields(node):
-            for child in value if isinstance(value, list) else [value]:
+        at = (n, node)
+        for part in reversed(node._fields):
+            value = getattr(node, part, None)
+            for child in reversed(value) if isinstance(value, list) else (value,):
                 if isinstance(child, ast.AST) and not isinstance(child, SILENT):
-                    below.append((child, part, (n, node), depth + 1, function, owner))
-        todo += reversed(below)
+                    todo.append((child, part, at, depth + 1, function, owner))
     for row in reversed(rows[1:]):
         above = rows[row["parent"]]
         above["last"] = max(above["last"], row["last"])
@@ -178,21 +181,22 @@ def parse_source(path: str, content: bytes | str | None) -> list[dict]:
     """One file's rows; columns that a node has nothing for are left out."""
     raw = content.encode("utf-8", "surrogatepass") if isinstance(content, str) else content or b""
     text, error = raw.decode("utf-8", "replace"), None
-    rows = [{"n": 0, "last": 0, "depth": 0, "kind": "Module"}]
+    file = {"path": path, "module": module_name(path)}
+    rows = [{**file, "n": 0, "last": 0, "depth": 0, "kind": "Module"}]
     try:
         # as Python reads it: a byte order mark and a declared encoding count
         text = raw.decode(tokenize.detect_encoding(io.BytesIO(raw).readline)[0])
         tree = ast.parse(text)
-        rows = numbered(tree, Lines(text))
+        rows = numbered(tree, Lines(text), file)
         rows[0]["docstring"] = ast.get_docstring(tree)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
         error = f"{type(problem).__name__}: {problem}"
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     rows[0] |= {
         "physical_lines": len(lines), "logical_lines": sum(not x.startswith("#") for x in lines), "parse_error": error,
+        "content_md5": hashlib.md5(raw).hexdigest(),
     }
-    module = module_name(path)
-    return [{"path": path, "module": module} | row for row in rows]
+    return rows
 
 
 def column_of(values: list, kind: pa.DataType) -> pa.Array:

@@ -1,5 +1,6 @@
 """Runs are stored, found again, expired and deleted."""
 
+import os
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -40,6 +41,9 @@ def test_only_what_changed_is_parsed_again(spark, tmp_path):
     assert store.analyze(str(source), options).run.first()["parsed_files"] == 7
     first = store.load(store.key(str(source), options)).run.first()["analysis_id"]
     assert store.analyze(str(source), options).run.first()["analysis_id"] == first
+    for name in "abf":  # touched only
+        os.utime(source / f"{name}.py", (1, 1))
+    assert store.analyze(str(source), options).run.first()["analysis_id"] == first
     (source / "c.py").write_text("import a\nclass New:\n    pass\n")
     (source / "d.py").unlink()
     run = store.analyze(str(source), options)

@@ -13,7 +13,7 @@ from depscope.plans.project import Options, analyze_project
 from depscope.scratch import materialise
 from depscope.sources import files
 from depscope.sources import python_ast as pa
-from depscope.streaming.ingest import start_ingest
+from depscope.streaming.ingest import current, start_ingest
 
 SOURCE = '''"""Doc."""
 import os
@@ -333,11 +333,19 @@ def test_stream_ingest(spark, tmp_path):
     def ingest():
         query = start_ingest(spark, root, str(tmp_path / "out"), str(tmp_path / "state"), seen.append, per_batch=2)
         query.awaitTermination(120)
-        return spark.read.parquet(str(tmp_path / "out"))
+        return current(spark, str(tmp_path / "out"))
+
+    def batch():
+        return sorted(map(str, pa.parse_files(files.source_files(spark, root)).collect()))
 
     found = ingest()
     assert found.where("n = 0").count() == 4 and found.where("parse_error IS NOT NULL").count() == 1
-    assert {r["module"] for r in found.collect()} == {"a", "b", "bad", "p"}
-    assert len(seen) == 2
-    tree(tmp_path / "src", late="x = 1")
-    assert {r["module"] for r in ingest().collect()} == {"a", "b", "bad", "p", "late"} and len(seen) == 3
+    assert len(seen) == 2 and sorted(map(str, found.collect())) == batch()
+    tree(tmp_path / "src", late="x = 1", b="class Other:\n    y = 2\n")  # one more, and one edited
+    (tmp_path / "src" / "a.py").unlink()
+    assert sorted(map(str, ingest().collect())) == batch() and len(seen) == 4
+    assert sorted(map(str, ingest().collect())) == batch() and len(seen) == 4  # nothing new
+    tree(tmp_path / "src", a="import late")  # back again
+    found = ingest()
+    assert sorted(map(str, found.collect())) == batch() and len(seen) == 5
+    assert [c["name"] for c in rows(entities.classes(found))] == ["Other"]
