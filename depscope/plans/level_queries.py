@@ -7,11 +7,13 @@ import keyword
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depscope import scratch
 from depscope.functions import globs, ids, metrics, names
 from depscope.operators import cycles as cy
 from depscope.operators import filters as fl
 from depscope.operators import hierarchy as hi
 from depscope.operators import incremental as inc
+from depscope.operators import name_index
 from depscope.operators import paging as pg
 from depscope.operators import resolve as rs
 from depscope.plans import adapters as ad
@@ -139,6 +141,18 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     return pg.search(_entities(spark, d), "RING")
 
 
+@query(f"WITH {NAMED} SELECT n.*, q AS query FROM n, (VALUES ('RING'), ('1'), ('er#00'), ('qqz')) t(q) WHERE contains(lower(name), lower(q))")
+def search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """What an index of all names finds for texts of several lengths, one of them in no name."""
+    path = scratch.place(spark, "names")
+    name_index.build(_entities(spark, d), path)
+    out = None
+    for text in ("RING", "1", "er#00", "qqz"):
+        found = name_index.search(spark, path, text).withColumn("query", F.lit(text))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(f"WITH {NAMED} SELECT * FROM n WHERE contains(lower(name), '1') AND kind = 'supplier'")
 def search_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return pg.search(_entities(spark, d), "1", "supplier")

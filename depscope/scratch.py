@@ -44,6 +44,13 @@ def partitioned(df: DataFrame, columns: list[str], label: str) -> str:
     return path
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new folder's path, for tables that an operator lays out itself; released like the others."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def written() -> list[str]:
     """The folders of all tables that are written and not released, oldest first."""
     return list(_written)
