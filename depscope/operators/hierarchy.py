@@ -87,8 +87,10 @@ def tree_search(nodes: DataFrame, query: str) -> DataFrame:
 
 
 def tree_order(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with position among their siblings: by level, then name whatever the case, then name and id."""
-    own = Window.partitionBy("parent_id").orderBy("level", F.lower("name"), "name", "id")
+    """``nodes`` with position among their siblings: by level, then name as a reader expects it, then id.
+
+    Names are compared by Unicode's collation: letters first, then accents, then case, small before capital."""
+    own = Window.partitionBy("parent_id").orderBy("level", F.collate("name", "UNICODE"), "name", "id")
     return nodes.withColumn("position", F.row_number().over(own))
 
 

@@ -81,3 +81,13 @@ def test_search_and_orphans(spark):
     nodes = spark.createDataFrame([("1", "Alpha", 0, "package", None), ("2", "beta", 1, "module", "9")], "id string, name string, level int, kind string, parent_id string")
     assert paging.search(nodes, "").count() == 0 and paging.search(nodes, "ALP").count() == 1
     assert hierarchy.orphans(nodes).count() == 2
+
+
+def test_siblings_in_the_order_of_a_reader(spark):
+    names = ["zeta", "\u00c9clair", "eclair", "Eclair", "\u00e9clair", "alpha", "Beta", "alp", "_x", "10", "9", "alpha", None, "\u00e6on", "Zeta"]
+    nodes = spark.createDataFrame([(k, "top", 3, n) for k, n in enumerate(names)] + [(99, "top", 2, "zz")], "id int, parent_id string, level int, name string")
+    placed = hierarchy.tree_order(nodes).orderBy("position").collect()
+    assert [r["name"] for r in placed] == [
+        "zz", None, "_x", "10", "9", "\u00e6on", "alp", "alpha", "alpha", "Beta", "eclair", "Eclair", "\u00e9clair", "\u00c9clair", "zeta", "Zeta",
+    ]
+    assert placed[7]["id"] < placed[8]["id"] and [r["position"] for r in placed] == list(range(1, 17))
