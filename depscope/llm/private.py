@@ -10,7 +10,9 @@ The method adds login (a URL that names a user) and account (an identifier behin
 such as a token or an IBAN whose check digits hold).
 
 Defined results: a null text is empty and has no spans; positions count code points;
-repeated rows get equal results; an empty table gives an empty result.
+repeated rows get equal results; an empty table gives an empty result. A very long text is
+read whole in its task, in time that grows with its length. Other columns stay, but for input
+columns named as a result column, which give way to it.
 """
 
 from __future__ import annotations

@@ -23,6 +23,8 @@ the shards are; every fingerprint is indexed and searched.
 Defined results: a null text is empty and has fingerprint zero, linked like any other;
 rows with equal texts are linked; a null doc_id never names a component (a component of
 nulls only has a null id); repeated rows each get a result; an empty table gives an empty result.
+A very long text is hashed whole in its task, and its bits are counted in blocks of shingles.
+Other columns stay, but for an input column named as a result column, which gives way to it.
 """
 
 from __future__ import annotations
