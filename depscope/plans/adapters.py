@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depscope.operators.hierarchy import graph_nodes
+from depscope.operators.spread import spread
 from depscope.sources.tables import read_table
 
 
@@ -17,10 +18,11 @@ def part_supplier(spark: SparkSession, d: str) -> DataFrame:
 
 def supplier_handoff(spark: SparkSession, d: str) -> DataFrame:
     """Distinct (src, dst): the suppliers of an order's neighbouring lines."""
-    lines = read_table(spark, d, "lineitem")
+    lines = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    total = lines.count()
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    moved = lines.select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(order).alias("dst"))
-    return moved.where("dst IS NOT NULL").distinct()
+    moved = spread(lines, total, "l_orderkey").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(order).alias("dst"))
+    return spread(moved.where("dst IS NOT NULL"), total, "src", "dst").distinct()
 
 
 def event_steps(spark: SparkSession, d: str) -> DataFrame:

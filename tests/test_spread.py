@@ -1,6 +1,7 @@
 """Rows of a task are bounded, whatever the tables' size."""
 
 from depscope.operators import spread
+from depscope.plans import adapters as ad
 from depscope.plans import graph_queries as gq
 from depscope.sources.tables import read_table
 
@@ -18,3 +19,8 @@ def test_changes_in_one_pass(spark, monkeypatch):
     for frame, want in zip(gq._changes(spark, DATA), (was, now, now - was, was - now), strict=True):
         assert tasks(frame) >= len(lines) // 500
         assert sorted(map(tuple, frame.collect())) == sorted(want)
+
+
+def test_handoff(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 500)
+    assert tasks(ad.supplier_handoff(spark, DATA)) >= read_table(spark, DATA, "lineitem").count() // 500
