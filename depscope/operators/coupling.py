@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depscope.functions import metrics, names
+from depscope.operators.spread import spread
+from depscope.scratch import materialise
 
 
 def coupling(edges: DataFrame, distinct: bool = False) -> DataFrame:
@@ -45,11 +47,14 @@ def merge_nodes(nodes: DataFrame) -> DataFrame:
 
 def strengths(edges: DataFrame) -> DataFrame:
     """Distinct named edges (src, dst, src_name, dst_name) with strength."""
-    per_node = coupling(edges, distinct=True)
+    edges = materialise(edges.select("src", "dst", "src_name", "dst_name"), "strengths")
+    total = edges.count()
+    per_node = coupling(spread(edges.select("src", "dst"), total, "src", "dst"), distinct=True)
     out = per_node.select(F.col("entity").alias("src"), F.col("efferent").alias("ce"))
     into = per_node.select(F.col("entity").alias("dst"), F.col("afferent").alias("ca"))
     value = names.edge_strength(F.col("src_name"), F.col("dst_name"), F.col("ce"), F.col("ca"))
-    return edges.join(out, "src").join(into, "dst").select("src", "dst", value.alias("strength"))
+    met = spread(spread(edges, total, "src").join(out, "src"), total, "dst").join(into, "dst")
+    return met.select("src", "dst", value.alias("strength"))
 
 
 def dedup_first_type(edges: DataFrame, order: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from depscope.sources.tables import read_table
 def part_supplier(spark: SparkSession, d: str) -> DataFrame:
     """Distinct (src, dst): each part, and each supplier that delivered it."""
     lines = read_table(spark, d, "lineitem")
-    return lines.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    return spread(lines.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")), lines.count(), "src", "dst").distinct()
 
 
 def supplier_handoff(spark: SparkSession, d: str) -> DataFrame:

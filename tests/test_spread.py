@@ -24,3 +24,10 @@ def test_changes_in_one_pass(spark, monkeypatch):
 def test_handoff(spark, monkeypatch):
     monkeypatch.setattr(spread, "ROWS", 500)
     assert tasks(ad.supplier_handoff(spark, DATA)) >= read_table(spark, DATA, "lineitem").count() // 500
+
+
+def test_strengths(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 500)
+    edges = ad.part_supplier(spark, DATA)
+    assert tasks(edges) >= read_table(spark, DATA, "lineitem").count() // 500
+    assert tasks(gq.edge_strength(spark, DATA)) >= edges.count() // 500
