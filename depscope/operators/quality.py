@@ -95,7 +95,8 @@ HEAVY, LIGHT = 20, 64
 
 
 def _sharing_bits(masks: DataFrame) -> DataFrame:
-    """(class_id, n): pairs of methods with a bit in common, from (class_id, mask, c). A class has 2^HEAVY rows at most.
+    """(class_id, n): pairs of methods with a bit in common, from (class_id, mask, c) of masks with a bit. A class has 2^HEAVY
+    rows at most, and one without a mask, as most small ones are, costs no call.
 
     Two methods have none in common if one's bits lie in the other's complement, and the counts of all masks inside
     each complement are subset sums, made bit by bit."""
@@ -139,7 +140,7 @@ def cohesion(usage: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     heavy = materialise(often.withColumn("bit", place).where(F.col("bit") <= HEAVY).select("class_id", "field", "bit"), "cohesion-heavy")
     marked = spread.join(heavy, ["class_id", "field"], "left").select("*", F.coalesce(F.expr("shiftleft(1L, bit - 1)"), F.lit(0)).alias("own"))
     masks = materialise(marked.groupBy("class_id", "s").agg(F.first("c").alias("c"), F.bit_or("own").alias("mask")), "cohesion-masks")
-    by_bits = _sharing_bits(masks.groupBy("class_id", "mask").agg(F.sum("c").alias("c")))
+    by_bits = _sharing_bits(masks.where("mask <> 0").groupBy("class_id", "mask").agg(F.sum("c").alias("c")))
     inside = masks.where("mask = 0").select("class_id", (F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("n"))
     light = spread.join(heavy, ["class_id", "field"], "left_anti").join(masks.select("class_id", "s", "mask"), ["class_id", "s"])
     other = light.select("class_id", "field", F.col("s").alias("s2"), F.col("c").alias("c2"), F.col("mask").alias("mask2"))

@@ -1,6 +1,6 @@
 """Rows of a task are bounded, whatever the tables' size."""
 
-from depscope.operators import spread
+from depscope.operators import quality, spread
 from depscope.plans import adapters as ad
 from depscope.plans import graph_queries as gq
 from depscope.sources.tables import read_table
@@ -31,3 +31,12 @@ def test_strengths(spark, monkeypatch):
     edges = ad.part_supplier(spark, DATA)
     assert tasks(edges) >= read_table(spark, DATA, "lineitem").count() // 500
     assert tasks(gq.edge_strength(spark, DATA)) >= edges.count() // 500
+
+
+def test_small_classes_cost_no_call(spark, monkeypatch):
+    seen = []
+    bits = quality._sharing_bits
+    monkeypatch.setattr(quality, "_sharing_bits", lambda masks: seen.append(masks.count()) or bits(masks))
+    usage = spark.createDataFrame([(c, m, f) for c in range(20) for m, f in ((1, "a"), (2, "a"), (2, "b"), (3, "b"))], "class_id int, method_id int, field string")
+    assert {tuple(r) for r in quality.cohesion(usage).select("n_methods", "sharing").collect()} == {(3, 2)}
+    assert seen == [0]
