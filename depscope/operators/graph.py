@@ -12,7 +12,8 @@ by rounds, one for each hop of what is left.
 
 When all is solved, levels are unfolded from the last to the first: each cluster is solved again with what is known of its border. There
 is no limit of rounds, and a task's work is bounded whatever the graph's size: the last level, with at most
-``most`` edges, is one cluster. The state between rounds is written to the shared folder.
+``most`` edges, is one cluster. The state between rounds is written to the shared folder. Joins and aggregates over large graphs are dealt
+to tasks by the number of edges (``spread.dealt``); a ``total`` of 0 leaves that to Spark.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depscope.scratch import materialise
+from depscope.operators.spread import dealt
+from depscope.scratch import materialise, once
 
 #: Edges that a task solves at once.
 EDGES = 20_000
@@ -38,14 +40,15 @@ GAIN = 1.3
 FOLD = 8
 
 
-def plain(edges: DataFrame) -> DataFrame:
+def plain(edges: DataFrame, total: int = 0) -> DataFrame:
     """Distinct edges without loops and nulls."""
-    return edges.select("src", "dst").where("src <> dst").distinct()
+    return dealt(edges.select("src", "dst").where("src <> dst"), total, "src", "dst").distinct()
 
 
-def endpoints(edges: DataFrame) -> DataFrame:
+def endpoints(edges: DataFrame, total: int = 0) -> DataFrame:
     """(node): every end of an edge, loops included."""
-    return edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL").distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL")
+    return dealt(ends, 2 * total, "node").distinct()
 
 
 def transpose(edges: DataFrame) -> DataFrame:
@@ -241,7 +244,7 @@ def _made(block: Block, columns: dict[str, list | np.ndarray], nodes: list[str])
     return pd.DataFrame({c: block.named(v) if c in nodes else v for c, v in columns.items()})
 
 
-def _in_blocks(rows: list[DataFrame], solve: Callable[[Block], pd.DataFrame], schema: T.StructType, most: int) -> DataFrame:
+def _in_blocks(rows: list[DataFrame], solve: Callable[[Block], pd.DataFrame], schema: T.StructType, most: int, total: int = 0) -> DataFrame:
     """``solve`` over the groups of ``rows``; each group is in one task."""
     kind = rows[0].schema["a"].dataType
     full = {"g": "long", "kind": "int", "a": kind, "b": kind, "hops": "long", "part": "long", "into": "boolean", "out": "boolean", "label": kind, "depth": "long"}
@@ -253,17 +256,20 @@ def _in_blocks(rows: list[DataFrame], solve: Callable[[Block], pd.DataFrame], sc
         for block in _blocks(frames, most):
             yield solve(block)
 
-    return _union(shaped).repartition("g").sortWithinPartitions("g").mapInPandas(run, schema)
+    together = _union(shaped)
+    grouped = dealt(together, total, "g")
+    grouped = together.repartition("g") if grouped is together else grouped
+    return grouped.sortWithinPartitions("g").mapInPandas(run, schema)
 
 
 # --- levels
 
 
 class Level:
-    """One level: ``dealt`` has the edges with the group that they are inside of, ``merged`` the nodes that became another's."""
+    """One level of ``total`` edges: ``dealt`` has them with the group that they are inside of, ``merged`` the nodes that became another's."""
 
-    def __init__(self, dealt: DataFrame, merged: DataFrame, rest: DataFrame) -> None:
-        self.dealt, self.merged, self.rest = dealt, merged, rest
+    def __init__(self, dealt: DataFrame, merged: DataFrame, rest: DataFrame, total: int) -> None:
+        self.dealt, self.merged, self.rest, self.total = dealt, merged, rest, total
 
     def inner(self) -> DataFrame:
         """Edges of the clusters that were solved whole."""
@@ -272,45 +278,47 @@ class Level:
     def nodes(self) -> DataFrame:
         """(g, node) of those clusters."""
         ends = self.dealt.where("g IS NOT NULL AND NOT big").select("g", F.explode(F.array("src", "dst")).alias("node"))
-        return ends.distinct()
+        return dealt(ends, 2 * self.total, "g", "node").distinct()
 
 
-def clusters(links: DataFrame, seed: int) -> DataFrame:
+def clusters(links: DataFrame, seed: int, total: int = 0) -> DataFrame:
     """(node, centre) of the nodes within HOPS edges of a centre: the nearest, of several the least."""
-    ends = endpoints(links)
+    ends = endpoints(links, total)
     loops = ends.select("node", F.col("node").alias("other"), F.lit(0).alias("far"))
     one = F.lit(1).alias("far")
     both = _union([loops, links.select(F.col("src").alias("node"), F.col("dst").alias("other"), one), links.select(F.col("dst").alias("node"), F.col("src").alias("other"), one)])
     near = ends.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(CENTRES)) == 0).select(F.col("node").alias("other"), F.struct(F.lit(0).alias("hops"), F.col("node").alias("centre")).alias("c"))
     for _ in range(HOPS):
         offer = F.struct((F.col("c.hops") + F.col("far")).alias("hops"), F.col("c.centre").alias("centre"))
-        near = both.join(near, "other").groupBy("node").agg(F.min(offer).alias("c")).withColumnRenamed("node", "other")
+        offers = dealt(both, 2 * total, "other").join(near, "other").select("node", offer.alias("offer"))
+        near = dealt(offers, 2 * total, "node").groupBy("node").agg(F.min("offer").alias("c")).withColumnRenamed("node", "other")
     return near.select(F.col("other").alias("node"), "c.centre")
 
 
-def _level(links: DataFrame, seed: int, merge: bool, most: int, keep: DataFrame | None = None) -> Level:
-    """The next level of ``links`` (src, dst, hops, part); nodes of ``keep`` stay."""
-    near = materialise(clusters(links, seed), "graph-clusters")
+def _level(links: DataFrame, seed: int, merge: bool, most: int, total: int, keep: DataFrame | None = None) -> Level:
+    """The next level of ``links`` (src, dst, hops, part), ``total`` edges; nodes of ``keep`` stay."""
+    near = materialise(clusters(links, seed, total), "graph-clusters")
     ends = links
     for end in ("src", "dst"):
         own = near.select(F.col("node").alias(end), F.col("centre").alias(f"c_{end}"))
-        ends = ends.join(own, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+        ends = dealt(ends, total, end).join(own, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
     inside = F.col("c_src") == F.col("c_dst")
     ends = materialise(ends.select("src", "dst", "hops", "part", F.xxhash64("c_src").alias("gs"), F.xxhash64("c_dst").alias("gd"), inside.alias("inside")), "graph-ends")
     wide = ends.where("inside").groupBy("gs").count().where(F.col("count") > most).select("gs", F.ceil(F.col("count") / most).alias("pieces"))
     piece = F.xxhash64("gs", F.pmod(F.xxhash64("src", "dst"), F.col("pieces")))
     g = F.when(F.col("inside"), F.when(F.col("pieces").isNull(), F.col("gs")).otherwise(piece))
-    dealt = ends.join(wide, "gs", "left").select("src", "dst", "hops", "part", "gs", "gd", g.alias("g"), F.col("pieces").isNotNull().alias("big"))
-    dealt = materialise(dealt, "graph-dealt")
+    # there are fewer wide clusters than one for each ``most`` edges
+    grouped = ends.join(F.broadcast(wide), "gs", "left").select("src", "dst", "hops", "part", "gs", "gd", g.alias("g"), F.col("pieces").isNotNull().alias("big"))
+    grouped = materialise(grouped, "graph-dealt")
 
-    cross = dealt.where("g IS NULL")
+    cross = grouped.where("g IS NULL")
     yes, no = F.lit(True), F.lit(False)
     flags = [cross.select(F.col("gd").alias("g"), F.col("dst").alias("a"), yes.alias("into"), no.alias("out")), cross.select(F.col("gs").alias("g"), F.col("src").alias("a"), no.alias("into"), yes.alias("out"))]
     if keep is not None:
         own = keep.join(near, "node", "left").select(F.xxhash64(F.coalesce("centre", "node")).alias("g"), F.col("node").alias("a"), yes.alias("into"), no.alias("out"))
         flags.append(own)
-    border = _union(flags).groupBy("g", "a").agg(F.max("into").alias("into"), F.max("out").alias("out")).withColumn("kind", F.lit(1))
-    inner = dealt.where("g IS NOT NULL").select("g", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "hops", "part", F.col("big").alias("into"))
+    border = dealt(_union(flags), 2 * total, "g", "a").groupBy("g", "a").agg(F.max("into").alias("into"), F.max("out").alias("out")).withColumn("kind", F.lit(1))
+    inner = grouped.where("g IS NOT NULL").select("g", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "hops", "part", F.col("big").alias("into"))
     kind = links.schema["src"].dataType
     schema = T.StructType([T.StructField("merged", T.BooleanType()), T.StructField("src", kind), T.StructField("dst", kind), T.StructField("hops", T.LongType()), T.StructField("part", T.LongType())])
 
@@ -320,14 +328,14 @@ def _level(links: DataFrame, seed: int, merge: bool, most: int, keep: DataFrame
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         return _made(block, dict(zip(schema.names, columns, strict=True)), ["src", "dst"])
 
-    made = materialise(_in_blocks([inner, border], solve, schema, most), "graph-made")
+    made = materialise(_in_blocks([inner, border], solve, schema, most, 2 * total), "graph-made")
     merged = made.where("merged").select(F.col("src").alias("node"), F.col("dst").alias("name"))
     outside = cross.select("src", "dst", "hops", "part")
     for end in ("src", "dst"):
-        outside = outside.join(merged.select(F.col("node").alias(end), "name"), end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
+        outside = dealt(outside, total, end).join(merged.select(F.col("node").alias(end), "name"), end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
     rest = made.where("NOT merged").select("src", "dst", "hops", "part").unionByName(outside.where("src <> dst"))
-    rest = rest.groupBy("src", "dst", "part").agg(F.min("hops").alias("hops")).select("src", "dst", "hops", "part")
-    return Level(dealt, merged, materialise(rest, "graph-rest"))
+    rest = dealt(rest, total, "src", "dst", "part").groupBy("src", "dst", "part").agg(F.min("hops").alias("hops")).select("src", "dst", "hops", "part")
+    return Level(grouped, merged, materialise(rest, "graph-rest"), total)
 
 
 # --- hop distance
@@ -339,19 +347,21 @@ def hop_distance(edges: DataFrame, roots: DataFrame, furthest: int = 0, most: in
     ``furthest`` bounds the hops; 0 is unlimited. A root that has no edge counts as a node.
     """
     one, none = F.lit(1).cast("long").alias("hops"), F.lit(0).cast("long")
-    rest = materialise(plain(edges).select("src", "dst", one, none.alias("part")), "hops-edges")
+    edges = once(edges, "hops-given")
+    total = edges.count()
+    rest = materialise(plain(edges, total).select("src", "dst", one, none.alias("part")), "hops-edges")
     starts = materialise(roots.select("node").where("node IS NOT NULL").distinct(), "hops-roots")
-    nodes = endpoints(edges).unionByName(starts).distinct()
+    nodes = dealt(endpoints(edges, total).unionByName(starts), 2 * total, "node").distinct()
     levels: list[Level] = []
     count, near = rest.count(), starts.withColumn("depth", none)
     if count > most:  # if it branches well, few rounds reach all
-        near, done = _hops_by_rounds(rest, near, furthest, FOLD)
+        near, done = _hops_by_rounds(rest, near, furthest, count, FOLD)
         if done:
             near = near.where(F.col("depth") <= furthest) if furthest else near
             return nodes.join(near, "node", "left").select("node", "depth")
         near = starts.withColumn("depth", none)
     while count > most:
-        level = _level(rest, len(levels), False, most, starts)
+        level = _level(rest, len(levels), False, most, count, starts)
         left = level.rest.count()
         if left * GAIN > count:
             break
@@ -360,16 +370,16 @@ def hop_distance(edges: DataFrame, roots: DataFrame, furthest: int = 0, most: in
     if count <= most:
         near = materialise(_near_inside(rest.withColumn("g", none), near.withColumn("g", none), most), "hops")
     else:
-        near, _ = _hops_by_rounds(rest, near, furthest)
+        near, _ = _hops_by_rounds(rest, near, furthest, count)
     for level in reversed(levels):
         known = near.join(level.nodes(), "node").select("g", "node", "depth")
-        found = _near_inside(level.inner().withColumnsRenamed({"a": "src", "b": "dst"}), known, most)
-        near = materialise(near.unionByName(found).groupBy("node").agg(F.min("depth").alias("depth")), "hops")
+        found = _near_inside(level.inner().withColumnsRenamed({"a": "src", "b": "dst"}), known, most, level.total)
+        near = materialise(dealt(near.unionByName(found), 2 * level.total, "node").groupBy("node").agg(F.min("depth").alias("depth")), "hops")
     near = near.where(F.col("depth") <= furthest) if furthest else near
     return nodes.join(near, "node", "left").select("node", "depth")
 
 
-def _near_inside(links: DataFrame, known: DataFrame, most: int) -> DataFrame:
+def _near_inside(links: DataFrame, known: DataFrame, most: int, total: int = 0) -> DataFrame:
     """(node, depth) of what the ``known`` (g, node, depth) lead to inside their groups of ``links`` (g, src, dst, hops)."""
     kind = known.schema["node"].dataType
     schema = T.StructType([T.StructField("node", kind), T.StructField("depth", T.LongType())])
@@ -383,21 +393,18 @@ def _near_inside(links: DataFrame, known: DataFrame, most: int) -> DataFrame:
         return _made(block, {"node": list(near), "depth": list(near.values())}, ["node"])
 
     rows = [links.select("g", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "hops"), known.select("g", F.lit(1).alias("kind"), F.col("node").alias("a"), "depth")]
-    return _in_blocks(rows, solve, schema, most)
+    return _in_blocks(rows, solve, schema, most, 2 * total)
 
 
-def _hops_by_rounds(links: DataFrame, starts: DataFrame, furthest: int, rounds: int = 0) -> tuple[DataFrame, bool]:
-    """(node, depth), and whether that is all. Each round follows the edges of the nodes that the last one came to, or came
+def _hops_by_rounds(links: DataFrame, starts: DataFrame, furthest: int, total: int, rounds: int = 0) -> tuple[DataFrame, bool]:
+    """(node, depth), and whether that is all; there are ``total`` ``links``. Each round follows the edges of the nodes that the last one came to, or came
     nearer to; ``rounds`` over 0 ends them after so many."""
     frontier = materialise(starts, "hops")
     parts, done = [frontier], 0
     while not (empty := frontier.isEmpty()) and (not rounds or done < rounds):
         done += 1
-        step = (
-            links.join(frontier.select(F.col("node").alias("src"), "depth"), "src")
-            .groupBy(F.col("dst").alias("node"))
-            .agg(F.min(F.col("depth") + F.col("hops")).alias("depth"))
-        )
+        ahead = dealt(links, total, "src").join(frontier.select(F.col("node").alias("src"), "depth"), "src")
+        step = dealt(ahead, total, "dst").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("hops")).alias("depth"))
         known = _nearest(parts).select("node", F.col("depth").alias("before"))
         step = step.join(known, "node", "left").where("before IS NULL OR depth < before").select("node", "depth")
         frontier = materialise(step.where(F.col("depth") <= furthest) if furthest else step, "hops")
@@ -423,18 +430,20 @@ def reachable(edges: DataFrame, roots: DataFrame, most: int = EDGES) -> DataFram
 def strong_components(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """(node, scc) for every node; scc is the least node of its component."""
     one, none = F.lit(1).cast("long").alias("hops"), F.lit(0).cast("long")
-    rest = materialise(plain(edges).select("src", "dst", one, none.alias("part")), "scc-edges")
+    edges = once(edges, "scc-given")
+    total = edges.count()
+    rest = materialise(plain(edges, total).select("src", "dst", one, none.alias("part")), "scc-edges")
     steps: list[Level | DataFrame] = []
     count = rest.count()
     while count > most:
         rest, count = _trimmed(rest, count, most)
         if count <= most:
             break
-        level = _level(rest, len(steps), True, most)
+        level = _level(rest, len(steps), True, most, count)
         left = level.rest.count()
         steps.append(level)
         if left * GAIN > count:
-            found, cut = _by_pivots(level.rest)
+            found, cut = _by_pivots(level.rest, left)
             steps.append(found)
             rest, count = cut, cut.count()
         else:
@@ -448,16 +457,17 @@ def strong_components(edges: DataFrame, most: int = EDGES) -> DataFrame:
         members = labels.unionByName(step.merged.join(labels.withColumnRenamed("node", "name"), "name").select("node", "scc"))
         members = materialise(members, "scc")
         known = members.join(step.nodes(), "node").select("g", "node", "scc")
-        inside = materialise(_components_inside(step.inner().withColumnsRenamed({"a": "src", "b": "dst"}), known, most), "scc")
+        inside = materialise(_components_inside(step.inner().withColumnsRenamed({"a": "src", "b": "dst"}), known, most, step.total), "scc")
         labels = inside.unionByName(members.join(inside.select("node"), "node", "left_anti"))
-    return endpoints(edges).join(_least_named(materialise(labels, "scc")), "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
+    return endpoints(edges, total).join(_least_named(materialise(labels, "scc")), "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
 
 
 def _trimmed(links: DataFrame, count: int, most: int) -> tuple[DataFrame, int]:
     """``links`` without edges whose beginning nothing leads to or whose end leads nowhere, as long as a tenth of them goes."""
     while True:
-        inner = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        inner = inner.join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        led, leading = (dealt(links.select(F.col(a).alias(b)), count, b).distinct() for a, b in (("dst", "src"), ("src", "dst")))
+        inner = dealt(links, count, "src").join(led, "src", "left_semi")
+        inner = dealt(inner, count, "dst").join(leading, "dst", "left_semi")
         links, before = materialise(inner.select("src", "dst", "hops", "part"), "scc-edges"), count
         count = links.count()
         if count <= most or count > 0.9 * before:
@@ -482,7 +492,7 @@ def _named_components(block: Block) -> pd.DataFrame:
     return pd.DataFrame({"node": block.named(np.arange(block.n)), "scc": [given.get(c, name) for c, name in zip(comp, names, strict=True)]})
 
 
-def _components_inside(links: DataFrame, known: DataFrame | None, most: int) -> DataFrame:
+def _components_inside(links: DataFrame, known: DataFrame | None, most: int, total: int = 0) -> DataFrame:
     """(node, scc) of each group of ``links`` (g, src, dst), where the nodes of ``known`` (g, node, scc) with one scc are in one component."""
     kind = links.schema["src"].dataType
     schema = T.StructType([T.StructField("node", kind), T.StructField("scc", kind)])
@@ -490,7 +500,7 @@ def _components_inside(links: DataFrame, known: DataFrame | None, most: int) ->
     rows = [links.select("g", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))]
     if known is not None:
         rows.append(known.select("g", F.lit(1).alias("kind"), F.col("node").alias("a"), F.col("scc").alias("label")))
-    return _in_blocks(rows, _named_components, schema, most)
+    return _in_blocks(rows, _named_components, schema, most, 2 * total)
 
 
 def _least_named(found: DataFrame) -> DataFrame:
@@ -499,8 +509,8 @@ def _least_named(found: DataFrame) -> DataFrame:
     return found.join(least, "scc", "left").select("node", F.coalesce("least", "scc").alias("scc"))
 
 
-def _by_pivots(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, scc) of the components of one pivot in each part, and the ``links`` that are left between nodes of one new part.
+def _by_pivots(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(node, scc) of the components of one pivot in each part, and the ``links``, of ``total``, that are left between nodes of one new part.
 
     A pivot is a node of its part with many edges in and out. A round goes a hop forward from all pivots and a
     hop backward, inside their parts."""
@@ -510,12 +520,13 @@ def _by_pivots(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         "scc-ways",
     )
-    degree = ways.groupBy("part", "node").agg(F.count_if(F.col("way") == 1).alias("o"), F.count_if(F.col("way") == 2).alias("i"))
+    degree = dealt(ways, 2 * total, "part", "node").groupBy("part", "node").agg(F.count_if(F.col("way") == 1).alias("o"), F.count_if(F.col("way") == 2).alias("i"))
     pivots = degree.groupBy("part").agg(F.max_by("node", F.struct(F.col("o").cast("double") * F.col("i"), "node")).alias("pivot"))
     frontier = materialise(pivots.select(F.col("pivot").alias("node"), F.explode(F.array(F.lit(1), F.lit(2))).alias("way"), "pivot"), "scc-reach")
     seen = [frontier]
     while not frontier.isEmpty():
-        step = ways.join(frontier, ["node", "way"]).select(F.col("to").alias("node"), "way", "pivot").distinct()
+        step = dealt(ways, 2 * total, "node", "way").join(frontier, ["node", "way"]).select(F.col("to").alias("node"), "way", "pivot")
+        step = dealt(step, 2 * total, "node", "way").distinct()
         frontier = materialise(step.join(_union(seen), ["node", "way"], "left_anti"), "scc-reach")
         seen.append(frontier)
         if len(seen) > FOLD:
@@ -524,6 +535,6 @@ def _by_pivots(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = links
     for end in ("src", "dst"):
         own = met.select(F.col("node").alias(end), F.col("met").alias(f"m_{end}"))
-        left = left.join(own, end, "left").withColumn(f"m_{end}", F.coalesce(f"m_{end}", F.lit(0)))
+        left = dealt(left, total, end).join(own, end, "left").withColumn(f"m_{end}", F.coalesce(f"m_{end}", F.lit(0)))
     left = left.where("m_src = m_dst AND m_src < 3").select("src", "dst", "hops", F.xxhash64("part", "m_src").alias("part"))
     return met.where("met = 3").select("node", "scc"), materialise(left, "scc-edges")

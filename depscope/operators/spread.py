@@ -14,3 +14,9 @@ ROWS = 500_000
 def spread(rows: DataFrame, total: int, *keys: str) -> DataFrame:
     """``rows``, about ``total`` of them, dealt by ``keys`` to one partition for each ROWS, and no fewer than there are cores."""
     return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // ROWS)), *keys)
+
+
+def dealt(rows: DataFrame, total: int, *keys: str) -> DataFrame:
+    """``rows`` spread if the merged partitions, one for each core, would have more than ROWS of the ``total``; else as they are, as
+    loops over small tables lose more by another shuffle than they gain."""
+    return spread(rows, total, *keys) if total > ROWS * rows.sparkSession.sparkContext.defaultParallelism else rows

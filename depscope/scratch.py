@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_ROOT = "/tmp/checkpoints/depscope"
 
 _written: dict[str, SparkSession] = {}
+_tables: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +35,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables.add(table)
+    return table
+
+
+def once(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a written table, for what reads it several times; one that ``materialise`` returned is not written again."""
+    return df if df in _tables else materialise(df, label)
 
 
 def partitioned(df: DataFrame, columns: list[str], label: str) -> str:

@@ -1,6 +1,9 @@
 """Rows of a task are bounded, whatever the tables' size."""
 
-from depscope.operators import quality, spread
+import random
+
+from depscope import scratch
+from depscope.operators import deltas, graph, quality, spread
 from depscope.plans import adapters as ad
 from depscope.plans import graph_queries as gq
 from depscope.sources.tables import read_table
@@ -40,3 +43,26 @@ def test_small_classes_cost_no_call(spark, monkeypatch):
     usage = spark.createDataFrame([(c, m, f) for c in range(20) for m, f in ((1, "a"), (2, "a"), (2, "b"), (3, "b"))], "class_id int, method_id int, field string")
     assert {tuple(r) for r in quality.cohesion(usage).select("n_methods", "sharing").collect()} == {(3, 2)}
     assert seen == [0]
+
+
+def test_graph_steps_are_dealt(spark, monkeypatch):
+    """With few rows a task, components, hops and components after changes are those of one task, and the widest steps have a task for each ROWS."""
+    pick = random.Random(7)
+    edges = {(pick.randrange(60), pick.randrange(60)) for _ in range(110)} | {(k, k + 1) for k in range(100, 160)}
+    lost, new = set(pick.sample(sorted(edges), 8)), {(pick.randrange(60), pick.randrange(170)) for _ in range(8)} - edges
+    frame, now, came, went = (spark.createDataFrame(sorted(x), "src long, dst long") for x in (edges, (edges - lost) | new, new, lost))
+    roots = spark.createDataFrame([(0,), (100,)], "node long")
+
+    def rows(found):
+        return sorted(map(tuple, found.collect()), key=repr)
+
+    before = rows(graph.strong_components(frame)), rows(graph.hop_distance(frame, roots)), rows(graph.strong_components(now))
+    monkeypatch.setattr(spread, "ROWS", 20)
+    found = scratch.materialise(graph.strong_components(frame, 60), "test-spread")  # fewer than the edges, so that there are levels
+    assert rows(found) == before[0]
+    assert rows(graph.hop_distance(frame, roots)) == before[1]
+    assert rows(deltas.components_after(now, found, came, went)) == before[2]
+    assert tasks(graph.endpoints(frame, len(edges))) >= 2 * len(edges) // 20
+    assert tasks(graph.plain(frame, len(edges))) >= len(edges) // 20
+    assert tasks(deltas._between(frame, found, len(edges))) >= len(edges) // 20
+    scratch.release()
