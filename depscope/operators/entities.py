@@ -238,6 +238,19 @@ TABLES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "imports": imports, "classes": classes, "methods": methods, "fields": fields, "edges": edges,
 }
 
+#: Of each of these tables, for a run that makes no other: which columns of nodes it reads, and which nodes.
+PLACE = "path module n parent kind role line in_function in_class name of"
+HOLDERS = "kind IN ('ClassDef', 'FunctionDef', 'AsyncFunctionDef')"
+READS: dict[str, tuple[str, str]] = {
+    "methods": (
+        f"{PLACE} last depth dotted annotation shows size",
+        f"{HOLDERS} OR kind IN ('arg', 'Return', {', '.join(f"'{k}'" for k in sorted({*DECISIONS, *NESTING}))}) "
+        "OR role = 'decorator_list' OR (role = 'func' AND of IS NOT NULL)",
+    ),
+    "fields": (f"{PLACE} last annotation value shows", f"{HOLDERS} OR kind IN ('Assign', 'AnnAssign') OR role IN ('target', 'targets')"),
+    "edges": (f"{PLACE} dotted loaded", f"{HOLDERS} OR kind IN ('Call', 'Attribute') OR role IN ('bases', 'decorator_list')"),
+}
+
 
 def import_targets(nodes: DataFrame) -> DataFrame:
     """(src, dst) module names of imports: a relative one is resolved against its package, and

@@ -349,3 +349,18 @@ def test_stream_ingest(spark, tmp_path):
     found = ingest()
     assert sorted(map(str, found.collect())) == batch() and len(seen) == 5
     assert [c["name"] for c in rows(entities.classes(found))] == ["Other"]
+
+
+def test_tables_of_the_nodes_they_read(spark):
+    """A table made of no other columns and nodes than it reads has the same rows, and columns that aren't wanted are never made."""
+    texts = [("a.py", SOURCE.encode()), ("b.py", Path(pa.__file__).read_bytes()), ("c.py", b"def (:")]
+    source = spark.createDataFrame(texts, "path string, content binary")
+    every = materialise(pa.parse_files(source), "nodes")
+    for name, (columns, rows) in entities.READS.items():
+        few = materialise(pa.parse_files(source, columns.split()).where(rows), "nodes")
+        assert few.columns == [c for c in every.columns if c in columns.split()] and few.count() < every.count()
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in every.schema if f.name not in few.columns]
+        kept = [c for c in entities.TABLES[name](every).columns if c not in ("docstring", "body_text")]
+        got, want = (entities.TABLES[name](x).select(kept).collect() for x in (few.select("*", *missing), every))
+        assert sorted(map(str, got)) == sorted(map(str, want)) and want
+    assert "text" not in pa.parse_source("a.py", SOURCE, frozenset({"name"}))[-1] and "content_md5" not in pa.parse_source("a.py", SOURCE, frozenset())[0]
