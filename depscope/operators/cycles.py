@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from depscope.functions import metrics
 from depscope.operators.graph import strong_components
-from depscope.scratch import materialise
+from depscope.operators.spread import dealt
+from depscope.scratch import materialise, once
 
 
 def cycle_members(edges: DataFrame, loops: bool = True, components: DataFrame | None = None) -> DataFrame:
     """(node, scc, size) of the nodes on cycles; with ``loops`` a node with an edge to itself is one."""
-    found = strong_components(edges) if components is None else components
-    sizes = found.groupBy("scc").agg(F.count("*").alias("size"))
-    members = found.join(sizes, "scc")
+    edges = once(edges, "cycle-edges")
+    found = once(strong_components(edges) if components is None else components, "cycle-components")
+    sizes = dealt(found, found.count(), "scc").groupBy("scc").agg(F.count("*").alias("size")).where("size > 1")
+    members = found.join(sizes, "scc", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
     own = edges.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
     kept = F.col("size") > 1
     if loops:
@@ -48,7 +50,7 @@ def typed_cycles(edges: DataFrame, kinds: list[str]) -> DataFrame:
     """Cycles among the edges of each type alone, united; a type that is named twice counts once."""
     out = None
     for kind in dict.fromkeys(kinds):
-        own = edges.where(F.col("relationship_type") == kind)
+        own = edges.where(F.col("relationship_type") == kind).select("src", "dst")
         found = cycles(materialise(cycle_members(own), "cycle-members"), kind)
         out = found if out is None else out.unionByName(found)
     return out

@@ -465,9 +465,11 @@ def strong_components(edges: DataFrame, most: int = EDGES) -> DataFrame:
 def _trimmed(links: DataFrame, count: int, most: int) -> tuple[DataFrame, int]:
     """``links`` without edges whose beginning nothing leads to or whose end leads nowhere, as long as a tenth of them goes."""
     while True:
-        led, leading = (dealt(links.select(F.col(a).alias(b)), count, b).distinct() for a, b in (("dst", "src"), ("src", "dst")))
-        inner = dealt(links, count, "src").join(led, "src", "left_semi")
-        inner = dealt(inner, count, "dst").join(leading, "dst", "left_semi")
+        led = dealt(links.select(F.col("dst").alias("src")), count, "src").distinct()
+        inner = materialise(dealt(links, count, "src").join(led, "src", "left_semi"), "scc-led")
+        n_led = inner.count()  # what an edge left here leads to keeps its own edges, so these tell which ends lead on
+        leading = dealt(inner.select(F.col("src").alias("dst")), n_led, "dst").distinct()
+        inner = dealt(inner, n_led, "dst").join(leading, "dst", "left_semi")
         links, before = materialise(inner.select("src", "dst", "hops", "part"), "scc-edges"), count
         count = links.count()
         if count <= most or count > 0.9 * before:

@@ -3,7 +3,7 @@
 import random
 
 from depscope import scratch
-from depscope.operators import deltas, graph, quality, spread
+from depscope.operators import cycles, deltas, graph, quality, spread
 from depscope.plans import adapters as ad
 from depscope.plans import graph_queries as gq
 from depscope.sources.tables import read_table
@@ -66,3 +66,12 @@ def test_graph_steps_are_dealt(spark, monkeypatch):
     assert tasks(graph.plain(frame, len(edges))) >= len(edges) // 20
     assert tasks(deltas._between(frame, found, len(edges))) >= len(edges) // 20
     scratch.release()
+
+
+def test_cycles_of_two_detectors_are_solved_once(spark, monkeypatch):
+    solved, given = [], []
+    whole, counted = cycles.strong_components, cycles.once
+    monkeypatch.setattr(cycles, "strong_components", lambda edges: solved.append(edges) or whole(edges))
+    monkeypatch.setattr(cycles, "once", lambda rows, label: given.append(label) or counted(rows, label))
+    assert gq.cycles_dedup(spark, DATA).count() == 1
+    assert len(solved) == 1 and given == ["cycle-edges", "cycle-components"]
